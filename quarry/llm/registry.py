@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from quarry.llm.decontam import OP4_SQL, op4_decontaminate
 from quarry.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 
 QUERIES = {
+    "op4_decontaminate": op4_decontaminate,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 SQL = {
+    "op4_decontaminate": OP4_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
