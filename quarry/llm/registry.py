@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from quarry.llm.decontam import OP4_SQL, op4_decontaminate
 from quarry.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from quarry.llm.secrets import op10_secrets
 
 QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_secrets": op10_secrets,
 }
 
 SQL = {
