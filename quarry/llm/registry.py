@@ -7,11 +7,13 @@ from quarry.llm.decontam import OP4_SQL, op4_decontaminate
 from quarry.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from quarry.llm.pieces import op2_pieces
 from quarry.llm.secrets import op10_secrets
+from quarry.llm.toxicity import op3_toxicity
 from quarry.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_pieces": op2_pieces,
+    "op3_toxicity": op3_toxicity,
     "op4_decontaminate": op4_decontaminate,
     "op6_chat": op6_chat,
     "op9_exact_dedup": op9_exact_dedup,
