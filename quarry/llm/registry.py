@@ -5,6 +5,7 @@ from __future__ import annotations
 from quarry.llm.chat import OP6_SQL, op6_chat
 from quarry.llm.decontam import OP4_SQL, op4_decontaminate
 from quarry.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from quarry.llm.minhash import OP7_SQL, op7_minhash
 from quarry.llm.pieces import op2_pieces
 from quarry.llm.secrets import op10_secrets
 from quarry.llm.toxicity import op3_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_decontaminate": op4_decontaminate,
     "op6_chat": op6_chat,
+    "op7_minhash": op7_minhash,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_secrets": op10_secrets,
 }
@@ -24,5 +26,6 @@ SQL = {
     "op1_warc": OP1_SQL,
     "op4_decontaminate": OP4_SQL,
     "op6_chat": OP6_SQL,
+    "op7_minhash": OP7_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
