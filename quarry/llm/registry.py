@@ -8,6 +8,8 @@ from quarry.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from quarry.llm.minhash import OP7_SQL, op7_minhash
 from quarry.llm.pieces import op2_pieces
 from quarry.llm.secrets import op10_secrets
+from quarry.llm.suffix_dedup import op8_repeats
+from quarry.llm.token_counts import op5_token_counts
 from quarry.llm.toxicity import op3_toxicity
 from quarry.llm.warc import OP1_SQL, op1_warc
 
@@ -16,8 +18,10 @@ QUERIES = {
     "op2_pieces": op2_pieces,
     "op3_toxicity": op3_toxicity,
     "op4_decontaminate": op4_decontaminate,
+    "op5_token_counts": op5_token_counts,
     "op6_chat": op6_chat,
     "op7_minhash": op7_minhash,
+    "op8_repeats": op8_repeats,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_secrets": op10_secrets,
 }
