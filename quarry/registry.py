@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from quarry.plans import analysis, retrieval  # noqa: F401
+from quarry.queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
