@@ -6,9 +6,12 @@
 2. Each class meets the smallest class of every band bucket it is in (a star, not all pairs).
    Estimated similarity, corrected for two-bit collisions, comes from bit counts; pairs far
    below the threshold go, the rest is confirmed on full sets. Linked classes form components.
-3. Only what stars can't settle is left: in a bucket that holds several components, the classes
-   outside its largest one meet the bucket's other classes, and passing pairs are confirmed too.
-   Every pair of a bucket thus ends in one component, or was estimated or confirmed apart.
+3. Only what stars can't settle is left: buckets that hold several components. There each set's
+   shingles that any other unsettled set has are counted; sets with too few of them can't reach
+   the threshold with any other and are done (copies edited at random end here). Of the others,
+   those outside a bucket's largest component meet its other classes, unless these counts, sizes
+   or the estimate rule a pair out, and the pairs that are left are confirmed too. Every pair of
+   a bucket thus ends in one component, or was bounded, estimated or confirmed apart.
 
 With 32 bands of 4 rows, a pair at similarity 0.8 shares no bucket with a chance below 1e-7.
 The estimate's cut is six standard deviations below what a pair at 0.8 gives. Work and memory:
@@ -24,6 +27,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +38,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import longs, prepare, workspace, written
 from quarry.llm.components import components
+from quarry.llm.exchange import BUCKET_HASHES, exchange, marked, send_all
 
 BANDS, ROWS = 32, 4
 SHINGLE = 5
@@ -140,14 +145,56 @@ def _confirm(batches: Iterator[pa.RecordBatch], width: int, threshold: int) -> I
         yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], names=["u", "v"])
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: int, folder: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: int, path: str) -> DataFrame:
     """Of the pairs (u, v), those at or above the threshold on full sets."""
-    ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    texts = written(docs.join(ids, "doc_id", "left_semi"), f"{folder}/texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("u_text")), "u")
     both = both.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("v_text")), "v")
     linked = both.select("u", "v", "u_text", "v_text").mapInArrow(lambda b: _confirm(b, width, threshold), "u long, v long")
-    return written(linked, f"{folder}/linked")
+    return written(linked, path)
+
+
+_SETS = "block string, reps binary, sizes binary, hashes binary"
+
+
+def _pack_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    known = _Words()
+    for batch in batches:
+        sets = [shingles(t, known, width) for t in batch["text"].to_pylist()]
+        ids, _ = longs(batch["doc_id"])
+        row = [uuid.uuid4().hex, ids.tobytes(), np.array([len(x) for x in sets], "<i8").tobytes(), np.concatenate([np.empty(0, np.uint64), *sets]).tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.string(), *[pa.binary()] * 3], strict=True)], names=["block", "reps", "sizes", "hashes"])
+
+
+def _send_sets(batch: pa.RecordBatch):
+    for name, data in zip(batch["block"].to_pylist(), batch["hashes"].to_pylist(), strict=True):
+        yield name, np.frombuffer(data, np.uint64)
+
+
+def _shared(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            hashes, sizes = np.frombuffer(batch["hashes"][k].as_py(), np.uint64), np.frombuffer(batch["sizes"][k].as_py(), "<i8")
+            sums = np.concatenate([[0], np.cumsum(marked(hashes, batch["marks"][k].as_py(), buckets))])
+            ends = np.cumsum(sizes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.frombuffer(batch["reps"][k].as_py(), "<i8")), pa.array((sums[ends] - sums[ends - sizes]).astype(np.int64))], names=["rep", "shared"]
+            )
+
+
+def _shared_counts(texts: DataFrame, width: int, folder: str) -> DataFrame:
+    """(rep, shared): how many shingles of each text any other of the texts has."""
+    blocks = written(texts.mapInArrow(lambda b: _pack_sets(b, width), _SETS), f"{folder}/sets")
+    total = blocks.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
+    buckets = max(1, -(-total // (8 * BUCKET_HASHES)))
+    marks = exchange(send_all(blocks.select("block", "hashes"), _send_sets, buckets))
+    return written(blocks.join(marks, "block", "left").mapInArrow(lambda b: _shared(b, buckets), "rep long, shared long"), f"{folder}/shared")
+
+
+def _mixed(named: DataFrame) -> DataFrame:
+    """Members (key, rep, label, ..) of the buckets that hold several labels, with the most common one."""
+    counted = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_n"))
+    main = counted.groupBy("key").agg(F.max_by("label", F.struct("_n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    return named.join(main.select("key", "main"), "key")
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -166,6 +213,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: int = THRE
     spread = classes.select("rep", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").drop("most")
     members = written(spread.join(shared, "key"), f"{work}/members")
+    # Texts move once: those of the classes that share a bucket with another.
+    texts = written(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), f"{work}/texts")
 
     def sides(pairs: DataFrame) -> DataFrame:
         for side in ("u", "v"):
@@ -173,19 +222,24 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: int = THRE
         return pairs.where(_likely("u", "v", threshold)).select("u", "v").distinct()
 
     stars = members.where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct()
-    links = _confirmed(written(sides(stars), f"{work}/stars"), docs, width, threshold, f"{work}/first")
+    links = _confirmed(written(sides(stars), f"{work}/stars"), texts, width, threshold, f"{work}/first")
     labels = written(components(links, f"{work}/first-components"), f"{work}/first-labels")
 
     named = members.join(labels, members["rep"] == labels["node"], "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-    counted = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = counted.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    mixed = named.join(mixed.select("key", "main"), "key").join(sketch, "rep")
-    one = mixed.where("label <> main").select("key", F.col("rep").alias("u"), F.col("label").alias("u_label"), F.col("n").alias("u_n"), F.col("bits").alias("u_bits"))
-    two = mixed.select("key", F.col("rep").alias("v"), F.col("label").alias("v_label"), F.col("n").alias("v_n"), F.col("bits").alias("v_bits"), (F.col("label") == F.col("main")).alias("inside"))
-    rest = one.join(two, "key").where((F.col("u_label") != F.col("v_label")) & (F.col("inside") | (F.col("u") < F.col("v"))) & _likely("u", "v", threshold))
+    # A set can't reach the threshold with more shingles of its own than that leaves room for:
+    # classes whose sets hold too few shingles of any other class in question are done.
+    unsettled = written(_mixed(named).select("rep").distinct(), f"{work}/unsettled")
+    counts = _shared_counts(texts.join(unsettled, F.col("doc_id") == F.col("rep"), "left_semi"), width, work)
+    able = sketch.join(counts.groupBy("rep").agg(F.max("shared").alias("shared")), "rep").where(F.col("shared") * 100 >= F.col("n") * threshold)
+    mixed = written(_mixed(named.join(able, "rep")), f"{work}/mixed")
+    one = mixed.where("label <> main").select("key", *[F.col(c).alias(f"u_{c}") for c in ("label", "n", "bits", "shared")], F.col("rep").alias("u"))
+    two = mixed.select("key", *[F.col(c).alias(f"v_{c}") for c in ("label", "n", "bits", "shared")], F.col("rep").alias("v"), (F.col("label") == F.col("main")).alias("inside"))
+    most = F.least("u_shared", "v_shared")
+    room = most * 100 >= (F.col("u_n") + F.col("v_n") - most) * threshold
+    rest = one.join(two, "key").where((F.col("u_label") != F.col("v_label")) & (F.col("inside") | (F.col("u") < F.col("v"))) & room & _likely("u", "v", threshold))
     rest = written(rest.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{work}/rest")
     if not rest.isEmpty():
-        more = _confirmed(rest, docs, width, threshold, f"{work}/second")
+        more = _confirmed(rest, texts, width, threshold, f"{work}/second")
         links = links.unionByName(more)
         labels = written(components(links, f"{work}/second-components"), f"{work}/second-labels")
     named = classes.select("digest", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("label", "rep").alias("label"))

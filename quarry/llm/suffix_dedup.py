@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import longs, maybe, prepare, workspace, written
+from quarry.llm.exchange import BUCKET_HASHES, exchange, marked, send_all
 
 LENGTH = 200
 #: v of the difference cover and its size (a perfect difference set of q + 1 residues, v = q * q + q + 1).
 COVER_ORDER = 11
 BLOCK_BYTES = 4 << 20
-BUCKET_HASHES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BYTES = np.random.default_rng(20240602).integers(0, 2**64, 256, dtype=np.uint64)
@@ -163,73 +163,6 @@ class Block:
         return begins, self.hasher.at(self.sums, begins, self.length)
 
 
-def _packed_hashes(block: str, hashes: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """(bucket, block, distinct hashes sorted, whether each occurs twice in the block)."""
-    distinct, counts = np.unique(hashes, return_counts=True)
-    edges = np.searchsorted(distinct, _bounds(buckets))
-    for bucket, (a, b) in enumerate(zip(edges, [*edges[1:], len(distinct)], strict=True)):
-        if a < b:
-            yield bucket, block, distinct[a:b].tobytes(), np.packbits(counts[a:b] > 1).tobytes()
-
-
-def _bounds(buckets: int) -> np.ndarray:
-    """Lower ends of equal ranges of hashes: a bucket is a run of the sorted order."""
-    return np.array([(k << 64) // buckets for k in range(buckets)], dtype=np.uint64)
-
-
-_HASHES = "bucket long, block string, hashes binary, twice binary"
-_MARKS = "block string, bucket long, marks binary"
-
-
-def _rows(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
-
-
-def _send(batches: Iterator[pa.RecordBatch], make, buckets: int) -> Iterator[pa.RecordBatch]:
-    kinds, names = [pa.int64(), pa.string(), pa.binary(), pa.binary()], ["bucket", "block", "hashes", "twice"]
-    for batch in batches:
-        for name, hashes in make(batch):
-            rows = list(_packed_hashes(name, hashes, buckets))
-            if rows:
-                yield _rows(rows, kinds, names)
-
-
-def _sort_bucket(table: pa.Table) -> pa.Table:
-    """One bucket: which hashes of each block occur anywhere else, or twice in it."""
-    parts = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
-    twice = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)).astype(bool) for x, p in zip(table["twice"].to_pylist(), parts, strict=True)]
-    ordered = np.sort(np.concatenate(parts), kind="stable")
-    repeated = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    marks = []
-    for part, own in zip(parts, twice, strict=True):
-        at = np.searchsorted(repeated, part)
-        hit = np.zeros(len(part), bool)
-        ok = at < len(repeated)
-        hit[ok] = repeated[at[ok]] == part[ok]
-        marks.append(np.packbits(hit | own).tobytes() if (hit | own).any() else None)
-    return pa.table({"block": table["block"], "bucket": table["bucket"], "marks": pa.array(marks, pa.binary())})
-
-
-def _exchange(sent: DataFrame) -> DataFrame:
-    """Marks of all blocks, gathered by block."""
-    marks = sent.groupBy("bucket").applyInArrow(_sort_bucket, _MARKS).where("marks IS NOT NULL")
-    return marks.groupBy("block").agg(F.collect_list(F.struct("bucket", "marks")).alias("marks"))
-
-
-def _marked(hashes: np.ndarray, marks: list | None, buckets: int) -> np.ndarray:
-    """Mask over hashes: those that the buckets marked."""
-    if not marks or not len(hashes):
-        return np.zeros(len(hashes), bool)
-    distinct, inverse = np.unique(hashes, return_inverse=True)
-    edges = np.append(np.searchsorted(distinct, _bounds(buckets)), len(distinct))
-    hit = np.zeros(len(distinct), bool)
-    for x in marks:
-        a, b = edges[x["bucket"]], edges[x["bucket"] + 1]
-        hit[a:b] = np.unpackbits(np.frombuffer(x["marks"], np.uint8), count=b - a).astype(bool)
-    return hit[inverse]
-
-
 class _Plan:
     """What every step needs: the cover, the lengths, the numbers of buckets."""
 
@@ -249,7 +182,7 @@ class _Plan:
     def _candidates(self, batch: pa.RecordBatch, k: int):
         block = self.block(batch, k)
         begins, hashes = block.samples()
-        return block, *block.candidates(begins[_marked(hashes, batch["ranked"][k].as_py(), self.buckets)])
+        return block, *block.candidates(begins[marked(hashes, batch["ranked"][k].as_py(), self.buckets)])
 
     def send_strings(self, batch: pa.RecordBatch):
         for k, name in enumerate(batch["block"].to_pylist()):
@@ -258,7 +191,7 @@ class _Plan:
     def cut(self, batch: pa.RecordBatch):
         for k in range(batch.num_rows):
             block, begins, hashes = self._candidates(batch, k)
-            begins = begins[_marked(hashes, batch["repeated"][k].as_py(), self.buckets)]
+            begins = begins[marked(hashes, batch["repeated"][k].as_py(), self.buckets)]
             edge = np.zeros(len(block.data) + 1, np.int32)
             edge[begins] += 1
             np.add.at(edge, begins + self.length, -1)
@@ -294,15 +227,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, order: int = COVER_ORD
     blocks = written(docs.mapInArrow(lambda b: _pack(b, block_bytes), _BLOCK), f"{work}/blocks")
     total = blocks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     plan = _Plan(length, order, max(1, -(-int(total * (order + 1) / (order * order + order + 1)) // bucket_hashes)))
-    spread = max(1, min(plan.buckets, 100_000))
-
-    def sent(rows: DataFrame, make) -> DataFrame:
-        return rows.mapInArrow(lambda b: _send(b, make, plan.buckets), _HASHES).repartition(spread, "bucket")
-
-    ranked = written(_exchange(sent(blocks.select("block", "sizes", "data"), plan.send_samples)), f"{work}/ranked")
+    ranked = written(exchange(send_all(blocks.select("block", "sizes", "data"), plan.send_samples, plan.buckets)), f"{work}/ranked")
     known = blocks.join(ranked.withColumnRenamed("marks", "ranked"), "block", "left")
-    strings = sent(known.where("ranked IS NOT NULL").select("block", "sizes", "data", "ranked"), plan.send_strings)
-    repeated = written(_exchange(strings), f"{work}/repeated")
+    strings = send_all(known.where("ranked IS NOT NULL").select("block", "sizes", "data", "ranked"), plan.send_strings, plan.buckets)
+    repeated = written(exchange(strings), f"{work}/repeated")
     both = known.join(repeated.withColumnRenamed("marks", "repeated"), "block", "left")
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return both.select("sizes", "data", "doc_ids", "known", "ranked", "repeated").mapInArrow(lambda b: _removed(b, plan, with_text), fields)
