@@ -6,12 +6,11 @@
 2. Each class meets the smallest class of every band bucket it is in (a star, not all pairs).
    Estimated similarity, corrected for two-bit collisions, comes from bit counts; pairs far
    below the threshold go, the rest is confirmed on full sets. Linked classes form components.
-3. Only what stars can't settle is left: buckets that hold several components. There each set's
-   shingles that any other unsettled set has are counted; sets with too few of them can't reach
-   the threshold with any other and are done (copies edited at random end here). Of the others,
-   those outside a bucket's largest component meet its other classes, unless these counts, sizes
-   or the estimate rule a pair out, and the pairs that are left are confirmed too. Every pair of
-   a bucket thus ends in one component, or was bounded, estimated or confirmed apart.
+3. Only what stars can't settle is left: buckets that hold several components. Their classes
+   are packed into chunks of sets, and chunks with a class outside the bucket's largest
+   component are compared with the bucket's chunks: sizes and the estimate rule most pairs out,
+   one matrix product counts the rest exactly, and only links come out as rows. Every pair of a
+   bucket thus ends in one component, or was ruled out, estimated or counted apart.
 
 With 32 bands of 4 rows, a pair at similarity 0.8 shares no bucket with a chance below 1e-7.
 The estimate's cut is six standard deviations below what a pair at 0.8 gives. Work and memory:
@@ -38,7 +37,6 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import longs, prepare, workspace, written
 from quarry.llm.components import components
-from quarry.llm.exchange import BUCKET_HASHES, exchange, marked, send_all
 
 BANDS, ROWS = 32, 4
 SHINGLE = 5
@@ -153,48 +151,111 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: int, p
     return written(linked, path)
 
 
-_SETS = "block string, reps binary, sizes binary, hashes binary"
+_SETS = "rep long, digest binary, hashes binary"
 
 
-def _pack_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     known = _Words()
     for batch in batches:
-        sets = [shingles(t, known, width) for t in batch["text"].to_pylist()]
-        ids, _ = longs(batch["doc_id"])
-        row = [uuid.uuid4().hex, ids.tobytes(), np.array([len(x) for x in sets], "<i8").tobytes(), np.concatenate([np.empty(0, np.uint64), *sets]).tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.string(), *[pa.binary()] * 3], strict=True)], names=["block", "reps", "sizes", "hashes"])
+        data = [shingles(t, known, width).tobytes() for t in batch["text"].to_pylist()]
+        digests = [hashlib.blake2b(x, digest_size=16).digest() for x in data]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(digests, pa.binary()), pa.array(data, pa.binary())], names=["rep", "digest", "hashes"])
 
 
-def _send_sets(batch: pa.RecordBatch):
-    for name, data in zip(batch["block"].to_pylist(), batch["hashes"].to_pylist(), strict=True):
-        yield name, np.frombuffer(data, np.uint64)
+_CHUNK = "key long, chunk string, outside long, reps binary, labels binary, sizes binary, hashes binary, bits binary, bands binary"
+CHUNK_SETS, CHUNK_HASHES = 256, 1 << 18
 
 
-def _shared(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of a bucket's classes, packed: at most CHUNK_SETS of them, and CHUNK_HASHES hashes but for one long set."""
+    names = [x.split()[0] for x in _CHUNK.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.int64(), *[pa.binary()] * 6]
+    held: list[tuple] = []
+    weight, at = 0, None
+
+    def packed():
+        longs_ = lambda k: np.array([r[k] for r in held], "<i8").tobytes()
+        sizes = np.array([len(r[3]) // 8 for r in held], "<i8").tobytes()
+        row = [at, uuid.uuid4().hex, sum(r[2] for r in held), longs_(0), longs_(1), sizes, b"".join(r[3] for r in held), longs_(4), longs_(5)]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=names)
+
     for batch in batches:
-        for k in range(batch.num_rows):
-            hashes, sizes = np.frombuffer(batch["hashes"][k].as_py(), np.uint64), np.frombuffer(batch["sizes"][k].as_py(), "<i8")
-            sums = np.concatenate([[0], np.cumsum(marked(hashes, batch["marks"][k].as_py(), buckets))])
-            ends = np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.frombuffer(batch["reps"][k].as_py(), "<i8")), pa.array((sums[ends] - sums[ends - sizes]).astype(np.int64))], names=["rep", "shared"]
-            )
+        columns = [batch[c].to_pylist() for c in ("key", "rep", "label", "outside", "hashes", "bits", "bands")]
+        for key, *row in zip(*columns, strict=True):
+            if held and (key != at or len(held) >= CHUNK_SETS or weight >= CHUNK_HASHES):
+                yield packed()
+                held, weight = [], 0
+            at = key
+            held.append(tuple(row))
+            weight += len(row[3]) // 8
+    if held:
+        yield packed()
+
+
+class _Side:
+    def __init__(self, batch: pa.RecordBatch, k: int, prefix: str):
+        get = lambda c: np.frombuffer(batch[f"{prefix}_{c}"][k].as_py(), "<i8")
+        self.reps, self.labels, self.sizes = get("reps"), get("labels"), get("sizes")
+        self.hashes, n = get("hashes").view(np.uint64), len(self.reps)
+        self.bits, self.bands = get("bits").reshape(n, -1).view(np.uint64), get("bands").reshape(n, -1)
+        self.owner = np.repeat(np.arange(n), self.sizes)
+
+    def dense(self, rows: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """rows x words, 1 where the row's set has the word."""
+        mine = np.isin(self.owner, rows)
+        h, owner = self.hashes[mine], np.searchsorted(rows, self.owner[mine])
+        at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+        ok = words[at] == h
+        out = np.zeros((len(rows), len(words)), np.float32)
+        out[owner[ok], at[ok]] = 1
+        return out
 
 
-def _shared_counts(texts: DataFrame, width: int, folder: str) -> DataFrame:
-    """(rep, shared): how many shingles of each text any other of the texts has."""
-    blocks = written(texts.mapInArrow(lambda b: _pack_sets(b, width), _SETS), f"{folder}/sets")
-    total = blocks.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
-    buckets = max(1, -(-total // (8 * BUCKET_HASHES)))
-    marks = exchange(send_all(blocks.select("block", "hashes"), _send_sets, buckets))
-    return written(blocks.join(marks, "block", "left").mapInArrow(lambda b: _shared(b, buckets), "rep long, shared long"), f"{folder}/shared")
+def _common(a: _Side, b: _Side, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Intersection sizes of the rows of a with the columns of b."""
+    words = np.intersect1d(a.hashes, b.hashes)
+    out = np.zeros((len(rows), len(cols)), np.int64)
+    for k in range(0, len(words), 8192):
+        part = words[k : k + 8192]
+        out += (a.dense(rows, part) @ b.dense(cols, part).T).astype(np.int64)
+    return out
+
+
+def _compare(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+    """Links between the classes of two chunks of a bucket, each pair in its first common bucket only."""
+    field = np.uint64(0x5555555555555555)
+    for batch in batches:
+        us, vs = [], []
+        for k in range(batch.num_rows):
+            a, b, key = _Side(batch, k, "a"), _Side(batch, k, "b"), batch["key"][k].as_py()
+            band = int(np.flatnonzero(a.bands[0] == key)[0])
+            open_ = a.labels[:, None] != b.labels[None, :]
+            small, large = np.minimum(a.sizes[:, None], b.sizes[None, :]), np.maximum(a.sizes[:, None], b.sizes[None, :])
+            open_ &= small * 100 >= large * threshold
+            for i in range(band):
+                open_ &= a.bands[:, None, i] != b.bands[None, :, i]
+            apart = np.zeros(open_.shape, np.int64)
+            for i in range(a.bits.shape[1]):
+                x = a.bits[:, None, i] ^ b.bits[None, :, i]
+                apart += np.bitwise_count((x | (x >> np.uint64(1))) & field)
+            open_ &= apart <= BANDS * ROWS - _least_agreeing(threshold)
+            if not open_.any():
+                continue
+            rows, cols = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+            common = _common(a, b, rows, cols)
+            total = a.sizes[rows][:, None] + b.sizes[cols][None, :]
+            linked = open_[np.ix_(rows, cols)] & (100 * common >= threshold * (total - common))
+            at = np.nonzero(linked)
+            us += a.reps[rows[at[0]]].tolist()
+            vs += b.reps[cols[at[1]]].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
 
 def _mixed(named: DataFrame) -> DataFrame:
     """Members (key, rep, label, ..) of the buckets that hold several labels, with the most common one."""
-    counted = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_n"))
-    main = counted.groupBy("key").agg(F.max_by("label", F.struct("_n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    return named.join(main.select("key", "main"), "key")
+    counted = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = counted.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("labels"))
+    return named.join(main.where("labels > 1").drop("labels"), "key")
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -226,20 +287,18 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: int = THRE
     labels = written(components(links, f"{work}/first-components"), f"{work}/first-labels")
 
     named = members.join(labels, members["rep"] == labels["node"], "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-    # A set can't reach the threshold with more shingles of its own than that leaves room for:
-    # classes whose sets hold too few shingles of any other class in question are done.
-    unsettled = written(_mixed(named).select("rep").distinct(), f"{work}/unsettled")
-    counts = _shared_counts(texts.join(unsettled, F.col("doc_id") == F.col("rep"), "left_semi"), width, work)
-    able = sketch.join(counts.groupBy("rep").agg(F.max("shared").alias("shared")), "rep").where(F.col("shared") * 100 >= F.col("n") * threshold)
-    mixed = written(_mixed(named.join(able, "rep")), f"{work}/mixed")
-    one = mixed.where("label <> main").select("key", *[F.col(c).alias(f"u_{c}") for c in ("label", "n", "bits", "shared")], F.col("rep").alias("u"))
-    two = mixed.select("key", *[F.col(c).alias(f"v_{c}") for c in ("label", "n", "bits", "shared")], F.col("rep").alias("v"), (F.col("label") == F.col("main")).alias("inside"))
-    most = F.least("u_shared", "v_shared")
-    room = most * 100 >= (F.col("u_n") + F.col("v_n") - most) * threshold
-    rest = one.join(two, "key").where((F.col("u_label") != F.col("v_label")) & (F.col("inside") | (F.col("u") < F.col("v"))) & room & _likely("u", "v", threshold))
-    rest = written(rest.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{work}/rest")
-    if not rest.isEmpty():
-        more = _confirmed(rest, texts, width, threshold, f"{work}/second")
+    mixed = written(_mixed(named), f"{work}/mixed")
+    if not mixed.isEmpty():
+        unsettled = texts.join(mixed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        sets = unsettled.mapInArrow(lambda b: _sets(b, width), _SETS).join(classes.select("digest", "bits", "bands"), "digest")
+        rows = mixed.join(sets, "rep").withColumn("outside", (F.col("label") != F.col("main")).cast("int"))
+        # A bucket's share of a task is bounded: large buckets are dealt over several.
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / (8.0 * CHUNK_SETS))))
+        rows = rows.repartition("key", "salt").sortWithinPartitions("key", F.desc("outside"), "label")
+        packed = written(rows.select("key", "rep", "label", "outside", "hashes", "bits", "bands").mapInArrow(_chunks, _CHUNK), f"{work}/chunks")
+        sides = [packed.select("key", *[F.col(c).alias(f"{side}_{c}") for c in packed.columns if c != "key"]) for side in "ab"]
+        pairs = sides[0].join(sides[1], "key").where("a_chunk <= b_chunk AND a_outside + b_outside > 0")
+        more = written(pairs.mapInArrow(lambda b: _compare(b, threshold), "u long, v long"), f"{work}/second")
         links = links.unionByName(more)
         labels = written(components(links, f"{work}/second-components"), f"{work}/second-labels")
     named = classes.select("digest", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("label", "rep").alias("label"))
