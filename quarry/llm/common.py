@@ -54,6 +54,12 @@ def written(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Make a folder below the shared folder before executors write files of their own into it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder below the shared folder, in whatever store that is."""
     jvm = spark.sparkContext._jvm

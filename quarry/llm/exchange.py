@@ -18,13 +18,24 @@ from pyspark.sql import functions as F
 BUCKET_HASHES = 1 << 20
 
 
+def pack(distinct: np.ndarray) -> bytes:
+    """Sorted hashes as differences, one plane of bytes after another: upper planes are zero and compress away."""
+    gaps = np.diff(distinct, prepend=np.uint64(0))
+    return gaps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
+
+
 def packed_hashes(block: str, hashes: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """(bucket, block, distinct hashes sorted, whether each occurs twice in the block)."""
+    """(bucket, block, distinct hashes packed, whether each occurs twice in the block)."""
     distinct, counts = np.unique(hashes, return_counts=True)
     edges = np.searchsorted(distinct, bounds(buckets))
     for bucket, (a, b) in enumerate(zip(edges, [*edges[1:], len(distinct)], strict=True)):
         if a < b:
-            yield bucket, block, distinct[a:b].tobytes(), np.packbits(counts[a:b] > 1).tobytes()
+            yield bucket, block, pack(distinct[a:b]), np.packbits(counts[a:b] > 1).tobytes()
 
 
 def bounds(buckets: int) -> np.ndarray:
@@ -52,7 +63,7 @@ def send(batches: Iterator[pa.RecordBatch], make, buckets: int) -> Iterator[pa.R
 
 def sort_bucket(table: pa.Table) -> pa.Table:
     """One bucket: which hashes of each block occur anywhere else, or twice in it."""
-    parts = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
+    parts = [unpack(x) for x in table["hashes"].to_pylist()]
     twice = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)).astype(bool) for x, p in zip(table["twice"].to_pylist(), parts, strict=True)]
     ordered = np.sort(np.concatenate(parts), kind="stable")
     repeated = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])

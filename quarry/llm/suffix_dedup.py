@@ -16,8 +16,9 @@ Only equality of strings of ``length`` bytes matters, so samples are ranked to t
 than by full suffix order, and strings are compared by 64-bit polynomial hashes.
 
 Memory is bounded by a block of documents and by a bucket, whose numbers grow with the input.
-Blocks send a bucket one packed row of distinct hashes, sorted, and get one packed row of marks
-back; positions never move. A line that a third of the corpus holds is one hash per block.
+Texts are written once, a file per block in the shared folder, and never shuffled. Blocks send a
+bucket one packed row of distinct hashes, sorted, and get one packed row of marks back;
+positions never move. A line that a third of the corpus holds is one hash per block.
 
 Defined results: null text is empty; matches never cross documents; repeated rows repeat each
 other, so texts of at least ``length`` bytes vanish; a null doc_id keeps its row; an empty table
@@ -27,20 +28,23 @@ gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import longs, maybe, prepare, workspace, written
+from quarry.llm.common import longs, make_folder, maybe, prepare, workspace, written
 from quarry.llm.exchange import BUCKET_HASHES, exchange, marked, send_all
 
 LENGTH = 200
 #: v of the difference cover and its size (a perfect difference set of q + 1 residues, v = q * q + q + 1).
 COVER_ORDER = 11
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BYTES = np.random.default_rng(20240602).integers(0, 2**64, 256, dtype=np.uint64)
@@ -96,20 +100,26 @@ class Hasher:
         return x ^ (x >> np.uint64(31))
 
 
-_BLOCK = "block string, doc_ids binary, known binary, sizes binary, data binary"
+_BLOCK = "block string, doc_ids binary, known binary, sizes binary, n_bytes long"
 
 
-def _pack(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of whole documents: ids, sizes in bytes, and the texts one after another."""
-    import uuid
+def _pack(batches: Iterator[pa.RecordBatch], block_bytes: int, folder: str) -> Iterator[pa.RecordBatch]:
+    """Whole documents as blocks: one file of compressed texts each, and a row with ids and sizes.
 
+    Files are named anew by each attempt; only those that the written table of rows names count.
+    """
+    files, root = fs.FileSystem.from_uri(folder)
     ids, known, texts, held = [], [], [], 0
 
     def block():
-        name = uuid.uuid4().hex  # written once, so a task that runs again leaves no second block
+        name = uuid.uuid4().hex
+        data = b"".join(texts)
+        with files.open_output_stream(f"{root}/{name}") as out:
+            out.write(zstandard.ZstdCompressor(level=3).compress(data))
         sizes = np.array([len(x) for x in texts], "<i8")
-        row = [[name], [np.array(ids, "<i8").tobytes()], [np.array(known, np.uint8).tobytes()], [sizes.tobytes()], [b"".join(texts)]]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, [pa.string(), *[pa.binary()] * 4], strict=True)], names=["block", "doc_ids", "known", "sizes", "data"])
+        row = [name, np.array(ids, "<i8").tobytes(), np.array(known, np.uint8).tobytes(), sizes.tobytes(), len(data)]
+        kinds = [pa.string(), *[pa.binary()] * 3, pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=[x.split()[0] for x in _BLOCK.split(", ")])
 
     for batch in batches:
         values, valid = longs(batch["doc_id"])
@@ -166,14 +176,17 @@ class Block:
 class _Plan:
     """What every step needs: the cover, the lengths, the numbers of buckets."""
 
-    def __init__(self, length: int, order: int, buckets: int):
-        self.length, self.buckets = length, buckets
+    def __init__(self, length: int, order: int, buckets: int, folder: str):
+        self.length, self.buckets, self.folder = length, buckets, folder
         self.cover, self.v = difference_cover(order), order * order + order + 1
         self.hasher = None
 
     def block(self, batch: pa.RecordBatch, k: int) -> Block:
-        self.hasher = self.hasher or Hasher(2 * BLOCK_BYTES)
-        return Block(batch["sizes"][k].as_py(), batch["data"][k].as_py(), self.hasher, self.cover, self.v, self.length)
+        self.hasher = self.hasher or Hasher(BLOCK_BYTES + (1 << 20))
+        files, root = fs.FileSystem.from_uri(self.folder)
+        with files.open_input_stream(f"{root}/{batch['block'][k].as_py()}") as stream:
+            data = zstandard.ZstdDecompressor().decompress(stream.read())
+        return Block(batch["sizes"][k].as_py(), data, self.hasher, self.cover, self.v, self.length)
 
     def send_samples(self, batch: pa.RecordBatch):
         for k, name in enumerate(batch["block"].to_pylist()):
@@ -224,16 +237,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, order: int = COVER_ORD
         raise ValueError("the cover is wider than the strings")
     work = workspace(spark, "repeats")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = written(docs.mapInArrow(lambda b: _pack(b, block_bytes), _BLOCK), f"{work}/blocks")
-    total = blocks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    plan = _Plan(length, order, max(1, -(-int(total * (order + 1) / (order * order + order + 1)) // bucket_hashes)))
-    ranked = written(exchange(send_all(blocks.select("block", "sizes", "data"), plan.send_samples, plan.buckets)), f"{work}/ranked")
+    folder = f"{work}/texts"
+    make_folder(spark, folder)
+    blocks = written(docs.mapInArrow(lambda b: _pack(b, block_bytes, folder), _BLOCK), f"{work}/blocks")
+    total, count = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count(F.lit(1))).first()
+    plan = _Plan(length, order, max(1, -(-int(total * (order + 1) / (order * order + order + 1)) // bucket_hashes)), folder)
+    # Rows here are names and marks; texts are read where they are needed and never shuffled.
+    tasks = max(1, min(count, 100_000))
+    own = blocks.select("block", "sizes").repartition(tasks, "block")
+    ranked = written(exchange(send_all(own, plan.send_samples, plan.buckets)), f"{work}/ranked")
     known = blocks.join(ranked.withColumnRenamed("marks", "ranked"), "block", "left")
-    strings = send_all(known.where("ranked IS NOT NULL").select("block", "sizes", "data", "ranked"), plan.send_strings, plan.buckets)
-    repeated = written(exchange(strings), f"{work}/repeated")
-    both = known.join(repeated.withColumnRenamed("marks", "repeated"), "block", "left")
+    near = known.where("ranked IS NOT NULL").select("block", "sizes", "ranked").repartition(tasks, "block")
+    repeated = written(exchange(send_all(near, plan.send_strings, plan.buckets)), f"{work}/repeated")
+    both = known.join(repeated.withColumnRenamed("marks", "repeated"), "block", "left").repartition(tasks, "block")
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return both.select("sizes", "data", "doc_ids", "known", "ranked", "repeated").mapInArrow(lambda b: _removed(b, plan, with_text), fields)
+    return both.select("block", "sizes", "doc_ids", "known", "ranked", "repeated").mapInArrow(lambda b: _removed(b, plan, with_text), fields)
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

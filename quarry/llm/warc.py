@@ -34,7 +34,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import prepare, workspace, written
+from quarry.llm.common import make_folder, prepare, workspace, written
 
 CHUNK_BYTES = 64 << 10
 ARCHIVE_BYTES = 128 << 20
@@ -251,9 +251,7 @@ def write_warc(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYT
     """Write planned records; the manifest (path, records, bytes) of the archives that count."""
     spark: SparkSession = records.sparkSession
     prepare(spark)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{folder}/archives")
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
+    make_folder(spark, f"{folder}/archives")
     made = records.mapInArrow(lambda b: _write(b, f"{folder}/archives", archive_bytes, chunk_bytes), "path string, records long, bytes long")
     return written(made, f"{folder}/manifest")
 
