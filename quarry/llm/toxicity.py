@@ -13,7 +13,7 @@ positive rows that earlier ones explain little. Fitting uses at most ``fit_rows`
 (those with the smallest hash of doc_id), never held-out ones; all rows are scored, on whole
 texts. An Aho-Corasick automaton finds lexicon entries, so clean texts cost one pass.
 
-Defined results: null and empty texts get the curve's value at no match; a row whose id is null
+Defined results: null and empty texts get the curve's value at no match (0.1 at most); a row whose id is null
 is not held out and has no label; labels that are null are ignored, and an id labelled twice is
 toxic if any of its labels is; without labelled rows of both kinds nothing matches and all
 scores are 0; repeated rows repeat their result; extra columns are ignored.
@@ -36,9 +36,11 @@ from quarry.llm.common import prepare
 
 FIT_ROWS = 20_000
 THRESHOLD = 0.3
+#: A text without a matched clause scores no more than this, however common label 1 is.
+UNMATCHED = 0.1
 #: A lexicon entry must explain this share of the positive rows' remaining weight, and so many rows.
 LEAST_SHARE, LEAST_ROWS = 0.004, 2.0
-LOWER_BOUND, Z = 1.5, 1.64
+LOWER_BOUND, Z = 1.2, 1.64
 STARTS = (3, 4, 5, 6, 7, 8)
 
 # Closed word classes of the grammar in English, German, French and Spanish.
@@ -150,7 +152,10 @@ class Grammar:
         return math.log1p(sum(found)), max(found, default=0.0), math.log1p(len(text)) if found else 0.0
 
     def score(self, text: str | None) -> float:
-        z = self.curve[0] + sum(w * x for w, x in zip(self.curve[1:], self.features(text), strict=True))
+        features = self.features(text)
+        if not any(features):
+            return min(UNMATCHED, 1 / (1 + math.exp(-max(-40.0, self.curve[0]))))
+        z = self.curve[0] + sum(w * x for w, x in zip(self.curve[1:], features, strict=True))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
