@@ -9,8 +9,9 @@
 3. Only what stars can't settle is left: buckets that hold several components. Their classes
    are packed into chunks of sets, and chunks with a class outside the bucket's largest
    component are compared with the bucket's chunks: sizes and the estimate rule most pairs out,
-   one matrix product counts the rest exactly, and only links come out as rows. Every pair of a
-   bucket thus ends in one component, or was ruled out, estimated or counted apart.
+   one matrix product counts the rest, only likely links come out as rows, and these are
+   confirmed. Every pair of a bucket thus ends in one component, or was ruled out, estimated or
+   counted apart.
 
 With 32 bands of 4 rows, a pair at similarity 0.8 shares no bucket with a chance below 1e-7.
 The estimate's cut is six standard deviations below what a pair at 0.8 gives. Work and memory:
@@ -157,13 +158,16 @@ _SETS = "rep long, digest binary, hashes binary"
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     known = _Words()
     for batch in batches:
-        data = [shingles(t, known, width).tobytes() for t in batch["text"].to_pylist()]
-        digests = [hashlib.blake2b(x, digest_size=16).digest() for x in data]
+        found = [shingles(t, known, width) for t in batch["text"].to_pylist()]
+        digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found]
+        data = [x.astype("<u4").tobytes() for x in found]  # half of each hash: what passes is confirmed on whole ones
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(digests, pa.binary()), pa.array(data, pa.binary())], names=["rep", "digest", "hashes"])
 
 
 _CHUNK = "key long, chunk string, outside long, reps binary, labels binary, sizes binary, hashes binary, bits binary, bands binary"
 CHUNK_SETS, CHUNK_HASHES = 256, 1 << 18
+#: Shingles of one set that may fall together when only half of a hash is kept.
+SLACK = 3
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +179,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def packed():
         longs_ = lambda k: np.array([r[k] for r in held], "<i8").tobytes()
-        sizes = np.array([len(r[3]) // 8 for r in held], "<i8").tobytes()
+        sizes = np.array([len(r[3]) // 4 for r in held], "<i8").tobytes()
         row = [at, uuid.uuid4().hex, sum(r[2] for r in held), longs_(0), longs_(1), sizes, b"".join(r[3] for r in held), longs_(4), longs_(5)]
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=names)
 
@@ -187,16 +191,16 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, weight = [], 0
             at = key
             held.append(tuple(row))
-            weight += len(row[3]) // 8
+            weight += len(row[3]) // 4
     if held:
         yield packed()
 
 
 class _Side:
     def __init__(self, batch: pa.RecordBatch, k: int, prefix: str):
-        get = lambda c: np.frombuffer(batch[f"{prefix}_{c}"][k].as_py(), "<i8")
+        get = lambda c, kind="<i8": np.frombuffer(batch[f"{prefix}_{c}"][k].as_py(), kind)
         self.reps, self.labels, self.sizes = get("reps"), get("labels"), get("sizes")
-        self.hashes, n = get("hashes").view(np.uint64), len(self.reps)
+        self.hashes, n = get("hashes", "<u4"), len(self.reps)
         self.bits, self.bands = get("bits").reshape(n, -1).view(np.uint64), get("bands").reshape(n, -1)
         self.owner = np.repeat(np.arange(n), self.sizes)
 
@@ -222,7 +226,7 @@ def _common(a: _Side, b: _Side, rows: np.ndarray, cols: np.ndarray) -> np.ndarra
 
 
 def _compare(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
-    """Links between the classes of two chunks of a bucket, each pair in its first common bucket only."""
+    """Likely links between the classes of two chunks of a bucket, each pair in its first common bucket only."""
     field = np.uint64(0x5555555555555555)
     for batch in batches:
         us, vs = [], []
@@ -244,6 +248,7 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.R
             rows, cols = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
             common = _common(a, b, rows, cols)
             total = a.sizes[rows][:, None] + b.sizes[cols][None, :]
+            common += SLACK
             linked = open_[np.ix_(rows, cols)] & (100 * common >= threshold * (total - common))
             at = np.nonzero(linked)
             us += a.reps[rows[at[0]]].tolist()
@@ -298,7 +303,9 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: int = THRE
         packed = written(rows.select("key", "rep", "label", "outside", "hashes", "bits", "bands").mapInArrow(_chunks, _CHUNK), f"{work}/chunks")
         sides = [packed.select("key", *[F.col(c).alias(f"{side}_{c}") for c in packed.columns if c != "key"]) for side in "ab"]
         pairs = sides[0].join(sides[1], "key").where("a_chunk <= b_chunk AND a_outside + b_outside > 0")
-        more = written(pairs.mapInArrow(lambda b: _compare(b, threshold), "u long, v long"), f"{work}/second")
+        likely = pairs.mapInArrow(lambda b: _compare(b, threshold), "u long, v long")
+        likely = likely.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        more = _confirmed(written(likely, f"{work}/likely"), texts, width, threshold, f"{work}/second")
         links = links.unionByName(more)
         labels = written(components(links, f"{work}/second-components"), f"{work}/second-labels")
     named = classes.select("digest", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("label", "rep").alias("label"))
