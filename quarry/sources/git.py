@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.functions.globs import ignore_rules
 
 #: Directories that are never scanned.
-SKIPPED = frozenset(".git .mypy_cache .owl_index .pytest_cache .venv .vscode-test __pycache__ build dist node_modules out".split())
+SKIPPED = frozenset(".git .mypy_cache .quarry_index .pytest_cache .venv .vscode-test __pycache__ build dist node_modules out".split())
 RECORD, UNIT = "\x1e", "\x1f"
 FILES = "path string, content binary"
 COMMITS = "hash string, short string, parents array<string>, author string, date string, refs string, subject string"

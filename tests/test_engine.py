@@ -297,3 +297,14 @@ def test_contract():
 
     known = e.queries()
     assert set(e.oracle_sql()) <= set(known) and "hybrid_topk" in known and len(known) > 70
+
+
+def test_symbol_queries(spark):
+    from quarry.registry import QUERIES
+
+    rows = {n: QUERIES[n](spark, "").collect() for n in ("extract_python_symbols", "extract_brace_symbols", "call_graph_edges", "diff_hunks_parse", "changed_symbols")}
+    assert {r.name for r in rows["extract_python_symbols"]} == {"read_user", "trim", "save", "fine", "CodeBlock:23-25:calls=print,trim"}
+    assert {r.name for r in rows["extract_brace_symbols"]} == {"size", "deep", "add", "run", "#hid"}
+    assert {(r.caller, r.callee) for r in rows["call_graph_edges"]} >= {("read_user", "trim"), ("save", "trim")}
+    assert [(r.lineno, r.additions, r.deletions) for r in rows["diff_hunks_parse"]] == [(14, 1, 1), (22, 0, 1)]
+    assert {r.name for r in rows["changed_symbols"]} == {"trim"}
