@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import prepare
+from quarry.llm.common import prepare, workspace, written
 
 FIT_ROWS = 20_000
 THRESHOLD = 0.3
@@ -248,6 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Grammar
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic").distinct()
+    rows = written(rows, f"{workspace(docs.sparkSession, 'toxicity')}/sample")  # documents are read once for it
     counted = rows.mapInArrow(_count, "entry string, p long, n long").groupBy("entry").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     positive, negative = totals.get(1, 0), totals.get(0, 0)
