@@ -44,7 +44,9 @@ from quarry.llm.exchange import BUCKET_HASHES, exchange, marked, send_all
 LENGTH = 200
 #: v of the difference cover and its size (a perfect difference set of q + 1 residues, v = q * q + q + 1).
 COVER_ORDER = 11
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: Bits of a sample's hash beyond those that number the samples: one in 2 ** 18 is ranked in vain, and the long comparison ends it.
+SPARE_BITS = 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BYTES = np.random.default_rng(20240602).integers(0, 2**64, 256, dtype=np.uint64)
@@ -176,8 +178,10 @@ class Block:
 class _Plan:
     """What every step needs: the cover, the lengths, the numbers of buckets."""
 
-    def __init__(self, length: int, order: int, buckets: int, folder: str):
-        self.length, self.buckets, self.folder = length, buckets, folder
+    def __init__(self, length: int, order: int, samples: int, bucket_hashes: int, folder: str):
+        self.length, self.folder = length, folder
+        self.buckets = max(1, -(-samples // bucket_hashes))
+        self.dropped = np.uint64(max(0, 64 - SPARE_BITS - samples.bit_length()))
         self.cover, self.v = difference_cover(order), order * order + order + 1
         self.hasher = None
 
@@ -188,13 +192,17 @@ class _Plan:
             data = zstandard.ZstdDecompressor().decompress(stream.read())
         return Block(batch["sizes"][k].as_py(), data, self.hasher, self.cover, self.v, self.length)
 
+    def _samples(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        begins, hashes = block.samples()
+        return begins, hashes >> self.dropped << self.dropped
+
     def send_samples(self, batch: pa.RecordBatch):
         for k, name in enumerate(batch["block"].to_pylist()):
-            yield name, self.block(batch, k).samples()[1]
+            yield name, self._samples(self.block(batch, k))[1]
 
     def _candidates(self, batch: pa.RecordBatch, k: int):
         block = self.block(batch, k)
-        begins, hashes = block.samples()
+        begins, hashes = self._samples(block)
         return block, *block.candidates(begins[marked(hashes, batch["ranked"][k].as_py(), self.buckets)])
 
     def send_strings(self, batch: pa.RecordBatch):
@@ -241,7 +249,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, order: int = COVER_ORD
     make_folder(spark, folder)
     blocks = written(docs.mapInArrow(lambda b: _pack(b, block_bytes, folder), _BLOCK), f"{work}/blocks")
     total, count = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count(F.lit(1))).first()
-    plan = _Plan(length, order, max(1, -(-int(total * (order + 1) / (order * order + order + 1)) // bucket_hashes)), folder)
+    samples = int(total * (order + 1) / (order * order + order + 1))
+    plan = _Plan(length, order, samples, bucket_hashes, folder)
     # Rows here are names and marks; texts are read where they are needed and never shuffled.
     tasks = max(1, min(count, 100_000))
     own = blocks.select("block", "sizes").repartition(tasks, "block")
