@@ -32,15 +32,15 @@ def unpack(data: bytes) -> np.ndarray:
 def packed_hashes(block: str, hashes: np.ndarray, buckets: int) -> Iterator[tuple]:
     """(bucket, block, distinct hashes packed, whether each occurs twice in the block)."""
     distinct, counts = np.unique(hashes, return_counts=True)
-    edges = np.searchsorted(distinct, bounds(buckets))
-    for bucket, (a, b) in enumerate(zip(edges, [*edges[1:], len(distinct)], strict=True)):
-        if a < b:
-            yield bucket, block, pack(distinct[a:b]), np.packbits(counts[a:b] > 1).tobytes()
+    edges = np.append(np.searchsorted(distinct, bounds(buckets)), len(distinct))
+    for bucket in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+        a, b = edges[bucket], edges[bucket + 1]
+        yield bucket, block, pack(distinct[a:b]), np.packbits(counts[a:b] > 1).tobytes()
 
 
 def bounds(buckets: int) -> np.ndarray:
     """Lower ends of equal ranges of hashes: a bucket is a run of the sorted order."""
-    return np.array([(k << 64) // buckets for k in range(buckets)], dtype=np.uint64)
+    return np.arange(buckets, dtype=np.uint64) * np.uint64((1 << 64) // buckets if buckets > 1 else 0)
 
 
 _HASHES = "bucket long, block string, hashes binary, twice binary"
