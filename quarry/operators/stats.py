@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,24 @@ def results_first(symbols: DataFrame, results: DataFrame, key: str) -> DataFrame
     return symbols.join(best, key, "left").orderBy(F.col("rank").asc_nulls_last(), key)
 
 
+def placed(symbols: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """(key, place) of every symbol in the order of results_first, from 1 on; key is a number.
+
+    Quantiles of the key deal the symbols into ranges, in order and the found ones first. A window
+    numbers each range, and the sizes of the ranges before it are added: no window holds everything.
+    """
+    parts = int(symbols.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = F.array(*[F.lit(x) for x in sorted(set(symbols.approxQuantile(key, [k / parts for k in range(1, parts)], 0.001)))]).cast("array<double>")
+    passed = F.coalesce(F.size(F.filter(bounds, lambda b: F.col(key).cast("double") >= b)), F.lit(0))
+    best = results.groupBy(key).agg(F.min("rank").alias("rank"))
+    below = F.when(F.col("rank").isNotNull(), 0).when(F.col(key).isNull(), 1).otherwise(passed + 1)
+    ranged = symbols.join(best, key, "left").select(key, "rank", below.alias("_range"))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(F.col("rank").asc_nulls_last(), key))
+    return ranged.withColumn("_own", own).join(F.broadcast(before), "_range").select(key, (F.col("_before") + F.col("_own")).cast("long").alias("place")).orderBy("place")
+
+
 def most_common(values: DataFrame, column: str, order: list[str]) -> DataFrame:
     """(column, n) of the most common value; ties go by the given order, others after it by name."""
     place = F.lit(len(order))

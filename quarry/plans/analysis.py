@@ -265,8 +265,7 @@ def stats_kind_filter(spark, sf_dir):
 
 @query(f"{RESULTS}, o AS (SELECT doc_id, row_number() OVER (ORDER BY rank ASC NULLS LAST, doc_id) AS place FROM documents LEFT JOIN r USING (doc_id)) SELECT * FROM o WHERE place <= 100")
 def standalone_order(spark, sf_dir):
-    ordered = stats.results_first(table(spark, sf_dir, "documents").select("doc_id"), _results(spark, sf_dir), "doc_id").limit(100)
-    return ordered.select("doc_id", F.row_number().over(Window.orderBy(F.col("rank").asc_nulls_last(), "doc_id")).cast("long").alias("place"))
+    return stats.placed(table(spark, sf_dir, "documents").select("doc_id"), _results(spark, sf_dir), "doc_id")
 
 
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY lang ORDER BY n DESC, CASE lang WHEN 'fr' THEN 0 WHEN 'de' THEN 1 ELSE 2 END, lang LIMIT 1")
@@ -363,7 +362,7 @@ def similar_selection_order(spark, sf_dir):
 @query(f"SELECT doc_id, source, n_chars, {_KIND} AS kind FROM documents ORDER BY source, n_chars, {_KIND} = 'code_block', doc_id LIMIT 100")
 def symbol_order(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.expr(_KIND).alias("kind"))
-    return rows.orderBy("source", "n_chars", F.col("kind") == "code_block", "doc_id").limit(100)
+    return rows.orderBy("source", "n_chars", F.col("kind") == "code_block", "doc_id")
 
 
 @query(f"SELECT doc_id, 'diff_' || {_KIND} AS result_kind, CASE {_KIND} WHEN 'function' THEN 'Function' WHEN 'method' THEN 'Method' ELSE 'Code block' END AS label FROM documents")
