@@ -34,3 +34,12 @@ def test_places_of_nulls_and_repeats(spark):
     symbols = spark.createDataFrame([(k,) for k in ids], "id long")
     results = spark.createDataFrame([(9, 1), (5, 2)], "id long, rank int")
     assert [tuple(r) for r in placed(symbols, results, "id").collect()] == [(9, 1), (5, 2), (5, 3), (None, 4), (None, 5), (-2, 6), (3, 7), (7, 8)]
+
+
+def test_query_text_is_whole(spark, many):
+    from quarry.plans.retrieval import query_text
+    from quarry.registry import QUERIES
+
+    assert query_text(spark, many).endswith("latest") and len(query_text(spark, many)) > 120
+    assert {r.doc_id for r in QUERIES["bm25_minmax_all"](spark, many).collect()} == {3, 53, 103, 140}
+    assert QUERIES["bm25_topk"](spark, many).first().doc_id == 140
