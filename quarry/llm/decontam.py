@@ -12,8 +12,9 @@ benchmark beyond one block is joined block by block, so what is broadcast never
 and hits of all blocks are united by document. Documents are never shuffled.
 
 Defined results: null text has no words; an item without words has no window; equal items each
-count; rows of an empty table give nothing; a null doc_id keeps its row; extra columns are
-ignored. Windows and counts use the whole of every text.
+count; items whose item_id is null are found as all others, count in n_items as one item together
+and are left out of the digest; rows of an empty table give nothing; a null doc_id keeps its row;
+extra columns are ignored. Windows and counts use the whole of every text.
 """
 
 from __future__ import annotations
@@ -72,7 +73,7 @@ class Anchors:
 
     def __init__(self, windows: list[tuple[str, list[str]]], frequency: dict[bytes, int]):
         self.shapes: dict[bytes, set] = defaultdict(set)
-        self.items: dict[tuple, list[str]] = {}
+        self.items: dict[tuple, list[str | None]] = {}
         for text, items in windows:
             words = tuple(text.encode().split(b" "))
             anchor = min(range(len(words)), key=lambda i: (frequency.get(words[i], 0), words[i], i))
@@ -86,7 +87,7 @@ class Anchors:
         for at in [i for i, w in enumerate(words) if w in shapes]:
             for offset, length in shapes[words[at]]:
                 begin = at - offset
-                if begin >= 0 and begin + length <= n and (owners := items.get(tuple(words[begin : begin + length]))):
+                if begin >= 0 and begin + length <= n and (owners := items.get(tuple(words[begin : begin + length]))) is not None:
                     found.append((begin, length, owners))
         return found
 
@@ -109,7 +110,7 @@ _RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contamin
 
 
 def _summary(n_words: list[int], n_hit: list[int], items: list[list[str]]) -> list[pa.Array]:
-    digests = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
+    digests = [hashlib.sha256(",".join(sorted(y for y in x if y is not None)).encode()).hexdigest() for x in items]
     return [
         pa.array(n_words, pa.int64()),
         pa.array(n_hit, pa.int64()),
@@ -147,7 +148,7 @@ def _scan_block(batches: Iterator[pa.RecordBatch], anchors) -> Iterator[pa.Recor
             if found := index.hits(words):
                 digests.append(hashlib.sha256(text.encode()).hexdigest())
                 runs.append(_runs(_covered(found, len(words))))
-                items.append(sorted({x for _, _, owners in found for x in owners}))
+                items.append(list({x for _, _, owners in found for x in owners}))
         yield pa.RecordBatch.from_arrays(
             [pa.array(digests, pa.string()), pa.array(runs, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=["digest", "runs", "items"]
         )
@@ -183,7 +184,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     sc, keep = spark.sparkContext, keep or ["doc_id"]
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     each = items.mapInArrow(lambda b: _windows(b, window), "item_id string, window string")
-    grouped = each.groupBy("window").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    # collect_set drops nulls: an item without an id is put back as one null.
+    nameless = F.when(F.max(F.col("item_id").isNull()), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))
+    grouped = each.groupBy("window").agg(F.concat(F.sort_array(F.collect_set("item_id")), nameless).alias("items"))
     windows = written(grouped, f"{workspace(spark, 'decontaminate')}/windows")
     blocks = _blocks(windows, block_bytes)
     dealt = windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))

@@ -146,6 +146,20 @@ def test_decontamination(spark, odd, block_bytes):
     assert decontaminate(frame, table(spark, [], "item_id long, text string")).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
+def test_items_without_an_id(spark, block_bytes):
+    from quarry.llm.decontam import decontaminate
+
+    rng = random.Random(12)
+    one, two, three = (words(rng, 15) for _ in range(3))
+    items = [(None, one), (None, two), (7, one), (8, three)]
+    docs = [(1, f"x {two} y"), (2, f"{one} {two}"), (3, three), (4, "clean"), (5, f"{two} {three}")]
+    found = decontaminate(table(spark, docs), table(spark, items, "item_id long, text string"), block_bytes=block_bytes).collect()
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    expected = {(1, 15, 1, digest(""), True), (2, 30, 2, digest("7"), True), (3, 15, 1, digest("8"), True), (4, 0, 0, digest(""), False), (5, 30, 2, digest("8"), True)}
+    assert {(r.doc_id, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found} == expected
+
+
 # 5 Token counts
 
 
