@@ -263,6 +263,18 @@ def _mixed(named: DataFrame) -> DataFrame:
     return named.join(main.where("labels > 1").drop("labels"), "key")
 
 
+def _reused(signed: DataFrame, classes: DataFrame, work: str) -> tuple[DataFrame, DataFrame | None]:
+    """The doc_ids whose rows differ in their sets, and links (u, v) between the classes of each; None if there are none."""
+    mark = F.when(F.col("digest").isNotNull(), F.xxhash64("digest"))
+    seen = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(mark).alias("low"), F.max(mark).alias("high"), F.bool_or(F.col("digest").isNull()).alias("blank"))
+    reused = written(seen.where("low < high OR blank AND low IS NOT NULL").select("doc_id"), f"{work}/reused")
+    if reused.isEmpty():
+        return reused, None
+    held = signed.where("digest IS NOT NULL").join(reused, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(classes.select("digest", "rep"), "digest")
+    least = held.groupBy("doc_id").agg(F.min("rep").alias("v"))
+    return reused, written(held.join(least, "doc_id").select(F.col("rep").alias("u"), "v").where("u <> v").distinct(), f"{work}/same")
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text)."""
     spark: SparkSession = docs.sparkSession
@@ -274,7 +286,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: int = THRE
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")
     )
     classes = written(classes, f"{work}/classes")
-    # Rows that share a doc_id are one node: one row with all its bands stands for each class all the same.
+    # Rows that share a doc_id are one node: the classes that hold rows of one doc_id are linked from the start.
+    reused, same = _reused(signed, classes, work)
     sketch = classes.select("rep", "n", "bits")
     spread = classes.select("rep", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").drop("most")
@@ -289,6 +302,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: int = THRE
 
     stars = members.where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct()
     links = _confirmed(written(sides(stars), f"{work}/stars"), texts, width, threshold, f"{work}/first")
+    if same is not None:
+        links = links.unionByName(same)
     labels = written(components(links, f"{work}/first-components"), f"{work}/first-labels")
 
     named = members.join(labels, members["rep"] == labels["node"], "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
@@ -296,7 +311,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: int = THRE
     if not mixed.isEmpty():
         unsettled = texts.join(mixed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
         sets = unsettled.mapInArrow(lambda b: _sets(b, width), _SETS).join(classes.select("digest", "bits", "bands"), "digest")
-        rows = mixed.join(sets, "rep").withColumn("outside", (F.col("label") != F.col("main")).cast("int"))
+        # A doc_id with several texts has sets of other classes too: a bucket takes those that have its key.
+        rows = mixed.join(sets, "rep").where(F.array_contains("bands", F.col("key"))).withColumn("outside", (F.col("label") != F.col("main")).cast("int"))
         # A bucket's share of a task is bounded: large buckets are dealt over several.
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / (8.0 * CHUNK_SETS))))
         rows = rows.repartition("key", "salt").sortWithinPartitions("key", F.desc("outside"), "label")
@@ -310,6 +326,9 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: int = THRE
         labels = written(components(links, f"{work}/second-components"), f"{work}/second-labels")
     named = classes.select("digest", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("label", "rep").alias("label"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    if same is not None:  # a row without a set goes where the others of its doc_id go
+        known = out.join(reused, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("label").alias("known"))
+        out = out.join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "known"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 

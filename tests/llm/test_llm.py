@@ -258,6 +258,35 @@ def test_minhash(spark, odd, width):
     assert near_duplicates(table(spark, []), width=width).count() == 0
 
 
+def test_minhash_reused_ids(spark):
+    from quarry.llm.minhash import near_duplicates
+
+    rng = random.Random(13)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, ""), (4, c), (5, None), (5, c), (6, d), (6, d)]
+    found = {(r.doc_id, r.n_shingles > 0, r.component_id, r.kept) for r in near_duplicates(table(spark, rows), width=2).collect()}
+    assert found == {(1, True, 1, True), (2, True, 1, False), (3, True, 1, False), (3, False, 1, False), (4, True, 4, True), (5, True, 4, False), (5, False, 4, False), (6, True, 6, True)}
+
+
+def test_minhash_reused_ids_in_mixed_buckets(spark):
+    from quarry.llm.minhash import near_duplicates
+
+    rng = random.Random(14)
+    rows = []
+    for g in range(4):
+        base = words(rng, 150).split()
+        for k in range(40):
+            own = list(base)
+            for _ in range(rng.randrange(1, 22)):
+                own[rng.randrange(150)] = f"e{rng.randrange(10_000)}"
+            rows.append((1000 + 100 * g + k, " ".join(own)))
+        rows += [(1000 + 100 * g + k, words(rng, 80)) for k in range(0, 40, 3)]  # a second text, which shares nothing
+    rng.shuffle(rows)
+    expected = brute_components(rows, 2)
+    for r in near_duplicates(table(spark, rows), width=2).collect():
+        assert r.component_id == expected[r.doc_id]
+
+
 def test_chunks_compare_all(spark):
     """The second step alone: many chunks to a bucket."""
     from quarry.llm import minhash as m
