@@ -10,7 +10,8 @@
    are packed into chunks of sets, and chunks with a class outside the bucket's largest
    component are compared with the bucket's chunks: sizes and the estimate rule most pairs out,
    one matrix product counts the rest, only likely links come out as rows, and these are
-   confirmed. Every pair of a bucket thus ends in one component, or was ruled out, estimated or
+   confirmed. Chunks keep 32 bits of each hash and how many shingles of a set fall together by
+   that; the smaller number of the two sets is added to the count, which is then never too low. Every pair of a bucket thus ends in one component, or was ruled out, estimated or
    counted apart.
 
 With 32 bands of 4 rows, a pair at similarity 0.8 shares no bucket with a chance below 1e-7.
@@ -152,7 +153,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: int, p
     return written(linked, path)
 
 
-_SETS = "rep long, digest binary, hashes binary"
+_SETS = "rep long, digest binary, lost long, hashes binary"
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -160,31 +161,32 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
     for batch in batches:
         found = [shingles(t, known, width) for t in batch["text"].to_pylist()]
         digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found]
-        data = [x.astype("<u4").tobytes() for x in found]  # half of each hash: what passes is confirmed on whole ones
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(digests, pa.binary()), pa.array(data, pa.binary())], names=["rep", "digest", "hashes"])
+        halves = [x.astype("<u4") for x in found]  # half of each hash: what passes is confirmed on whole ones
+        lost = [len(x) - len(np.unique(x)) for x in halves]  # shingles that fall together with another of the set
+        data = [x.tobytes() for x in halves]
+        columns = [batch["doc_id"], pa.array(digests, pa.binary()), pa.array(lost, pa.int64()), pa.array(data, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["rep", "digest", "lost", "hashes"])
 
 
-_CHUNK = "key long, chunk string, outside long, reps binary, labels binary, sizes binary, hashes binary, bits binary, bands binary"
+_CHUNK = "key long, chunk string, outside long, reps binary, labels binary, sizes binary, lost binary, hashes binary, bits binary, bands binary"
 CHUNK_SETS, CHUNK_HASHES = 256, 1 << 18
-#: Shingles of one set that may fall together when only half of a hash is kept.
-SLACK = 3
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of a bucket's classes, packed: at most CHUNK_SETS of them, and CHUNK_HASHES hashes but for one long set."""
     names = [x.split()[0] for x in _CHUNK.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.int64(), *[pa.binary()] * 6]
+    kinds = [pa.int64(), pa.string(), pa.int64(), *[pa.binary()] * 7]
     held: list[tuple] = []
     weight, at = 0, None
 
     def packed():
         longs_ = lambda k: np.array([r[k] for r in held], "<i8").tobytes()
         sizes = np.array([len(r[3]) // 4 for r in held], "<i8").tobytes()
-        row = [at, uuid.uuid4().hex, sum(r[2] for r in held), longs_(0), longs_(1), sizes, b"".join(r[3] for r in held), longs_(4), longs_(5)]
+        row = [at, uuid.uuid4().hex, sum(r[2] for r in held), longs_(0), longs_(1), sizes, longs_(6), b"".join(r[3] for r in held), longs_(4), longs_(5)]
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=names)
 
     for batch in batches:
-        columns = [batch[c].to_pylist() for c in ("key", "rep", "label", "outside", "hashes", "bits", "bands")]
+        columns = [batch[c].to_pylist() for c in ("key", "rep", "label", "outside", "hashes", "bits", "bands", "lost")]
         for key, *row in zip(*columns, strict=True):
             if held and (key != at or len(held) >= CHUNK_SETS or weight >= CHUNK_HASHES):
                 yield packed()
@@ -199,7 +201,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Side:
     def __init__(self, batch: pa.RecordBatch, k: int, prefix: str):
         get = lambda c, kind="<i8": np.frombuffer(batch[f"{prefix}_{c}"][k].as_py(), kind)
-        self.reps, self.labels, self.sizes = get("reps"), get("labels"), get("sizes")
+        self.reps, self.labels, self.sizes, self.lost = get("reps"), get("labels"), get("sizes"), get("lost")
         self.hashes, n = get("hashes", "<u4"), len(self.reps)
         self.bits, self.bands = get("bits").reshape(n, -1).view(np.uint64), get("bands").reshape(n, -1)
         self.owner = np.repeat(np.arange(n), self.sizes)
@@ -248,7 +250,8 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.R
             rows, cols = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
             common = _common(a, b, rows, cols)
             total = a.sizes[rows][:, None] + b.sizes[cols][None, :]
-            common += SLACK
+            # Halves count a common value once: at most what the set with fewer losses lost is missing.
+            common += np.minimum(a.lost[rows][:, None], b.lost[cols][None, :])
             linked = open_[np.ix_(rows, cols)] & (100 * common >= threshold * (total - common))
             at = np.nonzero(linked)
             us += a.reps[rows[at[0]]].tolist()
@@ -316,7 +319,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: int = THRE
         # A bucket's share of a task is bounded: large buckets are dealt over several.
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / (8.0 * CHUNK_SETS))))
         rows = rows.repartition("key", "salt").sortWithinPartitions("key", F.desc("outside"), "label")
-        packed = written(rows.select("key", "rep", "label", "outside", "hashes", "bits", "bands").mapInArrow(_chunks, _CHUNK), f"{work}/chunks")
+        packed = written(rows.select("key", "rep", "label", "outside", "hashes", "bits", "bands", "lost").mapInArrow(_chunks, _CHUNK), f"{work}/chunks")
         sides = [packed.select("key", *[F.col(c).alias(f"{side}_{c}") for c in packed.columns if c != "key"]) for side in "ab"]
         pairs = sides[0].join(sides[1], "key").where("a_chunk <= b_chunk AND a_outside + b_outside > 0")
         likely = pairs.mapInArrow(lambda b: _compare(b, threshold), "u long, v long")

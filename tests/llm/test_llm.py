@@ -287,6 +287,25 @@ def test_minhash_reused_ids_in_mixed_buckets(spark):
         assert r.component_id == expected[r.doc_id]
 
 
+@pytest.mark.parametrize("lost", [0, 8])
+def test_chunks_allow_for_lost_shingles(monkeypatch, lost):
+    """Halves of hashes that fall together don't hide a pair at the threshold."""
+    import pyarrow as pa
+
+    from quarry.llm import minhash as m
+
+    both, own = np.arange(1, 81, dtype=np.uint64), np.arange(1000, 1020, dtype=np.uint64)
+    both[80 - lost :] = both[:lost] + (np.uint64(1) << np.uint64(32))  # equal to the first ones in their low half
+    made = {"a": both, "b": np.union1d(both, own), "c": np.union1d(both[:79], own)}  # 80 of 100 with a, 79 of 100
+    monkeypatch.setattr(m, "shingles", lambda text, known, width: np.sort(made[text]))
+    sets = next(m._sets(iter([pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["a", "b", "c"]})]), 2))
+    rows = [x | {"key": 9, "label": x["rep"], "outside": 1, "bits": [0] * 4, "bands": [9, *range(100 + x["rep"], 131 + x["rep"])]} for x in sets.to_pylist()]
+    chunk = next(m._chunks(iter([pa.RecordBatch.from_pylist(rows)]))).to_pylist()[0]
+    pair = {"key": 9} | {f"{side}_{k}": v for side in "ab" for k, v in chunk.items() if k != "key"}
+    likely = next(m._compare(iter([pa.RecordBatch.from_pylist([pair])]), 80)).to_pylist()
+    assert {tuple(sorted(x.values())) for x in likely} == {(1, 2), (2, 3)}
+
+
 def test_chunks_compare_all(spark):
     """The second step alone: many chunks to a bucket."""
     from quarry.llm import minhash as m
