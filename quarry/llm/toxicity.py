@@ -1,9 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 A lexicon transducer turns words into classes (insult, threat, target, negation, report, word);
-insults and threats carry weights. Four small transducers read the classes of a clause and each
+insults and threats carry weights. Five small transducers read the classes of a clause and each
 gives a factor for the weight at hand: a target nearby raises it, a negation just before or
-reported speech lowers it, and insults in a row add up. Their composition is built lazily, state
+reported speech lowers it, insults in a row add up, and a threat weighs more than an insult, more
+still after another threat. A word that the lexicon didn't learn has no weight, a threat neither:
+some threats are everyday words elsewhere (the German article "die"). Their composition is built lazily, state
 by state, and a clause's score is the sum of its weights times the composed factors. A text is
 scored from its matched clauses, not from words alone, through a logistic curve.
 
@@ -76,12 +78,18 @@ def _target(state: int, kind: str) -> tuple[int, float]:
     return max(0, state - 1), 1.5 if state and kind in ("insult", "threat") else 1.0
 
 
-def _run(state: int, kind: str) -> tuple[int, float]:
-    if kind in ("insult", "threat"):
+def _insult(state: int, kind: str) -> tuple[int, float]:
+    if kind == "insult":
         return 3, 1.25 if state else 1.0
     return max(0, state - 1), 1.0
 
 
+def _threat(state: int, kind: str) -> tuple[int, float]:
+    if kind == "threat":
+        return 4, 1.5 if state else 1.25
+    return max(0, state - 1), 1.0
+
+
 class Composed(Transducer):
     """The product of transducers, its transitions made when they are first taken."""
 
@@ -114,7 +122,7 @@ class Grammar:
                 automaton.add_word(entry.lstrip("=").rstrip("*"), entry)
             if self.lexicon:
                 automaton.make_automaton()
-            self._made = (automaton, Composed([_negation, _report, _target, _run]))
+            self._made = (automaton, Composed([_negation, _report, _target, _insult, _threat]))
         return self._made
 
     def _kind(self, word: str) -> tuple[str, float]:

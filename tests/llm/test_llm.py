@@ -112,6 +112,17 @@ def test_grammar_reads_clauses():
     assert g.clauses("scummy talk") == [] and g.clauses("") == [] and len(g.clauses("scum. fine. scum!")) == 2
 
 
+def test_threats_have_a_transducer_of_their_own():
+    from quarry.llm.toxicity import Grammar
+
+    g = Grammar({"=idiot": 1.0, "=kill": 1.0})
+    total = lambda text: sum(s for _, _, s in g.clauses(text))
+    assert (total("an idiot"), total("a kill")) == (1.0, 1.25)
+    assert (total("idiot idiot"), total("kill kill"), total("kill idiot")) == (2.25, 2.75, 2.25)
+    assert (total("not kill"), total("you kill")) == (0.625, 1.875)
+    assert total("die Katze destroy") == 0
+
+
 # 4 Decontamination
 
 
