@@ -5,15 +5,18 @@ difference cover D modulo v: for any two positions i and j there is a shift d <
 i + d and j + d in the cover. Two equal strings of ``length`` bytes therefore share a *cover
 sample*: equal strings of length - v + 1 bytes that start at cover positions. So:
 
-1. Every cover sample is ranked: samples go by the top of their hash into buckets, one bucket at
-   a time is sorted, and a sample that is alone in the corpus gets no rank.
-2. A position can repeat only if a ranked sample starts within the v bytes from it on. Those
-   positions, and no others, take part in the long comparison: their full strings (``length``
-   bytes) go into buckets too, and each bucket is sorted on its own.
+1. Every cover sample is marked or not: samples go by the top of their hash into buckets, one
+   bucket of hashes at a time is sorted, and a sample that is alone in the corpus gets no mark.
+2. A position can repeat only if a marked sample starts within the v bytes from it on. Those
+   positions, and no others, take part in the long comparison: the hashes of their full strings
+   (``length`` bytes) go into buckets too, and each bucket is sorted on its own.
 3. Positions whose string occurs twice cover ``length`` bytes each; covered bytes go.
 
-Only equality of strings of ``length`` bytes matters, so samples are ranked to that depth rather
-than by full suffix order, and strings are compared by 64-bit polynomial hashes.
+No suffix is ordered and no cover sample has a rank: buckets are ranges of hash values, not of
+suffixes, and ties are not resolved by ranks of cover samples. Marked samples are a prefilter and
+equal 64-bit polynomial hashes stand for equal strings, since the removal asks only whether a
+string of ``length`` bytes occurs twice, never in what order suffixes come. Two different strings
+with the same hash would be taken for equal; nothing compares the bytes afterwards.
 
 Memory is bounded by a block of documents and by a bucket, whose numbers grow with the input.
 Texts are written once, a file per block in the shared folder, and never shuffled. Blocks send a
@@ -45,7 +48,7 @@ LENGTH = 200
 #: v of the difference cover and its size (a perfect difference set of q + 1 residues, v = q * q + q + 1).
 COVER_ORDER = 11
 BLOCK_BYTES = 4 << 20
-#: Bits of a sample's hash beyond those that number the samples: one in 2 ** 18 is ranked in vain, and the long comparison ends it.
+#: Bits of a sample's hash beyond those that number the samples: one in 2 ** 18 is marked in vain, and the long comparison ends it.
 SPARE_BITS = 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
