@@ -70,7 +70,7 @@ def hash_embed(tokens_column: Column, width: int = 64) -> Column:
 
 
 def lsh_nearest(vectors: DataFrame, key: str, column: str, query: list[float], k: int, tables: int = 16, bucket: float = 1.0) -> DataFrame:
-    """The approximate option: random projections choose candidates, exact distances rank them."""
+    """The approximate option: random projections choose candidates, exact distances rank them; exact if they choose fewer than k."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.linalg import Vectors
@@ -78,10 +78,12 @@ def lsh_nearest(vectors: DataFrame, key: str, column: str, query: list[float], k
     dense = vectors.select(key, column, array_to_vector(F.col(column).cast("array<double>")).alias("_dense"))
     model = BucketedRandomProjectionLSH(inputCol="_dense", outputCol="_hashes", bucketLength=bucket, numHashTables=tables, seed=7).fit(dense)
     hashed = model.transform(dense)
-    near = [float(h[0]) for h in model.transform(vectors.sparkSession.createDataFrame([(Vectors.dense(query),)], ["_dense"])).first()["_hashes"]]
+    own = [float(h[0]) for h in model.transform(vectors.sparkSession.createDataFrame([(Vectors.dense(query),)], ["_dense"])).first()["_hashes"]]
     same = F.lit(False)
     from pyspark.ml.functions import vector_to_array
 
-    for i, h in enumerate(near):
+    for i, h in enumerate(own):
         same = same | (vector_to_array(F.get("_hashes", F.lit(i)))[0] == h)
-    return nearest(hashed.where(same), key, column, query, k)
+    near = hashed.where(same)
+    # Too few candidates for k: the exact search, which has them all.
+    return nearest(near if near.limit(k).count() == k else vectors, key, column, query, k)

@@ -43,3 +43,22 @@ def test_query_text_is_whole(spark, many):
     assert query_text(spark, many).endswith("latest") and len(query_text(spark, many)) > 120
     assert {r.doc_id for r in QUERIES["bm25_minmax_all"](spark, many).collect()} == {3, 53, 103, 140}
     assert QUERIES["bm25_topk"](spark, many).first().doc_id == 140
+
+
+def test_lsh_recall_and_fallback(spark):
+    import numpy as np
+
+    from quarry.operators.vector import lsh_nearest, nearest
+
+    rng = np.random.default_rng(15)
+    m = rng.normal(size=(300, 64))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    for scale, least in ((1.0, 0.9), (1e4, 1.0)):  # at the second scale hardly any vector shares a bucket
+        vectors = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(m * scale)], "vec_id long, embedding array<float>").cache()
+        shares = []
+        for k in range(0, 300, 100):
+            query = [float(x) for x in m[k] * scale]
+            found, exact = ([r.vec_id for r in f(vectors, "vec_id", "embedding", query, 10).collect()] for f in (lsh_nearest, nearest))
+            assert len(found) == 10
+            shares.append(len(set(found) & set(exact)) / 10)
+        assert np.mean(shares) >= least
