@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import prepare, workspace, written
+from quarry.llm.common import map_batches, prepare, workspace, written
 
 WINDOW = 10
 BLOCK_BYTES = 64 << 20
@@ -183,7 +183,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     prepare(spark)
     sc, keep = spark.sparkContext, keep or ["doc_id"]
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    each = items.mapInArrow(lambda b: _windows(b, window), "item_id string, window string")
+    each = map_batches(items, lambda b: _windows(b, window), "item_id string, window string")
     # collect_set drops nulls: an item without an id is put back as one null.
     nameless = F.when(F.max(F.col("item_id").isNull()), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))
     grouped = each.groupBy("window").agg(F.concat(F.sort_array(F.collect_set("item_id")), nameless).alias("items"))
@@ -194,21 +194,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     for k in range(blocks):
         rows = [(r["window"], r["items"]) for r in dealt.where(F.col("block") == k).toLocalIterator()]
         vocabulary = sc.broadcast(frozenset(w for text, _ in rows for w in text.encode().split(b" ")))
-        counted = docs.select("text").mapInArrow(lambda b, v=vocabulary: _count(b, v), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        counted = map_batches(docs.select("text"), lambda b, v=vocabulary: _count(b, v), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
         frequency = {r["word"].encode(): r["n"] for r in counted.toLocalIterator()}
         indexes.append(sc.broadcast(Anchors(rows, frequency)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     if blocks == 1:
         wanted = dict.fromkeys([*keep, "text"])
-        return docs.select(*wanted).mapInArrow(lambda b: _scan(b, indexes[0], keep), f"{fields}, {_RESULT}")
+        return map_batches(docs.select(*wanted), lambda b: _scan(b, indexes[0], keep), f"{fields}, {_RESULT}")
     found = None
     for index in indexes:
-        hits = docs.select("text").mapInArrow(lambda b, a=index: _scan_block(b, a), "digest string, runs binary, items array<string>")
+        hits = map_batches(docs.select("text"), lambda b, a=index: _scan_block(b, a), "digest string, runs binary, items array<string>")
         hits = hits.dropDuplicates(["digest"])
         found = hits if found is None else found.unionByName(hits)
     found = found.groupBy("digest").agg(F.collect_list("runs").alias("runs"), F.collect_list("items").alias("items"))
     both = docs.select(F.struct(*keep).alias("kept"), "text", F.sha2("text", 256).alias("digest")).join(found, "digest", "left")
-    return both.select(*[F.col("kept")[k].alias(k) for k in keep if k != "text"], "text", "runs", "items").mapInArrow(
+    return map_batches(both.select(*[F.col("kept")[k].alias(k) for k in keep if k != "text"], "text", "runs", "items"), 
         lambda b: _unite(b, keep), f"{fields}, {_RESULT}"
     )
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ascii_lower, checkpoint_root, longs, maybe, prepare
+from quarry.llm.common import ascii_lower, checkpoint_root, longs, map_batches, maybe, prepare
 
 BUCKET_SIZE = 4096
 HOT_ROWS = 4 * BUCKET_SIZE
@@ -183,7 +183,7 @@ def look_up(digests: DataFrame, index: DataFrame, hot_rows: int = HOT_ROWS) -> D
         )
     )
     ordered = both.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "kind")
-    return ordered.mapInArrow(_look_up, "doc_id long, digest binary, keep_id long, group_size long, member boolean")
+    return map_batches(ordered, _look_up, "doc_id long, digest binary, keep_id long, group_size long, member boolean")
 
 
 def exact_dedup(docs: DataFrame, history: DataFrame | None = None, bucket_size: int = BUCKET_SIZE, hot_rows: int = HOT_ROWS) -> DataFrame:

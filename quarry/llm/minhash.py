@@ -6,18 +6,20 @@
 2. Each class meets the smallest class of every band bucket it is in (a star, not all pairs).
    Estimated similarity, corrected for two-bit collisions, comes from bit counts; pairs far
    below the threshold go, the rest is confirmed on full sets. Linked classes form components.
-3. Only what stars can't settle is left: buckets that hold several components. Their classes
-   are packed into chunks of sets, and chunks with a class outside the bucket's largest
-   component are compared with the bucket's chunks: sizes and the estimate rule most pairs out,
-   one matrix product counts the rest, only likely links come out as rows, and these are
-   confirmed. Chunks keep 32 bits of each hash and how many shingles of a set fall together by
-   that; the smaller number of the two sets is added to the count, which is then never too low. Every pair of a bucket thus ends in one component, or was ruled out, estimated or
-   counted apart.
+3. Only what stars can't settle is left: buckets that hold several components. A bucket's
+   classes are packed into chunks of whole sets, and chunks with a class outside the bucket's
+   largest component are compared with the bucket's chunks: sizes and the estimate rule most
+   pairs out, one matrix product counts the rest exactly. A task keeps a forest over the
+   components it has seen and writes a link only if it joins two trees, so rows grow with the
+   number of components left, not with pairs. Every pair of a bucket thus ends in one
+   component, or was ruled out, estimated or counted apart.
 
 With 32 bands of 4 rows, a pair at similarity 0.8 shares no bucket with a chance below 1e-7.
 The estimate's cut is six standard deviations below what a pair at 0.8 gives. Work and memory:
 band keys are spread by hash, buckets are never gathered into one value, no pair inside a
-component is made again, and texts move only for documents that are in a candidate pair.
+component is made again, and texts move only for documents that are in a candidate pair. A hub's
+text goes once to each of the tasks that its pairs are dealt over. Chunks of buckets that need
+more than one are files in the shared folder; rows only name them.
 
 Defined results: null and blank texts have no set, are linked with nothing and are kept; a null
 doc_id is a document that is linked with nothing; rows that share a doc_id are one node, which
@@ -28,22 +30,24 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import longs, prepare, workspace, written
+from quarry.llm.common import make_folder, map_batches, prepare, remove, workspace, written
 from quarry.llm.components import components
 
 BANDS, ROWS = 32, 4
 SHINGLE = 5
 THRESHOLD = 80  # hundredths
-WORDS_KNOWN = 1_000_000
+WORDS_KNOWN = 250_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SEEDS = np.random.default_rng(20240601).integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
@@ -128,32 +132,72 @@ def _likely(a: str, b: str, threshold: int) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * threshold) & (apart <= BANDS * ROWS - _least_agreeing(threshold))
 
 
+class _Forest:
+    """Trees over nodes seen so far: a link is worth a row only if it joins two of them."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        above = self.above
+        while (up := above.get(x, x)) != x:
+            above[x] = x = above.get(up, up)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.above[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    u, v = zip(*rows, strict=True) if rows else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
 def _confirm(batches: Iterator[pa.RecordBatch], width: int, threshold: int) -> Iterator[pa.RecordBatch]:
-    known = _Words()
-    at, held = None, None
+    """Each hub's own texts come first, then the texts to be held against them; what links is a forest."""
+    known, forest = _Words(), _Forest()
+    at, hubs = None, []
     for batch in batches:
-        u, v, left, right = (batch[k].to_pylist() for k in ("u", "v", "u_text", "v_text"))
-        out_u, out_v = [], []
-        for k in range(len(u)):
-            if at != right[k]:
-                at, held = right[k], shingles(right[k], known, width)
-            own = shingles(left[k], known, width)
-            common = len(np.intersect1d(own, held, assume_unique=True))
-            if common and 100 * common >= threshold * (len(own) + len(held) - common):
-                out_u.append(u[k])
-                out_v.append(v[k])
-        yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], names=["u", "v"])
+        out = []
+        columns = [batch[k].to_pylist() for k in ("v", "salt", "u", "text")]
+        for v, salt, u, text in zip(*columns, strict=True):
+            own = None
+            if (v, salt) != at:
+                at, hubs = (v, salt), []
+            if u is None:
+                hubs.append(shingles(text, known, width))
+            elif forest.root(u) != forest.root(v):
+                own = shingles(text, known, width)
+                for hub in hubs:
+                    common = len(np.intersect1d(own, hub, assume_unique=True))
+                    if common and 100 * common >= threshold * (len(own) + len(hub) - common):
+                        forest.join(u, v)
+                        out.append((u, v))
+                        break
+        yield _links(out)
+
+
+HUB_PAIRS = 512
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: int, path: str) -> DataFrame:
-    """Of the pairs (u, v), those at or above the threshold on full sets."""
-    both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("u_text")), "u")
-    both = both.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("v_text")), "v")
-    linked = both.select("u", "v", "u_text", "v_text").mapInArrow(lambda b: _confirm(b, width, threshold), "u long, v long")
-    return written(linked, path)
+    """Of the pairs (u, v), links that connect what the pairs at or above the threshold on full sets do.
 
+    A hub's text goes once to each task that its pairs are dealt over, not to each pair, and a
+    task takes HUB_PAIRS or so of them.
+    """
+    hubs = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(HUB_PAIRS))).cast("int").alias("salts"))
+    own = hubs.join(texts, hubs["v"] == texts["doc_id"]).select("v", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("u"), "text")
+    held = pairs.join(hubs, "v").withColumn("salt", F.pmod(F.xxhash64("u"), F.col("salts")).cast("int"))
+    held = held.join(texts.select(F.col("doc_id").alias("u"), "text"), "u").select("v", "salt", "u", "text")
+    rows = own.unionByName(held).repartition("v", "salt").sortWithinPartitions("v", "salt", F.col("u").asc_nulls_first())
+    return written(map_batches(rows, lambda b: _confirm(b, width, threshold), "u long, v long"), path)
 
-_SETS = "rep long, digest binary, lost long, hashes binary"
+
+_SETS = "rep long, digest binary, hashes binary"
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -161,50 +205,37 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
     for batch in batches:
         found = [shingles(t, known, width) for t in batch["text"].to_pylist()]
         digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found]
-        halves = [x.astype("<u4") for x in found]  # half of each hash: what passes is confirmed on whole ones
-        lost = [len(x) - len(np.unique(x)) for x in halves]  # shingles that fall together with another of the set
-        data = [x.tobytes() for x in halves]
-        columns = [batch["doc_id"], pa.array(digests, pa.binary()), pa.array(lost, pa.int64()), pa.array(data, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["rep", "digest", "lost", "hashes"])
+        columns = [batch["doc_id"], pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["rep", "digest", "hashes"])
 
 
-_CHUNK = "key long, chunk string, outside long, reps binary, labels binary, sizes binary, lost binary, hashes binary, bits binary, bands binary"
 CHUNK_SETS, CHUNK_HASHES = 256, 1 << 18
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of a bucket's classes, packed: at most CHUNK_SETS of them, and CHUNK_HASHES hashes but for one long set."""
-    names = [x.split()[0] for x in _CHUNK.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.int64(), *[pa.binary()] * 7]
-    held: list[tuple] = []
-    weight, at = 0, None
+class _Chunk:
+    """Some of a bucket's classes: labels, sizes, sketches and whole sets."""
 
-    def packed():
-        longs_ = lambda k: np.array([r[k] for r in held], "<i8").tobytes()
-        sizes = np.array([len(r[3]) // 4 for r in held], "<i8").tobytes()
-        row = [at, uuid.uuid4().hex, sum(r[2] for r in held), longs_(0), longs_(1), sizes, longs_(6), b"".join(r[3] for r in held), longs_(4), longs_(5)]
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=names)
+    def __init__(self, labels, hashes, bits, bands):
+        self.labels, self.bits, self.bands = labels, bits, bands
+        self.sizes = np.array([len(x) for x in hashes], np.int64)
+        self.hashes = np.concatenate(hashes)
+        self.owner = np.repeat(np.arange(len(hashes)), self.sizes)
 
-    for batch in batches:
-        columns = [batch[c].to_pylist() for c in ("key", "rep", "label", "outside", "hashes", "bits", "bands", "lost")]
-        for key, *row in zip(*columns, strict=True):
-            if held and (key != at or len(held) >= CHUNK_SETS or weight >= CHUNK_HASHES):
-                yield packed()
-                held, weight = [], 0
-            at = key
-            held.append(tuple(row))
-            weight += len(row[3]) // 4
-    if held:
-        yield packed()
+    @classmethod
+    def of(cls, rows: list[tuple]) -> "_Chunk":
+        """rows: (label, outside, hashes, bits, bands)."""
+        labels = np.array([r[0] for r in rows], np.int64)
+        return cls(labels, [np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[3] for r in rows], np.int64).view(np.uint64), np.array([r[4] for r in rows], np.int64))
 
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, labels=self.labels, sizes=self.sizes, hashes=self.hashes, bits=self.bits, bands=self.bands)
+        return out.getvalue()
 
-class _Side:
-    def __init__(self, batch: pa.RecordBatch, k: int, prefix: str):
-        get = lambda c, kind="<i8": np.frombuffer(batch[f"{prefix}_{c}"][k].as_py(), kind)
-        self.reps, self.labels, self.sizes, self.lost = get("reps"), get("labels"), get("sizes"), get("lost")
-        self.hashes, n = get("hashes", "<u4"), len(self.reps)
-        self.bits, self.bands = get("bits").reshape(n, -1).view(np.uint64), get("bands").reshape(n, -1)
-        self.owner = np.repeat(np.arange(n), self.sizes)
+    @classmethod
+    def load(cls, data: bytes) -> "_Chunk":
+        x = np.load(io.BytesIO(data))
+        return cls(x["labels"], np.split(x["hashes"], np.cumsum(x["sizes"])[:-1]), x["bits"], x["bands"])
 
     def dense(self, rows: np.ndarray, words: np.ndarray) -> np.ndarray:
         """rows x words, 1 where the row's set has the word."""
@@ -217,7 +248,7 @@ class _Side:
         return out
 
 
-def _common(a: _Side, b: _Side, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+def _common(a: _Chunk, b: _Chunk, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     """Intersection sizes of the rows of a with the columns of b."""
     words = np.intersect1d(a.hashes, b.hashes)
     out = np.zeros((len(rows), len(cols)), np.int64)
@@ -227,36 +258,104 @@ def _common(a: _Side, b: _Side, rows: np.ndarray, cols: np.ndarray) -> np.ndarra
     return out
 
 
-def _compare(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
-    """Likely links between the classes of two chunks of a bucket, each pair in its first common bucket only."""
+def _compare(a: _Chunk, b: _Chunk, key: int, threshold: int, forest: _Forest) -> list[tuple[int, int]]:
+    """Links between labels that the chunks' classes give on whole sets and that the forest lacks.
+
+    Each pair of classes counts in its first common bucket only. Sizes and two-bit minima rule
+    most pairs out; pairs whose labels are in one tree already are left alone.
+    """
     field = np.uint64(0x5555555555555555)
+    band = int(np.flatnonzero(a.bands[0] == key)[0])
+    roots = [np.array([forest.root(x) for x in side.labels.tolist()], np.int64) for side in (a, b)]
+    open_ = roots[0][:, None] != roots[1][None, :]
+    small, large = np.minimum(a.sizes[:, None], b.sizes[None, :]), np.maximum(a.sizes[:, None], b.sizes[None, :])
+    open_ &= small * 100 >= large * threshold
+    for i in range(band):
+        open_ &= a.bands[:, None, i] != b.bands[None, :, i]
+    apart = np.zeros(open_.shape, np.int64)
+    for i in range(a.bits.shape[1]):
+        x = a.bits[:, None, i] ^ b.bits[None, :, i]
+        apart += np.bitwise_count((x | (x >> np.uint64(1))) & field)
+    open_ &= apart <= BANDS * ROWS - _least_agreeing(threshold)
+    if not open_.any():
+        return []
+    rows, cols = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+    common = _common(a, b, rows, cols)
+    total = a.sizes[rows][:, None] + b.sizes[cols][None, :]
+    at = np.nonzero(open_[np.ix_(rows, cols)] & (100 * common >= threshold * (total - common)))
+    linked = np.unique(np.stack([a.labels[rows[at[0]]], b.labels[cols[at[1]]]], axis=1), axis=0)
+    return [(max(u, v), min(u, v)) for u, v in linked.tolist() if forest.join(u, v)]
+
+
+_SETTLED = "u long, v long, key long, file string, begin long, size long, outside long"
+
+
+def _settle(batches: Iterator[pa.RecordBatch], threshold: int, folder: str, chunk_sets: int) -> Iterator[pa.RecordBatch]:
+    """A bucket that fits in a chunk is compared at once; of others, chunks go to a file and a row names each.
+
+    Files are named anew by each attempt; only those that the written table of rows names count.
+    """
+    names = [x.split()[0] for x in _SETTLED.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    files, root = fs.FileSystem.from_uri(folder)
+    forest, name, out, begin = _Forest(), uuid.uuid4().hex, None, 0
+    at, first, held, weight, rows = None, True, [], 0, []
+
+    def put():
+        nonlocal out, begin, first, held, weight
+        data = _Chunk.of(held).dump()
+        out = out or files.open_output_stream(f"{root}/{name}")
+        out.write(data)
+        rows.append((None, None, at[0], name, begin, len(data), sum(r[1] for r in held)))
+        begin, first, held, weight = begin + len(data), False, [], 0
+
+    def end():
+        nonlocal first, held, weight
+        if held and first and at[2] == 1:
+            chunk = _Chunk.of(held)
+            rows.extend((*x, None, None, None, None, None) for x in _compare(chunk, chunk, at[0], threshold, forest))
+        elif held:
+            put()
+        first, held, weight = True, [], 0
+
+    def batch_of():
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)], names=names)
+
+    for batch in batches:
+        columns = [batch[c].to_pylist() for c in ("key", "salt", "salts", "label", "outside", "hashes", "bits", "bands")]
+        for key, salt, salts, *row in zip(*columns, strict=True):
+            if at != (key, salt, salts):
+                end()
+                at = (key, salt, salts)
+            elif len(held) >= chunk_sets or weight >= CHUNK_HASHES:
+                put()
+            held.append(tuple(row))
+            weight += len(row[2]) // 8
+        yield batch_of()
+        rows.clear()
+    end()
+    if out:
+        out.close()
+    yield batch_of()
+
+
+def _across(batches: Iterator[pa.RecordBatch], threshold: int, folder: str) -> Iterator[pa.RecordBatch]:
+    """Links between the chunks of large buckets; rows name two chunks."""
+    files, root = fs.FileSystem.from_uri(folder)
+    forest, last, left = _Forest(), None, None
+
+    def load(file: str, begin: int, size: int) -> _Chunk:
+        with files.open_input_file(f"{root}/{file}") as source:
+            return _Chunk.load(source.read_at(size, begin))
+
     for batch in batches:
-        us, vs = [], []
-        for k in range(batch.num_rows):
-            a, b, key = _Side(batch, k, "a"), _Side(batch, k, "b"), batch["key"][k].as_py()
-            band = int(np.flatnonzero(a.bands[0] == key)[0])
-            open_ = a.labels[:, None] != b.labels[None, :]
-            small, large = np.minimum(a.sizes[:, None], b.sizes[None, :]), np.maximum(a.sizes[:, None], b.sizes[None, :])
-            open_ &= small * 100 >= large * threshold
-            for i in range(band):
-                open_ &= a.bands[:, None, i] != b.bands[None, :, i]
-            apart = np.zeros(open_.shape, np.int64)
-            for i in range(a.bits.shape[1]):
-                x = a.bits[:, None, i] ^ b.bits[None, :, i]
-                apart += np.bitwise_count((x | (x >> np.uint64(1))) & field)
-            open_ &= apart <= BANDS * ROWS - _least_agreeing(threshold)
-            if not open_.any():
-                continue
-            rows, cols = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
-            common = _common(a, b, rows, cols)
-            total = a.sizes[rows][:, None] + b.sizes[cols][None, :]
-            # Halves count a common value once: at most what the set with fewer losses lost is missing.
-            common += np.minimum(a.lost[rows][:, None], b.lost[cols][None, :])
-            linked = open_[np.ix_(rows, cols)] & (100 * common >= threshold * (total - common))
-            at = np.nonzero(linked)
-            us += a.reps[rows[at[0]]].tolist()
-            vs += b.reps[cols[at[1]]].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+        found = []
+        for row in batch.to_pylist():
+            if (place := (row["a_file"], row["a_begin"], row["a_size"])) != last:
+                last, left = place, load(*place)
+            right = (row["b_file"], row["b_begin"], row["b_size"])
+            found += _compare(left, left if right == last else load(*right), row["key"], threshold, forest)
+        yield _links(found)
 
 
 def _mixed(named: DataFrame) -> DataFrame:
@@ -278,13 +377,35 @@ def _reused(signed: DataFrame, classes: DataFrame, work: str) -> tuple[DataFrame
     return reused, written(held.join(least, "doc_id").select(F.col("rep").alias("u"), "v").where("u <> v").distinct(), f"{work}/same")
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+def _unsettled(mixed: DataFrame, texts: DataFrame, classes: DataFrame, width: int, threshold: int, chunk_sets: int, work: str) -> DataFrame:
+    """Links (u, v) between labels that stars didn't find: the buckets that hold several, compared on whole sets."""
+    folder = f"{work}/sets"
+    make_folder(mixed.sparkSession, folder)
+    own = texts.join(mixed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = map_batches(own, lambda b: _sets(b, width), _SETS).join(classes.select("digest", "bits", "bands"), "digest")
+    # A doc_id with several texts has sets of other classes too: a bucket takes those that have its key.
+    rows = mixed.join(sets, "rep").where(F.array_contains("bands", F.col("key"))).withColumn("outside", (F.col("label") != F.col("main")).cast("int"))
+    # A bucket's share of a task is bounded: large buckets are dealt over several.
+    rows = rows.withColumn("salts", F.ceil(F.col("size") / (2.0 * chunk_sets))).withColumn("salt", F.pmod(F.xxhash64("rep"), "salts"))
+    rows = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", F.desc("outside"), "label")
+    rows = rows.select("key", "salt", "salts", "label", "outside", "hashes", "bits", "bands")
+    settled = written(map_batches(rows, lambda b: _settle(b, threshold, folder, chunk_sets), _SETTLED), f"{work}/settled")
+    chunks = settled.where("file IS NOT NULL")
+    a, b = (chunks.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("file", "begin", "size", "outside")]) for side in "ab")
+    # Rows name chunks only; their sets are read where two chunks meet.
+    pairs = a.join(b, "key").where("(a_file < b_file OR a_file = b_file AND a_begin <= b_begin) AND a_outside + b_outside > 0")
+    pairs = pairs.repartition("a_file", "a_begin").sortWithinPartitions("a_file", "a_begin")
+    across = map_batches(pairs, lambda x: _across(x, threshold, folder), "u long, v long")
+    return settled.where("u IS NOT NULL").select("u", "v").unionByName(across)
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD, chunk_sets: int = CHUNK_SETS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text)."""
     spark: SparkSession = docs.sparkSession
     prepare(spark)
     work = workspace(spark, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(docs.mapInArrow(lambda b: _sign(b, width), _SIGNATURE), f"{work}/signatures")
+    signed = written(map_batches(docs, lambda b: _sign(b, width), _SIGNATURE), f"{work}/signatures")
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")
     )
@@ -312,21 +433,14 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: int = THRE
     named = members.join(labels, members["rep"] == labels["node"], "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = written(_mixed(named), f"{work}/mixed")
     if not mixed.isEmpty():
-        unsettled = texts.join(mixed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        sets = unsettled.mapInArrow(lambda b: _sets(b, width), _SETS).join(classes.select("digest", "bits", "bands"), "digest")
-        # A doc_id with several texts has sets of other classes too: a bucket takes those that have its key.
-        rows = mixed.join(sets, "rep").where(F.array_contains("bands", F.col("key"))).withColumn("outside", (F.col("label") != F.col("main")).cast("int"))
-        # A bucket's share of a task is bounded: large buckets are dealt over several.
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / (8.0 * CHUNK_SETS))))
-        rows = rows.repartition("key", "salt").sortWithinPartitions("key", F.desc("outside"), "label")
-        packed = written(rows.select("key", "rep", "label", "outside", "hashes", "bits", "bands", "lost").mapInArrow(_chunks, _CHUNK), f"{work}/chunks")
-        sides = [packed.select("key", *[F.col(c).alias(f"{side}_{c}") for c in packed.columns if c != "key"]) for side in "ab"]
-        pairs = sides[0].join(sides[1], "key").where("a_chunk <= b_chunk AND a_outside + b_outside > 0")
-        likely = pairs.mapInArrow(lambda b: _compare(b, threshold), "u long, v long")
-        likely = likely.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        more = _confirmed(written(likely, f"{work}/likely"), texts, width, threshold, f"{work}/second")
-        links = links.unionByName(more)
-        labels = written(components(links, f"{work}/second-components"), f"{work}/second-labels")
+        more = written(_unsettled(mixed, texts, classes, width, threshold, chunk_sets, work), f"{work}/second")
+        joined = components(more, f"{work}/second-components")
+        # More links join labels: a node takes what its label, or the node itself if it had none, reaches.
+        moved = labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        alone = joined.join(labels.select("node"), "node", "left_anti")
+        labels = written(moved.unionByName(alone), f"{work}/second-labels")
+    for name in ("texts", "members", "stars", "mixed", "sets", "settled", "first-components", "second-components"):
+        remove(spark, f"{work}/{name}")
     named = classes.select("digest", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("label", "rep").alias("label"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     if same is not None:  # a row without a set goes where the others of its doc_id go

@@ -30,12 +30,12 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.common import prepare
+from quarry.llm.common import map_batches, prepare
 
 BLANK = "▁"
-REMEMBERED = 600_000
+REMEMBERED = 450_000
 LONGEST = 64
-PAIRS = 2_000_000
+PAIRS = 1_000_000
 _STRETCH = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -188,8 +188,8 @@ def encode_pieces(docs: DataFrame, model: str, keep: list[str] | None = None, wi
     keep = keep or ["doc_id"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     wanted = dict.fromkeys([*keep, "text"])
-    return docs.select(*wanted).mapInArrow(
-        lambda b: _encode(b, model, keep, with_ids), f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return map_batches(
+        docs.select(*wanted), lambda b: _encode(b, model, keep, with_ids), f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     )
 
 

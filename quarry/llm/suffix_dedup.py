@@ -41,7 +41,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import longs, make_folder, maybe, prepare, workspace, written
+from quarry.llm.common import longs, make_folder, map_batches, maybe, prepare, workspace, written
 from quarry.llm.exchange import BUCKET_HASHES, exchange, marked, send_all
 
 LENGTH = 200
@@ -250,7 +250,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, order: int = COVER_ORD
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     folder = f"{work}/texts"
     make_folder(spark, folder)
-    blocks = written(docs.mapInArrow(lambda b: _pack(b, block_bytes, folder), _BLOCK), f"{work}/blocks")
+    blocks = written(map_batches(docs, lambda b: _pack(b, block_bytes, folder), _BLOCK), f"{work}/blocks")
     total, count = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count(F.lit(1))).first()
     samples = int(total * (order + 1) / (order * order + order + 1))
     plan = _Plan(length, order, samples, bucket_hashes, folder)
@@ -263,7 +263,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, order: int = COVER_ORD
     repeated = written(exchange(send_all(near, plan.send_strings, plan.buckets)), f"{work}/repeated")
     both = known.join(repeated.withColumnRenamed("marks", "repeated"), "block", "left").repartition(tasks, "block")
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return both.select("block", "sizes", "doc_ids", "known", "ranked", "repeated").mapInArrow(lambda b: _removed(b, plan, with_text), fields)
+    return map_batches(both.select("block", "sizes", "doc_ids", "known", "ranked", "repeated"), lambda b: _removed(b, plan, with_text), fields)
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

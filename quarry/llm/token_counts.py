@@ -28,7 +28,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.common import prepare
+from quarry.llm.common import map_batches, prepare
 
 BLANK = "▁"
 NODES = 1_500_000
@@ -119,7 +119,7 @@ def count_tokens(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, n_pretokens and log_likelihood of each whole text."""
     prepare(docs.sparkSession)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(lambda b: _count(b, model), "doc_id long, n_tokens long, n_pretokens long, log_likelihood double")
+    return map_batches(docs, lambda b: _count(b, model), "doc_id long, n_tokens long, n_pretokens long, log_likelihood double")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import prepare, workspace, written
+from quarry.llm.common import map_batches, prepare, workspace, written
 
 FIT_ROWS = 20_000
 THRESHOLD = 0.3
@@ -257,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Grammar
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic").distinct()
     rows = written(rows, f"{workspace(docs.sparkSession, 'toxicity')}/sample")  # documents are read once for it
-    counted = rows.mapInArrow(_count, "entry string, p long, n long").groupBy("entry").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    counted = map_batches(rows, _count, "entry string, p long, n long").groupBy("entry").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     positive, negative = totals.get(1, 0), totals.get(0, 0)
     if not positive or not negative:
@@ -267,10 +267,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Grammar
     # Entries of a bounded sample: those with two positive rows are bounded too.
     strong = counted.where("p >= 2").withColumn("odds", odds).where(F.col("odds") - Z * error > LOWER_BOUND)
     table = sc.broadcast({r["entry"]: r["odds"] for r in strong.select("entry", "odds").collect()})
-    present = [r["entries"] for r in rows.where("toxic = 1").mapInArrow(lambda b: _present(b, table), "entries array<string>").collect()]
+    present = [r["entries"] for r in map_batches(rows.where("toxic = 1"), lambda b: _present(b, table), "entries array<string>").collect()]
     lexicon = choose(present, table.value)
     plain = sc.broadcast(Grammar(lexicon))
-    points = rows.mapInArrow(lambda b: _features(b, plain), "a double, b double, c double, toxic int").toPandas()
+    points = map_batches(rows, lambda b: _features(b, plain), "a double, b double, c double, toxic int").toPandas()
     return Grammar(lexicon, _curve(points[["a", "b", "c"]].to_numpy(float), points["toxic"].to_numpy(float)))
 
 
@@ -287,7 +287,7 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, keep: list[str] | None = N
     keep = keep or ["doc_id"]
     shared = spark.sparkContext.broadcast(grammar)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lambda b: _score(b, shared, keep), f"{fields}, score double")
+    return map_batches(docs.select(*dict.fromkeys([*keep, "text"])), lambda b: _score(b, shared, keep), f"{fields}, score double")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import make_folder, prepare, workspace, written
+from quarry.llm.common import make_folder, map_batches, prepare, workspace, written
 
 CHUNK_BYTES = 64 << 10
 ARCHIVE_BYTES = 128 << 20
@@ -252,7 +252,7 @@ def write_warc(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYT
     spark: SparkSession = records.sparkSession
     prepare(spark)
     make_folder(spark, f"{folder}/archives")
-    made = records.mapInArrow(lambda b: _write(b, f"{folder}/archives", archive_bytes, chunk_bytes), "path string, records long, bytes long")
+    made = map_batches(records, lambda b: _write(b, f"{folder}/archives", archive_bytes, chunk_bytes), "path string, records long, bytes long")
     return written(made, f"{folder}/manifest")
 
 
@@ -260,7 +260,7 @@ def read_warc(manifest: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES,
     """Chunk rows of the manifest's archives; without data only each record's last chunk, digest included."""
     # One archive a task where there are that many: archives are the unit of reading.
     tasks = max(1, min(manifest.count(), 100_000))
-    return manifest.repartition(tasks, "path").mapInArrow(lambda b: _read(b, f"{folder}/archives", chunk_bytes, with_data), CHUNKS)
+    return map_batches(manifest.repartition(tasks, "path"), lambda b: _read(b, f"{folder}/archives", chunk_bytes, with_data), CHUNKS)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -299,43 +299,64 @@ def test_minhash_reused_ids_in_mixed_buckets(spark):
 
 
 @pytest.mark.parametrize("lost", [0, 8])
-def test_chunks_allow_for_lost_shingles(monkeypatch, lost):
-    """Halves of hashes that fall together don't hide a pair at the threshold."""
-    import pyarrow as pa
-
+def test_chunks_count_whole_hashes(lost):
+    """Hashes that agree in their low halves neither hide nor make a pair at the threshold."""
     from quarry.llm import minhash as m
 
     both, own = np.arange(1, 81, dtype=np.uint64), np.arange(1000, 1020, dtype=np.uint64)
     both[80 - lost :] = both[:lost] + (np.uint64(1) << np.uint64(32))  # equal to the first ones in their low half
-    made = {"a": both, "b": np.union1d(both, own), "c": np.union1d(both[:79], own)}  # 80 of 100 with a, 79 of 100
-    monkeypatch.setattr(m, "shingles", lambda text, known, width: np.sort(made[text]))
-    sets = next(m._sets(iter([pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["a", "b", "c"]})]), 2))
-    rows = [x | {"key": 9, "label": x["rep"], "outside": 1, "bits": [0] * 4, "bands": [9, *range(100 + x["rep"], 131 + x["rep"])]} for x in sets.to_pylist()]
-    chunk = next(m._chunks(iter([pa.RecordBatch.from_pylist(rows)]))).to_pylist()[0]
-    pair = {"key": 9} | {f"{side}_{k}": v for side in "ab" for k, v in chunk.items() if k != "key"}
-    likely = next(m._compare(iter([pa.RecordBatch.from_pylist([pair])]), 80)).to_pylist()
-    assert {tuple(sorted(x.values())) for x in likely} == {(1, 2), (2, 3)}
-
-
-def test_chunks_compare_all(spark):
-    """The second step alone: many chunks to a bucket."""
-    from quarry.llm import minhash as m
+    both.sort()
+    made = {1: both, 2: np.union1d(both, own), 3: np.union1d(both[:79], own)}  # 80 of 100 with the first, 79 of 100
+    rows = [(k, 1, np.sort(x).tobytes(), [0] * 4, [9, *range(100 + 40 * k, 131 + 40 * k)]) for k, x in made.items()]
+    chunk = m._Chunk.of(rows)
+    again = m._Chunk.load(chunk.dump())
+    assert sorted(m._compare(chunk, again, 9, 80, m._Forest())) == [(2, 1), (3, 2)]
+    joined = m._Forest()
+    joined.join(1, 2)
+    assert m._compare(chunk, chunk, 9, 80, joined) == [(3, 2)]
+
+
+def edited(rng, n, most, width=400):
+    base = words(rng, width).split()
+    for k in range(n):
+        own = list(base)
+        for _ in range(rng.randrange(1, most)):
+            own[rng.randrange(width)] = f"e{rng.randrange(10**6)}"
+        yield 1000 + k, " ".join(own)
+
+
+@pytest.mark.parametrize("chunk_sets", [7, 256])
+def test_chunks_compare_all(spark, chunk_sets):
+    """The second step: many chunks to a bucket, in files."""
+    from quarry.llm.minhash import near_duplicates
 
-    old = m.CHUNK_SETS
-    try:
-        m.CHUNK_SETS = 7
-        test_minhash(spark, [(1, "a b c")], 2)
-    finally:
-        m.CHUNK_SETS = old
+    rows = list(edited(random.Random(16), 120, 34, 150))
+    expected = brute_components(rows, 2)
+    assert len(set(expected.values())) > 5
+    assert {r.doc_id: r.component_id for r in near_duplicates(table(spark, rows), width=2, chunk_sets=chunk_sets).collect()} == expected
 
 
-def test_components_of_a_path(spark, tmp_path):
-    from quarry.llm.components import components
+def test_rows_grow_with_a_group_not_with_its_pairs(spark, monkeypatch):
+    """Twice as many edited copies write at most about twice as many rows anywhere."""
+    from quarry.llm import minhash as m
 
-    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
-    found = dict(components(table(spark, edges, "u long, v long"), f"file://{tmp_path}").collect())
-    assert found == {i: 0 for i in range(41)} | {100: 100, 101: 100}
-    assert components(table(spark, [], "u long, v long"), f"file://{tmp_path}/none").count() == 0
+    rows = {}
+
+    def counted(df, path, *by):
+        out = plain(df, path, *by)
+        rows[path.rsplit("/", 1)[-1]] = out.count()
+        return out
+
+    plain = m.written
+    monkeypatch.setattr(m, "written", counted)
+    seen = []
+    for n in (150, 300):
+        docs = list(edited(random.Random(17), n, 12))
+        found = {r.doc_id: r.component_id for r in m.near_duplicates(table(spark, docs), width=5).collect()}
+        assert found == brute_components(docs, 5)
+        seen.append(dict(rows))
+        assert rows["first"] < n and rows.get("second", 0) < n
+    assert all(seen[1][k] <= 2.6 * seen[0][k] + 50 for k in seen[0])
 
 
 # 8 Repeats
