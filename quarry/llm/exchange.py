@@ -1,9 +1,10 @@
-"""Which hashes occur in more than one place, without moving where they are.
+"""Which keys occur in more than one place, and where first, without moving where they are.
 
-Blocks of rows hold hashes. Each block sends every bucket (a range of hashes) one packed row of
-its distinct hashes, sorted; a bucket is sorted on its own and answers each block with one
-packed row of marks. The block recomputes its hashes and reads the marks off. Memory is bounded
-by a block and by a bucket, and a hash that a third of the corpus holds counts once per block.
+Blocks of rows hold 64-bit keys. Each block sends every bucket (a range of keys) one packed row of
+its distinct keys, sorted; a bucket is sorted on its own and answers each block with one packed
+row of marks, and, if asked, with the first block that holds each marked key. The block computes
+its keys again and reads the answer off. Memory is bounded by a block and by a bucket, and a key
+that a third of the corpus holds counts once per block.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKET_HASHES = 1 << 20
+from quarry.llm.common import map_batches
+
+BUCKET_KEYS = 1 << 20
 
 
 def pack(distinct: np.ndarray) -> bytes:
-    """Sorted hashes as differences, one plane of bytes after another: upper planes are zero and compress away."""
+    """Sorted keys as differences, one plane of bytes after another: upper planes are zero and compress away."""
     gaps = np.diff(distinct, prepend=np.uint64(0))
     return gaps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
@@ -29,9 +32,9 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
 
 
-def packed_hashes(block: str, hashes: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """(bucket, block, distinct hashes packed, whether each occurs twice in the block)."""
-    distinct, counts = np.unique(hashes, return_counts=True)
+def packed_keys(block: str, keys: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """(bucket, block, distinct keys packed, whether each occurs twice in the block)."""
+    distinct, counts = np.unique(keys, return_counts=True)
     edges = np.append(np.searchsorted(distinct, bounds(buckets)), len(distinct))
     for bucket in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
         a, b = edges[bucket], edges[bucket + 1]
@@ -39,12 +42,17 @@ def packed_hashes(block: str, hashes: np.ndarray, buckets: int) -> Iterator[tupl
 
 
 def bounds(buckets: int) -> np.ndarray:
-    """Lower ends of equal ranges of hashes: a bucket is a run of the sorted order."""
+    """Lower ends of equal ranges of keys: a bucket is a run of the sorted order."""
     return np.arange(buckets, dtype=np.uint64) * np.uint64((1 << 64) // buckets if buckets > 1 else 0)
 
 
-_HASHES = "bucket long, block string, hashes binary, twice binary"
-_MARKS = "block string, bucket long, marks binary"
+def _width(n: int) -> str:
+    """The smallest unsigned type that numbers n things."""
+    return "<u1" if n <= 1 << 8 else "<u2" if n <= 1 << 16 else "<u4"
+
+
+_KEYS = "bucket long, block string, keys binary, twice binary"
+_MARKS = "block string, bucket long, marks binary, n_marked long, names array<string>, owners binary"
 
 
 def _rows(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
@@ -53,49 +61,72 @@ def _rows(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
 
 
 def send(batches: Iterator[pa.RecordBatch], make, buckets: int) -> Iterator[pa.RecordBatch]:
-    kinds, names = [pa.int64(), pa.string(), pa.binary(), pa.binary()], ["bucket", "block", "hashes", "twice"]
+    kinds, names = [pa.int64(), pa.string(), pa.binary(), pa.binary()], ["bucket", "block", "keys", "twice"]
     for batch in batches:
-        for name, hashes in make(batch):
-            rows = list(packed_hashes(name, hashes, buckets))
+        for name, keys in make(batch):
+            rows = list(packed_keys(name, keys, buckets))
             if rows:
                 yield _rows(rows, kinds, names)
 
 
-def sort_bucket(table: pa.Table) -> pa.Table:
-    """One bucket: which hashes of each block occur anywhere else, or twice in it."""
-    parts = [unpack(x) for x in table["hashes"].to_pylist()]
+def sort_bucket(table: pa.Table, owned: bool) -> pa.Table:
+    """One bucket: which keys of each block occur anywhere else, or twice in it, and the first block that has them."""
+    table = table.sort_by("block")
+    blocks = table["block"].to_pylist()
+    parts = [unpack(x) for x in table["keys"].to_pylist()]
     twice = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)).astype(bool) for x, p in zip(table["twice"].to_pylist(), parts, strict=True)]
-    ordered = np.sort(np.concatenate(parts), kind="stable")
-    repeated = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    marks = []
-    for part, own in zip(parts, twice, strict=True):
-        at = np.searchsorted(repeated, part)
-        hit = np.zeros(len(part), bool)
-        ok = at < len(repeated)
-        hit[ok] = repeated[at[ok]] == part[ok]
-        marks.append(np.packbits(hit | own).tobytes() if (hit | own).any() else None)
-    return pa.table({"block": table["block"], "bucket": table["bucket"], "marks": pa.array(marks, pa.binary())})
-
-
-def exchange(sent: DataFrame) -> DataFrame:
-    """Marks of all blocks, gathered by block."""
-    marks = sent.groupBy("bucket").applyInArrow(sort_bucket, _MARKS).where("marks IS NOT NULL")
-    return marks.groupBy("block").agg(F.collect_list(F.struct("bucket", "marks")).alias("marks"))
-
-
-def marked(hashes: np.ndarray, marks: list | None, buckets: int) -> np.ndarray:
-    """Mask over hashes: those that the buckets marked."""
-    if not marks or not len(hashes):
-        return np.zeros(len(hashes), bool)
-    distinct, inverse = np.unique(hashes, return_inverse=True)
+    flat = np.concatenate(parts)
+    order = np.argsort(flat)
+    ordered = flat[order]
+    first = np.r_[True, ordered[1:] != ordered[:-1]]
+    group = np.cumsum(first) - 1
+    shared = np.bincount(group)[group] > 1
+    whose = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    hit = np.empty(len(flat), bool)
+    hit[order] = shared
+    owner = np.empty(len(flat), np.int64)
+    owner[order] = np.minimum.reduceat(whose[order], np.flatnonzero(first))[group]
+    out, at = [], 0
+    for name, part, own in zip(blocks, parts, twice, strict=True):
+        marks = hit[at : at + len(part)] | own
+        if marks.any():
+            held, index = np.unique(owner[at : at + len(part)][marks], return_inverse=True)
+            who = ([blocks[k] for k in held], index.astype(_width(len(held))).tobytes()) if owned else (None, None)
+            out.append((name, table["bucket"][0].as_py(), np.packbits(marks).tobytes(), int(marks.sum()), *who))
+        at += len(part)
+    kinds = [pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.string()), pa.binary()]
+    return pa.Table.from_batches([_rows(out, kinds, [x.split()[0] for x in _MARKS.split(", ")])])
+
+
+def exchange(sent: DataFrame, owned: bool = False) -> DataFrame:
+    """(block, marks, n_marked): the answers of all buckets, gathered by block."""
+    marks = sent.groupBy("bucket").applyInArrow(lambda t: sort_bucket(t, owned), _MARKS)
+    return marks.groupBy("block").agg(F.collect_list(F.struct("bucket", "marks", "names", "owners")).alias("marks"), F.sum("n_marked").alias("n_marked"))
+
+
+def marked(keys: np.ndarray, marks: list | None, buckets: int, block: str = "") -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(mask of the marked keys, for each key an index of its first block, names of those blocks)."""
+    names: dict[str, int] = {block: 0}
+    if not marks or not len(keys):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), [block]
+    order = np.argsort(keys)
+    ordered = keys[order]
+    first = np.r_[True, ordered[1:] != ordered[:-1]]
+    distinct, group = ordered[first], np.cumsum(first) - 1
     edges = np.append(np.searchsorted(distinct, bounds(buckets)), len(distinct))
-    hit = np.zeros(len(distinct), bool)
+    hit, owner = np.zeros(len(distinct), bool), np.zeros(len(distinct), np.int64)
     for x in marks:
         a, b = edges[x["bucket"]], edges[x["bucket"] + 1]
-        hit[a:b] = np.unpackbits(np.frombuffer(x["marks"], np.uint8), count=b - a).astype(bool)
-    return hit[inverse]
+        own = np.unpackbits(np.frombuffer(x["marks"], np.uint8), count=b - a).astype(bool)
+        hit[a:b] = own
+        if x["names"]:
+            index = np.array([names.setdefault(n, len(names)) for n in x["names"]])
+            owner[a:b][own] = index[np.frombuffer(x["owners"], _width(len(x["names"])))]
+    out, whose = np.empty(len(keys), bool), np.empty(len(keys), np.int64)
+    out[order], whose[order] = hit[group], owner[group]
+    return out, whose, list(names)
 
 
 def send_all(rows: DataFrame, make, buckets: int) -> DataFrame:
-    """Packed hashes of all blocks, by bucket; make(batch) yields (block, hashes)."""
-    return rows.mapInArrow(lambda b: send(b, make, buckets), _HASHES).repartition(max(1, min(buckets, 100_000)), "bucket")
+    """Packed keys of all blocks, by bucket; make(batch) yields (block, keys)."""
+    return map_batches(rows, lambda b: send(b, make, buckets), _KEYS).repartition(max(1, min(buckets, 100_000)), "bucket")

@@ -1,27 +1,32 @@
-"""Removal of bytes that repeat in the corpus, by cover samples and one bucket at a time.
+"""Removal of bytes that repeat in the corpus, by cover samples and one bucket of suffixes at a time.
 
 A string of ``length`` bytes repeats if it also starts anywhere else. Positions belong to a
 difference cover D modulo v: for any two positions i and j there is a shift d < v with both
 i + d and j + d in the cover. Two equal strings of ``length`` bytes therefore share a *cover
-sample*: equal strings of length - v + 1 bytes that start at cover positions. So:
-
-1. Every cover sample is marked or not: samples go by the top of their hash into buckets, one
-   bucket of hashes at a time is sorted, and a sample that is alone in the corpus gets no mark.
-2. A position can repeat only if a marked sample starts within the v bytes from it on. Those
-   positions, and no others, take part in the long comparison: the hashes of their full strings
-   (``length`` bytes) go into buckets too, and each bucket is sorted on its own.
-3. Positions whose string occurs twice cover ``length`` bytes each; covered bytes go.
-
-No suffix is ordered and no cover sample has a rank: buckets are ranges of hash values, not of
-suffixes, and ties are not resolved by ranks of cover samples. Marked samples are a prefilter and
-equal 64-bit polynomial hashes stand for equal strings, since the removal asks only whether a
-string of ``length`` bytes occurs twice, never in what order suffixes come. Two different strings
-with the same hash would be taken for equal; nothing compares the bytes afterwards.
-
-Memory is bounded by a block of documents and by a bucket, whose numbers grow with the input.
-Texts are written once, a file per block in the shared folder, and never shuffled. Blocks send a
-bucket one packed row of distinct hashes, sorted, and get one packed row of marks back;
-positions never move. A line that a third of the corpus holds is one hash per block.
+sample*: equal strings of length - v + 1 bytes that start at cover positions.
+
+1. Cover samples go by the top of their keys into buckets, one bucket at a time is sorted, and a
+   sample that is alone in the corpus gets no mark. Keys are hashes: a key that occurs once
+   proves that its string does.
+2. A suffix can repeat to ``length`` bytes only if a marked sample starts within its first v. These
+   suffixes, and no others, go by the keys of their first ``length`` bytes into buckets too, each
+   bucket is sorted on its own, and ties name the first block of texts that holds them.
+3. Ties are settled on bytes. Suffixes of one block are compared there, along whole runs. Runs
+   of what is left travel as bytes to the block that their tie names and are compared with it.
+   Suffixes that equal nothing there, though their keys do, are grouped by their bytes. So no hash
+   decides a removal: hashes only rule out.
+4. Positions whose string occurs twice cover ``length`` bytes each; covered bytes go.
+
+What is left out of the method's usual form: buckets are ranges of keys and not of suffixes in
+the alphabet's order, and samples carry marks and not ranks. A rank of a sample decides the order
+of suffixes beyond ``length`` bytes, but the question here ends there: whether two suffixes agree
+to exactly ``length`` bytes, which bytes settle and ranks of longer strings don't.
+
+Memory is bounded by a block of documents and by a bucket; the numbers of both grow with what is
+sent. Texts are written once, a file per block in the shared folder. Blocks send a bucket one
+packed row of distinct keys and get one packed row back; positions never move. Bytes move once
+for each block that holds them and isn't the first to, and a block that many others name is read
+by several tasks, each with a bounded share of them.
 
 Defined results: null text is empty; matches never cross documents; repeated rows repeat each
 other, so texts of at least ``length`` bytes vanish; a null doc_id keeps its row; an empty table
@@ -41,15 +46,20 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import longs, make_folder, map_batches, maybe, prepare, workspace, written
-from quarry.llm.exchange import BUCKET_HASHES, exchange, marked, send_all
+from quarry.llm.common import longs, make_folder, map_batches, maybe, prepare, remove, workspace, written
+from quarry.llm.exchange import BUCKET_KEYS, exchange, marked, send_all
 
 LENGTH = 200
 #: v of the difference cover and its size (a perfect difference set of q + 1 residues, v = q * q + q + 1).
 COVER_ORDER = 11
 BLOCK_BYTES = 4 << 20
-#: Bits of a sample's hash beyond those that number the samples: one in 2 ** 18 is marked in vain, and the long comparison ends it.
-SPARE_BITS = 18
+#: Bits of a sample's and of a string's key beyond those that number what is sent: one in 2 ** 18 and one in 2 ** 14
+#: are marked in vain, and bytes end it.
+SPARE_BITS, STRING_BITS = 18, 14
+#: Bytes of runs that one task compares with the block they name.
+CLAIM_BYTES = 32 << 20
+#: Positions in a row of runs.
+PIECE = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BYTES = np.random.default_rng(20240602).integers(0, 2**64, 256, dtype=np.uint64)
@@ -82,7 +92,8 @@ def difference_cover(q: int) -> np.ndarray:
 class Hasher:
     """Hashes of all strings of a length at once: differences of a running polynomial sum."""
 
-    def __init__(self, most: int):
+    def __init__(self, most: int, bits: int = 64):
+        self.dropped = np.uint64(64 - bits)
         self.grow(most)
 
     def grow(self, most: int) -> None:
@@ -102,7 +113,11 @@ class Hasher:
         x = (sums[begins + length] - sums[begins]) * self.inverses[begins]
         x = (x ^ (x >> np.uint64(30))) * _M1
         x = (x ^ (x >> np.uint64(27))) * _M2
-        return x ^ (x >> np.uint64(31))
+        return (x ^ (x >> np.uint64(31))) >> self.dropped << self.dropped
+
+    def windows(self, data: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of all strings of the length, in order of where they begin."""
+        return self.at(self.sums(data), np.arange(max(0, len(data) - length + 1)), length)
 
 
 _BLOCK = "block string, doc_ids binary, known binary, sizes binary, n_bytes long"
@@ -164,36 +179,120 @@ class Block:
         begins = np.concatenate(out) if out else np.empty(0, np.int64)
         return begins, self.hasher.at(self.sums, begins, short)
 
-    def candidates(self, ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(begins, hashes) of full strings with a ranked sample within the first v bytes."""
+    def fits(self) -> np.ndarray:
+        """Mask of the positions whose strings end in the document they start in."""
+        out = np.ones(len(self.data), bool)
+        for start, size in zip(self.starts[:-1].tolist(), self.sizes.tolist(), strict=True):
+            out[max(start, start + size - self.length + 1) : start + size] = False
+        return out
+
+    def candidates(self, marked_samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begins, hashes) of full strings with a marked sample within the first v bytes."""
         n = len(self.data)
         edge = np.zeros(n + 1, np.int32)
-        np.add.at(edge, np.maximum(ranked - self.v + 1, 0), 1)
-        np.add.at(edge, ranked + 1, -1)
-        near = np.cumsum(edge[:n]) > 0
-        # Strings must fit in the document they start in.
-        for start, size in zip(self.starts[:-1].tolist(), self.sizes.tolist(), strict=True):
-            near[max(start, start + size - self.length + 1) : start + size] = False
-        begins = np.flatnonzero(near)
+        np.add.at(edge, np.maximum(marked_samples - self.v + 1, 0), 1)
+        np.add.at(edge, marked_samples + 1, -1)
+        begins = np.flatnonzero((np.cumsum(edge[:n]) > 0) & self.fits())
         return begins, self.hasher.at(self.sums, begins, self.length)
 
 
+def equal(left: np.ndarray, a: np.ndarray, right: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the strings of left at a equal those of right at b, byte by byte along runs of both."""
+    out = np.zeros(len(a), bool)
+    if not len(a):
+        return out
+    breaks = np.flatnonzero((np.diff(a) != 1) | (np.diff(b) != 1)) + 1
+    for x, y in zip(np.r_[0, breaks].tolist(), np.r_[breaks, len(a)].tolist(), strict=True):
+        n = y - x + length - 1
+        wrong = left[a[x] : a[x] + n] != right[b[x] : b[x] + n]
+        if wrong.any():
+            sums = np.r_[0, np.cumsum(wrong)]
+            out[x:y] = sums[length:] == sums[:-length]
+        else:
+            out[x:y] = True
+    return out
+
+
+def classes(data: np.ndarray, begins: np.ndarray, keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the strings at begins: (first of its equals, has an equal), both exact."""
+    # One plain sort: the upper bits of the key, then the place. Ties of the upper bits are ties like others.
+    low = np.uint64((1 << len(begins).bit_length()) - 1)
+    packed = np.sort(keys & ~low | np.arange(len(begins), dtype=np.uint64))
+    order, upper = (packed & low).astype(np.int64), packed & ~low
+    at, same = begins[order], upper[1:] == upper[:-1]
+    tied = np.flatnonzero(same)
+    by_place = tied[np.argsort(at[tied + 1], kind="stable")]
+    linked = np.zeros(len(at), bool)
+    linked[by_place + 1] = equal(data, at[by_place + 1], data, at[by_place], length)
+    wrong = np.zeros(len(at), bool)
+    wrong[tied + 1] = ~linked[tied + 1]
+    group = np.cumsum(np.r_[True, ~same]) - 1 if len(at) else np.empty(0, np.int64)
+    first, twice = ~linked, np.zeros(len(at), bool)
+    twice[1:] = linked[1:]
+    twice[:-1] |= linked[1:]
+    for g in np.unique(group[wrong]).tolist():  # different strings with one key: by their bytes
+        members = np.flatnonzero(group == g)
+        seen: dict[bytes, int] = {}
+        for k in members.tolist():
+            text = data[at[k] : at[k] + length].tobytes()
+            first[k] = text not in seen
+            twice[k] = text in seen
+            twice[seen.setdefault(text, k)] |= twice[k]
+    out = np.zeros((2, len(at)), bool)
+    out[:, order] = first, twice
+    return out[0], out[1]
+
+
+def _spans(mask: np.ndarray) -> bytes:
+    """Maximal runs of a mask as little-endian (begin, end) pairs."""
+    return np.flatnonzero(np.diff(np.r_[0, mask.view(np.int8), 0])).astype("<i8").tobytes()
+
+
+def _mask(spans: bytes | None, n: int) -> np.ndarray:
+    edge = np.zeros(n + 1, np.int32)
+    if spans:
+        pairs = np.frombuffer(spans, "<i8").reshape(-1, 2)
+        np.add.at(edge, pairs[:, 0], 1)
+        np.add.at(edge, pairs[:, 1], -1)
+    return np.cumsum(edge[:n]) > 0
+
+
+_CLAIMS = "block string, sure binary, told binary, mine binary, owner string, begins binary, counts binary, bytes binary"
+_JUDGED = "block string, spans binary, position long, string binary"
+
+
+def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64()}
+    fields = [x.split() for x in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
 class _Plan:
     """What every step needs: the cover, the lengths, the numbers of buckets."""
 
-    def __init__(self, length: int, order: int, samples: int, bucket_hashes: int, folder: str):
-        self.length, self.folder = length, folder
-        self.buckets = max(1, -(-samples // bucket_hashes))
-        self.dropped = np.uint64(max(0, 64 - SPARE_BITS - samples.bit_length()))
+    def __init__(self, length: int, order: int, samples: int, bucket_keys: int, folder: str, bits: int):
+        self.length, self.folder, self.bits, self.bucket_keys = length, folder, bits, bucket_keys
+        self.sample_buckets = self.buckets = max(1, -(-samples // bucket_keys))
+        self.dropped = self.string_dropped = np.uint64(max(0, 64 - SPARE_BITS - samples.bit_length()))
         self.cover, self.v = difference_cover(order), order * order + order + 1
         self.hasher = None
 
-    def block(self, batch: pa.RecordBatch, k: int) -> Block:
-        self.hasher = self.hasher or Hasher(BLOCK_BYTES + (1 << 20))
+    def strings(self, marked_samples: int) -> None:
+        """Numbers the buckets of strings by what marked samples can send: a sample stands for v / (q + 1) positions."""
+        strings = marked_samples * self.v // len(self.cover)
+        self.buckets = max(1, -(-strings // self.bucket_keys))
+        self.string_dropped = np.uint64(max(0, 64 - STRING_BITS - strings.bit_length()))
+
+    def read(self, name: str, sizes: bytes) -> Block:
+        self.hasher = self.hasher or Hasher(BLOCK_BYTES + (1 << 20), self.bits)
         files, root = fs.FileSystem.from_uri(self.folder)
-        with files.open_input_stream(f"{root}/{batch['block'][k].as_py()}") as stream:
+        with files.open_input_stream(f"{root}/{name}") as stream:
             data = zstandard.ZstdDecompressor().decompress(stream.read())
-        return Block(batch["sizes"][k].as_py(), data, self.hasher, self.cover, self.v, self.length)
+        return Block(sizes, data, self.hasher, self.cover, self.v, self.length)
+
+    def block(self, batch: pa.RecordBatch, k: int) -> Block:
+        return self.read(batch["block"][k].as_py(), batch["sizes"][k].as_py())
 
     def _samples(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         begins, hashes = block.samples()
@@ -205,43 +304,164 @@ class _Plan:
 
     def _candidates(self, batch: pa.RecordBatch, k: int):
         block = self.block(batch, k)
-        begins, hashes = self._samples(block)
-        return block, *block.candidates(begins[marked(hashes, batch["ranked"][k].as_py(), self.buckets)])
+        begins, keys = self._samples(block)
+        return block, *block.candidates(begins[marked(keys, batch["ranked"][k].as_py(), self.sample_buckets)[0]])
 
     def send_strings(self, batch: pa.RecordBatch):
         for k, name in enumerate(batch["block"].to_pylist()):
-            yield name, self._candidates(batch, k)[2]
-
-    def cut(self, batch: pa.RecordBatch):
-        for k in range(batch.num_rows):
-            block, begins, hashes = self._candidates(batch, k)
-            begins = begins[marked(hashes, batch["repeated"][k].as_py(), self.buckets)]
-            edge = np.zeros(len(block.data) + 1, np.int32)
-            edge[begins] += 1
-            np.add.at(edge, begins + self.length, -1)
-            yield block, np.cumsum(edge[:-1]) > 0, *(batch[c][k].as_py() for c in ("doc_ids", "known"))
-
+            yield name, self._candidates(batch, k)[2] >> self.string_dropped << self.string_dropped
+
+    def claims(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each block's positions that repeat in it (sure), are sent (told) or wait for others (mine), and the runs it sends."""
+        for batch in batches:
+            for k, name in enumerate(batch["block"].to_pylist()):
+                block, begins, keys = self._candidates(batch, k)
+                hit, owner, names = marked(keys >> self.string_dropped << self.string_dropped, batch["repeated"][k].as_py(), self.buckets, name)
+                begins, keys, owner = begins[hit], keys[hit], owner[hit]
+                first, twice = classes(block.data, begins, keys, self.length)
+                masks = np.zeros((3, len(block.data)), bool)
+                for mask, which in zip(masks, (twice, ~twice & (owner > 0), ~twice & (owner == 0)), strict=True):
+                    mask[begins[which]] = True
+                yield _table([(name, *map(_spans, masks), None, None, None, None)], _CLAIMS)
+                for who in np.unique(owner[first & (owner > 0)]).tolist():
+                    rows = list(self._runs(block.data, begins[first & (owner == who)]))
+                    yield _table([(name, None, None, None, names[who], *row) for row in rows], _CLAIMS)
+
+    def _runs(self, data: np.ndarray, begins: np.ndarray) -> Iterator[tuple]:
+        """(begins, counts, bytes) of runs of positions, PIECE positions or so to a row."""
+        breaks = np.flatnonzero(np.diff(begins) != 1) + 1
+        starts, counts = begins[np.r_[0, breaks]], np.diff(np.r_[0, breaks, len(begins)])
+        pieces = [(a + at, min(n - at, PIECE)) for a, n in zip(starts.tolist(), counts.tolist(), strict=True) for at in range(0, n, PIECE)]
+        held, weight = [], 0
+        for k, (start, n) in enumerate(pieces):
+            held.append((start, n))
+            weight += n + self.length - 1
+            if weight >= PIECE or k == len(pieces) - 1:
+                yield *(np.array(x, "<i8").tobytes() for x in zip(*held, strict=True)), b"".join(data[x : x + m + self.length - 1].tobytes() for x, m in held)
+                held, weight = [], 0
+
+    def judge(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs held against the block they name: spans of that block that they confirm, and strings it doesn't have."""
+        last, block, windows, fits = None, None, None, None
+        held, weight = [], 0
+
+        def settle():
+            nonlocal held, weight
+            out = _table(self._judged(block, windows, fits, held), _JUDGED)
+            held, weight = [], 0
+            return out
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and (row["owner"] != last or weight >= 4 * PIECE):
+                    yield settle()
+                if row["owner"] != last:
+                    last, block = row["owner"], self.read(row["owner"], row["sizes"])
+                    n = max(0, len(block.data) - self.length + 1)
+                    windows = np.concatenate([np.empty(0, np.uint64), *(self.hasher.at(block.sums, np.arange(x, min(x + PIECE, n)), self.length) for x in range(0, n, PIECE))])
+                    fits = block.fits()[:n]
+                held.append(row)
+                weight += len(row["bytes"])
+        if held:
+            yield settle()
+
+    def _judged(self, block: Block, windows: np.ndarray, fits: np.ndarray, rows: list[dict]) -> list[tuple]:
+        """Where a run begins decides where it is compared along; only what that leaves is looked up string by string."""
+        length, sent = self.length, np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
+        starts, counts = (np.concatenate([np.frombuffer(r[c], "<i8") for r in rows]) for c in ("begins", "counts"))
+        whose = np.repeat(np.arange(len(rows)), [len(r["counts"]) // 8 for r in rows])
+        offsets = np.cumsum(counts + length - 1) - (counts + length - 1)
+        ends = block.starts[1:] - length + 1  # beyond the last string of each document
+        confirmed, out, left = np.zeros(len(block.data), bool), [], []
+        sums = self.hasher.sums(sent)
+        low, high, ordered = self._find(windows, fits, self.hasher.at(sums, offsets, length))
+        for k in range(len(counts)):
+            n = 0
+            if low[k] < high[k]:
+                place = int(ordered[low[k]])
+                most = int(min(counts[k], ends[np.searchsorted(block.starts, place, side="right") - 1] - place))
+                if equal(sent, offsets[k] + np.arange(most), block.data, place + np.arange(most), length).all():
+                    n = most
+                    confirmed[place : place + n] = True
+            if n < counts[k]:
+                left.append((k, n))
+        if left:
+            run = np.concatenate([np.full(counts[k] - n, k) for k, n in left])
+            each = np.concatenate([np.arange(n, counts[k]) for k, n in left])
+            here = offsets[run] + each
+            low, high, ordered = self._find(windows, fits, self.hasher.at(sums, here, length))
+            found = low < high
+            place = np.full(len(here), -1, np.int64)
+            place[found] = ordered[low[found]]
+            ok = np.zeros(len(here), bool)
+            ok[found] = equal(sent, here[found], block.data, place[found], length)
+            for k in np.flatnonzero(~ok).tolist():  # different strings with one key
+                text = sent[here[k] : here[k] + length]
+                match = next((p for p in ordered[low[k] : high[k]].tolist() if np.array_equal(block.data[p : p + length], text)), None)
+                if match is None:
+                    out.append((rows[whose[run[k]]]["block"], None, int(starts[run[k]] + each[k]), text.tobytes()))
+                else:
+                    ok[k], place[k] = True, match
+            confirmed[place[ok]] = True
+        out.append((rows[0]["owner"], _spans(confirmed), None, None))
+        return out
 
-def _removed(batches: Iterator[pa.RecordBatch], plan: _Plan, with_text: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block, gone, ids, known in plan.cut(batch):
-            n_removed, n_spans, digests, texts = [], [], [], []
-            for start, size in zip(block.starts[:-1].tolist(), block.sizes.tolist(), strict=True):
-                mask = gone[start : start + size]
-                kept = block.data[start : start + size][~mask].tobytes()
-                n_removed.append(size - len(kept))
-                n_spans.append(int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum()))
-                digests.append(hashlib.sha256(kept).hexdigest())
-                texts.append(kept)
-            more = [pa.array(texts, pa.binary())] if with_text else []
-            yield pa.RecordBatch.from_arrays(
-                [maybe(np.frombuffer(ids, "<i8"), np.frombuffer(known, np.uint8), pa.int64()), pa.array(block.sizes), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string()), *more],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text],
-            )
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, order: int = COVER_ORDER, block_bytes: int = BLOCK_BYTES, bucket_hashes: int = BUCKET_HASHES, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) of each row of docs (doc_id, text)."""
+    @staticmethod
+    def _find(windows: np.ndarray, fits: np.ndarray, keys: np.ndarray):
+        """For each key the range of the places that have it, in places ordered by key."""
+        wanted = np.zeros(1 << 20, bool)
+        wanted[keys >> np.uint64(44)] = True
+        at = np.flatnonzero(wanted[windows >> np.uint64(44)] & fits)
+        at = at[np.argsort(windows[at], kind="stable")]
+        ordered, order = windows[at], np.argsort(keys)
+        low, high = np.empty((2, len(keys)), np.int64)
+        low[order] = np.searchsorted(ordered, keys[order])
+        high[order] = np.searchsorted(ordered, keys[order], side="right")
+        return low, high, at
+
+    def cut(self, batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
+        """Each document without its repeats."""
+        files, root = fs.FileSystem.from_uri(self.folder)
+        for batch in batches:
+            for row in batch.to_pylist():
+                with files.open_input_stream(f"{root}/{row['block']}") as stream:
+                    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(stream.read()), np.uint8)
+                sure, told, mine = (_mask(row[c], len(data)) for c in ("sure", "told", "mine"))
+                told[row["failed"] or []] = False
+                repeats = sure | told
+                for spans in row["spans"] or []:
+                    repeats |= mine & _mask(spans, len(data))
+                begins = np.flatnonzero(repeats)
+                edge = np.zeros(len(data) + self.length + 1, np.int32)
+                edge[begins] += 1
+                edge[begins + self.length] -= 1
+                yield self._documents(row, data, np.cumsum(edge[: len(data)]) > 0, with_text)
+
+    def _documents(self, row: dict, data: np.ndarray, gone: np.ndarray, with_text: bool) -> pa.RecordBatch:
+        sizes = np.frombuffer(row["sizes"], "<i8")
+        n_removed, n_spans, digests, texts = [], [], [], []
+        for start, size in zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), strict=True):
+            mask = gone[start : start + size]
+            kept = data[start : start + size][~mask].tobytes()
+            n_removed.append(size - len(kept))
+            n_spans.append(int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum()))
+            digests.append(hashlib.sha256(kept).hexdigest())
+            texts.append(kept)
+        ids = maybe(np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["known"], np.uint8), pa.int64())
+        more = [pa.array(texts, pa.binary())] if with_text else []
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array(sizes), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string()), *more],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text],
+        )
+
+
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, order: int = COVER_ORDER, block_bytes: int = BLOCK_BYTES, bucket_keys: int = BUCKET_KEYS, with_text: bool = False, hash_bits: int = 64
+) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) of each row of docs (doc_id, text).
+
+    hash_bits: how much of a hash is a key; the result is the same with any, fewer only make more ties.
+    """
     spark: SparkSession = docs.sparkSession
     prepare(spark)
     if order * order + order + 1 > length:
@@ -253,17 +473,34 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, order: int = COVER_ORD
     blocks = written(map_batches(docs, lambda b: _pack(b, block_bytes, folder), _BLOCK), f"{work}/blocks")
     total, count = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count(F.lit(1))).first()
     samples = int(total * (order + 1) / (order * order + order + 1))
-    plan = _Plan(length, order, samples, bucket_hashes, folder)
-    # Rows here are names and marks; texts are read where they are needed and never shuffled.
+    plan = _Plan(length, order, samples, bucket_keys, folder, hash_bits)
+    # Rows here are names, marks and keys; texts are read where they are needed.
     tasks = max(1, min(count, 100_000))
     own = blocks.select("block", "sizes").repartition(tasks, "block")
-    ranked = written(exchange(send_all(own, plan.send_samples, plan.buckets)), f"{work}/ranked")
-    known = blocks.join(ranked.withColumnRenamed("marks", "ranked"), "block", "left")
-    near = known.where("ranked IS NOT NULL").select("block", "sizes", "ranked").repartition(tasks, "block")
-    repeated = written(exchange(send_all(near, plan.send_strings, plan.buckets)), f"{work}/repeated")
-    both = known.join(repeated.withColumnRenamed("marks", "repeated"), "block", "left").repartition(tasks, "block")
+    ranked = written(exchange(send_all(own, plan.send_samples, plan.sample_buckets)), f"{work}/ranked")
+    plan.strings(ranked.agg(F.coalesce(F.sum("n_marked"), F.lit(0))).first()[0])
+    known = blocks.select("block", "sizes").join(ranked.select("block", F.col("marks").alias("ranked")), "block").repartition(tasks, "block")
+    repeated = written(exchange(send_all(known, plan.send_strings, plan.buckets), owned=True), f"{work}/repeated")
+    both = known.join(repeated.select("block", F.col("marks").alias("repeated")), "block").repartition(tasks, "block")
+    claims = written(map_batches(both, plan.claims, _CLAIMS), f"{work}/claims")
+
+    sent = claims.where("owner IS NOT NULL").select("owner", "block", "begins", "counts", "bytes")
+    shares = sent.groupBy("owner").agg(F.ceil(F.sum(F.length("bytes")) / F.lit(float(CLAIM_BYTES))).alias("shares"))
+    asked = shares.join(blocks.select(F.col("block").alias("owner"), "sizes"), "owner")
+    dealt = sent.join(asked, "owner").withColumn("share", F.pmod(F.xxhash64("block"), "shares"))
+    dealt = dealt.repartition("owner", "share").sortWithinPartitions("owner", "block")
+    judged = written(map_batches(dealt.select("owner", "sizes", "block", "begins", "counts", "bytes"), plan.judge, _JUDGED), f"{work}/judged")
+    # Strings that the block named by their key doesn't have repeat only among themselves.
+    strange = judged.where("string IS NOT NULL").select("block", "position", "string")
+    alone = strange.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("string")
+    failed = strange.join(alone, "string").groupBy("block").agg(F.collect_list("position").alias("failed"))
+    spans = judged.where("spans IS NOT NULL").groupBy("block").agg(F.collect_set("spans").alias("spans"))
+    settled = blocks.join(claims.where("owner IS NULL").select("block", "sure", "told", "mine"), "block", "left").join(spans, "block", "left").join(failed, "block", "left")
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return map_batches(both.select("block", "sizes", "doc_ids", "known", "ranked", "repeated"), lambda b: _removed(b, plan, with_text), fields)
+    wanted = settled.select("block", "sizes", "doc_ids", "known", "sure", "told", "mine", "spans", "failed").repartition(tasks, "block")
+    for name in ("ranked", "repeated"):
+        remove(spark, f"{work}/{name}")
+    return map_batches(wanted, lambda b: plan.cut(b, with_text), fields)
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

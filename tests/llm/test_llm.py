@@ -362,7 +362,9 @@ def test_rows_grow_with_a_group_not_with_its_pairs(spark, monkeypatch):
 # 8 Repeats
 
 
-def test_repeats(spark, odd):
+@pytest.mark.parametrize("hash_bits", [64, 7])
+def test_repeats(spark, odd, hash_bits):
+    """Seven bits of a hash tie nearly everything: bytes must settle it."""
     from quarry.llm.suffix_dedup import difference_cover, remove_repeats
 
     for q in (2, 3, 5, 7, 11):
@@ -373,7 +375,7 @@ def test_repeats(spark, odd):
     rows = list(odd) + [(50 + k, words(rng, 20, 9) + rng.choice(shared) + words(rng, 15, 9) + rng.choice(shared) * 2) for k in range(20)]
     rows += [(90, "z" * 300), (91, "y" * 41)]
     for length, order in ((40, 5), (20, 3)):
-        found = remove_repeats(table(spark, rows), length, order, block_bytes=2000, bucket_hashes=500, with_text=True).collect()
+        found = remove_repeats(table(spark, rows), length, order, block_bytes=2000, bucket_keys=500, with_text=True, hash_bits=hash_bits).collect()
         where: dict = {}
         for k, (_, t) in enumerate(rows):
             b = (t or "").encode()
