@@ -1,7 +1,8 @@
 r"""Chat formatting: conversations rebuilt from an event log, then rendered under a template.
 
 Only DataFrame functions. The log has one row per event: conversation, sequence number, message,
-kind, role and text. ``fold`` turns it into final messages, one group per message:
+kind, role and text, in any order. ``fold`` deals it by conversation, sorts each message's events
+by sequence and turns them into final messages:
 
 * ``message``, ``edit`` and ``regenerate`` replace what the message said so far;
 * ``delta`` appends to it, in order of sequence (streamed text).
@@ -12,13 +13,18 @@ texts every ``\``, ``#``, ``:`` (roles) and ``</`` carries a backslash, so no co
 can occur there, and dropping those backslashes restores the text exactly. The loss mask is one
 (turn, begin, end) per assistant turn, in code points of that turn's segment.
 
-A conversation's formatted text is one value and so meets in one task; whatever can be done
-before (folding, escaping, spans) is done per message, so a conversation that holds a third of
-the log costs that task a sort of short rows and one concatenation, linear in its text.
+A conversation's formatted text is one value and so meets in one task. Its events are dealt there
+once, and folding and rendering need no other exchange. Aggregates there hold one message at a
+time, so a conversation that holds a third of the log costs its task a sort that can spill and one
+concatenation, linear in its text.
+
+The query has rows and no log, so ``as_log`` makes one: a draft with a streamed piece, an edit or
+regeneration that replaces both, and the rest of the text as deltas, out of order.
 
 Defined results: null text or role is empty; a null conversation is a conversation of its own;
 rows with the same conversation and turn are turns of their own, ordered by role and text;
-repeated rows repeat their turn; an empty table gives no rows; extra columns are ignored.
+repeated rows repeat their turn; of events with the same sequence number all count, the reset
+first; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,13 +45,32 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\([\\#/:])", "$1")
 
 
+def as_log(rows: DataFrame) -> DataFrame:
+    """Events of conv_id, turn, role, text: conv_id, seq, message, kind, role, text, where a message is (row, turn).
+
+    Each row is a message of its own, however equal others are: rows are numbered where they are read.
+    """
+    text = F.coalesce("text", F.lit(""))
+    third = F.ceil(F.length(text) / 3).cast("int")
+    event = lambda seq, kind, said: F.struct(F.lit(seq).alias("seq"), kind.alias("kind"), said.alias("text"))
+    again = F.when(F.pmod(F.xxhash64("turn"), F.lit(2)) == 0, F.lit("edit")).otherwise(F.lit("regenerate"))
+    delta = F.lit("delta")
+    events = F.array(
+        event(4, delta, F.expr("substring(coalesce(text, ''), 2 * CAST(ceil(length(coalesce(text, '')) / 3) AS INT) + 1)")), event(1, delta, F.lit(" not sent")),
+        event(2, again, F.substring(text, F.lit(1), third)), event(0, F.lit("message"), F.lit("draft")), event(3, delta, F.substring(text, third + 1, third)),
+    )
+    numbered = rows.select("conv_id", F.struct(F.monotonically_increasing_id().alias("row"), "turn").alias("message"), "role", events.alias("events"))
+    each = numbered.select("conv_id", "message", "role", F.explode("events").alias("event"))
+    return each.select("conv_id", "event.seq", "message", "event.kind", F.when(F.col("event.kind") != "delta", F.col("role")).alias("role"), "event.text")
+
+
 def fold(log: DataFrame) -> DataFrame:
     """conv_id, message, role, text: final messages of a log of conv_id, seq, message, kind, role, text."""
     reset = F.col("kind").isin(*RESETS)
     base = F.max(F.when(reset, F.col("seq")))
     piece = F.struct("seq", "kind", F.coalesce("text", F.lit("")).alias("text"), "role")
-    folded = log.groupBy("conv_id", "message").agg(base.alias("base"), F.sort_array(F.collect_list(piece)).alias("pieces"))
-    # Of events with the same sequence number, all count, the reset first.
+    dealt = log.repartition("conv_id")
+    folded = dealt.groupBy("conv_id", "message").agg(base.alias("base"), F.sort_array(F.collect_list(piece)).alias("pieces"))
     last = F.filter("pieces", lambda x: x["kind"].isin(*RESETS) & (x["seq"] == F.col("base")))
     deltas = F.filter("pieces", lambda x: (x["kind"] == "delta") & (F.col("base").isNull() | (x["seq"] >= F.col("base"))))
     text = F.concat(F.coalesce(F.try_element_at(last, F.lit(-1))["text"], F.lit("")), F.array_join(F.transform(deltas, lambda x: x["text"]), ""))
@@ -87,12 +112,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    # Each row is the only event of its message: rows that agree in everything stay apart by their count.
-    log = rows.unionByName(own).groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies"))
-    log = log.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
-        "conv_id", F.struct("turn", "role", "text", "copy").alias("message"), F.lit(0).alias("seq"), F.lit("message").alias("kind"), "role", "text"
-    )
-    messages = fold(log).select("conv_id", F.col("message.turn").alias("turn"), "role", "text")
+    messages = fold(as_log(rows.unionByName(own))).select("conv_id", F.col("message.turn").alias("turn"), "role", "text")
     back = read_back(render(messages, ["turn"]))
     told = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     loss = F.array_join("loss", "")

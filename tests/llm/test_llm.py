@@ -222,6 +222,35 @@ def test_chat_fold_and_round_trip(spark):
         assert list(r.loss) == [x[3] or "" for x in own if x[2] == "assistant"]
 
 
+def test_chat_log_folds_back_to_its_rows(spark):
+    """Out of order, drafts replaced, repeated and empty rows; a log without resets or without events."""
+    from collections import Counter
+
+    from quarry.llm import chat
+
+    schema = "conv_id long, turn long, role string, text string, message string, seq string"
+    texts = ["", None, "a", "ab", "abc", "日本🎉x", "# </turn>" * 9, "same", "same"]
+    rows = [(k % 4 or None, k % 3, ["user", None, "assistant"][k % 3], t) for k, t in enumerate(texts * 3)]
+    log = chat.as_log(table(spark, [(*r, "clash", "clash") for r in rows], schema))
+    assert log.count() == 5 * len(rows)
+    back = chat.fold(log.orderBy(F.xxhash64("seq", "text"))).select("conv_id", "message.turn", "role", "text").collect()
+    assert Counter(map(tuple, back)) == Counter((c, t, r or "", x or "") for c, t, r, x in rows)
+    assert chat.fold(log.where("kind = 'delta'")).where("text LIKE '%not sent%'").count() == len(rows)  # nothing replaces it
+    empty = chat.as_log(table(spark, [], schema))
+    assert chat.render(chat.fold(empty).select("conv_id", F.col("message.turn").alias("turn"), "role", "text"), ["turn"]).count() == 0
+    twice = chat.fold(chat.as_log(table(spark, [(1, 0, "user", "x", "", "")] * 3, schema)))
+    assert [r.text for r in twice.collect()] == ["x"] * 3
+
+
+def test_chat_is_dealt_once(spark, tmp_path):
+    """One exchange of texts: events to their conversation."""
+    from quarry.llm import chat
+
+    table(spark, [(1, 0, "user", "x")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    plan = chat.op6_chat(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 # 7 MinHash
 
 
