@@ -6,9 +6,16 @@ gets a minimal perfect hash whose slots hold the full digest, the locator and th
 lookup hashes a digest to its only possible slot and compares all 32 bytes there: members are
 repeats of history, and nonmembers are grouped among themselves.
 
+Without a history from elsewhere, half of the rows (by a hash of doc_id) come first and are the
+history of the other half. Arrivals that are members may hold a larger doc_id than the slot's
+winner, so what they add (largest doc_id and number by digest) becomes an index of its own, in
+which all members are looked up; nonmembers are looked up in the index of their own groups. The
+result is the same as for one batch.
+
 Memory is bounded by a bucket (``bucket_size`` digests). Lookups stream past the index of
 their bucket, and buckets with more than ``hot_rows`` rows are split over salted copies of
-their index, so one text that fills a third of the table spreads over many tasks.
+their index, so one text that fills a third of the table spreads over many tasks. Texts are
+hashed once and never shuffled.
 
 Defined results: null text is the empty text; a null doc_id never wins unless the whole group
 has none, and then keep_id is null; rows that repeat the winner's doc_id are all kept, since
@@ -24,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ascii_lower, checkpoint_root, longs, map_batches, maybe, prepare
+from quarry.llm.common import ascii_lower, longs, map_batches, maybe, prepare, workspace, written
 
 BUCKET_SIZE = 4096
 HOT_ROWS = 4 * BUCKET_SIZE
@@ -93,7 +100,7 @@ def _digests(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 32)
 
 
-_INDEX = "bucket long, levels array<binary>, digests binary, winners binary, sizes binary, n_rows long"
+_INDEX = "bucket long, levels array<binary>, digests binary, winners binary, sizes binary"
 _NO_WINNER = np.int64(-(2**63))
 
 
@@ -111,8 +118,7 @@ def _build(table: pa.Table) -> pa.Table:
             "digests": pa.array([digests[order].tobytes()], pa.binary()),
             "winners": pa.array([winners[order].tobytes()], pa.binary()),
             "sizes": pa.array([sizes[order].tobytes()], pa.binary()),
-            "n_rows": pa.array([int(sizes.sum())], pa.int64()),
-        }
+                    }
     )
 
 
@@ -126,10 +132,14 @@ def digests_of(docs: DataFrame, buckets: int) -> DataFrame:
     )
 
 
-def build_index(digests: DataFrame) -> DataFrame:
+def groups_of(digests: DataFrame) -> DataFrame:
+    """(bucket, digest, keep_id, group_size) of each distinct digest."""
+    return digests.groupBy("bucket", "digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+
+
+def build_index(groups: DataFrame) -> DataFrame:
     """One row per bucket: the perfect hash over its distinct digests, and the slots."""
-    distinct = digests.groupBy("bucket", "digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return distinct.groupBy("bucket").applyInArrow(_build, _INDEX)
+    return groups.groupBy("bucket").applyInArrow(_build, _INDEX)
 
 
 def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,53 +170,70 @@ def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 member = np.zeros(len(digests), bool)
                 winners = sizes = np.zeros(len(digests), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], part["digest"], maybe(winners, member & (winners != _NO_WINNER), pa.int64()), maybe(sizes, member, pa.int64()), pa.array(member, pa.bool_())],
-                names=["doc_id", "digest", "keep_id", "group_size", "member"],
+                [*(part[c] for c in _ASKED), maybe(winners, member & (winners != _NO_WINNER), pa.int64()), maybe(sizes, member, pa.int64()), pa.array(member, pa.bool_())],
+                names=[*_ASKED, "keep_id", "group_size", "member"],
             )
 
 
+#: What a row asks with, and keeps: known_id and known_size are what an index before this one held.
+_ASKED = ("doc_id", "digest", "bucket", "known_id", "known_size")
+_FOUND = "doc_id long, digest binary, bucket long, known_id long, known_size long, keep_id long, group_size long, member boolean"
+
+
 def look_up(digests: DataFrame, index: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(doc_id, digest, keep_id, group_size, member): what history holds of each digest."""
-    salts = F.ceil(F.col("n_rows") / F.lit(float(hot_rows))).cast("int")
-    hot = index.select("bucket", salts.alias("salts")).where("salts > 1")
-    copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
-    asked = digests.join(hot, "bucket", "left").withColumn(
-        "salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).cast("int")
-    )
+    """_ASKED, keep_id, group_size and member of each row: what the index holds of its digest.
+
+    The rows of a bucket are dealt over as many salted copies of its index as their number calls for.
+    """
+    asking = digests.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    salts = asking.select("bucket", F.ceil(F.col("n") / F.lit(float(hot_rows))).cast("int").alias("salts"))
+    hot = salts.where("salts > 1")
+    copies = index.join(hot, "bucket", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    asked = digests.join(hot, "bucket", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).cast("int"))
     no = lambda kind: F.lit(None).cast(kind)
+    slots = ("levels", "digests", "winners", "sizes")
     both = copies.select(
-        "bucket", "salt", F.lit(0).alias("kind"), no("long").alias("doc_id"), no("binary").alias("digest"), "levels", "digests", "winners", "sizes"
-    ).unionByName(
-        asked.select(
-            "bucket", "salt", F.lit(1).alias("kind"), "doc_id", "digest",
-            no("array<binary>").alias("levels"), no("binary").alias("digests"), no("binary").alias("winners"), no("binary").alias("sizes"),
-        )
-    )
+        "salt", F.lit(0).alias("kind"), no("long").alias("doc_id"), no("binary").alias("digest"), "bucket", no("long").alias("known_id"), no("long").alias("known_size"), *slots
+    ).unionByName(asked.select("salt", F.lit(1).alias("kind"), *_ASKED, no("array<binary>").alias("levels"), *[no("binary").alias(c) for c in slots[1:]]))
     ordered = both.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "kind")
-    return map_batches(ordered, _look_up, "doc_id long, digest binary, keep_id long, group_size long, member boolean")
+    return map_batches(ordered, _look_up, _FOUND)
+
+
+def came_first(doc_id):
+    """Half of the rows, by doc_id, and those without one."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 2 == 0, F.lit(True))
 
 
 def exact_dedup(docs: DataFrame, history: DataFrame | None = None, bucket_size: int = BUCKET_SIZE, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 and is_repeat of each row of docs.
 
-    history: documents that came before; by default docs itself is the history, so every
-    digest is a member and the largest doc_id of each group stays. With a history of its own,
-    members are repeats of it and go, and nonmembers are grouped among themselves.
+    history: documents that came before: their repeats in docs go, and nonmembers are grouped among
+    themselves. By default docs is one batch, and the largest doc_id of each group stays;
+    is_repeat then marks the rows whose digest the first half of the rows has.
     """
     spark: SparkSession = docs.sparkSession
     prepare(spark)
-    checkpoint_root(spark)
-    past = docs if history is None else history
-    buckets = max(1, -(-past.count() // bucket_size))
-    found = look_up(digests_of(docs, buckets), build_index(digests_of(past, buckets)), hot_rows)
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    if history is not None:
-        fresh = found.where("NOT member").select("doc_id", "digest")
-        groups = fresh.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        fresh = fresh.join(groups, "digest").select("doc_id", "digest", "keep_id", "group_size", F.lit(False).alias("member"))
-        found = found.where("member").unionByName(fresh)
-        kept = kept & ~F.col("member")
-    return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), F.col("member").alias("is_repeat"))
+    work = workspace(spark, "exact")
+    n = docs.count() + (0 if history is None else history.count())
+    buckets = max(1, -(-n // bucket_size))
+    new = lambda rows: rows.withColumns({"known_id": F.lit(None).cast("long"), "known_size": F.lit(0).cast("long")})
+    own = new(written(digests_of(docs, buckets), f"{work}/digests"))
+    past = own.where(came_first(F.col("doc_id"))) if history is None else digests_of(history, buckets)
+    found = written(look_up(own, build_index(groups_of(past)), hot_rows), f"{work}/found")
+    members = found.where("member")
+    strangers = found.where("NOT member").select("doc_id", "digest", "bucket", "known_id", "known_size")
+    fresh = look_up(strangers, build_index(groups_of(strangers)), hot_rows)
+    if history is None:
+        later = members.where(~came_first(F.col("doc_id"))).select("doc_id", "digest", "bucket")
+        asked = members.select("doc_id", "digest", "bucket", F.col("keep_id").alias("known_id"), F.col("group_size").alias("known_size"))
+        members = look_up(asked, build_index(groups_of(later)), hot_rows)
+    keep, size = F.greatest("known_id", "keep_id"), F.col("known_size") + F.coalesce("group_size", F.lit(0))
+    out = [
+        rows.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), "digest", F.lit(repeat).alias("is_repeat"))
+        for rows, repeat in ((members, True), (fresh, False))
+    ]
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.lit(history is None) | ~F.col("is_repeat"))
+    return out[0].unionByName(out[1]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "is_repeat")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
