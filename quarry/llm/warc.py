@@ -1,11 +1,12 @@
 """WARC archives as a chunked record table: written and read back without whole-record buffers.
 
-A record is never handled whole on the archive's side: its payload is a run of rows
-(record, chunk number, bytes, digest so far) of at most ``chunk_bytes``. The writer appends
-chunk rows to gzipped archives (one gzip member per record, as usual for .warc.gz) and starts a
-new archive once ``archive_bytes`` are written. The reader inflates an archive block by block
-and emits chunk rows again, each with the running SHA-256 and byte count, so the last chunk of
-a record carries the digest of its full payload.
+A record is never handled whole outside its table: ``chunk_table`` cuts payloads, in the JVM, into
+rows (record, chunk number, bytes) of at most ``chunk_bytes``. The writer takes these rows as they
+come, carries each record's SHA-256 from chunk to chunk, appends them to gzipped archives (one gzip
+member per record, as usual for .warc.gz) and starts a new archive once ``archive_bytes`` are
+written. The reader inflates an archive block by block and gives the chunk table back, each row
+with the digest so far, so the last chunk of a record carries the digest of its full payload. Both
+ends compare it with the digest in the record's header.
 
 Records with equal payloads of at least ``least_bytes`` are stored once: the one with the
 smallest id as ``response``, the others as ``revisit`` records that name it and keep the digest
@@ -44,24 +45,18 @@ DATE = "2000-01-01T00:00:00Z"
 CHUNKS = "record_id string, uri string, record_type string, refers_to string, payload_bytes long, chunk_no long, data binary, digest string, is_last boolean"
 
 
-def chunk_rows(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Chunk rows of (record_id, uri, record_type, refers_to, payload) rows, the digest carried along."""
-    for batch in batches:
-        rows, held = [], 0
-        for row in zip(*(batch[k].to_pylist() for k in ("record_id", "uri", "record_type", "refers_to", "payload")), strict=True):
-            *head, text = row
-            payload = memoryview((text or "").encode())
-            total, digest = len(payload), hashlib.sha256()
-            for number, at in enumerate(range(0, max(1, total), chunk_bytes)):
-                part = payload[at : at + chunk_bytes]
-                digest.update(part)
-                rows.append((*head, total, number, bytes(part), digest.hexdigest(), at + chunk_bytes >= total))
-                held += len(part)
-                if held >= 64 * chunk_bytes:
-                    yield _batch(rows)
-                    rows, held = [], 0
-        if rows:
-            yield _batch(rows)
+def chunk_table(records: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Chunk rows of planned records, a record's together and in order; a revisit has one, without bytes."""
+    stored = F.when(F.col("record_type") == "revisit", F.lit(0)).otherwise(F.col("payload_bytes"))
+    sized = records.withColumn("payload", F.coalesce("payload", F.lit("")).cast("binary")).withColumn("stored", stored)
+    last = F.greatest(F.ceil(F.col("stored") / chunk_bytes), F.lit(1)).cast("int") - 1
+    each = sized.select("*", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
+    at = F.col("chunk_no").cast("long") * chunk_bytes
+    data = F.when(F.col("stored") > 0, F.substring("payload", (at + 1).cast("int"), F.lit(chunk_bytes))).otherwise(F.lit(b""))
+    return each.select(
+        "record_id", "uri", "record_type", "refers_to", "payload_bytes", F.col("chunk_no").cast("long").alias("chunk_no"),
+        data.alias("data"), "digest", (at + chunk_bytes >= F.col("stored")).alias("is_last"),
+    )
 
 
 _SCHEMA = pa.schema(
@@ -114,13 +109,16 @@ class ArchiveWriter:
 
     def add(self, record_id, uri, record_type, refers_to, total, number, data, digest, is_last) -> None:
         revisit = record_type == "revisit"
-        if number == 0 and not revisit:
-            self._begin(record_id, uri, record_type, total, digest if is_last else None)
+        if number == 0:
+            more = [f"WARC-Refers-To: {_urn(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Payload-Length: {total}"]
+            self._begin(record_id, uri, record_type, 0 if revisit else total, digest, more if revisit else [])
+            self.digest = hashlib.sha256()
         if not revisit:
+            self.digest.update(data)
             self._put(self.zip.compress(data))
-        if is_last and revisit:
-            self._begin(record_id, uri, record_type, 0, digest, [f"WARC-Refers-To: {_urn(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Payload-Length: {total}"])
         if is_last:
+            if not revisit and self.digest.hexdigest() != digest:
+                raise ValueError(f"the chunks of {record_id} are not its payload")
             self._end()
             self.records += 1
             if self.written >= self.limit:
@@ -129,9 +127,8 @@ class ArchiveWriter:
     def _begin(self, record_id, uri, record_type, length, digest, more=()) -> None:
         if self.out is None:
             self._open()
-        known = [f"WARC-Payload-Digest: sha256:{digest}"] if digest else []
         null = ["X-Null-Record-ID: 1"] if record_id is None else []
-        self._member(["WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: {_urn(record_id)}", *null, f"WARC-Date: {DATE}", f"WARC-Target-URI: {_safe(uri)}", *known, *more, "Content-Type: text/html; charset=utf-8", f"Content-Length: {length}"])
+        self._member(["WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: {_urn(record_id)}", *null, f"WARC-Date: {DATE}", f"WARC-Target-URI: {_safe(uri)}", f"WARC-Payload-Digest: sha256:{digest}", *more, "Content-Type: text/html; charset=utf-8", f"Content-Length: {length}"])
 
     def close(self) -> None:
         if self.out is not None:
@@ -140,9 +137,9 @@ class ArchiveWriter:
             self.out = None
 
 
-def _write(batches: Iterator[pa.RecordBatch], folder: str, archive_bytes: int, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch], folder: str, archive_bytes: int) -> Iterator[pa.RecordBatch]:
     writer = ArchiveWriter(folder, archive_bytes)
-    for batch in chunk_rows(batches, chunk_bytes):
+    for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             writer.add(*row)
     writer.close()
@@ -233,7 +230,7 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, chunk_bytes: int, with
 
 
 def plan_records(records: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """record_type and refers_to for (id, uri, payload) rows; the payload moves once, by id."""
+    """record_type, refers_to, payload_bytes and digest for (id, uri, payload) rows; the payload moves once, by id."""
     text = F.coalesce("payload", F.lit(""))
     keyed = records.select("id", "uri", "payload", F.sha2(text, 256).alias("sha"), F.octet_length(text).alias("n"))
     long_ = keyed.where(F.col("n") >= least_bytes).select("id", "sha")
@@ -243,7 +240,7 @@ def plan_records(records: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFram
     joined = keyed.join(revisits, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("sha") == F.col("r_sha")), "left")
     return joined.select(
         F.col("id").cast("string").alias("record_id"), "uri", F.when(F.col("first").isNull(), "response").otherwise("revisit").alias("record_type"),
-        F.col("first").cast("string").alias("refers_to"), "payload",
+        F.col("first").cast("string").alias("refers_to"), "payload", F.col("n").cast("long").alias("payload_bytes"), F.col("sha").alias("digest"),
     )
 
 
@@ -252,7 +249,7 @@ def write_warc(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYT
     spark: SparkSession = records.sparkSession
     prepare(spark)
     make_folder(spark, f"{folder}/archives")
-    made = map_batches(records, lambda b: _write(b, f"{folder}/archives", archive_bytes, chunk_bytes), "path string, records long, bytes long")
+    made = map_batches(chunk_table(records, chunk_bytes), lambda b: _write(b, f"{folder}/archives", archive_bytes), "path string, records long, bytes long")
     return written(made, f"{folder}/manifest")
 
 
@@ -268,8 +265,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = workspace(spark, "warc")
     records = plan_records(pages.select(F.col("page_id").alias("id"), F.col("url").alias("uri"), F.col("html").alias("payload")))
     manifest = write_warc(records, folder)
-    back = read_warc(manifest, folder, with_data=False)
-    return back.select(
+    return read_warc(manifest, folder).where("is_last").select(
         F.col("record_id").cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to")
     )
 
