@@ -20,6 +20,7 @@ are ignored.
 from __future__ import annotations
 
 import math
+import operator
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,6 +34,7 @@ from quarry.llm.common import map_batches, prepare
 BLANK = "▁"
 NODES = 1_500_000
 UNKNOWN_PENALTY = 10.0
+_TOKENS, _SCORE = operator.itemgetter(0), operator.itemgetter(1)
 _PRETOKEN = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -43,6 +45,16 @@ def zipf_pieces(model: str) -> dict[str, float]:
     return {lib.id_to_piece(i): -math.log(k + 2) for k, i in enumerate(usual)}
 
 
+class _Terminals(dict):
+    """Pre-token -> (tokens, score); one that is not there is inserted in the trie."""
+
+    def __init__(self, insert):
+        self.insert = insert
+
+    def __missing__(self, token: str) -> tuple[int, float]:
+        return self.insert(token)
+
+
 class Trie:
     """Forward scores and token counts of every prefix that any inserted pre-token has."""
 
@@ -51,12 +63,13 @@ class Trie:
         self.longest = max(map(len, pieces))
         self.unknown = min(pieces.values()) - UNKNOWN_PENALTY
         self.computed = 0
+        self.terminals = _Terminals(self._insert)
         self.clear()
 
     def clear(self) -> None:
         self.children: dict[int, int] = {}
         self.scores, self.counts = [0.0], [0]
-        self.terminals: dict[str, tuple[int, float]] = {}
+        self.terminals.clear()
 
     def _node(self, text: str, end: int, path: list[int]) -> int:
         """A new node for text[:end], from the nodes of its prefixes."""
@@ -77,8 +90,9 @@ class Trie:
 
     def insert(self, token: str) -> tuple[int, float]:
         """(tokens, score) of a pre-token."""
-        if (found := self.terminals.get(token)) is not None:
-            return found
+        return self.terminals[token]
+
+    def _insert(self, token: str) -> tuple[int, float]:
         if len(self.scores) + len(token) > self.most and len(self.scores) > 1:
             self.clear()
         path, children = [0], self.children
@@ -102,14 +116,14 @@ def pretokens(text: str | None) -> list[str]:
 
 
 def _count(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
-    own = trie(model)
+    look_up = trie(model).terminals.__getitem__
     for batch in batches:
         tokens, words, scores = [], [], []
         for text in batch["text"].to_pylist():
-            found = [own.insert(p) for p in pretokens(text)]
-            tokens.append(sum(n for n, _ in found))
+            found = list(map(look_up, pretokens(text)))
+            tokens.append(sum(map(_TOKENS, found)))
             words.append(len(found))
-            scores.append(round(math.fsum(s for _, s in found), 6))
+            scores.append(round(math.fsum(map(_SCORE, found)), 6))
         yield pa.RecordBatch.from_arrays(
             [batch["doc_id"], pa.array(tokens, pa.int64()), pa.array(words, pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "n_tokens", "n_pretokens", "log_likelihood"]
         )
