@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -78,7 +79,7 @@ def _give_back() -> None:
         pass
 
 
-def map_batches(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow, and a worker that is done gives its memory back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,6 +91,21 @@ def map_batches(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterat
     return df.mapInArrow(run, schema)
 
 
+def kept_struct(docs: DataFrame, keep: list[str]) -> Column:
+    """The columns ``keep`` as one struct ``kept``: their names clash with nothing."""
+    return F.struct(*[docs[c] for c in keep]).alias("kept")
+
+
+def map_kept(held: DataFrame, keep: list[str], make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], results: str) -> DataFrame:
+    """The columns ``keep`` beside results; make yields ``kept``, which held has, and the results.
+
+    A kept column that bears the name of a result comes back with ``_kept`` after it.
+    """
+    own = StructType.fromDDL(results)
+    out = map_batches(held, make, StructType([held.schema["kept"], *own.fields]))
+    return out.select(*[F.col("kept")[c].alias(f"{c}_kept" if c in own.names else c) for c in keep], *own.names)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

@@ -1,28 +1,38 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A lexicon transducer turns words into classes (insult, threat, target, negation, report, word);
-insults and threats carry weights. Five small transducers read the classes of a clause and each
-gives a factor for the weight at hand: a target nearby raises it, a negation just before or
-reported speech lowers it, insults in a row add up, and a threat weighs more than an insult, more
-still after another threat. A word that the lexicon didn't learn has no weight, a threat neither:
-some threats are everyday words elsewhere (the German article "die"). Their composition is built lazily, state
-by state, and a clause's score is the sum of its weights times the composed factors. A text is
-scored from its matched clauses, not from words alone, through a logistic curve.
+A lexicon turns words into labels (insult, threat, target, negation, report, word). Five weighted
+transducers read and write labels, and their composition scores a clause: what one writes, the
+next reads, and weights multiply.
+
+* negation: after one, insults and threats become ``denied`` and weigh half;
+* report: after one, they become ``told`` and weigh 0.6;
+* target: after one, they become ``aimed`` and weigh 1.5 times;
+* insult: insults in a row weigh 1.25 times, and a denied one starts no row;
+* threat: threats weigh 1.25 times, and 1.5 times after another, unless that was denied.
+
+The composition is built lazily, arc by arc. A clause's score is the sum over its words of the
+lexicon's weight times the arc's, and a text is scored from its matched clauses, not from words
+alone, through a logistic curve whose value without a match is what the labels say of such texts.
+A word that the lexicon didn't learn has no weight, a threat neither: some threats are everyday
+words elsewhere (the German article "die").
 
 The lexicon is learned from labels: word starts of 3 to 8 letters (of longer words) and whole words whose
 smoothed log-odds of label 1 have a clear lower bound, taken greedily while they still explain
 positive rows that earlier ones explain little. Fitting uses at most ``fit_rows`` labelled rows
-(those with the smallest hash of doc_id), never held-out ones; all rows are scored, on whole
-texts. An Aho-Corasick automaton finds lexicon entries, so clean texts cost one pass.
+(those with the smallest hash of doc_id, one text each), never held-out ones; all rows are scored,
+on whole texts. An Aho-Corasick automaton finds lexicon entries, so clean texts cost one pass, and
+clauses are walked once, forwards.
 
-Defined results: null and empty texts get the curve's value at no match (0.1 at most); a row whose id is null
+Defined results: null and empty texts get the curve's value at no match; a row whose id is null
 is not held out and has no label; labels that are null are ignored, and an id labelled twice is
 toxic if any of its labels is; without labelled rows of both kinds nothing matches and all
-scores are 0; repeated rows repeat their result; extra columns are ignored.
+scores are 0; repeated rows repeat their result; an empty table gives no rows; extra columns pass
+through ``keep`` only, and one that is called like a result gets ``_kept`` after its name.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import defaultdict
@@ -34,12 +44,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_batches, prepare, workspace, written
+from quarry.llm.common import kept_struct, map_batches, map_kept, prepare, workspace, written
 
 FIT_ROWS = 20_000
 THRESHOLD = 0.3
-#: A text without a matched clause scores no more than this, however common label 1 is.
-UNMATCHED = 0.1
 #: A lexicon entry must explain this share of the positive rows' remaining weight, and so many rows.
 LEAST_SHARE, LEAST_ROWS = 0.004, 2.0
 LOWER_BOUND, Z = 1.2, 1.64
@@ -56,59 +64,69 @@ _WORD = re.compile(r"[\w']+")
 
 
 class Transducer:
-    """step(state, class) -> (state, factor); states are small integers, 0 first."""
+    """arc(state, label) -> (label written, weight, next state), from the state start."""
 
-    def __init__(self, step):
-        self.step = step
+    def __init__(self, start, arc):
+        self.start, self.arc = start, arc
 
+    def then(self, other: "Transducer") -> "Transducer":
+        """The composition: other reads what this one writes; its arcs are made when they are first taken."""
+        made: dict = {}
 
-def _negation(state: int, kind: str) -> tuple[int, float]:
-    if kind == "negation":
-        return 3, 1.0
-    return max(0, state - 1), 0.5 if state and kind in ("insult", "threat") else 1.0
+        def arc(state, label: str):
+            if (out := made.get((state, label))) is None:
+                between, weight, left = self.arc(state[0], label)
+                written_, factor, right = other.arc(state[1], between)
+                out = made[state, label] = (written_, weight * factor, (left, right))
+            return out
 
+        return Transducer((self.start, other.start), arc)
 
-def _report(state: int, kind: str) -> tuple[int, float]:
-    return (1 if kind == "report" else state), 0.6 if state and kind in ("insult", "threat") else 1.0
 
+def _is(label: str, *kinds: str) -> bool:
+    return label.partition(".")[0] in kinds
 
-def _target(state: int, kind: str) -> tuple[int, float]:
-    if kind == "target":
-        return 4, 1.0
-    return max(0, state - 1), 1.5 if state and kind in ("insult", "threat") else 1.0
 
+def _marking(cue: str, mark: str, weight: float, reach: int, lasts: bool = False) -> Transducer:
+    """After the cue, insults and threats within reach are marked and weighted; the cue itself becomes a word."""
 
-def _insult(state: int, kind: str) -> tuple[int, float]:
-    if kind == "insult":
-        return 3, 1.25 if state else 1.0
-    return max(0, state - 1), 1.0
+    def arc(state: int, label: str):
+        if label == cue:
+            return "word", 1.0, reach
+        after = state if lasts else max(0, state - 1)
+        if state and _is(label, "insult", "threat"):
+            return f"{label}.{mark}", weight, after
+        return label, 1.0, after
 
+    return Transducer(0, arc)
 
-def _threat(state: int, kind: str) -> tuple[int, float]:
-    if kind == "threat":
-        return 4, 1.5 if state else 1.25
-    return max(0, state - 1), 1.0
 
+def _repeating(kind: str, first: float, again: float, reach: int) -> Transducer:
+    """Labels of a kind weigh more after another one that isn't denied."""
 
-class Composed(Transducer):
-    """The product of transducers, its transitions made when they are first taken."""
+    def arc(state: int, label: str):
+        if not _is(label, kind):
+            return label, 1.0, max(0, state - 1)
+        return label, again if state else first, max(0, state - 1) if ".denied" in label else reach
 
-    def __init__(self, parts: list):
-        self.parts, self.made = parts, {}
-        super().__init__(self._step)
+    return Transducer(0, arc)
+
+
+def parts() -> list[Transducer]:
+    return [
+        _marking("negation", "denied", 0.5, 3), _marking("report", "told", 0.6, 1, lasts=True), _marking("target", "aimed", 1.5, 4),
+        _repeating("insult", 1.0, 1.25, 3), _repeating("threat", 1.25, 1.5, 4),
+    ]
 
-    def _step(self, state, kind: str):
-        key = (state, kind)
-        if (out := self.made.get(key)) is None:
-            each = [f(s, kind) for f, s in zip(self.parts, state or (0,) * len(self.parts), strict=True)]
-            out = self.made[key] = (tuple(s for s, _ in each), math.prod(x for _, x in each))
-        return out
+
+def composed() -> Transducer:
+    return functools.reduce(Transducer.then, parts())
 
 
 class Grammar:
     """A learned lexicon and the composed clause grammar; curve: weights of the features."""
 
-    def __init__(self, lexicon: dict[str, float], curve: tuple[float, ...] = (-40.0, 0.0, 0.0, 0.0)):
+    def __init__(self, lexicon: dict[str, float], curve: tuple[float, ...] = (-40.0, 0.0, 0.0, 0.0, 0.0)):
         self.lexicon, self.curve = lexicon, curve
         self._made = None
 
@@ -122,7 +140,7 @@ class Grammar:
                 automaton.add_word(entry.lstrip("=").rstrip("*"), entry)
             if self.lexicon:
                 automaton.make_automaton()
-            self._made = (automaton, Composed([_negation, _report, _target, _insult, _threat]))
+            self._made = (automaton, composed())
         return self._made
 
     def _kind(self, word: str) -> tuple[str, float]:
@@ -142,28 +160,25 @@ class Grammar:
         for end in ends:
             if end <= done:
                 continue
-            begin = max(low.rfind(c, 0, end) for c in ".!?;:\n") + 1
+            begin = max(max(low.rfind(c, done + 1, end) for c in ".!?;:\n"), done) + 1
             stop = _CLAUSE.match(low, begin)
             done = max(end, stop.end() - 1 if stop else end)
-            state, score = (), 0.0
+            state, score = grammar.start, 0.0
             for m in _WORD.finditer(low, begin, done + 1):
                 kind, weight = self._kind(m[0])
-                state, factor = grammar.step(state, kind)
+                _, factor, state = grammar.arc(state, kind)
                 score += weight * factor
             if score:
                 out.append((begin, done + 1, score))
         return out
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        """Of the matched clauses: log of their sum, the largest; the log of the text's length if any matched."""
+    def features(self, text: str | None) -> tuple[float, float, float, float]:
+        """Of the matched clauses: log of their sum, the largest; if any matched, the log of the text's length, and 1."""
         found = [s for _, _, s in self.clauses(text)]
-        return math.log1p(sum(found)), max(found, default=0.0), math.log1p(len(text)) if found else 0.0
+        return math.log1p(sum(found)), max(found, default=0.0), math.log1p(len(text)) if found else 0.0, float(bool(found))
 
     def score(self, text: str | None) -> float:
-        features = self.features(text)
-        if not any(features):
-            return min(UNMATCHED, 1 / (1 + math.exp(-max(-40.0, self.curve[0]))))
-        z = self.curve[0] + sum(w * x for w, x in zip(self.curve[1:], features, strict=True))
+        z = self.curve[0] + sum(w * x for w, x in zip(self.curve[1:], self.features(text), strict=True))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
@@ -227,8 +242,8 @@ def choose(rows: list[list[str]], odds: dict[str, float]) -> dict[str, float]:
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Logistic regression with a small ridge, by Newton steps."""
-    a, w = np.c_[np.ones(len(x)), x], np.zeros(4)
-    ridge = np.diag([1e-3, 1e-2, 1e-2, 1e-2])
+    a, w = np.c_[np.ones(len(x)), x], np.zeros(5)
+    ridge = np.diag([1e-3, 1e-2, 1e-2, 1e-2, 1e-2])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge, a.T @ (p - y) + ridge @ w)
@@ -241,8 +256,8 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 def _features(batches: Iterator[pa.RecordBatch], grammar) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [grammar.value.features(t) for t in batch["text"].to_pylist()]
-        each = zip(*found, strict=True) if found else ((), (), ())
-        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.float64()) for x in each), batch["toxic"]], names=["a", "b", "c", "toxic"])
+        each = zip(*found, strict=True) if found else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.float64()) for x in each), batch["toxic"]], names=["a", "b", "c", "d", "toxic"])
 
 
 def held_out(doc_id):
@@ -255,7 +270,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Grammar
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic").distinct()
+    # One text of each labelled id: rows stay bounded however often an id is reused.
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic").distinct()
     rows = written(rows, f"{workspace(docs.sparkSession, 'toxicity')}/sample")  # documents are read once for it
     counted = map_batches(rows, _count, "entry string, p long, n long").groupBy("entry").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
@@ -270,8 +286,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Grammar
     present = [r["entries"] for r in map_batches(rows.where("toxic = 1"), lambda b: _present(b, table), "entries array<string>").collect()]
     lexicon = choose(present, table.value)
     plain = sc.broadcast(Grammar(lexicon))
-    points = map_batches(rows, lambda b: _features(b, plain), "a double, b double, c double, toxic int").toPandas()
-    return Grammar(lexicon, _curve(points[["a", "b", "c"]].to_numpy(float), points["toxic"].to_numpy(float)))
+    points = map_batches(rows, lambda b: _features(b, plain), "a double, b double, c double, d double, toxic int").toPandas()
+    return Grammar(lexicon, _curve(points[["a", "b", "c", "d"]].to_numpy(float), points["toxic"].to_numpy(float)))
 
 
 def _score(batches: Iterator[pa.RecordBatch], grammar, keep: list[str]) -> Iterator[pa.RecordBatch]:
@@ -284,10 +300,9 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, keep: list[str] | None = N
     """keep and score of each whole text."""
     spark: SparkSession = docs.sparkSession
     prepare(spark)
-    keep = keep or ["doc_id"]
     shared = spark.sparkContext.broadcast(grammar)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return map_batches(docs.select(*dict.fromkeys([*keep, "text"])), lambda b: _score(b, shared, keep), f"{fields}, score double")
+    keep = keep or ["doc_id"]
+    return map_kept(docs.select(kept_struct(docs, keep), "text"), keep, lambda b: _score(b, shared, ["kept"]), "score double")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,6 +112,63 @@ def test_grammar_reads_clauses():
     assert g.clauses("scummy talk") == [] and g.clauses("") == [] and len(g.clauses("scum. fine. scum!")) == 2
 
 
+def test_composition_equals_each_machine_in_turn():
+    """Brute force: whole label sequences through one machine after another."""
+    from quarry.llm import toxicity
+
+    rng, whole = random.Random(18), toxicity.composed()
+    kinds = ["word", "insult", "threat", "target", "negation", "report"]
+    for _ in range(3000):
+        given = [rng.choice(kinds) for _ in range(rng.randrange(1, 14))]
+        labels, weights = list(given), [1.0] * len(given)
+        for part in toxicity.parts():
+            state = part.start
+            for k, label in enumerate(labels):
+                labels[k], factor, state = part.arc(state, label)
+                weights[k] *= factor
+        state = whole.start
+        for k, label in enumerate(given):
+            out, factor, state = whole.arc(state, label)
+            assert out == labels[k] and factor == pytest.approx(weights[k])
+    state, written = whole.start, []
+    for label in ("target", "negation", "insult", "insult", "report", "threat"):
+        out, factor, state = whole.arc(state, label)
+        written.append((out, round(factor, 6)))
+    assert written == [("word", 1.0), ("word", 1.0), ("insult.denied.aimed", 0.75), ("insult.denied.aimed", 0.75), ("word", 1.0), ("threat.told", 0.75)]
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """Accuracy on rows that fitting never saw, whose labels change nothing."""
+    import zlib
+
+    from quarry.llm import toxicity
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    out = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    grammar = toxicity.fit(docs, labels)
+    scored = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, grammar).collect()}
+    marks = [(r.doc_id, r.toxic) for r in labels.collect() if out(r.doc_id)]
+    toxic, clean = ([scored[i] >= toxicity.THRESHOLD for i, t in marks if t == k] for k in (1, 0))
+    assert len(toxic) > 30 and sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.03 * len(clean)
+    flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = toxicity.fit(docs, flipped)
+    assert (again.lexicon, again.curve) == (grammar.lexicon, pytest.approx(grammar.curve))
+
+
+def test_toxicity_time_is_linear_in_a_text():
+    import time
+
+    from quarry.llm.toxicity import Grammar
+
+    g, took = Grammar({"=scum": 1.0}), []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        assert len(g.clauses("you scum, fine! " * n)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0]
+
+
 def test_threats_have_a_transducer_of_their_own():
     from quarry.llm.toxicity import Grammar
 
