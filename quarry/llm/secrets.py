@@ -2,7 +2,8 @@
 
 Only DataFrame functions: Catalyst evaluates every expression. Matches are located without a
 position function: ``split`` by the pattern gives the pieces between matches and
-``regexp_extract_all`` the matches, so begins are running sums of their lengths in code points.
+``regexp_extract_all`` the matches, so begins are running sums of their lengths in code points,
+first within runs of ``RUN`` pieces and then over runs.
 Texts without a needle of the pattern (a plain substring test) skip the regular expression.
 
 Ownership frequency: every candidate value is hashed, counted by distinct (value, repository,
@@ -14,7 +15,7 @@ spans are of kind ``owned``: long mixed tokens outside the base kinds which at m
 
 Defined results: null text is empty and has no span; a null owner or repository counts as one
 of its own; repeated rows are scanned each on their own; an empty table gives no rows; extra
-columns are ignored.
+columns pass through ``keep`` only, and one called ``spans`` comes back as ``spans_kept``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import workspace, written
+from quarry.llm.common import kept_struct, workspace, written
 
 # The base patterns, in listed order, with the least length of the named group.
 PATTERNS = {
@@ -35,6 +36,8 @@ ORDER = list(PATTERNS)
 BASE = ORDER[:3]
 NEEDLES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 MAX_OWNERS = 2
+#: Pieces of a text whose matches are gathered into one array before arrays are joined.
+RUN = 256
 
 
 def _worth(kind: str, text: Column) -> Column:
@@ -70,9 +73,28 @@ def spans_of(kind: str, text: Column) -> Column:
             F.when(F.length(x["value"]) >= least, F.concat(acc["found"], F.array(found))).otherwise(acc["found"]).alias("found"),
         )
 
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-    located = F.aggregate(rows, start, step, lambda acc: acc["found"])
-    return F.when(_worth(kind, text), located).otherwise(empty)
+    def run(part: Column) -> Column:
+        """(length of the pieces, matches among them counted from the first)."""
+        return F.aggregate(part, F.struct(F.lit(0).alias("at"), empty.alias("found")), step)
+
+    def moved(x: Column, by: Column) -> Column:
+        return F.transform(x["found"], lambda m: F.struct((m["begin"] + by).alias("begin"), (m["end"] + by).alias("end"), m["value"].alias("value")))
+
+    def joined(runs: Column) -> Column:
+        ends = F.aggregate(runs, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["at"])))
+        return F.flatten(F.zip_with(runs, F.slice(ends, 1, F.size(runs)), moved))
+
+    def located(pieces: Column) -> Column:
+        # Runs of RUN pieces: growing one array match by match would copy it for each.
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / RUN).cast("int")), lambda k: run(F.slice(pieces, k * RUN + 1, F.lit(RUN))))
+        return _once(runs, joined)
+
+    return F.when(_worth(kind, text), _once(rows, located)).otherwise(empty)
+
+
+def _once(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _hashed(rank: int, spans: Column) -> Column:
@@ -84,10 +106,10 @@ def _hashed(rank: int, spans: Column) -> Column:
 
 
 def candidates(docs: DataFrame, keep: list[str], repository: Column, owner: Column) -> DataFrame:
-    """keep, repository, owner and the array ``spans`` of (begin, rank of kind, end, hash, mixed) of each document."""
+    """kept (a struct of keep), repository, owner and the array ``spans`` of (begin, rank of kind, end, hash, mixed) of each document."""
     text = F.coalesce(F.col("text"), F.lit(""))
     spans = F.concat(*[_hashed(k, spans_of(kind, text)) for k, kind in enumerate(ORDER)])
-    return docs.select(*keep, repository.alias("repository"), owner.alias("owner"), spans.alias("spans"))
+    return docs.select(kept_struct(docs, keep), repository.alias("repository"), owner.alias("owner"), spans.alias("spans"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -123,7 +145,8 @@ def scan_secrets(docs: DataFrame, keep: list[str] | None = None, repository: Col
     )
     whole = held.groupBy("row").agg(F.sort_array(F.collect_list(item)).alias("spans"))
     empty = F.array().cast(whole.schema["spans"].dataType)
-    return found.drop("spans").join(whole, "row", "left").select(*keep, F.coalesce("spans", empty).alias("spans"))
+    kept = [F.col("kept")[c].alias("spans_kept" if c == "spans" else c) for c in keep]
+    return found.select("kept", "row").join(whole, "row", "left").select(*kept, F.coalesce("spans", empty).alias("spans"))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
