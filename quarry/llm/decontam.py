@@ -8,8 +8,9 @@ proposes the windows indexed there; the offset must leave the window inside the
 (positional and length bounds); the proposed stretch of words is then compared whole.
 
 The index of windows is broadcast in blocks of at most ``block_bytes`` of window text. A
-benchmark beyond one block is joined block by block, so what is broadcast never grows with it,
-and hits of all blocks are united by document. Documents are never shuffled.
+benchmark beyond one block is joined block by block, so what is broadcast never grows with it, and
+hits of all blocks are united by the digest of the text, for which documents are dealt once. With
+one block, as any benchmark of usual size is, hits need no uniting and documents stay where they are.
 
 Defined results: null text has no words; an item without words has no window; equal items each
 count; items whose item_id is null are found as all others, count in n_items as one item together
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_batches, prepare, workspace, written
+from quarry.llm.common import kept_struct, map_batches, map_kept, prepare, workspace, written
 
 WINDOW = 10
 BLOCK_BYTES = 64 << 20
@@ -177,7 +178,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     """The columns ``keep`` of each document, with n_words, n_hit, n_items, items_sha256, contaminated.
 
     docs needs ``text``, and the columns of ``keep`` (doc_id alone by default); benchmark needs
-    ``item_id`` and ``text``. Kept columns must not bear the names of the results.
+    ``item_id`` and ``text``. A kept column that bears the name of a result comes back with ``_kept``
+    after it.
     """
     spark: SparkSession = docs.sparkSession
     prepare(spark)
@@ -197,20 +199,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
         counted = map_batches(docs.select("text"), lambda b, v=vocabulary: _count(b, v), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
         frequency = {r["word"].encode(): r["n"] for r in counted.toLocalIterator()}
         indexes.append(sc.broadcast(Anchors(rows, frequency)))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     if blocks == 1:
-        wanted = dict.fromkeys([*keep, "text"])
-        return map_batches(docs.select(*wanted), lambda b: _scan(b, indexes[0], keep), f"{fields}, {_RESULT}")
+        return map_kept(docs.select(kept_struct(docs, keep), "text"), keep, lambda b: _scan(b, indexes[0], ["kept"]), _RESULT)
     found = None
     for index in indexes:
         hits = map_batches(docs.select("text"), lambda b, a=index: _scan_block(b, a), "digest string, runs binary, items array<string>")
         hits = hits.dropDuplicates(["digest"])
         found = hits if found is None else found.unionByName(hits)
     found = found.groupBy("digest").agg(F.collect_list("runs").alias("runs"), F.collect_list("items").alias("items"))
-    both = docs.select(F.struct(*keep).alias("kept"), "text", F.sha2("text", 256).alias("digest")).join(found, "digest", "left")
-    return map_batches(both.select(*[F.col("kept")[k].alias(k) for k in keep if k != "text"], "text", "runs", "items"), 
-        lambda b: _unite(b, keep), f"{fields}, {_RESULT}"
-    )
+    both = docs.select(kept_struct(docs, keep), "text", F.sha2("text", 256).alias("digest")).join(found, "digest", "left")
+    return map_kept(both.select("kept", "text", "runs", "items"), keep, lambda b: _unite(b, ["kept"]), _RESULT)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

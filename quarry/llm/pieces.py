@@ -30,7 +30,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.common import map_batches, prepare
+from quarry.llm.common import kept_struct, map_kept, prepare
 
 BLANK = "▁"
 REMEMBERED = 450_000
@@ -181,16 +181,13 @@ def _encode(batches: Iterator[pa.RecordBatch], model: str, keep: list[str], with
 def encode_pieces(docs: DataFrame, model: str, keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
     """keep, n_tokens, ids_sha256, decoded_sha256 (and ids) of each whole text.
 
-    model: path of the model file, the same on every executor. Kept columns must not bear the
-    names of the results.
+    model: path of the model file, the same on every executor. A kept column that bears the name
+    of a result comes back with ``_kept`` after it.
     """
     prepare(docs.sparkSession)
+    results = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     keep = keep or ["doc_id"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    wanted = dict.fromkeys([*keep, "text"])
-    return map_batches(
-        docs.select(*wanted), lambda b: _encode(b, model, keep, with_ids), f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    )
+    return map_kept(docs.select(kept_struct(docs, keep), "text"), keep, lambda b: _encode(b, model, ["kept"], with_ids), results)
 
 
 def default_model() -> str:
