@@ -41,7 +41,7 @@ def training_examples(results: DataFrame, used: DataFrame, event: str, key: str)
     """
     marks = used.select(event, key).distinct().withColumn("_used", F.lit(1))
     joined = results.join(marks, [event, key], "left")
-    last = joined.where("_used = 1").groupBy(event).agg(F.max("rank").alias("_last"))
-    both = joined.join(last, event)
+    last = F.max(F.when(F.col("_used") == 1, F.col("rank"))).over(Window.partitionBy(event))
+    both = joined.withColumn("_last", last).where(F.col("_last").isNotNull())
     label = F.coalesce("_used", F.lit(0))
     return both.withColumn("label", label).withColumn("above_used", (label == 0) & (F.col("rank") < F.col("_last"))).drop("_used", "_last")

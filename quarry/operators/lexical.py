@@ -18,32 +18,40 @@ def query_terms(query: str) -> dict[str, int]:
     return dict(Counter(t.lower() for t in re.findall(TOKEN, query or "")))
 
 
-def bm25(docs: DataFrame, key: str, text: Column, query: str) -> DataFrame:
-    """(key, bm25) of the documents with a positive score; all statistics are those of docs.
+def term_counts(docs: DataFrame, key: str, text: Column, words: list[str]) -> DataFrame:
+    """(key, _dl, _term, _tf): how often each document has each word; a row without a term stands for the document."""
+    found = docs.select(key, tokens(text).alias("_t")).select(key, F.size("_t").alias("_dl"), "_t")
+    each = found.select(key, "_dl", F.explode(F.array_append("_t", F.lit(None).cast("string"))).alias("_term"))
+    return each.where(F.col("_term").isNull() | F.col("_term").isin(*words)).groupBy(key, "_dl", "_term").agg(F.count(F.lit(1)).alias("_tf"))
 
-    Terms are counted inside each document's token array: there is no posting table and the only
-    shuffle is the one-row aggregate of statistics, which is broadcast (one row at any size).
-    """
+
+def bm25(docs: DataFrame, key: str, text: Column, query: str) -> DataFrame:
+    """(key, bm25) of the documents with a positive score; all statistics are those of docs, whose keys are distinct."""
     terms = query_terms(query)
-    words = list(terms)
-    if not words:
+    if not terms:
         return docs.select(key, F.lit(0.0).alias("bm25")).where(F.lit(False))
-    found = tokens(text)
-    counts = F.transform(F.array(*map(F.lit, words)), lambda w: F.size(F.filter(F.col("_hits"), lambda t: t == w)))
-    counted = docs.select(key, found.alias("_t")).select(key, F.size("_t").alias("_dl"), F.filter("_t", lambda t: t.isin(*words)).alias("_hits"))
-    counted = counted.select(key, "_dl", counts.alias("_tf"))
-    tf = [F.get("_tf", F.lit(i)) for i in range(len(words))]
-    stats = counted.agg(
-        F.count(F.lit(1)).cast("double").alias("_n"), F.avg("_dl").alias("_avg"), F.array(*[F.count_if(x > 0).cast("double") for x in tf]).alias("_df")
-    )
+    return bm25_of_counts(term_counts(docs, key, text, list(terms)), key, terms)
+
+
+def bm25_of_counts(counts: DataFrame, key: str, terms: dict[str, int]) -> DataFrame:
+    """(key, bm25) from rows of term_counts.
+
+    Statistics and scores both read the exchange of the counts, which is planned once and reused:
+    texts are tokenised once. The statistics are one row, broadcast at any size: a number for each
+    word of the query.
+    """
+    whole = F.col("_term").isNull()
+    by_term = counts.groupBy("_term").agg(F.count_if(F.col("_tf") > 0).alias("_df"), F.sum("_tf").alias("_n"), F.sum(F.col("_dl") * F.col("_tf")).alias("_length"))
+    stats = by_term.agg(
+        F.max(F.when(whole, F.col("_n"))).cast("double").alias("_n"), F.max(F.when(whole, F.col("_length") / F.col("_n"))).alias("_avg"),
+        F.map_from_entries(F.collect_list(F.when(~whole, F.struct("_term", F.col("_df").cast("double").alias("_df"))))).alias("_df"),
+    )
+    weight = F.create_map(*[F.lit(x) for word, n in terms.items() for x in (word, float(n))])
+    idf = F.transform_values("_df", lambda term, df: F.try_element_at(weight, term) * F.ln(1 + (F.col("_n") - df + 0.5) / (df + 0.5)))
     norm = F.lit(1 - B) + F.lit(B) * F.col("_dl") / F.col("_avg")
-    score = F.lit(0.0)
-    for i, word in enumerate(words):
-        df = F.get("_df", F.lit(i))
-        idf = F.ln(1 + (F.col("_n") - df + 0.5) / (df + 0.5))
-        score = score + F.lit(float(terms[word])) * idf * tf[i] * (K1 + 1) / (tf[i] + F.lit(K1) * norm)
-    # A predicate that needs both sides stays above the join, so texts are tokenised once.
-    return counted.crossJoin(F.broadcast(stats)).select(key, score.alias("bm25")).where("bm25 > 0")
+    score = F.try_element_at("_idf", F.coalesce("_term", F.lit(""))) * F.col("_tf") * (K1 + 1) / (F.col("_tf") + F.lit(K1) * norm)
+    scored = counts.crossJoin(F.broadcast(stats.select("_avg", idf.alias("_idf")))).select(key, score.alias("_s"))
+    return scored.groupBy(key).agg(F.sum("_s").alias("bm25")).where("bm25 > 0")
 
 
 def document_frequency(docs: DataFrame, text: Column) -> DataFrame:

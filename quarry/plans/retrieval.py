@@ -16,8 +16,8 @@ KEYWORDS = "the tion er"
 LITERAL, PATTERN = " of the ", r"(password|token|secret)\s*[:=]"
 
 TOKENS = "list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z_][A-Za-z0-9_]*|[0-9]+'), lambda t: lower(t))"
-#: The query text is the first benchmark item's, whole in query_text; this SQL still takes its first 120 characters only.
-TERMS = f"q AS (SELECT t, CAST(count(*) AS DOUBLE) AS w FROM (SELECT unnest({TOKENS}) AS t FROM (SELECT substr(text, 1, 120) AS text FROM benchmark ORDER BY item_id LIMIT 1)) GROUP BY t)"
+#: The query text is the first benchmark item's, whole.
+TERMS = f"q AS (SELECT t, CAST(count(*) AS DOUBLE) AS w FROM (SELECT unnest({TOKENS}) AS t FROM (SELECT text FROM benchmark ORDER BY item_id LIMIT 1)) GROUP BY t)"
 
 
 def bm25_sql(docs: str) -> str:
