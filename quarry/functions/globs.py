@@ -22,17 +22,17 @@ def normalise(patterns: list[str] | None) -> list[str]:
     return out
 
 
-def _body(pattern: str) -> str:
-    """A shell glob as a regular expression; * and ? cross slashes."""
+def _body(pattern: str, one: str = ".") -> str:
+    """A shell glob as a regular expression; * and ? stand for what ``one`` matches: all, or all but slashes."""
     out, i = "", 0
     while i < len(pattern):
         c = pattern[i]
         if c == "*":
             while pattern[i + 1 : i + 2] == "*":
                 i += 1
-            out += ".*"
+            out += one + "*"
         elif c == "?":
-            out += "."
+            out += one
         elif c == "[" and (end := pattern.find("]", i + 2)) > 0:
             inside = pattern[i + 1 : end].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
             out += "[" + ("^" + inside[1:] if inside[0] == "!" else "\\" + inside if inside[0] == "^" else inside) + "]"
@@ -82,8 +82,8 @@ def ignore_rules(text: str) -> list[tuple[bool, str]]:
         line = line[1:] if line.startswith("\\") else line
         only_dir, line = line.endswith("/"), line.rstrip("/")
         anchored, line = "/" in line, line.lstrip("/")
-        parts = [".*" if s == "**" else _body(s).replace(".*", "[^/]*") for s in line.split("/")]
-        body = "/".join(parts).replace(".*/", "(?:.*/)?").replace("/.*", "/.*")
+        parts = [".*" if s == "**" else _body(s, "[^/]") for s in line.split("/")]
+        body = "/".join(parts).replace(".*/", "(?:.*/)?")
         rules.append((ignored, ("^" if anchored else "^(?:.*/)?") + body + ("/.*$" if only_dir else "(?:/.*)?$")))
     return rules
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: An identifier or a run of digits.
 TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+"
+BLANKS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 LINE_END = r"\r\n|\n|\r"
 #: What follows a query in its variants.
 QUERY_SUFFIXES = ("", " function method implementation", " handler service repository", " route endpoint request response", " state cache session auth")
@@ -14,8 +17,9 @@ LINE_CHARS = 500
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased code tokens in order, repeats included."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), F.lower)
+    """Lower-cased code tokens in order, repeats included. A token is ASCII, so A-Z are lowered before it is found."""
+    low = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
 
 
 def lines(text: Column) -> Column:
@@ -24,10 +28,17 @@ def lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
-def clipped(text: Column, n: int, mark: str = "...") -> Column:
-    """At most n characters, the last of them a mark where text was cut; line ends become blanks."""
-    flat = F.regexp_replace(text, r"\s*[\r\n]+\s*", " ")
-    return F.when(F.length(flat) > n, F.concat(F.substring(flat, 1, n - len(mark)), F.lit(mark))).otherwise(flat)
+def clipped(text: Column, n: int, mark: str = "…") -> Column:
+    """At most n characters, the last of them a mark where text was cut.
+
+    Text of one line gets single blanks; text with line ends keeps its inside and loses only the
+    blanks around it. What a cut leaves loses the blanks at its end.
+    """
+    around = rf"^{BLANKS}+|{BLANKS}+$"
+    single = F.trim(F.regexp_replace(text, f"{BLANKS}+", " "))
+    clean = F.when(F.contains(text, F.lit("\n")), F.regexp_replace(text, around, "")).otherwise(single)
+    cut = F.regexp_replace(F.substring(clean, 1, max(0, n - 1)), f"{BLANKS}+$", "")
+    return F.when(F.length(clean) > n, F.concat(cut, F.lit(mark))).otherwise(clean)
 
 
 def query_variants(query: Column, most: int = 5) -> Column:
@@ -42,6 +53,12 @@ def short_ref(ref: Column) -> Column:
     return F.when(ref.rlike("^[0-9a-fA-F]{12,40}$"), F.left(ref, F.lit(7))).otherwise(ref)
 
 
+def compare_label(base: Column, head: Column) -> Column:
+    """base...head in short form; HEAD for a missing head, the work tree without a base."""
+    left, right = short_ref(F.coalesce(base, F.lit(""))), short_ref(F.coalesce(head, F.lit("")))
+    return F.when(left == "", F.lit("HEAD...working tree")).otherwise(F.concat(left, F.lit("..."), F.when(right == "", F.lit("HEAD")).otherwise(right)))
+
+
 def location(text: Column) -> Column:
     """struct<path, begin, end> of path, path:line or path:line-end; missing numbers are null."""
     pattern = r"^(.*?)(?::([0-9]+)(?:-([0-9]+))?)?$"

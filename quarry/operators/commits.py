@@ -21,27 +21,39 @@ def resolve(refs: DataFrame, commits: DataFrame) -> DataFrame:
     return left.join(commits.withColumn("_head", F.left("hash", F.lit(4))), "_head").where(match).select("ref", "hash", "subject")
 
 
-def lanes(commits: DataFrame) -> DataFrame:
-    """(hash, lane) for a window of commits in order of ``position``: sequential by nature, so one group of bounded size."""
+MOST_COMMITS = 1000
+
+
+def assign_lanes(rows: list[tuple[str, list[str]]]) -> list[int]:
+    """The lane of each (hash, parents), children before parents.
+
+    A lane awaits one hash. A commit takes the first lane that awaits it, or the first free one,
+    and frees the others that do. Its lane then awaits its first parent, whoever else does; a
+    further parent that nobody awaits gets the first free lane.
+    """
+    awaits: dict[int, str] = {}
+    free = lambda: next(k for k in range(len(awaits) + 1) if k not in awaits)
+    out = []
+    for name, parents in rows:
+        mine = sorted(k for k, h in awaits.items() if h == name)
+        lane = mine[0] if mine else free()
+        for k in mine:
+            del awaits[k]
+        if parents:
+            awaits[lane] = parents[0]
+        for parent in parents[1:]:
+            if parent not in awaits.values():
+                awaits[free()] = parent
+        out.append(lane)
+    return out
+
+
+def lanes(commits: DataFrame, most: int = MOST_COMMITS) -> DataFrame:
+    """(hash, lane) of the first ``most`` (1..1000) commits by ``position``: a graph view is that long, and lanes depend on all before."""
 
     def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        waiting: list[str | None] = []
-        out = []
-        for r in rows.sort_values("position").itertuples():
-            lane = waiting.index(r.hash) if r.hash in waiting else waiting.index(None) if None in waiting else len(waiting)
-            if lane == len(waiting):
-                waiting.append(None)
-            waiting = [None if w == r.hash else w for w in waiting]
-            for n, parent in enumerate(r.parents):
-                if parent in waiting:
-                    continue
-                if n == 0:
-                    waiting[lane] = parent
-                elif None in waiting:
-                    waiting[waiting.index(None)] = parent
-                else:
-                    waiting.append(parent)
-            out.append((r.hash, lane))
-        return pd.DataFrame(out, columns=["hash", "lane"])
-
-    return commits.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(assign, "hash string, lane int")
+        rows = rows.sort_values("position")
+        return pd.DataFrame({"hash": rows["hash"], "lane": assign_lanes([(h, list(p)) for h, p in zip(rows["hash"], rows["parents"], strict=True)])})
+
+    window = commits.orderBy("position").limit(max(1, min(MOST_COMMITS, most)))
+    return window.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(assign, "hash string, lane int")

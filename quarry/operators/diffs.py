@@ -13,7 +13,7 @@ from quarry.operators.ranges import overlapping
 
 HUNK = (
     "commit_hash string, commit_subject string, commit_message string, path string, diff_old_path string, diff_new_path string, lineno int, end_lineno int, "
-    "changed_code string, diff_code string, additions int, deletions int, added_ranges array<struct<begin:int,end:int>>, removed_ranges array<struct<begin:int,end:int>>, anchor int"
+    "changed_code string, diff_code string, search_text string, additions int, deletions int, added_ranges array<struct<begin:int,end:int>>, removed_ranges array<struct<begin:int,end:int>>, anchor int"
 )
 NAMES = [x.split()[0] for x in re.sub(r"<[^>]*>+", "", HUNK).split(", ")]
 _HEADER = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@(.*)$")
@@ -27,6 +27,13 @@ def header_path(text: str) -> str | None:
     return None if path == "/dev/null" else path[2:] if path[:2] in ("a/", "b/") else path
 
 
+def file_header(old_path: str | None, new_path: str | None) -> str:
+    """The three lines that git writes before a file's hunks; a missing side is the null device."""
+    sides = [(f"a/{old_path or new_path or ''}", "a/" if old_path else None, old_path), (f"b/{new_path or old_path or ''}", "b/" if new_path else None, new_path)]
+    shown = [prefix + path if prefix else "/dev/null" for _, prefix, path in sides]
+    return f"diff --git {sides[0][0]} {sides[1][0]}\n--- {shown[0]}\n+++ {shown[1]}"
+
+
 def line_ranges(numbers: list[int]) -> list[dict]:
     out: list[dict] = []
     for n in sorted(set(numbers)):
@@ -38,7 +45,10 @@ def line_ranges(numbers: list[int]) -> list[dict]:
 
 
 def parse_patch(patch: str) -> Iterator[dict]:
-    """Hunks of a unified diff. Inside a hunk exactly the lines that its header counts are read, whatever they look like."""
+    """Hunks of a unified diff: changed_code has the lines that come and go, search_text the hunk below its file's header.
+
+    Inside a hunk exactly the lines that its header counts are read, whatever they look like.
+    """
     lines, k, old_path, new_path = patch.split("\n"), 0, None, None
     while k < len(lines):
         line = lines[k]
@@ -52,7 +62,7 @@ def parse_patch(patch: str) -> Iterator[dict]:
         elif m := _HEADER.match(line):
             old, new = int(m[1]), int(m[3])
             left_old, left_new = int(m[2] or 1), int(m[4] or 1)
-            anchor, body, added, removed = new, [], [], []
+            anchor, body, added, removed, start = new, [], [], [], max(new, 1)
             while k < len(lines) and (left_old or left_new or lines[k].startswith("\\")):
                 sign, text = lines[k][:1] or " ", lines[k]
                 k += 1
@@ -70,10 +80,11 @@ def parse_patch(patch: str) -> Iterator[dict]:
                     removed.append(old)
                 old, new = old + (sign in " -"), new + (sign in " +")
             if added or removed:
-                changed = "\n".join(x[1:] for x in body if x[:1] == "+")
+                first = min(added, default=start)
+                whole = "\n".join([line, *body]).rstrip()
                 yield {
-                    "path": new_path or old_path, "diff_old_path": old_path, "diff_new_path": new_path, "lineno": min(added, default=anchor), "end_lineno": max(added, default=anchor),
-                    "changed_code": changed, "diff_code": "\n".join([line, *body]), "additions": len(added), "deletions": len(removed),
+                    "path": new_path or old_path, "diff_old_path": old_path, "diff_new_path": new_path, "lineno": first, "end_lineno": max(first, new - 1),
+                    "changed_code": "\n".join(x[1:] for x in body if x[:1] in ("+", "-")).rstrip(), "diff_code": whole, "search_text": f"{file_header(old_path, new_path)}\n{whole}", "additions": len(added), "deletions": len(removed),
                     "added_ranges": line_ranges(added), "removed_ranges": line_ranges(removed), "anchor": max(1, anchor),
                 }
 
@@ -105,10 +116,13 @@ def changed_symbols(symbols: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def diff_units(found: DataFrame) -> DataFrame:
-    """One row per commit and file (each file alone for the work tree), bodies in order."""
+    """One row per commit and file (each file alone for the work tree), bodies and ranges in order."""
     key = F.coalesce(F.col("commit_hash"), F.col("commit_subject"), F.concat(F.lit("__file__"), F.col("path")))
     grouped = found.withColumn("commit_key", key).groupBy("commit_key", "path").agg(
         F.count(F.lit(1)).alias("file_hunk_count"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"), F.max("end_lineno").alias("end_lineno"),
-        F.first("commit_message").alias("commit_message"), F.sort_array(F.collect_list(F.struct("lineno", "diff_code"))).alias("_b"),
+        F.min("lineno").alias("lineno"), F.max("commit_message").alias("commit_message"),
+        F.sort_array(F.collect_list(F.struct("lineno", "end_lineno", "diff_code", "search_text", "added_ranges", "removed_ranges"))).alias("_b"),
     )
-    return grouped.withColumn("diff_code", F.array_join(F.transform("_b", lambda x: x["diff_code"]), "\n")).drop("_b")
+    joined = {c: F.array_join(F.col("_b")[c], "\n") for c in ("diff_code", "search_text")}
+    ranges = {c: F.flatten(F.col("_b")[c]) for c in ("added_ranges", "removed_ranges")}
+    return grouped.withColumns(joined | ranges).drop("_b")

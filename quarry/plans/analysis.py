@@ -16,7 +16,7 @@ from quarry.queries import query
 from quarry.session import table
 
 EXCLUDE = ["*.php", "*/1*"]
-IGNORE = "# pages\nen/\n*7\n!*77\nfr/1*\n"
+IGNORE = "# pages\nen/\n*7\n!*77\np?ge[0-4]*\nfr/1*\n"
 PATH_SQL = "SELECT page_id, regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1) AS path FROM pages"
 
 
@@ -24,16 +24,9 @@ def paths(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^https?://[^/]+/([^?#]*)", 1).alias("path"))
 
 
-def _sql_regex(regex: str) -> str:
-    return regex.replace("'", "''")
-
-
-def _any(patterns: list[str]) -> str:
-    return "(?s)" + globs.any_regex(globs.normalise(patterns))
-
-
 INCLUDE_PATHS = ["en/*", "de/*", "fr/**"]
-PATHS_SQL = f"path <> '' AND regexp_matches(path, '{_sql_regex(_any(INCLUDE_PATHS))}') AND NOT regexp_matches(path, '{_sql_regex(_any(EXCLUDE))}')"
+#: Written by hand: what the globs mean, not what the code makes of them.
+PATHS_SQL = """path <> '' AND (starts_with(path, 'en/') OR starts_with(path, 'de/') OR path = 'fr' OR starts_with(path, 'fr/')) AND NOT (suffix(path, '.php') OR contains(path, '/1'))"""
 
 
 @query(f"SELECT page_id, path FROM ({PATH_SQL}) WHERE {PATHS_SQL}")
@@ -41,14 +34,12 @@ def glob_filter(spark, sf_dir):
     return paths(spark, sf_dir).where(globs.allowed(F.col("path"), INCLUDE_PATHS, EXCLUDE))
 
 
-def _ignore_sql() -> str:
-    out = "false"
-    for ignored, regex in globs.ignore_rules(IGNORE):
-        out = f"CASE WHEN regexp_matches(path, '{_sql_regex(regex)}') THEN {str(ignored).lower()} ELSE {out} END"
-    return out
+#: Written by hand from IGNORE, last rule first: a path is a rule's if it or a folder above it is.
+IGNORE_SQL = """CASE WHEN regexp_matches(path, '^fr/1[^/]*(/|$)') THEN true WHEN regexp_matches(path, '(^|/)p.ge[0-4][^/]*(/|$)') AND NOT regexp_matches(path, '(^|/)p/ge') THEN true
+WHEN regexp_matches(path, '(^|/)[^/]*77(/|$)') THEN false WHEN regexp_matches(path, '(^|/)[^/]*7(/|$)') THEN true WHEN regexp_matches(path, '(^|/)en/') THEN true ELSE false END"""
 
 
-@query(f"SELECT page_id, path FROM ({PATH_SQL}) WHERE NOT ({_ignore_sql()})")
+@query(f"SELECT page_id, path FROM ({PATH_SQL}) WHERE NOT ({IGNORE_SQL})")
 def ignore_filter(spark, sf_dir):
     return paths(spark, sf_dir).where(~globs.is_ignored(F.col("path"), IGNORE))
 
@@ -79,7 +70,7 @@ def empty_scope_is_none(spark, sf_dir):
     return docs.join(table(spark, sf_dir, "labels").where("quality < 0").select("doc_id"), "doc_id", "left_semi")
 
 
-@query(f"SELECT page_id, path FROM ({PATH_SQL}) WHERE ({PATHS_SQL}) AND NOT ({_ignore_sql()}) AND suffix(path, '3') AND page_id IN (SELECT doc_id FROM labels)")
+@query(f"SELECT page_id, path FROM ({PATH_SQL}) WHERE ({PATHS_SQL}) AND NOT ({IGNORE_SQL}) AND suffix(path, '3') AND page_id IN (SELECT doc_id FROM labels)")
 def path_predicate_combined(spark, sf_dir):
     scope = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"))
     test = globs.allowed(F.col("path"), INCLUDE_PATHS, EXCLUDE) & ~globs.is_ignored(F.col("path"), IGNORE) & F.endswith(F.col("path"), F.lit("3"))
@@ -255,7 +246,7 @@ round(count(rank) / count(*), 6) AS proportion, round(coalesce(sum(1 / rank), 0)
 @query(STATS_SQL)
 def class_stats(spark, sf_dir):
     found = stats.class_stats(table(spark, sf_dir, "documents").select("source", "doc_id"), _results(spark, sf_dir), "source", "doc_id")
-    return found.select("source", "method_count", "search_hits", F.round("weighted_score", 6).alias("weighted_score"), "best_rank", F.round("proportion", 6).alias("proportion"), F.round("composite_score", 6).alias("composite_score")).orderBy(F.desc("composite_score"))
+    return found.select("source", "method_count", "search_hits", F.round("weighted_score", 6).alias("weighted_score"), "best_rank", F.round("proportion", 6).alias("proportion"), F.round("composite_score", 6).alias("composite_score"))
 
 
 @query(f"SELECT * FROM ({STATS_SQL}) WHERE search_hits > 0")
@@ -263,7 +254,7 @@ def stats_kind_filter(spark, sf_dir):
     return class_stats(spark, sf_dir).where("search_hits > 0")
 
 
-@query(f"{RESULTS}, o AS (SELECT doc_id, row_number() OVER (ORDER BY rank ASC NULLS LAST, doc_id) AS place FROM documents LEFT JOIN r USING (doc_id)) SELECT * FROM o WHERE place <= 100")
+@query(f"{RESULTS}, o AS (SELECT doc_id, row_number() OVER (ORDER BY rank ASC NULLS LAST, doc_id) AS place FROM documents LEFT JOIN r USING (doc_id)) SELECT * FROM o")
 def standalone_order(spark, sf_dir):
     return stats.placed(table(spark, sf_dir, "documents").select("doc_id"), _results(spark, sf_dir), "doc_id")
 
@@ -331,11 +322,15 @@ def digest_signatures(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", catalog.content_hash(F.col("text")).alias("hash"), symbol.alias("symbol"), F.md5("source").alias("folder"))
 
 
-@query("""SELECT 'd' || doc_id AS id, CASE WHEN length(f) > 60 THEN substr(f, 1, 57) || '...' ELSE f END AS short FROM (SELECT doc_id, regexp_replace(text, '\\s*[\\r\\n]+\\s*', ' ', 'g') AS f FROM documents)
-UNION ALL SELECT 'b' || item_id, array_to_string(list_slice([q, q || ' function method implementation', q || ' handler service repository'], 1, 3), '|') FROM (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS q FROM benchmark)""")
+_B = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\pZ]"
+
+
+@query(f"""SELECT 'd' || doc_id AS id, CASE WHEN length(f) > 60 THEN regexp_replace(substr(f, 1, 59), '{_B}+$', '') || '…' ELSE f END AS short
+FROM (SELECT doc_id, CASE WHEN contains(text, chr(10)) THEN regexp_replace(text, '^{_B}+|{_B}+$', '', 'g') ELSE trim(regexp_replace(text, '{_B}+', ' ', 'g')) END AS f FROM documents)
+UNION ALL SELECT 'b' || item_id, array_to_string([q, q || ' function method implementation', q || ' handler service repository', q || ' route endpoint request response', q || ' state cache session auth'], '|') FROM (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS q FROM benchmark)""")
 def truncate_and_variants(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), X.clipped(F.col("text"), 60).alias("short"))
-    variants = F.array_join(X.query_variants(F.col("text"), 3), "|")
+    variants = F.array_join(X.query_variants(F.col("text")), "|")
     return docs.unionByName(table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("id"), variants.alias("short")))
 
 
@@ -359,7 +354,7 @@ def similar_selection_order(spark, sf_dir):
     return found.select("doc_id", F.row_number().over(Window.orderBy("block", "rank")).cast("long").alias("place"))
 
 
-@query(f"SELECT doc_id, source, n_chars, {_KIND} AS kind FROM documents ORDER BY source, n_chars, {_KIND} = 'code_block', doc_id LIMIT 100")
+@query(f"SELECT doc_id, source, n_chars, {_KIND} AS kind FROM documents ORDER BY source, n_chars, {_KIND} = 'code_block', doc_id")
 def symbol_order(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.expr(_KIND).alias("kind"))
     return rows.orderBy("source", "n_chars", F.col("kind") == "code_block", "doc_id")
@@ -386,9 +381,11 @@ def tumbling_counts(spark, sf_dir):
     return found.select(F.col("w.start").alias("begin"), "event_type", "n")
 
 
-@query("SELECT doc_id, regexp_matches(text, '[à-ÿ]') AS found FROM documents")
+@query("""SELECT doc_id, regexp_matches(t, '[\\x{3040}-\\x{30ff}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9faf}]') AS found
+FROM (SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN 'かな' WHEN 1 THEN '漢' WHEN 2 THEN 'ー' WHEN 3 THEN '한글é' ELSE '' END AS t FROM documents)""")
 def script_detector(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike("[à-ÿ]").alias("found"))
+    tail = F.element_at(F.array(*map(F.lit, ("かな", "漢", "ー", "한글é", ""))), (F.col("doc_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.has_japanese(F.concat("text", tail)).alias("found"))
 
 
 @query("SELECT doc_id, sha256(concat_ws(chr(10), source, lang, text, '{\"n_chars\":' || n_chars || '}')) AS hash FROM documents")
@@ -436,9 +433,12 @@ def progress_rate_eta(spark, sf_dir):
     return rows.select("user_id", "event_id", "current", "total", F.round(eta, 6).alias("eta"))
 
 
-@query("""SELECT page_id, 'x/' || page_id AS path, CAST(page_id AS INTEGER) AS begin, CAST(page_id + 3 AS INTEGER) AS "end" FROM pages""")
+@query("""SELECT page_id, CASE page_id % 4 WHEN 2 THEN 'x/' || page_id WHEN 3 THEN 'c:\\y:z' ELSE 'x/' || page_id END AS path,
+CAST(CASE page_id % 4 WHEN 2 THEN NULL WHEN 3 THEN 7 ELSE page_id END AS INTEGER) AS begin, CAST(CASE page_id % 4 WHEN 0 THEN page_id + 3 WHEN 1 THEN page_id WHEN 3 THEN 7 END AS INTEGER) AS "end" FROM pages""")
 def location_parse(spark, sf_dir):
-    text = F.concat(F.lit("x/"), F.col("page_id").cast("string"), F.lit(":"), F.col("page_id").cast("string"), F.lit("-"), (F.col("page_id") + 3).cast("string"))
+    n = F.col("page_id").cast("string")
+    shapes = F.array(F.concat(F.lit("x/"), n, F.lit(":"), n, F.lit("-"), (F.col("page_id") + 3).cast("string")), F.concat(F.lit("x/"), n, F.lit(":"), n), F.concat(F.lit("x/"), n), F.lit("c:\\y:z:7"))
+    text = F.element_at(shapes, (F.col("page_id") % 4 + 1).cast("int"))
     return table(spark, sf_dir, "pages").select("page_id", X.location(text).alias("l")).select("page_id", "l.path", "l.begin", "l.end")
 
 

@@ -101,14 +101,35 @@ def script_symbols(content: bytes) -> list[dict]:
         near = [d for d in docs if d[0] <= begin]
         return near[-1][1] if near and re.fullmatch(r"(?:\s|export|default|async|public|private|protected|static|readonly|override|@\w+(?:\([^)]*\))?)*", plain[near[-1][0] : begin]) else None
 
-    body = re.compile(r"\s*(?::[^{};=]*(?:\{[^{}]*\}[^{};=]*)?)?\{")
+    blank, operator = re.compile(r"\s*"), re.compile(r"\b(?:is|keyof|extends)\s*$")
+
+    def body(at: int) -> int | None:
+        """Where the body opens after the parameters; a brace where a type is due opens an object type."""
+        at = blank.match(plain, at).end()
+        if plain[at : at + 1] != ":":
+            return at if plain[at : at + 1] == "{" else None
+        due = True
+        while at < len(plain):
+            c = plain[at]
+            if c == "{":
+                if not due and not operator.search(plain, max(0, at - 9), at):
+                    return at
+                at, due = closing(plain, at), False
+                continue
+            if c in ";}" or (c == "=" and plain[at + 1 : at + 2] != ">"):
+                return None
+            arrow = c == "="
+            due = due if c.isspace() else arrow or c in ":<|&,(["
+            at += 2 if arrow else 1
+        return None
+
     out = []
     for m in re.finditer(r"(?<![\w.$])(?:async\s+)?function\s*\*?\s*(\w+)\s*(?:<[^()]*>)?(?=\()", plain):
         before = plain[: m.start()].rstrip()
         if before.endswith(("=", "(", ",", ":", "?", "return", "=>")):
             continue
-        if after := body.match(plain, _after_parameters(plain, m.end())):
-            out.append((m.start(), _symbol(code, m[1], m.start(), closing(plain, after.end() - 1), None, doc(m.start()))))
+        if (opening := body(_after_parameters(plain, m.end()))) is not None:
+            out.append((m.start(), _symbol(code, m[1], m.start(), closing(plain, opening), None, doc(m.start()))))
     head = re.compile(r"(?<![\w.#])((?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*\*?\s*)(#?\w+)\s*(?:<[^(){};]*>)?(?=\()")
     for m in head.finditer(plain):
         owner = _owner(classes, m.start(2))
@@ -116,7 +137,7 @@ def script_symbols(content: bytes) -> list[dict]:
             continue
         if plain[: m.start()].rstrip()[-1:] not in ("{", "}", ";", ")", "") and "\n" not in plain[len(plain[: m.start()].rstrip()) : m.start(2)]:
             continue
-        if after := body.match(plain, _after_parameters(plain, m.end())):
+        if (opening := body(_after_parameters(plain, m.end()))) is not None:
             begin = m.start() + len(m[0]) - len(m[0].lstrip())
-            out.append((begin, _symbol(code, m[2], begin, closing(plain, after.end() - 1), owner[1], doc(begin))))
+            out.append((begin, _symbol(code, m[2], begin, closing(plain, opening), owner[1], doc(begin))))
     return [s for _, s in sorted(out, key=lambda x: x[0])]

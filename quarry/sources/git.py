@@ -15,6 +15,8 @@ from quarry.functions.globs import ignore_rules
 
 #: Directories that are never scanned.
 SKIPPED = frozenset(".git .mypy_cache .quarry_index .pytest_cache .venv .vscode-test __pycache__ build dist node_modules out".split())
+#: Ignore files of a tree's root; the second is the engine's own.
+IGNORE_FILES = (".gitignore", ".quarryignore")
 RECORD, UNIT = "\x1e", "\x1f"
 FILES = "path string, content binary"
 COMMITS = "hash string, short string, parents array<string>, author string, date string, refs string, subject string"
@@ -40,10 +42,19 @@ def is_ignored(path: str, rules: list[tuple[bool, str]]) -> bool:
     return out
 
 
-def walk(root: str, suffix: str | None = None) -> list[str]:
+def read_rules(root: str, names: tuple[str, ...] = IGNORE_FILES) -> list[tuple[bool, str]]:
+    """The rules of the ignore files in root, one file after the other: the last that matches decides."""
+    rules = []
+    for path in (os.path.join(root, n) for n in names):
+        if os.path.exists(path):
+            with open(path, encoding="utf-8", errors="replace") as f:
+                rules += ignore_rules(f.read())
+    return rules
+
+
+def walk(root: str, suffix: str | None = None, ignore_files: tuple[str, ...] = IGNORE_FILES) -> list[str]:
     """Relative paths below root; ignored and skipped directories are not entered."""
-    ignore = os.path.join(root, ".gitignore")
-    rules = ignore_rules(open(ignore, encoding="utf-8", errors="replace").read()) if os.path.exists(ignore) else []
+    rules = read_rules(root, ignore_files)
     found = []
     for folder, folders, files in os.walk(root):
         rel = lambda n, f=folder: os.path.relpath(os.path.join(f, n), root).replace(os.sep, "/")
@@ -111,11 +122,25 @@ def _as_added(root: str, path: str) -> str:
     return f"diff --git a/{path} b/{path}\nnew file mode 100644\n--- /dev/null\n+++ b/{path}\n@@ -0,0 +1,{len(lines)} @@\n{body}{mark}"
 
 
-def patches(spark: SparkSession, root: str, base: str, head: str = "HEAD") -> DataFrame:
-    """(commit_hash, commit_subject, commit_message, patch) of the commits of base..head, oldest last."""
-    log = git(root, "log", "-p", "--no-color", f"--format={RECORD}%H{UNIT}%s{UNIT}%B{UNIT}", f"{safe_ref(base)}..{safe_ref(head)}")
-    rows = [tuple(x.split(UNIT, 3)) for x in log.split(RECORD) if x.strip()]
-    return spark.createDataFrame([(h, s, m.strip(), p.lstrip("\n")) for h, s, m, p in rows], "commit_hash string, commit_subject string, commit_message string, patch string")
+PATCHES = "commit_hash string, commit_subject string, commit_message string, patch string"
+
+
+def patches(spark: SparkSession, root: str, base: str, head: str = "HEAD", partitions: int | None = None) -> DataFrame:
+    """(commit_hash, commit_subject, commit_message, patch) of the commits of base..head, merges without a patch.
+
+    The driver lists hashes only; executors that share the root read each commit's patch.
+    """
+    hashes = git(root, "rev-list", f"{safe_ref(base)}..{safe_ref(head)}").split()
+
+    def each(batches):
+        import pandas as pd
+
+        for batch in batches:
+            shown = [git(root, "show", "--no-color", f"--format=%s{UNIT}%B{UNIT}", h).split(UNIT, 2) for h in batch["commit_hash"]]
+            yield pd.DataFrame([(h, s, m.strip(), p.lstrip("\n")) for h, (s, m, p) in zip(batch["commit_hash"], shown, strict=True)], columns=["commit_hash", "commit_subject", "commit_message", "patch"])
+
+    listed = spark.createDataFrame([(h,) for h in hashes], "commit_hash string")
+    return listed.repartition(partitions or max(1, min(len(hashes) // 16, 1000))).mapInPandas(each, PATCHES)
 
 
 def commits(spark: SparkSession, root: str, limit: int = 200) -> DataFrame:
