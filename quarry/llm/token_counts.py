@@ -2,7 +2,7 @@
 
 The best segmentation of a prefix does not depend on what follows, so distinct pre-tokens go
 into a trie and each node gets its forward score and token count once, from the nodes of its
-own path: over all pieces that end there, the best sum of the score before the piece and the
+own path: over all pieces that end there (an automaton finds them), the best sum of the score before the piece and the
 piece's score (of equal sums, the fewest tokens). Terminals hold the counts, and a text's count
 is the sum over its pre-tokens. Nothing is shuffled; a worker's trie holds at most ``NODES``
 nodes and starts anew beyond that.
@@ -25,6 +25,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,7 @@ BLANK = "▁"
 NODES = 1_500_000
 UNKNOWN_PENALTY = 10.0
 _TOKENS, _SCORE = operator.itemgetter(0), operator.itemgetter(1)
-_PRETOKEN = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+_PRETOKEN = re.compile(" *[^ ]+| +")
 
 
 def zipf_pieces(model: str) -> dict[str, float]:
@@ -60,7 +61,10 @@ class Trie:
 
     def __init__(self, pieces: dict[str, float], most: int = NODES):
         self.pieces, self.most = pieces, most
-        self.longest = max(map(len, pieces))
+        self.automaton = ahocorasick.Automaton()
+        for piece, score in pieces.items():
+            self.automaton.add_word(piece, (len(piece), score))
+        self.automaton.make_automaton()
         self.unknown = min(pieces.values()) - UNKNOWN_PENALTY
         self.computed = 0
         self.terminals = _Terminals(self._insert)
@@ -71,40 +75,53 @@ class Trie:
         self.scores, self.counts = [0.0], [0]
         self.terminals.clear()
 
-    def _node(self, text: str, end: int, path: list[int]) -> int:
-        """A new node for text[:end], from the nodes of its prefixes."""
-        pieces, scores, counts = self.pieces, self.scores, self.counts
-        best = (-math.inf, 0)
-        for begin in range(max(0, end - self.longest), end):
-            if (score := pieces.get(text[begin:end])) is not None:
-                at = path[begin]
-                best = max(best, (scores[at] + score, -counts[at] - 1))
-        char = text[end - 1]
-        if char not in pieces:
-            at = path[end - 1]
-            best = max(best, (scores[at] + self.unknown, -counts[at] - len(char.encode())))
-        self.computed += 1
-        scores.append(best[0])
-        counts.append(-best[1])
-        return len(scores) - 1
-
     def insert(self, token: str) -> tuple[int, float]:
         """(tokens, score) of a pre-token."""
         return self.terminals[token]
 
-    def _insert(self, token: str) -> tuple[int, float]:
+    def _insert(self, given: str) -> tuple[int, float]:
+        """Walk the nodes that are there, and make the others from the pieces that end at each."""
+        token = given.replace(" ", BLANK)
         if len(self.scores) + len(token) > self.most and len(self.scores) > 1:
             self.clear()
-        path, children = [0], self.children
-        for end in range(1, len(token) + 1):
-            key = path[-1] << 21 | ord(token[end - 1])
-            node = children.get(key)
+        scores, counts, children, path = self.scores, self.counts, self.children, [0]
+        for char in token:
+            node = children.get(path[-1] << 21 | ord(char))
             if node is None:
-                node = children[key] = self._node(token, end, path)
+                break
             path.append(node)
-        out = self.terminals[token] = (self.counts[path[-1]], self.scores[path[-1]])
+        known = len(path) - 1
+        if known < len(token):
+            best, fewest = -math.inf, 0
+            for end, (length, score) in self.automaton.iter(token):
+                if end < known:
+                    continue
+                while len(path) <= end:  # all pieces that end before have been seen
+                    self._grow(token, path, best, fewest)
+                    best, fewest = -math.inf, 0
+                at = path[end + 1 - length]
+                total, number = scores[at] + score, counts[at] + 1
+                if total > best or (total == best and number < fewest):
+                    best, fewest = total, number
+            while len(path) <= len(token):
+                self._grow(token, path, best, fewest)
+                best, fewest = -math.inf, 0
+        out = self.terminals[given] = (counts[path[-1]], scores[path[-1]])
         return out
 
+    def _grow(self, token: str, path: list[int], best: float, fewest: int) -> None:
+        """The next node of the path, with what its pieces give; a character without a piece is one more way."""
+        char, before = token[len(path) - 1], path[-1]
+        if char not in self.pieces:
+            total, number = self.scores[before] + self.unknown, self.counts[before] + len(char.encode())
+            if total > best or (total == best and number < fewest):
+                best, fewest = total, number
+        self.computed += 1
+        self.children[before << 21 | ord(char)] = len(self.scores)
+        path.append(len(self.scores))
+        self.scores.append(best)
+        self.counts.append(fewest)
+
 
 @lru_cache(maxsize=2)
 def trie(model: str) -> Trie:
@@ -112,7 +129,10 @@ def trie(model: str) -> Trie:
 
 
 def pretokens(text: str | None) -> list[str]:
-    return _PRETOKEN.findall(BLANK + text.replace(" ", BLANK)) if text else []
+    """Pre-tokens with plain blanks: texts keep their one byte a character, and a trie takes either blank."""
+    if not text:
+        return []
+    return _PRETOKEN.findall(" " + (text.replace(BLANK, " ") if BLANK in text else text))
 
 
 def _count(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
