@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.text import location
+
 
 def kept_last(rows: DataFrame, keys: list[str], order: str, n: int = 100) -> DataFrame:
     """The last n rows of each key: bounded history."""
@@ -45,3 +47,47 @@ def training_examples(results: DataFrame, used: DataFrame, event: str, key: str)
     both = joined.withColumn("_last", last).where(F.col("_last").isNotNull())
     label = F.coalesce("_used", F.lit(0))
     return both.withColumn("label", label).withColumn("above_used", (label == 0) & (F.col("rank") < F.col("_last"))).drop("_used", "_last")
+
+
+def _bare(path: Column) -> Column:
+    """Forward slashes, and no dots or slashes in front."""
+    return F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"^[./]+", "")
+
+
+def usage_examples(events: DataFrame, results: DataFrame, usage: DataFrame) -> DataFrame:
+    """Training examples of every usage report: what was referenced, by rank or by location, and what wasn't.
+
+    events: event_id, directory, query. results: event_id, rank, file, path, lineno, end_lineno, name, code. usage: usage_id, event_id,
+    referenced_ranks array<long>, referenced_locations array<string> (path, path:line or path:line-end).
+    A location names the first result by rank whose path, file or file below the directory it is, and whose
+    lines hold its line; a result without lines holds any. A result is one example, by rank if it can; results that
+    nothing references are weak negatives, and events without a query give none.
+    """
+    identity = F.concat_ws(":", F.coalesce("file", F.lit("")), F.coalesce(F.col("lineno").cast("string"), F.lit("")), F.coalesce(F.col("end_lineno").cast("string"), F.lit("")), F.coalesce("name", F.lit("")))
+    asked = usage.join(events.where(F.coalesce("query", F.lit("")) != "").select("event_id", "directory", "query"), "event_id")
+    below = F.when(F.startswith("file", F.concat("directory", F.lit("/"))), F.expr("substring(file, length(directory) + 2)"))
+    spellings = F.array(_bare(F.col("path")), F.regexp_replace("file", r"\\", "/"), below)
+    each = asked.join(results, "event_id").withColumn("identity", identity).withColumn("_paths", spellings)
+    by_rank = each.where(F.array_contains("referenced_ranks", F.col("rank"))).select("usage_id", "identity", "rank", F.lit("referenced_rank").alias("label_source"), F.lit(None).cast("string").alias("location"))
+
+    said = asked.select("usage_id", F.explode(F.array_distinct(F.transform("referenced_locations", lambda x: F.trim(x)))).alias("location")).where("location <> ''")
+    said = said.withColumn("_at", location(F.col("location"))).select("usage_id", "location", _bare(F.col("_at.path")).alias("_path"), F.col("_at.begin").alias("_line"))
+    spelled = each.select("usage_id", "identity", "rank", "lineno", "end_lineno", F.explode(F.array_distinct("_paths")).alias("_path"))
+    holds = F.col("_line").isNull() | F.col("lineno").isNull() | F.col("_line").between(F.col("lineno"), F.coalesce("end_lineno", "lineno"))
+    named = said.join(spelled, ["usage_id", "_path"]).where(holds).groupBy("usage_id", "location").agg(F.min(F.struct("rank", "identity")).alias("_r"))
+    named = named.select("usage_id", "_r.identity", "_r.rank", F.lit("referenced_location").alias("label_source"), "location")
+    # Of several references to one result, the rank comes first, then the first location.
+    order = F.struct((F.col("label_source") != "referenced_rank").alias("late"), F.coalesce("location", F.lit("")).alias("at"), "rank")
+    positive = by_rank.unionByName(named.join(by_rank.select("usage_id", "identity").distinct(), ["usage_id", "identity"], "left_anti"))
+    once = Window.partitionBy("usage_id", "identity").orderBy(order)
+    kept = positive.withColumn("_n", F.row_number().over(once)).where((F.col("label_source") == "referenced_rank") | (F.col("_n") == 1)).drop("_n")
+    negative = each.join(positive.select("usage_id", "identity").distinct(), ["usage_id", "identity"], "left_anti")
+    above = F.coalesce(F.col("rank") < F.array_max("referenced_ranks"), F.lit(False))
+    target = ["event_id", "query", "file", "lineno", "end_lineno", "name", F.when(F.coalesce("code", F.lit("")) != "", F.sha2("code", 256)).alias("code_sha256")]
+    rows = kept.join(each.select("usage_id", "identity", "rank", *target), ["usage_id", "identity", "rank"])
+    head = ["usage_id", "event_id", "query", "rank", "file", "lineno", "end_lineno", "name", "code_sha256"]
+    return rows.select(*head, F.lit("positive").alias("label"), "label_source", "location", F.lit(None).cast("boolean").alias("rank_above_referenced")).unionByName(
+        negative.select("usage_id", "rank", above.alias("rank_above_referenced"), *target).select(
+            *head, F.lit("weak_negative").alias("label"), F.lit("returned_not_referenced").alias("label_source"), F.lit(None).cast("string").alias("location"), "rank_above_referenced"
+        )
+    )

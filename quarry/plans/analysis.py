@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from quarry.functions import globs
 from quarry.functions import text as X
 from quarry.operators import catalog, feedback, ranges, stats
+from quarry.operators.calls import external_calls
 from quarry.operators.fuse import min_max, top_ranked
 from quarry.operators.lexical import bm25
 from quarry.operators.vector import distances, semantic_scores
+from quarry.plans.commit_search import search_commits
+from quarry.plans.requests import Search
 from quarry.plans.retrieval import MEASURED, bm25_sql, lexical, measured, query_text, query_vector
 from quarry.queries import query
 from quarry.session import table
@@ -163,13 +166,13 @@ def range_first_match(spark, sf_dir):
 HREFS = """SELECT page_id, unnest(regexp_extract_all(html, 'href="/([^"]+)"', 1)) AS call FROM pages"""
 
 
-@query(f"""WITH c AS ({HREFS}), i AS (SELECT DISTINCT lower(trim(call, '.,')) AS name FROM c)
-SELECT page_id, call, starts_with(lower(call), 'th') OR starts_with(lower(call), 'en') AS external FROM c WHERE lower(call) IN (SELECT name FROM i) """)
+@query(f"""WITH c AS (SELECT DISTINCT page_id, replace(call, '/', '.') AS call FROM ({HREFS})), i AS (SELECT DISTINCT page_id, CASE WHEN length(call) % 2 = 0 THEN split_part(call, '.', 1) ELSE call || '.x' END AS name FROM c)
+SELECT DISTINCT c.page_id, c.call FROM c JOIN i ON i.page_id = c.page_id AND (c.call = i.name OR starts_with(c.call, i.name || '.'))""")
 def prefix_edge_join(spark, sf_dir):
-    links = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]+)"'), F.lit(1))).alias("call"))
-    names = links.select(F.lower(F.expr("trim(BOTH '.,' FROM call)")).alias("name")).distinct()
-    modules = F.array(F.lit("th"), F.lit("en"))
-    return links.join(names, F.lower("call") == F.col("name"), "left_semi").withColumn("external", F.exists(modules, lambda m: F.startswith(F.lower("call"), m)))
+    links = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]+)"'), F.lit(1))).alias("href"))
+    links = links.select("page_id", F.replace("href", F.lit("/"), F.lit(".")).alias("call"))
+    first = F.when(F.length("call") % 2 == 0, F.element_at(F.split("call", r"\."), 1)).otherwise(F.concat("call", F.lit(".x")))
+    return external_calls(links, links.select("page_id", first.alias("name")), "page_id")
 
 
 @query("""WITH l AS (SELECT DISTINCT l_orderkey, l_returnflag, l_linenumber FROM lineitem), g AS (SELECT *, l_linenumber - row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS r FROM l)
@@ -232,6 +235,50 @@ def commit_hybrid(spark, sf_dir):
     return top_ranked(both, "score", "label", 5)
 
 
+_UNITS = f"""WITH {MEASURED}, u AS (SELECT doc_id AS p, CAST(label AS VARCHAR) AS k, source || '/' || doc_id AS path, 1 + n_chars % 3 AS h, text, d FROM documents JOIN m ON vec_id = doc_id),
+x AS (SELECT *, greatest(0, least(1, 1 - (d - min(d) OVER ()) / (max(d) OVER () - min(d) OVER ()))) AS s FROM u), said AS (SELECT k AS doc_id, arg_min(text, p) AS text FROM u GROUP BY k),
+{bm25_sql("SELECT * FROM said")}, y AS (SELECT doc_id AS k, CASE WHEN max(s) OVER () = min(s) OVER () THEN 1 ELSE (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) END AS l FROM b)"""
+_FILES = "count(*) AS commit_file_count, CAST(sum(h) AS BIGINT) AS commit_hunk_count, string_agg(path, ',' ORDER BY p) AS files, string_agg(path || CASE WHEN best = p THEN '!' ELSE '' END, ',' ORDER BY o DESC, p) AS hunks"
+
+
+def _commit_units(spark, sf_dir):
+    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    n = F.col("n_chars")
+    return docs.join(vectors, F.col("doc_id") == F.col("vec_id")).select(
+        F.col("label").cast("string").alias("commit_key"), F.col("doc_id").alias("position"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), (n % 50).alias("lineno"),
+        (n % 7).alias("additions"), (n % 5).alias("deletions"), (n % 3 + 1).alias("file_hunk_count"), F.col("text").alias("commit_message"), F.col("text").alias("search_text"), "embedding",
+    )
+
+
+def _told(found):
+    marked = F.transform("commit_hunks", lambda x: F.concat(x["path"], F.when(x["is_representative"], F.lit("!")).otherwise("")))
+    scores = [F.round(c, 6).alias(c) for c in ("score", "semantic", "lexical")]
+    return found.select("commit_key", "rank", "representative", *scores, "commit_file_count", "commit_hunk_count", F.sha2(F.array_join("commit_files", ","), 256).alias("files"), F.sha2(F.array_join(marked, ","), 256).alias("hunks"))
+
+
+def _commit_sql(score: str, where: str, semantic: str = "s") -> str:
+    return f"""{_UNITS}, g AS (SELECT k, max({semantic}) AS s, arg_max(p, ({semantic}, p)) AS best FROM x GROUP BY k), r AS (SELECT k, best, s, coalesce(l, 0) AS l, {score} AS score FROM g LEFT JOIN y USING (k) WHERE {where}),
+t AS (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, k) AS rank FROM r QUALIFY rank <= 4), f AS (SELECT k, {_FILES} FROM (SELECT x.k, x.path, x.p, x.h, {semantic.replace('s', 'x.s') if semantic == 's' else semantic} AS o, best FROM x JOIN t USING (k)) GROUP BY k)
+SELECT k AS commit_key, rank, best AS representative, round(score, 6) AS score, round(s, 6) AS semantic, round(CAST(l AS DOUBLE), 6) AS lexical, commit_file_count, commit_hunk_count, sha256(files) AS files, sha256(hunks) AS hunks FROM t JOIN f USING (k)"""
+
+
+@query(_commit_sql("6e-1 * s + 4e-1 * coalesce(l, 0)", "true"))
+def commit_search_hybrid(spark, sf_dir):
+    return _told(search_commits(_commit_units(spark, sf_dir), Search(query_text(spark, sf_dir), target="commits", top_k=4), query_vector(spark, sf_dir)))
+
+
+@query(_commit_sql("CAST(coalesce(l, 0) AS DOUBLE)", "l IS NOT NULL OR (SELECT count(*) FROM y) = 0", "0e0"))
+def commit_search_bm25(spark, sf_dir):
+    return _told(search_commits(_commit_units(spark, sf_dir), Search(query_text(spark, sf_dir), mode="bm25", target="commits", top_k=4)))
+
+
+@query("""WITH u AS (SELECT doc_id AS p, CAST(label AS VARCHAR) AS k, contains(lower(text), 'password') AND contains(lower(text), 'th') AS hit FROM documents JOIN embeddings ON vec_id = doc_id)
+SELECT k AS commit_key, min(p) FILTER (WHERE hit) AS representative, row_number() OVER (ORDER BY min(p) FILTER (WHERE hit)) AS rank, 'password th' AS matched, count(*) AS commit_file_count FROM u GROUP BY k HAVING count_if(hit) > 0 QUALIFY rank <= 4""")
+def commit_search_keyword(spark, sf_dir):
+    found = search_commits(_commit_units(spark, sf_dir), Search("Password th", mode="keyword", target="commits", top_k=4))
+    return found.select("commit_key", "representative", "rank", F.array_join("matched_keywords", " ").alias("matched"), "commit_file_count")
+
+
 RESULTS = f"""WITH {bm25_sql('SELECT * FROM documents')}, r AS (SELECT doc_id, row_number() OVER (ORDER BY round(s, 6) DESC, doc_id) AS rank FROM b QUALIFY rank <= 50)"""
 
 
@@ -310,6 +357,33 @@ def training_labels(spark, sf_dir):
     return feedback.training_examples(results, used, "event", "doc_id").select("doc_id", "rank", "label", "above_used")
 
 
+_REPORTS = """WITH e AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 <> 0), r AS (SELECT l_orderkey AS id, CAST(l_linenumber AS BIGINT) AS rank, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2),
+x AS (SELECT id, rank, '/w/src/' || (p % 5) || '.py' AS file, p % 100 AS a, p % 100 + 10 AS b, 'f' || (p % 7) AS name, sha256('c' || p) AS code, '/w/src/' || (p % 5) || '.py:' || (p % 100) || ':' || (p % 100 + 10) || ':f' || (p % 7) AS i, p % 5 AS d FROM r JOIN e USING (id)),
+k AS (SELECT id, i FROM x WHERE rank = 2),
+l AS (SELECT id, location, arg_min(i, rank) AS i, min(rank) AS rank FROM (SELECT x.*, './src/1.py:50' AS location FROM x WHERE d = 1 AND 50 BETWEEN a AND b UNION ALL SELECT x.*, 'src/3.py' FROM x WHERE d = 3
+UNION ALL SELECT x.*, 'src/2.py:10-12' FROM x WHERE d = 2 AND 10 BETWEEN a AND b) GROUP BY id, location),
+n AS (SELECT id, i, min(location) AS location, arg_min(rank, location) AS rank FROM l WHERE (id, i) NOT IN (SELECT id, i FROM k) GROUP BY id, i)"""
+
+
+@query(f"""{_REPORTS} SELECT id AS event_id, rank, file, a AS lineno, name, code AS code_sha256, 'positive' AS label, 'referenced_rank' AS label_source, NULL AS location, NULL AS rank_above_referenced FROM x WHERE rank = 2
+UNION ALL SELECT id, rank, file, a, name, code, 'positive', 'referenced_location', n.location, NULL FROM n JOIN x USING (id, i, rank)
+UNION ALL SELECT id, rank, file, a, name, code, 'weak_negative', 'returned_not_referenced', NULL, rank < 2 FROM x WHERE (id, i) NOT IN (SELECT id, i FROM k UNION ALL SELECT id, i FROM l)""")
+def usage_training_examples(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("event_id"))
+    events = orders.select("event_id", F.lit("/w").alias("directory"), F.lit("q").alias("query"))
+    p = F.col("p")
+    shown = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("event_id"), F.col("l_linenumber").cast("long").alias("rank")).agg(F.min("l_partkey").alias("p"))
+    name = F.concat((p % 5).cast("string"), F.lit(".py"))
+    results = shown.select(
+        "event_id", "rank", F.concat(F.lit("/w/src/"), name).alias("file"), F.concat(F.lit("src/"), name).alias("path"), (p % 100).alias("lineno"), (p % 100 + 10).alias("end_lineno"),
+        F.concat(F.lit("f"), (p % 7).cast("string")).alias("name"), F.concat(F.lit("c"), p.cast("string")).alias("code"),
+    )
+    told = F.array(F.lit("./src/1.py:50"), F.lit("src/3.py"), F.lit("src/2.py:10-12"), F.lit(" "), F.lit("gone.py:1"))
+    usage = orders.select("event_id", F.col("event_id").alias("usage_id"), F.array(F.lit(2).cast("long")).alias("referenced_ranks"), told.alias("referenced_locations"))
+    found = feedback.usage_examples(events, results, usage)
+    return found.select("event_id", "rank", "file", "lineno", "name", "code_sha256", "label", "label_source", "location", "rank_above_referenced")
+
+
 @query(f"{RESULTS} SELECT doc_id FROM r WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def except_referenced(spark, sf_dir):
     used = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.diffs import changed_symbols as touched
 from quarry.operators.diffs import hunks
+from quarry.operators.ranges import ranges_text
 from quarry.queries import query
 from quarry.sources.extract import call_graph, extract_symbols
 
@@ -62,21 +63,44 @@ def _files(spark, *names: str):
 
 
 def _shown(symbols):
-    s = "python_static"
-    return symbols.select("file", "name", "symbol_kind", "class_name", "lineno", "end_lineno", "docstring", f"{s}.params", f"{s}.calls", f"{s}.framework_tags", f"{s}.fallback", F.sha2("code", 256).alias("code_hash"))
+    lists = [F.array_join(f"python_static.{c}", "; ").alias(c) for c in ("params", "calls", "framework_tags")]
+    return symbols.select("file", "name", "symbol_kind", "class_name", "lineno", "end_lineno", "docstring", *lists, "python_static.fallback", F.sha2("raw_code", 256).alias("code_hash"))
 
 
-@query()
+# What the sources above hold, read by eye: names, lines and texts. The code is cut from the lines by the SQL itself.
+_COLUMNS = "name, symbol_kind, class_name, lineno, end_lineno, docstring, params, calls, framework_tags, fallback"
+_TRIM = "('trim', 'function', NULL, 12, 15, NULL, 'data; depth', 'inner', '', NULL)"
+_IN_APP = f"""('read_user', 'function', NULL, 6, 9, 'One user.', 'user_id: str; depth: int; fields; more', 'app.get; json.loads; pl.Path; read_text; trim', 'fastapi_route', NULL), {_TRIM},
+('save', 'method', 'Store', 19, 20, NULL, 'self; user', 'trim', '', NULL), ('CodeBlock:23-25:calls=print,trim', 'code_block', NULL, 23, 25, NULL, NULL, 'print; trim', NULL, NULL)"""
+_IN_BROKEN = "('fine', 'function', NULL, 1, 2, NULL, NULL, NULL, NULL, 'tree_sitter')"
+
+
+def _cut(file: str, source: str, values: str) -> str:
+    lines = "string_split('" + source.replace("'", "''") + "', chr(10))"
+    return f"SELECT '{file}' AS file, {_COLUMNS}, sha256(array_to_string(list_slice({lines}, lineno, end_lineno), chr(10))) AS code_hash FROM (VALUES {values}) t({_COLUMNS})"
+
+
+def _text(source: str) -> str:
+    return "'" + source.replace("'", "''") + "'"
+
+
+@query(f"{_cut('app.py', PYTHON, _IN_APP)} UNION ALL {_cut('broken.py', BROKEN, _IN_BROKEN)}")
 def extract_python_symbols(spark, sf_dir):
     return _shown(extract_symbols(_files(spark, "app.py", "broken.py")))
 
 
-@query()
+_BRACES = """('Box.java', 'size', 'method', 'Box', 3, NULL, 'int size(int a) { if (a > 0) { return a; } return 0; }'), ('Box.java', 'deep', 'method', 'In', 5, NULL, 'void deep() { }'),
+('svc.ts', 'add', 'function', NULL, 2, 'Adds.', 'function add(a: number) { return `${a}{`; }'), ('svc.ts', 'run', 'method', 'Svc', 5, NULL, 'async run(q: string): Promise<void> { return add(1); }'),
+('svc.ts', '#hid', 'method', 'Svc', 6, NULL, '#hid() { return 1; }')"""
+
+
+@query(f"""SELECT file, name, symbol_kind, class_name, lineno, lineno AS end_lineno, docstring, CAST(NULL AS VARCHAR) AS params, CAST(NULL AS VARCHAR) AS calls, CAST(NULL AS VARCHAR) AS framework_tags,
+CAST(NULL AS VARCHAR) AS fallback, sha256(code) AS code_hash FROM (VALUES {_BRACES}) t(file, name, symbol_kind, class_name, lineno, docstring, code)""")
 def extract_brace_symbols(spark, sf_dir):
     return _shown(extract_symbols(_files(spark, "Box.java", "svc.ts")))
 
 
-@query()
+@query("SELECT 'app.py' AS file, caller, 'trim' AS callee FROM (VALUES ('read_user'), ('save'), ('CodeBlock:23-25:calls=print,trim')) t(caller)")
 def call_graph_edges(spark, sf_dir):
     return call_graph(extract_symbols(_files(spark, "app.py")))
 
@@ -85,11 +109,17 @@ def _patches(spark):
     return spark.createDataFrame([(None, None, None, PATCH)], "commit_hash string, commit_subject string, commit_message string, patch string")
 
 
-@query()
+_FIRST, _SECOND = (PATCH[PATCH.index(a) : PATCH.index(b) if b else None].rstrip() for a, b in (("@@ -11", "@@ -21"), ("@@ -21", None)))
+_HEADER = "diff --git a/app.py b/app.py\n--- a/app.py\n+++ b/app.py\n"
+
+
+@query(f"""SELECT 'app.py' AS path, lineno, end_lineno, changed_code, sha256({_text(_HEADER)} || body) AS search_hash, additions, 1 AS deletions, added, removed, anchor FROM (VALUES
+(14, 15, '        return x or None' || chr(10) || '        return x', {_text(_FIRST)}, 1, '14', '14', 13), (21, 23, '-- limit', {_text(_SECOND)}, 0, '', '23', 22)) t(lineno, end_lineno, changed_code, body, additions, added, removed, anchor)""")
 def diff_hunks_parse(spark, sf_dir):
-    return hunks(_patches(spark))
+    ranges = [ranges_text(F.col(f"{c}_ranges")).alias(c) for c in ("added", "removed")]
+    return hunks(_patches(spark)).select("path", "lineno", "end_lineno", "changed_code", F.sha2("search_text", 256).alias("search_hash"), "additions", "deletions", *ranges, "anchor")
 
 
-@query()
+@query(_cut("app.py", PYTHON, _TRIM))
 def changed_symbols(spark, sf_dir):
     return _shown(touched(extract_symbols(_files(spark, "app.py")), hunks(_patches(spark))))

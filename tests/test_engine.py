@@ -335,6 +335,40 @@ def test_feedback(spark):
     assert found == {"d1": (0, True), "d2": (0, True), "d3": (1, False), "d4": (0, False), "d5": (0, False)}
 
 
+def test_usage_examples(spark):
+    from quarry.operators.feedback import usage_examples
+
+    events = frame(spark, [(1, "/w", "q"), (2, "/w", "")], "event_id long, directory string, query string")
+    shown = [(1, "/w/a.py", "a.py", 10, 20, "f"), (2, "/w/b.py", "b.py", 1, 5, "g"), (3, "/w/a.py", "./a.py", 15, 30, "h"), (4, "c.py", None, None, None, "k"), (5, "/w/b.py", "b.py", 6, 9, "m")]
+    results = frame(spark, [(e, *r[:1], *r[1:], "x") for e in (1, 2) for r in shown], "event_id long, rank long, file string, path string, lineno long, end_lineno long, name string, code string")
+    usage = frame(spark, [(7, 1, [2], ["a.py:16-18", " /w/b.py:2 ", "c.py:99", "gone.py"]), (8, 1, [], []), (9, 2, [1], [])], "usage_id long, event_id long, referenced_ranks array<long>, referenced_locations array<string>")
+    found = {(r.usage_id, r["rank"]): (r.label_source, r.location, r.rank_above_referenced) for r in usage_examples(events, results, usage).collect()}
+    none = ("returned_not_referenced", None)
+    assert found == {
+        (7, 1): ("referenced_location", "a.py:16-18", None), (7, 2): ("referenced_rank", None, None), (7, 3): (*none, False), (7, 4): ("referenced_location", "c.py:99", None), (7, 5): (*none, False),
+        **{(8, k): (*none, False) for k in range(1, 6)},
+    }
+
+
+def test_commit_search_modes(spark):
+    from quarry.plans.commit_search import search_commits
+    from quarry.plans.requests import Search
+
+    rows = [("A", 0, "x.py", "fix parser", "alpha beta", [1.0, 0.0], 2), ("A", 1, "y.py", "fix parser", "beta", [0.0, 1.0], 1), ("B", 2, "x.py", "add tests", "alpha", [0.6, 0.8], 1), ("C", 3, "z.py", None, "beta alpha", [0.0, 1.0], 1), ("C", 4, "w.py", None, "", [0.0, 1.0], 3)]
+    units = frame(spark, rows, "commit_key string, position long, path string, commit_message string, search_text string, embedding array<float>, file_hunk_count int")
+    units = units.withColumns({c: F.lit(1) for c in ("lineno", "additions", "deletions")})
+    run = lambda mode, text="parser", v=(0.0, 1.0), k=5: {r.commit_key: r for r in search_commits(units, Search(text, mode=mode, target="commits", top_k=k), list(v)).collect()}
+    semantic = run("semantic")
+    assert (semantic["C"].representative, semantic["A"].representative, semantic["A"].score) == (4, 1, 1.0)  # the last of equals
+    assert [(h.path, h.is_representative, h.hunk_count) for h in semantic["A"].commit_hunks] == [("y.py", True, 1), ("x.py", False, 2)]
+    assert semantic["A"].commit_files == ["x.py", "y.py"] and semantic["C"].commit_hunk_count == 4
+    assert set(run("bm25")) == {"A"} and set(run("bm25", "nothing")) == {"A", "B", "C"} and run("bm25")["A"].representative == 1
+    hybrid = run("hybrid")
+    assert hybrid["A"].score == 1.0 and hybrid["C"].score == 0.6 and [hybrid[k]["rank"] for k in "ACB"] == [1, 2, 3]
+    keyword = run("keyword", "ALPHA beta")
+    assert {k: (r["rank"], r.representative, r.score, r.matched_keywords) for k, r in keyword.items()} == {"A": (1, 0, None, ["alpha", "beta"]), "C": (2, 3, None, ["alpha", "beta"])}
+
+
 def test_streams_equal_batches(spark, tmp_path):
     from quarry.streaming import events as E
 
