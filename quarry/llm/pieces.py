@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.llm.common import kept_struct, map_kept, prepare
 
 BLANK = "▁"
-REMEMBERED = 450_000
+REMEMBERED = 200_000
 LONGEST = 64
-PAIRS = 1_000_000
+PAIRS = 500_000
 _STRETCH = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
