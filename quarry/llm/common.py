@@ -70,6 +70,19 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def join_spread(many: DataFrame, one: DataFrame, key: list[str], by: str, how: str = "inner") -> DataFrame:
+    """many.join(one, key, how), where one has a row for each key and a key may hold a third of many.
+
+    Rows of a key go to as many tasks as shuffles have, by what the column ``by`` hashes to. A row of
+    one goes to each of the parts that its key has rows in, which a distinct finds that combines
+    before it shuffles: at most a row for each part, however many rows the key has.
+    """
+    parts = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = many.withColumn("spread_part", F.pmod(F.xxhash64(by), F.lit(parts)))
+    told = dealt.select(*key, "spread_part").distinct().join(one, key)
+    return dealt.join(told, [*key, "spread_part"], how).drop("spread_part")
+
+
 def _give_back() -> None:
     """Return what this worker freed to the system: an idle worker waits with it beside the next stage's."""
     pa.default_memory_pool().release_unused()

@@ -2,7 +2,8 @@
 
 Edges and labels stay distributed; each round is written to the shared folder, which cuts the
 lineage, and rounds are few (they grow with the logarithm of the longest path). A hub's edges
-are pre-aggregated to one minimum per task before they meet.
+are pre-aggregated to one minimum per task before they meet, and learn that minimum in as many
+tasks as shuffles have.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import join_spread, written
 
 ROUNDS = 60
 
@@ -29,9 +30,9 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_spread(both.where("v > u"), least, ["u"], "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = join_spread(large, lower, ["u"], "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = written(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), f"{folder}/round-{k}")
         before, state = state, _state(now)
         if state == before:

@@ -197,3 +197,34 @@ def test_ownership_by_brute_force(spark):
         for s in base:
             value = text[r.doc_id][s.begin : s.end].split("=")[1]
             assert s.owners == len(owners[value]) and (s.verdict == "example") == (len(owners[value]) > secrets.MAX_OWNERS)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_a_hot_key_is_joined_in_many_tasks(spark, how):
+    """The join on one key gives what a plain join gives, and its rows meet in more than one task."""
+    from quarry.llm.common import join_spread
+
+    many = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 90)).alias("key"))
+    one = spark.createDataFrame([("hot", 1), ("k3", 2), ("k6", 3), ("none", 4)], "key string, value int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = join_spread(many, one, ["key"], "id", how)
+        found = joined.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted((r.id, r.key, r.value or 0) for r in found) == sorted((r.id, r.key, r.value or 0) for r in many.join(one, "key", how).collect())
+    assert len({r.task for r in found if r.key == "hot"}) > 1
+
+
+def test_copies_of_one_text_against_several_blocks(spark):
+    """Documents with one text, told apart by doc_id, all learn the hits of all blocks."""
+    from quarry.llm.decontam import decontaminate
+
+    text = " ".join(f"p{k}" for k in range(30))
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.create_map(F.lit("a"), F.col("id")).alias("extra"))
+    items = spark.createDataFrame([(k, " ".join(f"p{j}" for j in range(k, k + 10))) for k in range(0, 20, 2)], "item_id long, text string")
+    found = decontaminate(docs, items, keep=["doc_id", "extra"], block_bytes=200).collect()
+    assert sorted(r.doc_id for r in found) == list(range(200))
+    assert {(r.n_words, r.n_hit, r.n_items, r.contaminated) for r in found} == {(30, 28, 10, True)}
