@@ -8,7 +8,8 @@ Texts without a needle of the pattern (a plain substring test) skip the regular
 
 Ownership frequency: every candidate value is hashed, counted by distinct (value, repository,
 owner) first and by value after that, so a value copied into a third of the corpus is
-pre-aggregated before it meets in one task. A value that more than ``max_owners`` owners hold is
+pre-aggregated before it meets in one task, and its occurrences learn its owners in as many tasks
+as shuffles have. A value that more than ``max_owners`` owners hold is
 a widely copied example; one that fewer hold and that looks random is live. The method's own
 spans are of kind ``owned``: long mixed tokens outside the base kinds which at most
 ``max_owners`` owners hold.
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import kept_struct, workspace, written
+from quarry.llm.common import join_spread, kept_struct, workspace, written
 
 # The base patterns, in listed order, with the least length of the named group.
 PATTERNS = {
@@ -134,8 +135,8 @@ def scan_secrets(docs: DataFrame, keep: list[str] | None = None, repository: Col
     owner = F.col("source") if owner is None else owner
     found = candidates(docs, keep, repository.cast("string"), owner.cast("string")).withColumn("row", F.monotonically_increasing_id())
     found = written(found, f"{workspace(spark, 'secrets')}/candidates")
-    each = found.where(F.size("spans") > 0).select("row", F.explode("spans").alias("s"))
-    held = each.join(ownership(found), F.col("s.hash") == F.col("hash"))
+    each = found.where(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).select("row", "s", F.col("s.hash").alias("hash"))
+    held = join_spread(each, ownership(found), ["hash"], "row")
     strong = F.col("s.mixed") | F.col("s.kind").isin(ORDER.index("access"), ORDER.index("hex"))
     verdict = F.when(F.col("owners") > max_owners, "example").when(strong, "live").otherwise("weak")
     held = held.where((F.col("s.kind") < len(BASE)) | ((F.col("owners") <= max_owners) & F.col("s.mixed")))
