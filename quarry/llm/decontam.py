@@ -9,8 +9,8 @@ proposes the windows indexed there; the offset must leave the window inside the
 
 The index of windows is broadcast in blocks of at most ``block_bytes`` of window text. A
 benchmark beyond one block is joined block by block, so what is broadcast never grows with it, and
-hits of all blocks are united by the digest of the text, for which documents are dealt once. With
-one block, as any benchmark of usual size is, hits need no uniting and documents stay where they are.
+hits of all blocks are united by the digest of the text, for which documents are dealt once, copies
+of one text to as many tasks as shuffles have. With one block, as any benchmark of usual size is, hits need no uniting and documents stay where they are.
 
 Defined results: null text has no words; an item without words has no window; equal items each
 count; items whose item_id is null are found as all others, count in n_items as one item together
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import kept_struct, map_batches, map_kept, prepare, workspace, written
+from quarry.llm.common import join_spread, kept_struct, map_batches, map_kept, prepare, workspace, written
 
 WINDOW = 10
 BLOCK_BYTES = 64 << 20
@@ -207,7 +207,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
         hits = hits.dropDuplicates(["digest"])
         found = hits if found is None else found.unionByName(hits)
     found = found.groupBy("digest").agg(F.collect_list("runs").alias("runs"), F.collect_list("items").alias("items"))
-    both = docs.select(kept_struct(docs, keep), "text", F.sha2("text", 256).alias("digest")).join(found, "digest", "left")
+    # Copies are told apart by what is kept of them; maps and variants have no hash.
+    told = [docs[f.name] for f in docs.schema.fields if f.name in keep and not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    both = docs.select(kept_struct(docs, keep), "text", F.sha2("text", 256).alias("digest"), F.xxhash64(*told or [F.lit(0)]).alias("copy"))
+    both = join_spread(both, found, ["digest"], "copy", "left")
     return map_kept(both.select("kept", "text", "runs", "items"), keep, lambda b: _unite(b, ["kept"]), _RESULT)
 
 
