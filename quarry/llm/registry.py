@@ -11,6 +11,7 @@ from quarry.llm.secrets import op10_secrets
 from quarry.llm.suffix_dedup import op8_repeats
 from quarry.llm.token_counts import op5_token_counts
 from quarry.llm.toxicity import op3_toxicity
+from quarry.llm.valid_time import OP13_SQL, op13_valid_time
 from quarry.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_secrets": op10_secrets,
+    "op13_valid_time": op13_valid_time,
 }
 
 SQL = {
@@ -32,4 +34,5 @@ SQL = {
     "op6_chat": OP6_SQL,
     "op7_minhash": OP7_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op13_valid_time": OP13_SQL,
 }
