@@ -12,7 +12,7 @@ minus a delay; none: minus infinity) are late and go out as such, others become
 sales without a time or below H (the smaller watermark) are emitted, others wait; then of a client's
 versions up to H all but the last go. After the last batch waiting sales go out as one batch more.
 
-A client with more than ``part_rows`` rows is cut into slices of time, each a client of its own as far
+A client with more than ``large_rows`` rows is cut into slices of time, each a client of its own as far
 as buckets are concerned. What a slice has to know of the others is summed up before the stream, by
 batch: the last version of earlier slices (``carry``), how many versions the whole client holds, and
 the slice of its last version up to H (``info``): a row each for a slice and batch. So no bucket and
@@ -45,8 +45,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from quarry.llm.common import make_folder, remove, workspace, written
 
 BATCHES, FIRST_DAY, DAYS, DELAY_HOURS = 8, 19723, 152, 12
-#: Rows of both tables, all batches together, for each bucket, and rows from which a client is cut into slices.
-BUCKET_ROWS, PART_ROWS = 1 << 16, 1 << 14
+#: Rows of both tables, all batches together: of a bucket, of a client that is cut into slices, and of a slice. A batch
+#: has few of a client's slices, being a stretch of time itself, so slices are small.
+BUCKET_ROWS, LARGE_ROWS, PART_ROWS = 1 << 16, 1 << 14, 1 << 11
 
 NONE = -(2**63)
 DAY = 86_400_000_000
@@ -268,7 +269,7 @@ def _watermarks(summed: dict, batches: int, delay: int) -> list[int]:
     return out
 
 
-def _feed(sales: DataFrame, changes: DataFrame, work: str, batches: int, delay: int, bucket_rows: int, part_rows: int) -> str | None:
+def _feed(sales: DataFrame, changes: DataFrame, work: str, batches: int, delay: int, bucket_rows: int, large_rows: int, part_rows: int) -> str | None:
     """Write the batches of (batch, client, id, at) and (.., seq, cents, op) for the stream; None without rows."""
     spark = sales.sparkSession
 
@@ -287,7 +288,7 @@ def _feed(sales: DataFrame, changes: DataFrame, work: str, batches: int, delay:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // bucket_rows))
 
     clients = sales.select("client").unionByName(changes.select("client")).where(F.col("client") != NONE)
-    large = clients.groupBy("client").count().where(F.col("count") > part_rows).select("client", F.ceil(F.col("count") / part_rows).cast("int").alias("slices"))
+    large = clients.groupBy("client").count().where(F.col("count") > large_rows).select("client", F.ceil(F.col("count") / part_rows).cast("int").alias("slices"))
     large = written(large, f"{work}/large")
 
     def sliced(df: DataFrame) -> DataFrame:
@@ -345,7 +346,8 @@ def _release(spark: SparkSession, path: str, folder: str) -> None:
 
 
 def enrich_sales(
-    sales: DataFrame, changes: DataFrame, batches: int = BATCHES, first_day: int = FIRST_DAY, days: int = DAYS, delay_hours: int = DELAY_HOURS, bucket_rows: int = BUCKET_ROWS, part_rows: int = PART_ROWS
+    sales: DataFrame, changes: DataFrame, batches: int = BATCHES, first_day: int = FIRST_DAY, days: int = DAYS, delay_hours: int = DELAY_HOURS, bucket_rows: int = BUCKET_ROWS,
+    large_rows: int = LARGE_ROWS, part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """rec, id, batch, n_held, change_id, balance_cents, op: a row for every sale, and one for every late change."""
     spark: SparkSession = sales.sparkSession
@@ -360,7 +362,7 @@ def enrich_sales(
         _none(F.col("seq")).alias("seq"), _none(F.floor(F.col("balance") * 100 + 0.5)).alias("cents"), "op",
     )
     valid = written(valid, f"{work}/changes")
-    staged = _feed(sold, valid, work, batches, delay_hours * 3_600_000_000, bucket_rows, part_rows)
+    staged = _feed(sold, valid, work, batches, delay_hours * 3_600_000_000, bucket_rows, large_rows, part_rows)
     if staged is None:
         return spark.createDataFrame([], RESULT)
     before = {k: spark.conf.get(k, None) for k in _ROCKS}

@@ -204,8 +204,8 @@ SALES = "sale_id long, client_id long, sold_at timestamp_ntz, arrived_at timesta
 CHANGES = "change_id long, client_id long, seq long, op string, valid_at timestamp_ntz, balance double, city string"
 
 
-@pytest.mark.parametrize(("seed", "bucket_rows", "part_rows"), [(1, 60, 25), (2, 1 << 16, 1 << 14)])
-def test_valid_time(spark, seed, bucket_rows, part_rows):
+@pytest.mark.parametrize(("seed", "bucket_rows", "large_rows", "part_rows"), [(1, 60, 25, 10), (2, 1 << 16, 1 << 14, 1 << 11)])
+def test_valid_time(spark, seed, bucket_rows, large_rows, part_rows):
     from quarry.llm.valid_time import enrich_sales
 
     r = random.Random(seed)
@@ -217,7 +217,7 @@ def test_valid_time(spark, seed, bucket_rows, part_rows):
     changes = [{"change_id": i, "client_id": client(), "seq": r.choice([None, 0, 1]), "op": r.choice(["U", "D", None]), "valid_at": at(), "balance": r.choice([None, 1.005, -3.335, 20.0]), "city": "x"} for i in range(200)]
     changes += r.sample(changes, 20)
     made = [spark.createDataFrame([tuple(x.values()) for x in rows], schema) for rows, schema in ((sales, SALES), (changes, CHANGES))]
-    found = enrich_sales(*made, batches=4, days=8, bucket_rows=bucket_rows, part_rows=part_rows)
+    found = enrich_sales(*made, batches=4, days=8, bucket_rows=bucket_rows, large_rows=large_rows, part_rows=part_rows)
     assert Counter(tuple(x) for x in found.collect()) == enriched_by_brute_force(sales, changes, 4, 8)
 
 
