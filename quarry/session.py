@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,3 +28,16 @@ def session(app: str = "quarry", master: str | None = None, **conf: str) -> Spar
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, name: str, root: str | None = None) -> str:
+    """A new folder below ``root``: by default spark.checkpoint.dir, which the driver and all executors share.
+
+    Only in local mode, where that is unset, a temporary folder takes its place.
+    """
+    root = root or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + os.path.join(tempfile.gettempdir(), "quarry-shared")
+    return f"{root.rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}"

@@ -1,14 +1,17 @@
-"""The persisted index: symbols, vectors and a manifest, partitioned by workspace and extension."""
+"""The persisted index: versions of symbols, vectors and a manifest, by workspace and extension."""
 
 from __future__ import annotations
 
 import hashlib
 import json
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources import snapshots
+
 
 def index_name(directory: str, ext: str) -> str:
     full = os.path.abspath(directory)
@@ -20,27 +23,35 @@ def signature(**parameters) -> str:
     return hashlib.sha256(json.dumps(parameters, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
-def save(root: str, workspace: str, ext: str, manifest: dict, **tables: DataFrame) -> None:
-    """Write each table and, last, the manifest: an index without a manifest does not count."""
+def save(root: str, workspace: str, ext: str, manifest: dict, **tables: DataFrame) -> int:
+    """Write each table into a folder of its own and then the manifest of a new version, which names them.
+
+    Until then the version before counts, and readers of it go on: nothing is overwritten.
+    """
+    spark, base = next(iter(tables.values())).sparkSession, f"{root}/{workspace}/{ext}"
+    version = max(snapshots.versions(spark, base), default=0) + 1
+    folders = {name: f"{version:012d}-{name}-{uuid.uuid4().hex}" for name in tables}
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{workspace}/{ext}/{name}")
-    spark = next(iter(tables.values())).sparkSession
-    row = json.dumps(manifest, sort_keys=True)
-    spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/{workspace}/{ext}/manifest")
+        df.write.parquet(f"{base}/data/{folders[name]}")
+    snapshots.commit(spark, base, version, {"manifest": manifest, "tables": folders, "folders": sorted(folders.values())})
+    return version
 
 
-def load(spark: SparkSession, root: str, workspace: str, ext: str, **expected) -> dict | None:
+def load(spark: SparkSession, root: str, workspace: str, ext: str, version: int | None = None, **expected) -> dict | None:
     """{"manifest": .., name: DataFrame}; None if there is no index or the manifest disagrees with what is expected."""
     base = f"{root}/{workspace}/{ext}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/manifest")
-    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not store.exists(path):
-        return None
-    manifest = json.loads(spark.read.text(f"{base}/manifest").first()[0])
-    if any(manifest.get(k) != v for k, v in expected.items()):
+    said = snapshots.manifest(spark, base, version)
+    if said is None or any(said["manifest"].get(k) != v for k, v in expected.items()):
         return None
-    names = [s.getPath().getName() for s in store.listStatus(path.getParent()) if s.isDirectory()]
-    return {"manifest": manifest} | {n: spark.read.parquet(f"{base}/{n}") for n in names if n != "manifest"}
+    return {"manifest": said["manifest"]} | {name: spark.read.parquet(f"{base}/data/{folder}") for name, folder in said["tables"].items()}
+
+
+def clear_cache(spark: SparkSession, root: str, workspace: str, ext: str, disk: bool = False) -> None:
+    """Forget what Spark holds in memory; with ``disk`` delete the index, all of its versions."""
+    spark.catalog.clearCache()
+    if disk:
+        fs, there = snapshots._fs(spark, f"{root}/{workspace}/{ext}")
+        fs.delete(there, True)
 
 
 def append_jsonl(examples: DataFrame, path: str) -> None:

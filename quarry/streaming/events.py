@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.catalog import catalog_diff
+from quarry.sources import snapshots
 
 DEBOUNCE_MS = 1500
 
@@ -45,19 +45,25 @@ def debounced(changes: DataFrame, milliseconds: int = DEBOUNCE_MS) -> DataFrame:
     return changes.groupBy("workspace", "ext").applyInPandasWithState(update, "workspace string, ext string, n long", "n long", "append", "ProcessingTimeTimeout")
 
 
-def upsert_catalog(spark: SparkSession, path: str):
-    """A foreachBatch sink that keeps (path, hash) with versions: each batch writes the next whole state.
+def upsert_catalog(spark: SparkSession, path: str, compact_every: int = 50):
+    """A foreachBatch sink that keeps (path, hash) as a versioned table: a batch writes what it changes.
 
-    Rows of a batch are the newest hash of their path, or null for a deletion.
+    Rows of a batch are (path, hash, version); of a path the newest counts, and a null hash is a deletion.
+    A batch that comes again after a restart is in already. The version before is compared with the paths of the
+    batch alone, to leave out hashes that are as before.
     """
 
     def apply(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession
         newest = batch.groupBy("path").agg(F.max_by("hash", "version").alias("hash"))
-        before = session.read.parquet(f"{path}/{epoch - 1}") if epoch else session.createDataFrame([], "path string, hash string")
-        after = before.join(newest, "path", "left_anti").unionByName(newest.where("hash IS NOT NULL"))
-        after.write.mode("overwrite").parquet(f"{path}/{epoch}")
-        catalog_diff(before, session.read.parquet(f"{path}/{epoch}")).where("status <> 'unchanged'").write.mode("overwrite").parquet(f"{path}/changes-{epoch}")
+        before = snapshots.read(session, path)
+        if before is not None:
+            old = before.join(newest.select("path"), "path", "left_semi").select("path", F.col("hash").alias("_old"))
+            newest = newest.join(old, "path", "left").where(~F.col("hash").eqNullSafe(F.col("_old"))).drop("_old")
+        snapshots.append(path, newest.where("hash IS NOT NULL"), "path", newest.where("hash IS NULL").select("path"), epoch=epoch)
+        if (epoch + 1) % compact_every == 0:
+            snapshots.compact(session, path)
+            snapshots.vacuum(session, path, keep=2)
 
     return apply
 

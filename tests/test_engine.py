@@ -370,6 +370,7 @@ def test_commit_search_modes(spark):
 
 
 def test_streams_equal_batches(spark, tmp_path):
+    from quarry.sources import snapshots
     from quarry.streaming import events as E
 
     source = "/root/testdata/sf0.001/events.parquet"
@@ -392,8 +393,15 @@ def test_streams_equal_batches(spark, tmp_path):
     sink = E.upsert_catalog(spark, f"file://{tmp_path}/state")
     sink(frame(spark, [("a", "1", 1), ("b", "1", 1), ("a", "2", 2)], "path string, hash string, version long"), 0)
     sink(frame(spark, [("b", None, 3), ("c", "1", 3)], "path string, hash string, version long"), 1)
-    assert {tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/state/1").collect()} == {("a", "2"), ("c", "1")}
-    assert {tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/state/changes-1").collect()} == {("b", "deleted"), ("c", "added")}
+    sink(frame(spark, [("c", "1", 3), ("a", "2", 4)], "path string, hash string, version long"), 1)  # again after a restart
+    sink(frame(spark, [("c", "1", 5), ("a", "3", 5)], "path string, hash string, version long"), 2)
+    state = f"file://{tmp_path}/state"
+    assert {tuple(r) for r in snapshots.read(spark, state).collect()} == {("a", "3"), ("c", "1")} and {tuple(r) for r in snapshots.read(spark, state, 2).collect()} == {("a", "2"), ("c", "1")}
+    # An epoch writes what it changes: c came again as it was.
+    assert sorted(tuple(r) for r in snapshots.history(spark, state).where("_version > 1").select("path", "hash", "_version", "_gone").collect()) == [("a", "3", 3, False), ("b", None, 2, True), ("c", "1", 2, False)]
+    sink = E.upsert_catalog(spark, state, compact_every=4)
+    sink(frame(spark, [("d", "1", 6)], "path string, hash string, version long"), 3)
+    assert len(snapshots.manifest(spark, state)["folders"]) == 1 and snapshots.read(spark, state).count() == 3 and len(snapshots.versions(spark, state)) == 2
 
 
 def test_contract():
