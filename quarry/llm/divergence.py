@@ -8,8 +8,8 @@ from q is floor((p - q)**2 / q). Part ``pair`` sums it over all kept terms for e
 language, part ``term`` lists the terms that a group has more of than its language. Integers throughout:
 p comes from a long division by thousands, squares stay below 2**63.
 
-The method is a dictionary of integers. Kept terms are sorted by range into chunks, so that chunk and
-place in it number the terms of a language in UTF-8 order. In a chunk terms become ids by
+The method is a dictionary of integers. Kept terms are sorted by range and numbered in UTF-8 order,
+and a chunk has the same number of them everywhere. In a chunk terms become ids by
 ``searchsorted`` in its sorted array of terms, and one ``bincount`` over (group, id) makes the dense
 vectors of all groups of the language. Sums over terms are sums of chunks, and ties are broken by ids.
 
@@ -37,7 +37,7 @@ from quarry.llm.common import map_batches, prepare, workspace, written
 
 SCALE, MIN_DOCS, TOP = 1_000_000_000, 3, 200
 #: Terms that a task counts before it sends them; cells of a chunk; bytes of a text that are cut into words at once.
-ENTRIES, CELLS, SLICE = 400_000, 1 << 21, 1 << 20
+ENTRIES, CELLS, SLICE = 400_000, 1 << 20, 1 << 20
 
 #: ASCII letters in lower case and bytes beyond ASCII stay, all others part words.
 _LETTERS = bytes((b | 0x20 if 0x41 <= b <= 0x5A else b) if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
@@ -101,7 +101,7 @@ def _audit(top: int):
         known = np.array([x is None for x in table["term"].to_pylist()]) if len(table) else np.zeros(0, bool)
         groups = table.filter(pa.array(known)).sort_by("source")
         entries = table.filter(pa.array(~known))
-        lang, chunk = table["lang"][0].as_py(), table["chunk"][0].as_py()
+        lang = table["lang"][0].as_py()
         sources = groups["source"].to_pylist()
         total, kept, whole = (groups[c].to_numpy().astype(np.int64) for c in ("total", "kept", "whole"))
 
@@ -109,6 +109,7 @@ def _audit(top: int):
         words = np.empty(len(coded.dictionary), object)
         words[:] = coded.dictionary.to_pylist()
         terms = np.sort(words)
+        begin = int(entries["id"].to_numpy().min()) if len(entries) else 0
         ids = np.searchsorted(terms, words)[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
         place = {s: i for i, s in enumerate(sources)}
         group = np.fromiter((place[s] for s in entries["source"].to_pylist()), np.int64, len(entries))
@@ -125,7 +126,7 @@ def _audit(top: int):
             more = np.flatnonzero((counts[i] > 0) & (p[i] > q))
             value = (p[i, more] - q[more]) ** 2 // q[more]
             best = np.lexsort([more, -value])[:top]
-            rows += [(sources[i], "term", terms[more[x]].decode(), (chunk << 32) + int(more[x]), int(value[x])) for x in best]
+            rows += [(sources[i], "term", terms[more[x]].decode(), begin + int(more[x]), int(value[x])) for x in best]
         columns = list(zip(*rows, strict=True)) if rows else [()] * 5
         kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
         return pa.Table.from_arrays([pa.array([lang] * len(rows), pa.string()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[x.split()[0] for x in _FOUND.split(", ")])
@@ -133,6 +134,19 @@ def _audit(top: int):
     return run
 
 
+def numbered(terms: DataFrame, parts: int, work: str) -> DataFrame:
+    """terms with ``id``: their place among those of their language in UTF-8 order, from 0.
+
+    Terms are sorted by range; a term's id is its place in its part and how many of its language the parts before have.
+    """
+    ordered = terms.repartitionByRange(max(1, parts), "lang", "term").sortWithinPartitions("lang", "term")
+    placed = written(ordered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("nth")), f"{work}/sorted")
+    of_part = placed.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("size"), F.min("nth").alias("first"))
+    before = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = of_part.select("lang", "part", (F.coalesce(F.sum("size").over(before), F.lit(0)) - F.col("first")).alias("begin"))
+    return placed.join(begins, ["lang", "part"]).select(*terms.columns, (F.col("begin") + F.col("nth")).alias("id"))
+
+
 def audit_sources(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, cells: int = CELLS) -> DataFrame:
     """lang, source, part, item, value, rank: each group's divergence from others, and its terms that diverge most."""
     spark = docs.sparkSession
@@ -146,16 +160,16 @@ def audit_sources(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, cel
     terms = written(terms.select("lang", "term", "n"), f"{work}/terms")
 
     widest = groups.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
-    chunks = max(1, -(-terms.count() * widest // cells))
-    kept = written(terms.repartitionByRange(chunks, "lang", "term").withColumn("chunk", F.spark_partition_id()), f"{work}/kept")
+    chunk_terms = max(1, cells // widest)
+    kept = written(numbered(terms, -(-terms.count() // chunk_terms), work).withColumn("chunk", F.expr(f"id DIV {chunk_terms}")), f"{work}/kept")
 
-    entries = written(triples.where("term IS NOT NULL").join(kept.select("lang", "term", "chunk"), ["lang", "term"]).select("lang", "chunk", "source", "term", "n"), f"{work}/entries")
+    entries = written(triples.where("term IS NOT NULL").join(kept.select("lang", "term", "chunk", "id"), ["lang", "term"]).select("lang", "chunk", "source", "term", "id", "n"), f"{work}/entries")
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("n").alias("whole"))
     totals = entries.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     told = groups.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").select("lang", "source", zero("total"), zero("kept"), zero("whole"))
     parts = kept.select("lang", "chunk").distinct()
-    told = told.join(parts, "lang", "left").select("lang", F.coalesce("chunk", F.lit(-1)).alias("chunk"), "source", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("n"), "total", "kept", "whole")
+    told = told.join(parts, "lang", "left").select("lang", F.coalesce("chunk", F.lit(-1)).alias("chunk"), "source", F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("id"), F.lit(0).cast("long").alias("n"), "total", "kept", "whole")
     no = F.lit(None).cast("long")
     both = told.unionByName(entries.withColumns({"total": no, "kept": no, "whole": no}))
     found = written(both.groupBy("lang", "chunk").applyInArrow(_audit(top), _FOUND), f"{work}/found")
