@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import postings
+from quarry.operators import cells, postings
 from quarry.operators.catalog import content_hash
 from quarry.operators.fuse import top_ranked
-from quarry.plans.retrieval import TOKENS, TOP, bm25_sql, query_text
+from quarry.plans.retrieval import MEASURED, TOKENS, TOP, bm25_sql, query_text, query_vector
 from quarry.queries import query
 from quarry.session import shared_folder, table
 from quarry.sources import snapshots
@@ -79,3 +79,23 @@ def snapshot_as_of(spark, sf_dir):
     root = _states(spark, sf_dir)
     snapshots.compact(spark, root)
     return snapshots.read(spark, root, 1)
+
+
+def _cells(spark, sf_dir) -> str:
+    path = shared_folder(spark, "cells")
+    cells.build_cells(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", path)
+    return path
+
+
+@query(f"WITH {MEASURED} SELECT vec_id, round(d, 6) AS distance FROM m ORDER BY d, vec_id LIMIT 10")
+def cells_exact_topk(spark, sf_dir):
+    found = cells.nearest_in_cells(spark, _cells(spark, sf_dir), query_vector(spark, sf_dir), TOP, exact=True)
+    return found.select(F.col("key").alias("vec_id"), F.round("distance", 6).alias("distance"))
+
+
+@query()
+def cells_knn(spark, sf_dir):
+    """Approximate: the 10 nearest of every vector whose id is divisible by 50, among all."""
+    queries = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    found = cells.nearest_of_many(spark, _cells(spark, sf_dir), queries, TOP)
+    return found.select("query", F.col("key").alias("vec_id"), F.round("distance", 6).alias("distance"), "rank")
