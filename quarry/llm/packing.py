@@ -27,9 +27,10 @@ without a blank is one pre-token, which the library takes whole.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,9 @@ from pyspark.sql import functions as F
 from quarry.llm.common import map_batches, prepare, workspace, written
 
 CAPACITY, END_ID = 4096, 1
-CACHE_BYTES = 128 << 20
+CACHE_BYTES = 192 << 20
+#: Words of a call, and characters of the texts that are encoded together.
+_JOINED, _TOGETHER = 500, 1 << 18
 #: Punctuation that ends words.
 _MARKS = "!#$%&()*+,-./:;=?@[]^_{|}~"
 
@@ -57,9 +60,20 @@ class Encoder:
 
     def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        said = json.loads(self.library.to_str())
+        steps = [x["type"] for x in (said["normalizer"] or {}).get("normalizers", ())], [x["type"] for x in (said["pre_tokenizer"] or {}).get("pretokenizers", ())]
+        suffix, ids = said["model"].get("end_of_word_suffix"), self.library.get_vocab(with_added_tokens=False)
+        #: Of words in lower case these steps leave nothing to do but the bytes. Other tokenizers take every part whole.
+        self.knows_words = bool(suffix) and steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
+        if self.knows_words:
+            self.ends = np.zeros(max(ids.values()) + 1, bool)
+            self.ends[[i for x, i in ids.items() if x.endswith(suffix)]] = True
+            self.words = Tokenizer.from_file(path)
+            self.words.normalizer = normalizers.Sequence([])
+            self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[str, bytes] = {"": b""}
         self.room = self.most = cache_bytes
 
@@ -67,42 +81,47 @@ class Encoder:
         self.known[part] = ids
         self.room -= 2 * len(part) + len(ids) + 150
 
-    def _learn(self, parts: list[str]) -> None:
+    def _learn(self, parts: Iterable[str]) -> None:
         """Remember the ids of parts without white space.
 
         A word is a run of letters, and punctuation after one begins a pre-token of its own (an apostrophe may
-        not), so a word's ids are those of its letters in any place, and words are encoded in one call.
+        not), so a word's ids are those of its letters in any place, and many words are encoded in one call.
         """
-        known, heads = self.known, {}
+        known, heads, words = self.known, {}, {}
         for x in parts:
             word = x.rstrip(_MARKS)
-            heads[x] = word if _is_word(word) else x
-        words = [x for x in dict.fromkeys(heads.values()) if x not in known and _is_word(x)]
-        if words:
-            found = self.library.encode(" ".join(words), add_special_tokens=False)
-            ids, of = np.array(found.ids, "<u4"), np.array(found.word_ids)
-            edges = np.r_[0, np.flatnonzero(np.diff(of)) + 1, len(of)]
-            if len(edges) == len(words) + 1:
-                data = ids.tobytes()
-                for x, i, j in zip(words, (4 * edges[:-1]).tolist(), (4 * edges[1:]).tolist(), strict=True):
+            if self.knows_words and _is_word(word):
+                heads[x] = head = word.lower()
+                if head not in known:
+                    words[head] = None
+            else:
+                heads[x] = x
+        words = list(words)
+        joined = [words[i : i + _JOINED] for i in range(0, len(words), _JOINED)]
+        for own, found in zip(joined, self.words.encode_batch_fast([" ".join(x) for x in joined], add_special_tokens=False) if joined else (), strict=True):
+            ids = np.array(found.ids, "<u4")
+            data, edges = ids.tobytes(), (4 * np.r_[0, np.flatnonzero(self.ends[ids]) + 1]).tolist()
+            if len(edges) == len(own) + 1:
+                for x, i, j in zip(own, edges, edges[1:], strict=False):
                     self._keep(x, data[i:j])
-        rest = [x for x in dict.fromkeys([*heads.values(), *(x[len(word) :] for x, word in heads.items())]) if x not in known]
-        for x, found in zip(rest, self.library.encode_batch(rest, add_special_tokens=False), strict=True):
+        rest = {x for x in heads.values() if x not in known}
+        rest.update(x[len(head) :] for x, head in heads.items() if x[len(head) :] not in known)
+        for x, found in zip(rest, self.library.encode_batch(list(rest), add_special_tokens=False), strict=True):
             self._keep(x, np.array(found.ids, "<u4").tobytes())
-        for x, word in heads.items():
-            if x != word:
-                self._keep(x, known[word] + known[x[len(word) :]])
+        for x, head in heads.items():
+            if x != head:
+                self._keep(x, known[head] + known[x[len(head) :]])
 
-    def __call__(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, parts))
-        except KeyError:
-            pass
+    def many(self, texts: list[str]) -> list[bytes]:
+        split = [x.replace("\n", " ").split(" ") for x in texts]
         if self.room <= 0:
             self.known, self.room = {"": b""}, self.most
-        self._learn([x for x in dict.fromkeys(parts) if x not in self.known])
-        return b"".join(map(self.known.__getitem__, parts))
+        if new := [x for x in set().union(*split) if x not in self.known]:
+            self._learn(new)
+        return [b"".join(map(self.known.__getitem__, parts)) for parts in split]
+
+    def __call__(self, text: str) -> bytes:
+        return self.many([text])[0]
 
 
 @functools.cache
@@ -111,6 +130,19 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _encoded(encode: Encoder, batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
+    """(doc_id, ids) of each row; short texts are encoded together."""
+    held: list[tuple[int | None, str]] = []
+    size = 0
+    for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+        held.append((doc_id, text.as_py() or ""))
+        size += len(held[-1][1])
+        if size > _TOGETHER:
+            yield from zip([x for x, _ in held], encode.many([x for _, x in held]), strict=True)
+            held, size = [], 0
+    yield from zip([x for x, _ in held], encode.many([x for _, x in held]), strict=True)
+
+
 def _cut(path: str, capacity: int, end_id: int):
     end = int(end_id).to_bytes(4, "little")
 
@@ -119,8 +151,8 @@ def _cut(path: str, capacity: int, end_id: int):
         made = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids = encode(text.as_py() or "") + end
+            for doc_id, ids in _encoded(encode, batch):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     n = len(part) // 4
