@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import cells, postings
+from quarry.operators import cells, postings, tree, waves
 from quarry.operators.catalog import content_hash
 from quarry.operators.fuse import top_ranked
+from quarry.plans.analysis import PATH_SQL, paths
 from quarry.plans.retrieval import MEASURED, TOKENS, TOP, bm25_sql, query_text, query_vector
 from quarry.queries import query
 from quarry.session import shared_folder, table
@@ -99,3 +100,35 @@ def cells_knn(spark, sf_dir):
     queries = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
     found = cells.nearest_of_many(spark, _cells(spark, sf_dir), queries, TOP)
     return found.select("query", F.col("key").alias("vec_id"), F.round("distance", 6).alias("distance"), "rank")
+
+
+_GREP = """WITH l AS (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\n|\\r') AS a FROM documents WHERE contains(text, ' of the ') AND position(chr(0) IN substr(text, 1, 4096)) = 0),
+e AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS line_no FROM l)
+SELECT doc_id, line_no, substr(line, 1, 500) AS line FROM e WHERE contains(line, ' of the ') ORDER BY doc_id, line_no LIMIT 100"""
+
+
+@query(_GREP)
+def grep_early_exit(spark, sf_dir):
+    path = shared_folder(spark, "parts")
+    waves.lay_out(table(spark, sf_dir, "documents"), "doc_id", path, part_rows=500)
+    return waves.grep_first(spark, path, "doc_id", "text", " of the ").rows
+
+
+#: A folder for each language, first digit and first two digits of a page's number; the list checks some of them.
+CHECKED = ["./de/", "en/1", "en/2/25/", "fr/3/3", "absent"]
+_FOLDERS = f"""WITH p AS (SELECT string_split(path, '/') AS s FROM ({PATH_SQL}) WHERE path <> ''),
+f AS (SELECT s[1] AS a, left(s[2], 1) AS b, left(s[2], 2) AS c FROM p WHERE len(s) > 1 AND s[1] <> '' AND s[2] <> ''),
+d AS (SELECT DISTINCT * FROM (SELECT 1 AS depth, a AS rel_path, a AS name, '.' AS parent FROM f UNION ALL SELECT 2, a || '/' || b, b, a FROM f UNION ALL SELECT 3, a || '/' || b || '/' || c, c, a || '/' || b FROM f)),
+n AS (SELECT * FROM d ORDER BY depth, rel_path LIMIT 150),
+k AS (SELECT *, rel_path IN ('de', 'en/1', 'en/2/25', 'fr/3/3') AS checked, rel_path = 'de' OR starts_with(rel_path, 'de/') OR rel_path = 'en/1' OR starts_with(rel_path, 'en/1/') OR rel_path = 'en/2/25' OR rel_path = 'fr/3/3' AS covered FROM n),
+v AS (SELECT x.rel_path, count(*) AS n, count(*) FILTER (WHERE y.covered) AS yes FROM k x JOIN k y ON y.rel_path = x.rel_path OR starts_with(y.rel_path, x.rel_path || '/')
+      WHERE y.rel_path NOT IN (SELECT parent FROM k) GROUP BY 1)"""
+
+
+@query(f"""{_FOLDERS} SELECT rel_path, name, depth, parent, checked, CASE WHEN covered OR yes = n THEN 'all'
+WHEN yes > 0 OR EXISTS (SELECT 1 FROM k z WHERE z.checked AND starts_with(z.rel_path, k.rel_path || '/')) THEN 'some' ELSE 'none' END AS state FROM k JOIN v USING (rel_path)""")
+def ignore_tree(spark, sf_dir):
+    pages = paths(spark, sf_dir).where("size(split(path, '/')) > 1 AND split(path, '/')[0] <> '' AND split(path, '/')[1] <> ''").select(F.split("path", "/").alias("s"))
+    number = F.col("s")[1]
+    files = pages.select(F.concat_ws("/", F.col("s")[0], F.left(number, F.lit(1)), F.left(number, F.lit(2)), number).alias("path"))
+    return tree.ignore_tree(files, F.col("path"), CHECKED, most=150)

@@ -1,17 +1,12 @@
-"""Streams: debounced changes, incremental catalogs, event counts and cursors."""
+"""Streams: event counts, sessions, incremental catalogs, linked events."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.sources import snapshots
 
-DEBOUNCE_MS = 1500
-
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(begin, event_type, n) per window; late rows count while the watermark allows."""
@@ -25,26 +20,6 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return found.select("user_id", F.col("w.start").alias("begin"), "n")
 
 
-def debounced(changes: DataFrame, milliseconds: int = DEBOUNCE_MS) -> DataFrame:
-    """(workspace, ext, n) once no change came for a while: a processing-time timer per key.
-
-    changes: workspace, ext, path. A burst fires even if nothing follows it, which an event-time
-    session in append mode would not.
-    """
-
-    def update(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (n,) = state.get
-            state.remove()
-            yield pd.DataFrame({"workspace": [key[0]], "ext": [key[1]], "n": [n]})
-            return
-        (n,) = state.get if state.exists else (0,)
-        state.update((n + sum(len(b) for b in batches),))
-        state.setTimeoutDuration(milliseconds)
-
-    return changes.groupBy("workspace", "ext").applyInPandasWithState(update, "workspace string, ext string, n long", "n long", "append", "ProcessingTimeTimeout")
-
-
 def upsert_catalog(spark: SparkSession, path: str, compact_every: int = 50):
     """A foreachBatch sink that keeps (path, hash) as a versioned table: a batch writes what it changes.
 

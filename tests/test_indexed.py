@@ -159,3 +159,43 @@ def test_cells_of_the_table(spark, tmp_path):
     assert sum(len(found[i] & exact[i]) for i in found) >= 0.9 * 10 * len(found)
     size = lambda name: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(tmp_path / "c" / name) for f in fs if f.endswith(".parquet"))
     assert size("codes") < 0.2 * size("vectors")  # what is scanned instead of the vectors
+
+
+# ---- early exit, folder tree ----
+
+
+def test_early_exit_reads_few_parts(spark, tmp_path):
+    from quarry.operators.lexical import grep
+    from quarry.operators.waves import grep_first, lay_out
+
+    docs = spark.range(2000).select("id", F.when(F.col("id") % 10 == 3, F.concat(F.lit("x\nhit "), F.col("id").cast("string"))).when(F.col("id") == 1990, "rare").otherwise("no").alias("text")).repartition(7)
+    lay_out(docs, "id", f"file://{tmp_path}/p", part_rows=50)
+    common = grep_first(spark, f"file://{tmp_path}/p", "id", "text", "hit", most=20)
+    assert [tuple(r) for r in common.rows.collect()] == [tuple(r) for r in grep(docs, "id", F.col("text"), "hit", most=20).collect()]
+    read = spark.read.parquet(f"file://{tmp_path}/p").where(F.col("part") < common.parts_read).count()
+    assert common.parts == 40 and 5 * read <= 2000
+    rare, none = (grep_first(spark, f"file://{tmp_path}/p", "id", "text", x) for x in ("rare", "absent"))
+    assert [r.id for r in rare.rows.collect()] == [1990] and rare.parts_read == 40 and none.rows.count() == 0
+
+
+@pytest.mark.parametrize("most", [1500, 30])
+def test_ignore_tree_by_brute_force(spark, most):
+    from quarry.operators.tree import ignore_tree
+
+    r = random.Random(9)
+    files = ["/".join([*(r.choice(["a", "b", "ü", ".git", "c d"]) for _ in range(r.randrange(6))), "f.py"]) for _ in range(200)] + ["./a/z/f.py", "top.py"]
+    patterns = ["a/", "./b/a", "ü/b/a", "b\\b\\c d", "absent", ""]
+    plain = ["a", "b/a", "ü/b/a", "b/b/c d"]
+    dirs = {tuple(p[:k]) for f in files for p in [f.removeprefix("./").split("/")[:-1]] for k in range(1, min(4, len(p)) + 1) if ".git" not in p[:k]}
+    dirs = sorted(dirs, key=lambda d: (len(d), "/".join(d).encode()))[:most]
+    cover = lambda d: any("/".join(d[:k]) in plain for k in range(1, len(d) + 1))
+
+    def state(d):
+        below = [x for x in dirs if x[: len(d)] == d]
+        leaves = [x for x in below if not any(y[:-1] == x for y in dirs)]
+        if cover(d) or all(map(cover, leaves)):
+            return "all"
+        return "some" if any(map(cover, below)) else "none"
+
+    found = ignore_tree(spark.createDataFrame([(f,) for f in [*files, None]], "p string"), F.col("p"), patterns, most=most).collect()
+    assert {(x.rel_path, x.name, x.depth, x.parent, x.checked, x.state) for x in found} == {("/".join(d), d[-1], len(d), "/".join(d[:-1]) or ".", "/".join(d) in plain, state(d)) for d in dirs} and len(found) == len(dirs)
