@@ -6,18 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.globs import allowed
+from quarry.functions.projections import bm25_text, keyword_text
 from quarry.operators.fuse import blend, min_max, top_ranked
 from quarry.operators.lexical import bm25, keyword_match
 from quarry.operators.vector import distances, nearest, semantic_scores
 from quarry.plans.requests import Search
 
 
-def searchable(prefix_path: bool = True):
-    """Text that BM25 sees: name, class, kind, path and the code itself."""
-    path = [F.col("file"), F.element_at(F.split("file", "/"), -1)] if prefix_path else [F.col("docstring")]
-    return F.concat_ws("\n", "name", "class_name", "symbol_kind", *path, "raw_code")
-
-
 def scoped(symbols: DataFrame, request: Search, files: DataFrame | None = None) -> DataFrame:
     """Globs and the file list, before any statistic: null files mean all, an empty table none."""
     out = symbols.where(allowed(F.col("file"), request.include_globs, request.exclude_globs))
@@ -31,23 +26,16 @@ def search(symbols: DataFrame, request: Search, query_vector: list[float] | None
     scope = scoped(symbols, request, files)
     key = "symbol_id"
     if request.mode == "keyword":
-        found = scope.where(keyword_match(searchable(False), request.query)).orderBy("file", "lineno").limit(request.top_k)
+        found = scope.where(keyword_match(keyword_text(scope), request.query)).orderBy("file", "lineno").limit(request.top_k)
         return found.select(symbols["*"], F.lit(None).cast("double").alias("score"))
     if request.mode == "semantic":
         best = semantic_scores(nearest(scope, key, "embedding", query_vector, request.top_k), key)
         ranked = top_ranked(best.withColumn("score", F.col("semantic")), "score", key, request.top_k)
     else:
-        lexical = min_max(bm25(scope, key, searchable(), request.query), "bm25", "lexical")
+        lexical = min_max(bm25(scope, key, bm25_text(scope), request.query), "bm25", "lexical")
         if request.mode == "bm25":
             every = scope.select(key).join(lexical, key, "left").select(key, F.coalesce("lexical", F.lit(0.0)).alias("score"))
         else:
             every = blend(semantic_scores(distances(scope, key, "embedding", query_vector), key), lexical, key, request.semantic_weight)
         ranked = top_ranked(every, "score", key, request.top_k)
     return scope.join(F.broadcast(ranked), key).orderBy("rank")  # at most 50 ranked rows
-
-
-def reading(results: DataFrame, lines: int = 8, chars: int = 900) -> DataFrame:
-    """(rank, text): what an agent reads of each result."""
-    head = F.format_string("%d. %s (%s:%d-%d)", "rank", "name", "file", "lineno", "end_lineno")
-    snippet = F.left(F.array_join(F.slice(F.split("raw_code", "\n"), 1, lines), "\n"), F.lit(chars))
-    return results.select("rank", F.concat(head, F.lit("\n"), snippet).alias("text"))

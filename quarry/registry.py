@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import analysis, indexed, patches, retrieval, symbols  # noqa: F401
+from quarry.plans import analysis, indexed, patches, retrieval, symbols, views  # noqa: F401
 from quarry.queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

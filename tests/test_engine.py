@@ -295,7 +295,8 @@ def test_requests_and_search(spark):
     from quarry.functions.text import tokens
     from quarry.operators.vector import hash_embed
     from quarry.plans.requests import Search, extension
-    from quarry.plans.search import reading, search
+    from quarry.functions.projections import reading
+    from quarry.plans.search import search
     from quarry.sources.extract import extract_symbols
 
     r = Search("q", mode="odd", top_k=99, semantic_weight=3, target="diff")
@@ -309,7 +310,7 @@ def test_requests_and_search(spark):
         found = search(symbols, Search("load path", mode=mode), vector).collect()
         assert found and (mode == "keyword" or found[0]["name"] == "load"), mode
     assert search(symbols, Search("load", include_files=()), vector).count() == 0
-    assert reading(search(symbols, Search("load path"), vector)).first()["text"].startswith("1. load (src/a.py:4-8)")
+    assert reading(search(symbols, Search("load path"), vector)).first()["text"].startswith("1. Function `load` at `src/a.py:4-8`\n   rank_score=1.000")
 
 
 def test_ranges(spark):
