@@ -37,7 +37,7 @@ from quarry.llm.common import map_batches, prepare, workspace, written
 
 SCALE, MIN_DOCS, TOP = 1_000_000_000, 3, 200
 #: Terms that a task counts before it sends them; cells of a chunk; bytes of a text that are cut into words at once.
-ENTRIES, CELLS, SLICE = 400_000, 1 << 20, 1 << 20
+ENTRIES, CELLS, SLICE = 400_000, 1 << 18, 1 << 20
 
 #: ASCII letters in lower case and bytes beyond ASCII stay, all others part words.
 _LETTERS = bytes((b | 0x20 if 0x41 <= b <= 0x5A else b) if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))

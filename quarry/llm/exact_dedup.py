@@ -180,6 +180,15 @@ _ASKED = ("doc_id", "digest", "bucket", "known_id", "known_size")
 _FOUND = "doc_id long, digest binary, bucket long, known_id long, known_size long, keep_id long, group_size long, member boolean"
 
 
+def salted(digests: DataFrame, hot: DataFrame) -> DataFrame:
+    """digests with ``salt``: rows of a bucket are dealt in turn, whatever ids they have.
+
+    Rows are numbered as they are read from a written table, before any join, so a task that runs again numbers them alike.
+    """
+    rows = digests.withColumn("row", F.monotonically_increasing_id())
+    return rows.join(hot, "bucket", "left").withColumn("salt", F.pmod("row", F.coalesce("salts", F.lit(1))).cast("int"))
+
+
 def look_up(digests: DataFrame, index: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """_ASKED, keep_id, group_size and member of each row: what the index holds of its digest.
 
@@ -189,7 +198,7 @@ def look_up(digests: DataFrame, index: DataFrame, hot_rows: int = HOT_ROWS) -> D
     salts = asking.select("bucket", F.ceil(F.col("n") / F.lit(float(hot_rows))).cast("int").alias("salts"))
     hot = salts.where("salts > 1")
     copies = index.join(hot, "bucket", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
-    asked = digests.join(hot, "bucket", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).cast("int"))
+    asked = salted(digests, hot)
     no = lambda kind: F.lit(None).cast(kind)
     slots = ("levels", "digests", "winners", "sizes")
     both = copies.select(

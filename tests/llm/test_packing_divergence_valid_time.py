@@ -228,3 +228,20 @@ def test_valid_time_without_rows(spark):
     assert enrich_sales(*none).count() == 0
     sale = spark.createDataFrame([(1, 2, None, datetime(2024, 1, 2), "x"), (2, 2, datetime(2024, 1, 1), datetime(2024, 1, 1), "x")], SALES)
     assert sorted(tuple(x) for x in enrich_sales(sale, none[1], batches=2, days=8).collect()) == [("sale", 1, 0, 0, None, None, None), ("sale", 2, 2, 0, None, None, None)]
+
+
+# ---- exact dedup: hot ids ----
+
+
+def test_copies_without_ids_are_dealt_evenly(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.llm.exact_dedup import exact_dedup, salted
+
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit(5).cast("long").alias("bucket"))
+    hot = spark.createDataFrame([(5, 12)], "bucket long, salts int")
+    sizes = [r.n for r in salted(rows.repartition(4), hot).groupBy("salt").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == 12 and max(sizes) <= 2 * sorted(sizes)[6]
+    docs = spark.range(3000).select(F.when(F.col("id") >= 1000, F.col("id")).alias("doc_id"), F.lit("Copy").alias("text"))
+    found = exact_dedup(docs, bucket_size=4, hot_rows=100).collect()
+    assert len(found) == 3000 and {(x.keep_id, x.group_size) for x in found} == {(2999, 3000)} and sum(x.kept for x in found) == 1
