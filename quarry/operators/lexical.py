@@ -20,9 +20,9 @@ def query_terms(query: str) -> dict[str, int]:
 
 def term_counts(docs: DataFrame, key: str, text: Column, words: list[str]) -> DataFrame:
     """(key, _dl, _term, _tf): how often each document has each word; a row without a term stands for the document."""
-    found = docs.select(key, tokens(text).alias("_t")).select(key, F.size("_t").alias("_dl"), "_t")
+    found = docs.select(key, tokens(text).alias("_t")).select(key, F.size("_t").alias("_dl"), F.filter("_t", lambda t: t.isin(*words)).alias("_t"))
     each = found.select(key, "_dl", F.explode(F.array_append("_t", F.lit(None).cast("string"))).alias("_term"))
-    return each.where(F.col("_term").isNull() | F.col("_term").isin(*words)).groupBy(key, "_dl", "_term").agg(F.count(F.lit(1)).alias("_tf"))
+    return each.groupBy(key, "_dl", "_term").agg(F.count(F.lit(1)).alias("_tf"))
 
 
 def bm25(docs: DataFrame, key: str, text: Column, query: str) -> DataFrame:
@@ -56,10 +56,11 @@ def bm25_of_counts(counts: DataFrame, key: str, terms: dict[str, int]) -> DataFr
 
 def document_frequency(docs: DataFrame, text: Column) -> DataFrame:
     """(token, df, tf) over docs."""
-    found = tokens(text)
-    tagged = lambda a, once: F.transform(a, lambda t: F.struct(t.alias("token"), F.lit(once).alias("once")))
-    each = docs.select(found.alias("_t")).select(F.explode(F.concat(tagged(F.col("_t"), False), tagged(F.array_distinct("_t"), True))).alias("x"))
-    return each.groupBy(F.col("x.token").alias("token")).agg(F.count_if("x.once").alias("df"), F.count_if(~F.col("x.once")).alias("tf"))
+    sorted_ = docs.select(F.array_sort(tokens(text)).alias("_t"))
+    # In order, the first of a document's equal tokens counts for the document.
+    tagged = F.transform("_t", lambda t, i: F.struct(t.alias("token"), F.coalesce(F.get("_t", i - 1) != t, F.lit(True)).alias("once")))
+    each = sorted_.select(F.explode(tagged).alias("x"))
+    return each.groupBy(F.col("x.token").alias("token")).agg(F.count_if("x.once").alias("df"), F.count(F.lit(1)).alias("tf"))
 
 
 def keyword_match(text: Column, query: str) -> Column:

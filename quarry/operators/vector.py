@@ -1,9 +1,7 @@
-"""Vector retrieval: exact distances, scores relative to the candidates, embedders, an ANN option."""
+"""Vector retrieval: exact distances, scores relative to the candidates, an approximate option."""
 
 from __future__ import annotations
 
-import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,24 +49,6 @@ def nearest_by_matrix(vectors: DataFrame, key: str, column: str, query: list[flo
     return vectors.select(key, column).mapInPandas(each, f"{key} long, distance double").orderBy("distance", key).limit(k)
 
 
-def hash_embed(tokens_column: Column, width: int = 64) -> Column:
-    """A deterministic embedder: tokens into signed buckets, scaled to unit length. A plug point for a model."""
-
-    @F.pandas_udf("array<float>")
-    def embed(batch: pd.Series) -> pd.Series:
-        out = []
-        for words in batch:
-            v = np.zeros(width)
-            for w in words if words is not None else ():
-                h = zlib.crc32(w.encode())
-                v[h % width] += 1.0 if h >> 31 else -1.0
-            norm = math.sqrt(float((v * v).sum()))
-            out.append((v / norm if norm else v).astype(np.float32))
-        return pd.Series(out)
-
-    return embed(tokens_column)
-
-
 def lsh_nearest(vectors: DataFrame, key: str, column: str, query: list[float], k: int, tables: int = 16, bucket: float = 1.0) -> DataFrame:
     """The approximate option: random projections choose candidates, exact distances rank them; exact if they choose fewer than k."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH

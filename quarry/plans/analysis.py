@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.functions import globs
+from quarry.functions import globs, projections
 from quarry.functions import text as X
-from quarry.operators import catalog, feedback, ranges, stats
+from quarry.operators import catalog, commits, feedback, ranges, stats
 from quarry.operators.calls import external_calls
 from quarry.operators.fuse import min_max, top_ranked
 from quarry.operators.lexical import bm25
@@ -17,6 +17,7 @@ from quarry.plans.requests import Search
 from quarry.plans.retrieval import MEASURED, bm25_sql, lexical, measured, query_text, query_vector
 from quarry.queries import query
 from quarry.session import table
+from quarry.streaming.events import sessions, tumbling
 
 EXCLUDE = ["*.php", "*/1*"]
 IGNORE = "# pages\nen/\n*7\n!*77\np?ge[0-4]*\nfr/1*\n"
@@ -345,8 +346,10 @@ def parent_child_link(spark, sf_dir):
 
 @query("SELECT c.conv_id, c.turn AS child, p.turn AS parent FROM conversations c JOIN conversations p ON c.conv_id = p.conv_id AND p.turn = c.turn - 1")
 def parent_edges(spark, sf_dir):
-    c, p = (table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias(n)) for n in ("child", "parent"))
-    return c.join(p, (c["conv_id"] == p["conv_id"]) & (F.col("parent") == F.col("child") - 1)).select(c["conv_id"], "child", "parent")
+    turn = lambda n: F.concat_ws(":", "conv_id", n)
+    rows = table(spark, sf_dir, "conversations").select(turn("turn").alias("hash"), F.array(turn(F.col("turn") - 1)).alias("parents"))
+    part = lambda c, i: F.split_part(c, F.lit(":"), F.lit(i)).cast("long")
+    return commits.parent_edges(rows).select(part("child", 1).alias("conv_id"), part("child", 2).alias("child"), part("parent", 2).alias("parent"))
 
 
 @query(f"""{RESULTS}, u AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), j AS (SELECT r.doc_id, rank, u.doc_id IS NOT NULL AS used FROM r LEFT JOIN u USING (doc_id))
@@ -418,7 +421,8 @@ _KIND = "CASE WHEN lang = 'en' THEN 'function' WHEN lang = 'de' THEN 'method' EL
 
 @query(f"SELECT doc_id, {_KIND} AS kind FROM documents WHERE {_KIND} IN ('function', 'method')")
 def symbol_kind_filter(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr(_KIND).alias("kind")).where(F.col("kind").isin("function", "method"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(_KIND).alias("kind"))
+    return rows.where(projections.is_shown("function_level", F.col("kind"), F.lit(None).cast("string")))
 
 
 @query(f"{RESULTS} SELECT doc_id, row_number() OVER (ORDER BY {_KIND} = 'code_block', rank) AS place FROM r JOIN documents USING (doc_id)")
@@ -444,15 +448,12 @@ def relabel_and_kind_label(spark, sf_dir):
 @query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
 SELECT user_id, min(ts) AS begin, count(*) AS n FROM s GROUP BY user_id, k""")
 def debounce_sessions(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    found = events.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return found.select("user_id", F.col("w.start").alias("begin"), "n")
+    return sessions(table(spark, sf_dir, "events"), "30 minutes")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS begin, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def tumbling_counts(spark, sf_dir):
-    found = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return found.select(F.col("w.start").alias("begin"), "event_type", "n")
+    return tumbling(table(spark, sf_dir, "events"), "1 hour")
 
 
 @query("""SELECT doc_id, regexp_matches(t, '[\\x{3040}-\\x{30ff}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9faf}]') AS found

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions.text import tokens
+from quarry.operators.encoders import HashEncoder, embed
 from quarry.operators.fuse import SEMANTIC_WEIGHT, band, blend, min_max, top_ranked
 from quarry.operators.lexical import bm25, document_frequency, grep, keyword_match, matched_keywords
-from quarry.operators.vector import distances, hash_embed, lsh_nearest, nearest, nearest_by_matrix, semantic_scores
+from quarry.operators.vector import distances, lsh_nearest, nearest, nearest_by_matrix, semantic_scores
 from quarry.queries import query
 from quarry.session import table
 
@@ -168,9 +168,18 @@ def hybrid_no_lexical_hits(spark, sf_dir):
     return _hybrid(spark, sf_dir, "日本語のみ")
 
 
-@query()
+#: CRC-32 of ASCII text t, by hand: bits from a byte, bytes from the text.
+_CRC = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(1, length(t) + 1), lambda i: CAST(ascii(substr(t, CAST(i AS INT), 1)) AS BIGINT))),
+lambda c, x: list_reduce(list_concat([xor(c, x)], range(8)), lambda r, j: CASE WHEN r & 1 = 1 THEN xor(r >> 1, CAST(3988292384 AS BIGINT)) ELSE r >> 1 END)), CAST(4294967295 AS BIGINT))"""
+
+
+@query(f"""WITH d AS (SELECT doc_id, unnest({TOKENS}) AS t FROM documents), h AS (SELECT t, {_CRC} AS h FROM (SELECT DISTINCT t FROM d)),
+s AS (SELECT doc_id, h % 64 AS i, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS x FROM d JOIN h USING (t) GROUP BY 1, 2), n AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM s GROUP BY 1),
+e AS (SELECT k.doc_id, k.i, CAST(CAST(CASE WHEN n.n > 0 THEN coalesce(s.x, 0) / n.n ELSE 0 END AS FLOAT) AS DOUBLE) AS x FROM (SELECT doc_id, unnest(range(64)) AS i FROM documents) k LEFT JOIN s ON s.doc_id = k.doc_id AND s.i = k.i LEFT JOIN n ON n.doc_id = k.doc_id)
+SELECT e.doc_id, round(sum((e.x - q.x) * (e.x - q.x)), 6) AS distance FROM e JOIN e q ON q.i = e.i AND q.doc_id = (SELECT min(doc_id) FROM documents) GROUP BY e.doc_id ORDER BY sum((e.x - q.x) * (e.x - q.x)), e.doc_id LIMIT 10""")
 def hash_embed_knn(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", hash_embed(tokens(F.col("text"))).alias("embedding"))
+    """Every document through the encoder plug-in, and the nearest of the first one."""
+    docs = embed(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), HashEncoder(), batch=256)
     first = docs.orderBy("doc_id").select("embedding").first()[0]
     return nearest(docs, "doc_id", "embedding", list(first), TOP).select("doc_id", F.round("distance", 6).alias("distance"))
 

@@ -292,8 +292,7 @@ def test_catalog_and_index(spark, tmp_path):
 
 
 def test_requests_and_search(spark):
-    from quarry.functions.text import tokens
-    from quarry.operators.vector import hash_embed
+    from quarry.operators.encoders import HashEncoder, embed
     from quarry.plans.requests import Search, extension
     from quarry.functions.projections import reading
     from quarry.plans.search import search
@@ -304,7 +303,8 @@ def test_requests_and_search(spark):
     assert extension(None, {".ts": 2, ".java": 2}) == ".java"
     with pytest.raises(ValueError):
         extension("exe", {})
-    symbols = extract_symbols(frame(spark, [("src/a.py", bytearray(PY))], "path string, content binary")).withColumn("embedding", hash_embed(tokens(F.col("code")))).cache()
+    symbols = extract_symbols(frame(spark, [("src/a.py", bytearray(PY))], "path string, content binary")).cache()
+    symbols = symbols.join(embed(symbols, "symbol_id", F.col("code"), HashEncoder()), "symbol_id").cache()
     vector = symbols.where("name = 'load'").first()["embedding"]
     for mode in ("semantic", "hybrid", "bm25", "keyword"):
         found = search(symbols, Search("load path", mode=mode), vector).collect()
