@@ -1,4 +1,4 @@
-"""Extraction and diff queries over small sources of their own: the tables hold no code."""
+"""Extraction and diff queries: every document stands for a source file, written from a template of its language."""
 
 from __future__ import annotations
 
@@ -8,58 +8,63 @@ from quarry.operators.diffs import changed_symbols as touched
 from quarry.operators.diffs import hunks
 from quarry.operators.ranges import ranges_text
 from quarry.queries import query
-from quarry.sources.extract import call_graph, extract_symbols
+from quarry.session import table
+from quarry.sources.extract import call_graph, extract_symbols, import_edges
 
+#: In templates and in what they hold, @I is the document's id, @M its rest by seven, @N its length.
 PYTHON = '''import json
-import pathlib as pl
+from os import path as p
 
 
-@app.get("/users/{user_id}")
-async def read_user(user_id: str, *fields, depth: int = 1, **more) -> dict:
-    """One user."""
-    data = json.loads(pl.Path(user_id).read_text())
-    return trim(data, depth)
+class Store@M:
+    @staticmethod
+    def load(key: str, *rest):
+        """Entry @I."""
+        return json.loads(key)
 
 
-def trim(data, depth):
-    def inner(x):
-        return x
-    return inner(data)
+def find_@I(a, b=None):
+    found = find_@I(a)
+    return Store@M.load(found)
 
 
-class Store:
-    def save(self, user):
-        return trim(user, 1)
-
-
-limit = 10
-if limit:
-    print(trim({}, limit))
+LIMIT = @N
+print(find_@I(LIMIT))
 '''
-BROKEN = "def fine():\n    return 1\n\nif broken:\n"
-JAVA = "class Box {\n  Box() { }\n  int size(int a) { if (a > 0) { return a; } return 0; }\n  abstract void none();\n  class In { void deep() { } }\n}\n"
-SCRIPT = "/** Adds. */\nexport function add(a: number) { return `${a}{`; }\nconst arrow = () => 1;\nclass Svc {\n  async run(q: string): Promise<void> { return add(1); }\n  #hid() { return 1; }\n}\n"
-PATCH = """diff --git a/app.py b/app.py
---- a/app.py
-+++ b/app.py
-@@ -11,5 +11,5 @@ def read_user
- 
- def trim(data, depth):
-     def inner(x):
--        return x or None
-+        return x
-     return inner(data)
-@@ -21,4 +21,3 @@ class Store
- 
- limit = 10
---- limit
- if limit:
+BROKEN = "def fine_@I(x):\n    return x\n\n\nif broken(:\n"
+JAVA = "package a;\nclass Box@M {\n    int size@I(int a) { if (a > 0) { return a; } return 0; }\n    class In { void deep() { } }\n}\n"
+SCRIPT = "/** Adds @I. */\nfunction add@I(a: number) { return `${a}{`; }\nclass Svc@M {\n    async run(q: string): Promise<void> { return add@I(1); }\n    #hid() { return 1; }\n}\n"
+PATCH = """diff --git a/src/@I.py b/src/@I.py
+--- a/src/@I.py
++++ b/src/@I.py
+@@ -12,3 +12,3 @@ class Store@M:
+ def find_@I(a, b=None):
+-    found = find_@I(b)
++    found = find_@I(a)
+     return Store@M.load(found)
 """
+#: By the rest of a document's id by five: the file's suffix and its template.
+KINDS = ((".py", PYTHON), (".py", PYTHON), (".py", BROKEN), (".java", JAVA), (".ts", SCRIPT))
+
+
+def _documents(spark, sf_dir, *rests: int):
+    docs = table(spark, sf_dir, "documents").where("doc_id >= 0").groupBy("doc_id").agg(F.max("n_chars").alias("n"))
+    return docs.where((F.col("doc_id") % 5).isin(*rests))
+
+
+def _filled(template: str):
+    out = F.lit(template)
+    for mark, value in (("@I", F.col("doc_id")), ("@M", F.col("doc_id") % 7), ("@N", F.coalesce("n", F.lit(0)))):
+        out = F.replace(out, F.lit(mark), value.cast("string"))
+    return out
 
 
-def _files(spark, *names: str):
-    known = {"app.py": PYTHON, "broken.py": BROKEN, "Box.java": JAVA, "svc.ts": SCRIPT}
-    return spark.createDataFrame([(n, bytearray(known[n].encode())) for n in names], "path string, content binary")
+def _files(spark, sf_dir, *rests: int):
+    rest = F.col("doc_id") % 5
+    text, suffix = F.lit(None).cast("string"), F.lit("")
+    for i in rests:
+        text, suffix = F.when(rest == i, _filled(KINDS[i][1])).otherwise(text), F.when(rest == i, KINDS[i][0]).otherwise(suffix)
+    return _documents(spark, sf_dir, *rests).select(F.concat(F.lit("src/"), F.col("doc_id").cast("string"), suffix).alias("path"), F.encode(text, "UTF-8").alias("content"))
 
 
 def _shown(symbols):
@@ -67,59 +72,73 @@ def _shown(symbols):
     return symbols.select("file", "name", "symbol_kind", "class_name", "lineno", "end_lineno", "docstring", *lists, "python_static.fallback", F.sha2("raw_code", 256).alias("code_hash"))
 
 
-# What the sources above hold, read by eye: names, lines and texts. The code is cut from the lines by the SQL itself.
-_COLUMNS = "name, symbol_kind, class_name, lineno, end_lineno, docstring, params, calls, framework_tags, fallback"
-_TRIM = "('trim', 'function', NULL, 12, 15, NULL, 'data; depth', 'inner', '', NULL)"
-_IN_APP = f"""('read_user', 'function', NULL, 6, 9, 'One user.', 'user_id: str; depth: int; fields; more', 'app.get; json.loads; pl.Path; read_text; trim', 'fastapi_route', NULL), {_TRIM},
-('save', 'method', 'Store', 19, 20, NULL, 'self; user', 'trim', '', NULL), ('CodeBlock:23-25:calls=print,trim', 'code_block', NULL, 23, 25, NULL, NULL, 'print; trim', NULL, NULL)"""
-_IN_BROKEN = "('fine', 'function', NULL, 1, 2, NULL, NULL, NULL, NULL, 'tree_sitter')"
+# What the templates hold, read by eye: names, lines and texts. The code is cut from the lines by the SQL itself.
+_COLUMNS = ("name", "symbol_kind", "class_name", "lineno", "end_lineno", "docstring", "params", "calls", "framework_tags", "fallback", "first")
+_FIND = "('find_@I', 'function', NULL, 12, 14, NULL, 'a; b', 'Store@M.load; find_@I', '', NULL, 1)"
+_IN_PYTHON = f"""('load', 'method', 'Store@M', 7, 9, 'Entry @I.', 'key: str; rest', 'json.loads', '', NULL, 5), {_FIND},
+('CodeBlock:17-18:calls=find_@I,print', 'code_block', NULL, 17, 18, NULL, NULL, 'find_@I; print', NULL, NULL, 1)"""
+_IN_BROKEN = "('fine_@I', 'function', NULL, 1, 2, NULL, NULL, NULL, NULL, 'tree_sitter', 1)"
+_IN_JAVA = "('size@I', 'method', 'Box@M', 3, 3, NULL, NULL, NULL, NULL, NULL, 5), ('deep', 'method', 'In', 4, 4, NULL, NULL, NULL, NULL, NULL, 16)"
+_IN_SCRIPT = """('add@I', 'function', NULL, 2, 2, 'Adds @I.', NULL, NULL, NULL, NULL, 1), ('run', 'method', 'Svc@M', 4, 4, NULL, NULL, NULL, NULL, NULL, 5), ('#hid', 'method', 'Svc@M', 5, 5, NULL, NULL, NULL, NULL, NULL, 5)"""
 
 
-def _cut(file: str, source: str, values: str) -> str:
-    lines = "string_split('" + source.replace("'", "''") + "', chr(10))"
-    return f"SELECT '{file}' AS file, {_COLUMNS}, sha256(array_to_string(list_slice({lines}, lineno, end_lineno), chr(10))) AS code_hash FROM (VALUES {values}) t({_COLUMNS})"
+def _put(text: str) -> str:
+    return f"replace(replace(replace({text}, '@I', CAST(doc_id AS VARCHAR)), '@M', CAST(doc_id % 7 AS VARCHAR)), '@N', CAST(n AS VARCHAR))"
 
 
 def _text(source: str) -> str:
     return "'" + source.replace("'", "''") + "'"
 
 
-@query(f"{_cut('app.py', PYTHON, _IN_APP)} UNION ALL {_cut('broken.py', BROKEN, _IN_BROKEN)}")
-def extract_python_symbols(spark, sf_dir):
-    return _shown(extract_symbols(_files(spark, "app.py", "broken.py")))
+def _cut(rests: str, suffix: str, source: str, values: str) -> str:
+    """The symbols of all files of a template; ``first`` is the character that a symbol's code begins at in its first line, ``deep`` ends before the line does."""
+    columns = ", ".join(c if c in ("lineno", "end_lineno") else f"{_put(c)} AS {c}" for c in _COLUMNS[:-1])
+    lines = f"list_slice(string_split({_put(_text(source))}, chr(10)), lineno, end_lineno)"
+    code = f"substr(array_to_string({lines}, chr(10)), CASE WHEN symbol_kind = 'method' AND lineno < end_lineno THEN 1 ELSE first END)"
+    code = f"CASE WHEN name = 'deep' THEN substr({code}, 1, 15) ELSE {code} END"
+    return f"""SELECT 'src/' || doc_id || '{suffix}' AS file, {columns}, sha256({code}) AS code_hash FROM (SELECT doc_id, coalesce(max(n_chars), 0) AS n FROM documents WHERE doc_id >= 0 GROUP BY doc_id), (VALUES {values}) t({', '.join(_COLUMNS)}) WHERE doc_id % 5 IN ({rests})"""
 
 
-_BRACES = """('Box.java', 'size', 'method', 'Box', 3, NULL, 'int size(int a) { if (a > 0) { return a; } return 0; }'), ('Box.java', 'deep', 'method', 'In', 5, NULL, 'void deep() { }'),
-('svc.ts', 'add', 'function', NULL, 2, 'Adds.', 'function add(a: number) { return `${a}{`; }'), ('svc.ts', 'run', 'method', 'Svc', 5, NULL, 'async run(q: string): Promise<void> { return add(1); }'),
-('svc.ts', '#hid', 'method', 'Svc', 6, NULL, '#hid() { return 1; }')"""
+@query(f"{_cut('0, 1', '.py', PYTHON, _IN_PYTHON)} UNION ALL {_cut('2', '.py', BROKEN, _IN_BROKEN)}")
+def extract_python_symbols(spark, sf_dir):
+    return _shown(extract_symbols(_files(spark, sf_dir, 0, 1, 2)))
 
 
-@query(f"""SELECT file, name, symbol_kind, class_name, lineno, lineno AS end_lineno, docstring, CAST(NULL AS VARCHAR) AS params, CAST(NULL AS VARCHAR) AS calls, CAST(NULL AS VARCHAR) AS framework_tags,
-CAST(NULL AS VARCHAR) AS fallback, sha256(code) AS code_hash FROM (VALUES {_BRACES}) t(file, name, symbol_kind, class_name, lineno, docstring, code)""")
+@query(f"{_cut('3', '.java', JAVA, _IN_JAVA)} UNION ALL {_cut('4', '.ts', SCRIPT, _IN_SCRIPT)}")
 def extract_brace_symbols(spark, sf_dir):
-    return _shown(extract_symbols(_files(spark, "Box.java", "svc.ts")))
+    return _shown(extract_symbols(_files(spark, sf_dir, 3, 4)))
+
 
+_PY = "SELECT DISTINCT doc_id, 'src/' || doc_id || '.py' AS file FROM documents WHERE doc_id >= 0 AND doc_id % 5 IN (0, 1)"
 
-@query("SELECT 'app.py' AS file, caller, 'trim' AS callee FROM (VALUES ('read_user'), ('save'), ('CodeBlock:23-25:calls=print,trim')) t(caller)")
+
+@query(f"""SELECT file, {_put("caller").replace("CAST(n AS VARCHAR)", "''")} AS caller, {_put("callee").replace("CAST(n AS VARCHAR)", "''")} AS callee
+FROM ({_PY}), (VALUES ('find_@I', 'find_@I'), ('find_@I', 'load'), ('CodeBlock:17-18:calls=find_@I,print', 'find_@I')) t(caller, callee)""")
 def call_graph_edges(spark, sf_dir):
-    return call_graph(extract_symbols(_files(spark, "app.py")))
+    return call_graph(extract_symbols(_files(spark, sf_dir, 0, 1)))
+
+
+@query(f"SELECT file, 'load' AS caller, 'json' AS module, 'json.loads' AS call FROM ({_PY})")
+def import_dependencies(spark, sf_dir):
+    return import_edges(extract_symbols(_files(spark, sf_dir, 0, 1)))
 
 
-def _patches(spark):
-    return spark.createDataFrame([(None, None, None, PATCH)], "commit_hash string, commit_subject string, commit_message string, patch string")
+def _patches(spark, sf_dir):
+    none = [F.lit(None).cast("string").alias(c) for c in ("commit_hash", "commit_subject", "commit_message")]
+    return _documents(spark, sf_dir, 0, 1).select(*none, _filled(PATCH).alias("patch"))
 
 
-_FIRST, _SECOND = (PATCH[PATCH.index(a) : PATCH.index(b) if b else None].rstrip() for a, b in (("@@ -11", "@@ -21"), ("@@ -21", None)))
-_HEADER = "diff --git a/app.py b/app.py\n--- a/app.py\n+++ b/app.py\n"
+_BODY = PATCH[PATCH.index("@@ -12") :].rstrip()
+_HEADER = PATCH[: PATCH.index("@@ -12")]
 
 
-@query(f"""SELECT 'app.py' AS path, lineno, end_lineno, changed_code, sha256({_text(_HEADER)} || body) AS search_hash, additions, 1 AS deletions, added, removed, anchor FROM (VALUES
-(14, 15, '        return x or None' || chr(10) || '        return x', {_text(_FIRST)}, 1, '14', '14', 13), (21, 23, '-- limit', {_text(_SECOND)}, 0, '', '23', 22)) t(lineno, end_lineno, changed_code, body, additions, added, removed, anchor)""")
+@query(f"""SELECT 'src/' || doc_id || '.py' AS path, 13 AS lineno, 14 AS end_lineno, '    found = find_' || doc_id || '(b)' || chr(10) || '    found = find_' || doc_id || '(a)' AS changed_code,
+sha256({_put(_text(_HEADER + _BODY))}) AS search_hash, 1 AS additions, 1 AS deletions, '13' AS added, '13' AS removed, 12 AS anchor FROM (SELECT DISTINCT doc_id, 0 AS n FROM documents WHERE doc_id >= 0 AND doc_id % 5 IN (0, 1))""")
 def diff_hunks_parse(spark, sf_dir):
     ranges = [ranges_text(F.col(f"{c}_ranges")).alias(c) for c in ("added", "removed")]
-    return hunks(_patches(spark)).select("path", "lineno", "end_lineno", "changed_code", F.sha2("search_text", 256).alias("search_hash"), "additions", "deletions", *ranges, "anchor")
+    return hunks(_patches(spark, sf_dir)).select("path", "lineno", "end_lineno", "changed_code", F.sha2("search_text", 256).alias("search_hash"), "additions", "deletions", *ranges, "anchor")
 
 
-@query(_cut("app.py", PYTHON, _TRIM))
+@query(_cut("0, 1", ".py", PYTHON, _FIND))
 def changed_symbols(spark, sf_dir):
-    return _shown(touched(extract_symbols(_files(spark, "app.py")), hunks(_patches(spark))))
+    return _shown(touched(extract_symbols(_files(spark, sf_dir, 0, 1)), hunks(_patches(spark, sf_dir))))

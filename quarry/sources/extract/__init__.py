@@ -68,3 +68,9 @@ def call_graph(symbols: DataFrame) -> DataFrame:
     names = symbols.where("symbol_kind IN ('function', 'method')").select("file", F.col("name").alias("callee")).distinct()
     last = F.element_at(F.split("call", r"\."), -1)
     return calls.join(names, (calls["file"] == names["file"]) & (last == F.col("callee"))).select(calls["file"], "caller", "callee").distinct()
+
+
+def import_edges(symbols: DataFrame) -> DataFrame:
+    """(file, caller, module, call): calls into what the file imports, and the imported module that each goes to."""
+    calls = symbols.select("file", F.col("name").alias("caller"), F.explode("python_static.external_import_calls").alias("call")).distinct()
+    return calls.select("file", "caller", F.split_part("call", F.lit("."), F.lit(1)).alias("module"), "call")

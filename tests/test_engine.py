@@ -412,12 +412,20 @@ def test_contract():
     assert set(e.oracle_sql()) <= set(known) and "hybrid_topk" in known and len(known) > 70
 
 
-def test_symbol_queries(spark):
-    from quarry.registry import QUERIES
-
-    rows = {n: QUERIES[n](spark, "").collect() for n in ("extract_python_symbols", "extract_brace_symbols", "call_graph_edges", "diff_hunks_parse", "changed_symbols")}
-    assert {r.name for r in rows["extract_python_symbols"]} == {"read_user", "trim", "save", "fine", "CodeBlock:23-25:calls=print,trim"}
-    assert {r.name for r in rows["extract_brace_symbols"]} == {"size", "deep", "add", "run", "#hid"}
-    assert {(r.caller, r.callee) for r in rows["call_graph_edges"]} >= {("read_user", "trim"), ("save", "trim")}
-    assert [(r.lineno, r.additions, r.deletions) for r in rows["diff_hunks_parse"]] == [(14, 1, 1), (21, 0, 1)]
-    assert {r.name for r in rows["changed_symbols"]} == {"trim"}
+def test_symbols_of_literal_sources(spark):
+    import literal_sources as L
+
+    from quarry.operators.diffs import changed_symbols, hunks
+    from quarry.sources.extract import call_graph, extract_symbols, import_edges
+
+    known = {"app.py": L.PYTHON, "broken.py": L.BROKEN, "Box.java": L.JAVA, "svc.ts": L.SCRIPT}
+    files = frame(spark, [(n, bytearray(t.encode())) for n, t in known.items()], "path string, content binary")
+    found = extract_symbols(files).cache()
+    names = lambda *suffixes: {r.name for r in found.collect() if r.file.endswith(suffixes)}
+    assert names(".py") == {"read_user", "trim", "save", "fine", "CodeBlock:23-25:calls=print,trim"} and names(".java", ".ts") == {"size", "deep", "add", "run", "#hid"}
+    app = found.where("file = 'app.py'")
+    assert {(r.caller, r.callee) for r in call_graph(app).collect()} >= {("read_user", "trim"), ("save", "trim")}
+    assert {(r.caller, r.module, r.call) for r in import_edges(app).collect()} >= {("read_user", "json", "json.loads")}
+    net = hunks(frame(spark, [(None, None, None, L.PATCH)], "commit_hash string, commit_subject string, commit_message string, patch string"))
+    assert [(r.lineno, r.additions, r.deletions) for r in net.collect()] == [(14, 1, 1), (21, 0, 1)]
+    assert {r.name for r in changed_symbols(app, net).collect()} == {"trim"}
