@@ -14,6 +14,13 @@ def kept_last(rows: DataFrame, keys: list[str], order: str, n: int = 100) -> Dat
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
+def kept_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of rows with the same keys the first in order: combined in every task before they meet."""
+    others = [c for c in rows.columns if c not in keys and c not in order]
+    first = rows.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_o"), F.min_by(F.struct(F.lit(0).alias("_none"), *others), F.struct(*order)).alias("_r"))
+    return first.select(*keys, *[F.col("_o")[c].alias(c) for c in order], *[F.col("_r")[c].alias(c) for c in others]).select(*rows.columns)
+
+
 def after_cursor(rows: DataFrame, key: str, since: int, limit: int) -> DataFrame:
     """The last ``limit`` (1..100) rows past the cursor, in order."""
     return rows.where(F.col(key) > since).orderBy(F.col(key).desc()).limit(max(1, min(100, limit))).orderBy(key)

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from quarry.functions.text import tokens
 from quarry.operators.lexical import B, K1, query_terms
 
-BUCKETS, SHARD_DOCS = 256, 100_000
+DOCS_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS, SHARD_DOCS = 50, 16, 4096, 100_000
+META = "n long, average double, buckets int"
 #: The partition of the rows that stand for documents.
 DOCUMENTS = -1
 
@@ -38,17 +39,20 @@ def _gain(average: Column) -> Column:
     return F.col("tf") * (K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / average))
 
 
-def build_postings(docs: DataFrame, key: str, text: Column, path: str, buckets: int = BUCKETS, shard_docs: int = SHARD_DOCS) -> None:
+def build_postings(docs: DataFrame, key: str, text: Column, path: str, buckets: int | None = None, shard_docs: int = SHARD_DOCS) -> None:
     """Write the index of docs, whose keys are distinct, below path."""
-    spark = docs.sparkSession
+    spark, n = docs.sparkSession, docs.count()
+    buckets = buckets or max(LEAST_BUCKETS, min(MOST_BUCKETS, n // DOCS_A_BUCKET))
     found = docs.select(F.col(key).alias("key"), tokens(text).alias("_t")).select("key", F.size("_t").alias("dl"), "_t")
     each = found.select("key", "dl", F.explode(F.array_append("_t", F.lit(None).cast("string"))).alias("token"))
     counts = each.groupBy("key", "dl", "token").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    shards = max(1, -(-docs.count() // shard_docs))
+    shards = max(1, -(-n // shard_docs))
     dealt = counts.withColumn("bucket", _bucket(F.col("token"), buckets)).repartition("bucket", F.pmod(F.hash("key"), F.lit(shards))).sortWithinPartitions("bucket", "token", "key")
     dealt.write.option("parquet.writer.version", "PARQUET_2_0").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
     postings = _postings(spark, path, dealt.schema["key"].dataType.simpleString())
-    average = postings.where(F.col("bucket") == DOCUMENTS).agg(F.avg("dl").alias("average"))
+    average = postings.where(F.col("bucket") == DOCUMENTS).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("average"))
+    average.withColumn("buckets", F.lit(buckets)).coalesce(1).write.parquet(f"{path}/meta")
+    average = spark.read.schema(META).parquet(f"{path}/meta").select("average")
     rows = postings.where(F.col("bucket") != DOCUMENTS).crossJoin(F.broadcast(average))  # one row
     lexicon = rows.groupBy("bucket", "token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"), F.max(_gain(F.col("average"))).alias("most"))
     lexicon.repartition("bucket").sortWithinPartitions("bucket", "token").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/lexicon")
@@ -58,14 +62,18 @@ def _postings(spark: SparkSession, path: str, key_type: str) -> DataFrame:
     return spark.read.schema(f"key {key_type}, dl int, token string, tf int, bucket int").parquet(f"{path}/postings")
 
 
+def _meta(spark: SparkSession, path: str):
+    return spark.read.schema(META).parquet(f"{path}/meta").first()
+
+
 def lexicon(spark: SparkSession, path: str) -> DataFrame:
     """(bucket, token, df, tf, most) of every token."""
     return spark.read.schema("token string, df long, tf long, most double, bucket int").parquet(f"{path}/lexicon")
 
 
-def postings_of(spark: SparkSession, path: str, words: list[str], key_type: str = "long", buckets: int = BUCKETS) -> DataFrame:
+def postings_of(spark: SparkSession, path: str, words: list[str], key_type: str = "long") -> DataFrame:
     """(bucket, token, key, tf, dl) of the words: only their partitions are read."""
-    own = _buckets_of(spark, words, buckets)
+    own = _buckets_of(spark, words, _meta(spark, path)["buckets"])
     return _postings(spark, path, key_type).where(F.col("bucket").isin(*own) & F.col("token").isin(*words))
 
 
@@ -76,7 +84,7 @@ def _buckets_of(spark: SparkSession, words: list[str], buckets: int) -> list[int
 
 
 def search_postings(
-    spark: SparkSession, path: str, query: str, k: int, scope: DataFrame | None = None, key_type: str = "long", buckets: int = BUCKETS, bounded: bool = True
+    spark: SparkSession, path: str, query: str, k: int, scope: DataFrame | None = None, key_type: str = "long", bounded: bool = True
 ) -> DataFrame:
     """(key, bm25) of the k best documents (by score, then key).
 
@@ -84,20 +92,20 @@ def search_postings(
     and every posting in scope is scored. bounded=False scores every posting without a scope, too.
     """
     terms = query_terms(query)
-    documents = _postings(spark, path, key_type).where(F.col("bucket") == DOCUMENTS).select("key", "dl")
+    meta, documents = _meta(spark, path), _postings(spark, path, key_type).where(F.col("bucket") == DOCUMENTS).select("key", "dl")
     none = documents.select("key", F.lit(0.0).alias("bm25")).where(F.lit(False))
     if not terms:
         return none
     words = list(terms)
-    own = postings_of(spark, path, words, key_type, buckets)
+    own = postings_of(spark, path, words, key_type)
     if scope is not None:
         keys = scope.select(F.col(scope.columns[0]).alias("key"))
         documents, own = documents.join(keys, "key", "left_semi"), own.join(keys, "key", "left_semi")
-    n, average = documents.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    n, average = (meta["n"], meta["average"]) if scope is None else documents.agg(F.count(F.lit(1)), F.avg("dl")).first()
     if not n:
         return none
     if scope is None:
-        rows = lexicon(spark, path).where(F.col("bucket").isin(*_buckets_of(spark, words, buckets)) & F.col("token").isin(*words))
+        rows = lexicon(spark, path).where(F.col("bucket").isin(*_buckets_of(spark, words, meta["buckets"])) & F.col("token").isin(*words))
         known = {r["token"]: (r["df"], r["most"]) for r in rows.collect()}
     else:
         known = {r["token"]: (r["df"], 0.0) for r in own.groupBy("token").agg(F.count(F.lit(1)).alias("df")).collect()}

@@ -360,20 +360,26 @@ def training_labels(spark, sf_dir):
     return feedback.training_examples(results, used, "event", "doc_id").select("doc_id", "rank", "label", "above_used")
 
 
-_REPORTS = """WITH e AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 <> 0), r AS (SELECT l_orderkey AS id, CAST(l_linenumber AS BIGINT) AS rank, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2),
-x AS (SELECT id, rank, '/w/src/' || (p % 5) || '.py' AS file, p % 100 AS a, p % 100 + 10 AS b, 'f' || (p % 7) AS name, sha256('c' || p) AS code, '/w/src/' || (p % 5) || '.py:' || (p % 100) || ':' || (p % 100 + 10) || ':f' || (p % 7) AS i, p % 5 AS d FROM r JOIN e USING (id)),
-k AS (SELECT id, i FROM x WHERE rank = 2),
-l AS (SELECT id, location, arg_min(i, rank) AS i, min(rank) AS rank FROM (SELECT x.*, './src/1.py:50' AS location FROM x WHERE d = 1 AND 50 BETWEEN a AND b UNION ALL SELECT x.*, 'src/3.py' FROM x WHERE d = 3
-UNION ALL SELECT x.*, 'src/2.py:10-12' FROM x WHERE d = 2 AND 10 BETWEEN a AND b) GROUP BY id, location),
+#: An event for each order; the rank and the three locations that its report names come from its keys.
+_REPORTS = """WITH e AS (SELECT o_orderkey AS id, 1 + o_orderkey % 3 AS want, o_custkey AS c, './src/' || (o_orderkey % 5) || '.py:' || (o_custkey % 100) AS one, 'src/' || (o_custkey % 5) || '.py' AS two, 'src/' || ((o_orderkey + 1) % 5) || '.py:10-12' AS three FROM orders),
+r AS (SELECT l_orderkey AS id, CAST(l_linenumber AS BIGINT) AS rank, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2),
+x AS (SELECT id, rank, '/w/src/' || (p % 5) || '.py' AS file, p % 100 AS a, p % 100 + 10 AS b, 'f' || (p % 7) AS name, sha256('c' || p) AS code, '/w/src/' || (p % 5) || '.py:' || (p % 100) || ':' || (p % 100 + 10) || ':f' || (p % 7) AS i, p % 5 AS d, want, c, one, two, three FROM r JOIN e USING (id)),
+k AS (SELECT id, i FROM x WHERE rank = want),
+l AS (SELECT id, location, arg_min(i, rank) AS i, min(rank) AS rank FROM (SELECT x.*, one AS location FROM x WHERE d = id % 5 AND c % 100 BETWEEN a AND b UNION ALL SELECT x.*, two FROM x WHERE d = c % 5
+UNION ALL SELECT x.*, three FROM x WHERE d = (id + 1) % 5 AND 10 BETWEEN a AND b) GROUP BY id, location),
 n AS (SELECT id, i, min(location) AS location, arg_min(rank, location) AS rank FROM l WHERE (id, i) NOT IN (SELECT id, i FROM k) GROUP BY id, i)"""
 
 
-@query(f"""{_REPORTS} SELECT id AS event_id, rank, file, a AS lineno, name, code AS code_sha256, 'positive' AS label, 'referenced_rank' AS label_source, NULL AS location, NULL AS rank_above_referenced FROM x WHERE rank = 2
+@query(f"""{_REPORTS} SELECT id AS event_id, rank, file, a AS lineno, name, code AS code_sha256, 'positive' AS label, 'referenced_rank' AS label_source, NULL AS location, NULL AS rank_above_referenced FROM x WHERE rank = want
 UNION ALL SELECT id, rank, file, a, name, code, 'positive', 'referenced_location', n.location, NULL FROM n JOIN x USING (id, i, rank)
-UNION ALL SELECT id, rank, file, a, name, code, 'weak_negative', 'returned_not_referenced', NULL, rank < 2 FROM x WHERE (id, i) NOT IN (SELECT id, i FROM k UNION ALL SELECT id, i FROM l)""")
+UNION ALL SELECT id, rank, file, a, name, code, 'weak_negative', 'returned_not_referenced', NULL, rank < want FROM x WHERE (id, i) NOT IN (SELECT id, i FROM k UNION ALL SELECT id, i FROM l)""")
 def usage_training_examples(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("event_id"))
-    events = orders.select("event_id", F.lit("/w").alias("directory"), F.lit("q").alias("query"))
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    text = lambda c: c.cast("string")
+    one = F.concat(F.lit("./src/"), text(key % 5), F.lit(".py:"), text(customer % 100))
+    told = F.array(one, F.concat(F.lit("src/"), text(customer % 5), F.lit(".py")), F.concat(F.lit("src/"), text((key + 1) % 5), F.lit(".py:10-12")), F.lit(" "), F.lit("gone.py:1"))
+    orders = table(spark, sf_dir, "orders")
+    events = orders.select(key.alias("event_id"), F.lit("/w").alias("directory"), F.lit("q").alias("query"))
     p = F.col("p")
     shown = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("event_id"), F.col("l_linenumber").cast("long").alias("rank")).agg(F.min("l_partkey").alias("p"))
     name = F.concat((p % 5).cast("string"), F.lit(".py"))
@@ -381,12 +387,16 @@ def usage_training_examples(spark, sf_dir):
         "event_id", "rank", F.concat(F.lit("/w/src/"), name).alias("file"), F.concat(F.lit("src/"), name).alias("path"), (p % 100).alias("lineno"), (p % 100 + 10).alias("end_lineno"),
         F.concat(F.lit("f"), (p % 7).cast("string")).alias("name"), F.concat(F.lit("c"), p.cast("string")).alias("code"),
     )
-    told = F.array(F.lit("./src/1.py:50"), F.lit("src/3.py"), F.lit("src/2.py:10-12"), F.lit(" "), F.lit("gone.py:1"))
-    usage = orders.select("event_id", F.col("event_id").alias("usage_id"), F.array(F.lit(2).cast("long")).alias("referenced_ranks"), told.alias("referenced_locations"))
+    usage = orders.select(key.alias("event_id"), key.alias("usage_id"), F.array((1 + key % 3).cast("long")).alias("referenced_ranks"), told.alias("referenced_locations"))
     found = feedback.usage_examples(events, results, usage)
     return found.select("event_id", "rank", "file", "lineno", "name", "code_sha256", "label", "label_source", "location", "rank_above_referenced")
 
 
+@query("SELECT user_id, event_type, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
+def keep_first(spark, sf_dir):
+    return feedback.kept_first(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "ts")
+
+
 @query(f"{RESULTS} SELECT doc_id FROM r WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def except_referenced(spark, sf_dir):
     used = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from quarry.functions import projections as P
 from quarry.operators.fuse import top_ranked
-from quarry.operators.lexical import bm25, grep
+from quarry.operators.lexical import bm25, grep, keyword_match
 from quarry.plans.retrieval import bm25_sql, query_text
 from quarry.queries import query
 from quarry.session import table
+from quarry.streaming.progress import counted
 
 #: A document as a symbol, by hand: English ones are functions, German ones methods, French ones blocks, others hunks.
 _SYMBOLS = """s AS (SELECT doc_id, 'doc_' || doc_id AS name, CASE WHEN doc_id % 3 = 0 THEN 'doc_' || doc_id ELSE 'fn' || doc_id END AS function_name, CASE WHEN lang = 'de' THEN source END AS class_name,
@@ -88,3 +89,15 @@ SELECT CAST(position AS INT) AS position, position || '. `' || doc_id || ':' ||
 def agent_grep(spark, sf_dir):
     matches = grep(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), " of the ")
     return P.reading_matches(matches, "doc_id").select("position", F.split_part("text", F.lit("\n"), F.lit(1)).alias("head"))
+
+
+@query(f"""WITH {_SYMBOLS} SELECT count(*) AS num_functions, count(DISTINCT file) FILTER (WHERE contains(lower(code), 'the') AND contains(lower(code), 'tion')) AS result_files,
+count(*) FILTER (WHERE contains(lower(code), 'the') AND contains(lower(code), 'tion')) AS result_count FROM s""")
+def search_counters(spark, sf_dir):
+    """Counters of a keyword search, observed while its results are written: the search runs once."""
+    scope, of_scope = counted(symbols(spark, sf_dir), "scope", num_functions=F.count(F.lit(1)))
+    found = scope.where(keyword_match(F.coalesce("raw_code", F.lit("")), "the tion"))
+    results, of_results = counted(found.select("doc_id", "file"), "results", result_count=F.count(F.lit(1)), result_files=F.size(F.collect_set("file")).cast("long"))
+    results.write.format("noop").mode("overwrite").save()
+    row = of_scope.get | of_results.get
+    return spark.createDataFrame([(row["num_functions"], row["result_files"], row["result_count"])], "num_functions long, result_files long, result_count long")

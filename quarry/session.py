@@ -40,4 +40,10 @@ def shared_folder(spark: SparkSession, name: str, root: str | None = None) -> st
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "quarry-shared")
-    return f"{root.rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}"
+    # What a lazy result still reads has to stay; it goes with the session.
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(there)
+    store.deleteOnExit(there)
+    return path

@@ -29,7 +29,7 @@ def test_postings_equal_bm25(spark, tmp_path, text):
     for scope in (None, docs.where("id % 3 = 1").select("id")):
         own = docs if scope is None else docs.join(scope, "id", "left_semi")
         wanted = bm25(own, "id", F.col("text"), text).orderBy(F.round("bm25", 9).desc(), "id").limit(10).collect()
-        found = search_postings(spark, path, text, 10, scope, buckets=16).orderBy(F.round("bm25", 9).desc(), "key").collect()
+        found = search_postings(spark, path, text, 10, scope).orderBy(F.round("bm25", 9).desc(), "key").collect()
         assert [x.key for x in found] == [x.id for x in wanted] and [x.bm25 for x in found] == pytest.approx([x.bm25 for x in wanted])
 
 
@@ -40,12 +40,12 @@ def test_postings_read_only_their_buckets(spark, tmp_path):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     build_postings(corpus(spark), "id", F.col("text"), path, buckets=16, shard_docs=100)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    rows = postings_of(spark, path, ["w7", "w50"], buckets=16)
+    rows = postings_of(spark, path, ["w7", "w50"])
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "In(token" in plan
     assert {x.token for x in rows.select("token").distinct().collect()} == {"w7", "w50"}
     # A word that every document has lies in several files.
-    buckets = postings_of(spark, path, ["common"], buckets=16)
+    buckets = postings_of(spark, path, ["common"])
     assert buckets.select(F.input_file_name()).distinct().count() > 1
 
 
