@@ -5,7 +5,8 @@ into a trie and each node gets its forward score and token count once, from the
 own path: over all pieces that end there (an automaton finds them), the best sum of the score before the piece and the
 piece's score (of equal sums, the fewest tokens). Terminals hold the counts, and a text's count
 is the sum over its pre-tokens. Nothing is shuffled; a worker's trie holds at most ``NODES``
-nodes and starts anew beyond that.
+nodes and starts anew beyond that. A pre-token of more than ``LONG`` characters shares no prefix worth keeping: it is
+scored in the same way over a window as wide as the longest piece, and leaves nothing behind.
 
 The model is the vocabulary of a public SentencePiece file read as a unigram model under Zipf's
 law: a piece's log-probability is minus the logarithm of its rank plus two. Characters without a
@@ -34,6 +35,8 @@ from quarry.llm.common import map_batches, prepare
 
 BLANK = "▁"
 NODES = 1_500_000
+#: Pre-tokens of more characters are scored without the trie.
+LONG = 20_000
 UNKNOWN_PENALTY = 10.0
 _TOKENS, _SCORE = operator.itemgetter(0), operator.itemgetter(1)
 _PRETOKEN = re.compile(" *[^ ]+| +")
@@ -65,7 +68,7 @@ class Trie:
         for piece, score in pieces.items():
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
-        self.unknown = min(pieces.values()) - UNKNOWN_PENALTY
+        self.unknown, self.width = min(pieces.values()) - UNKNOWN_PENALTY, max(map(len, pieces)) + 1
         self.computed = 0
         self.terminals = _Terminals(self._insert)
         self.clear()
@@ -82,6 +85,8 @@ class Trie:
     def _insert(self, given: str) -> tuple[int, float]:
         """Walk the nodes that are there, and make the others from the pieces that end at each."""
         token = given.replace(" ", BLANK)
+        if len(token) > LONG:
+            return self._rolled(token)
         if len(self.scores) + len(token) > self.most and len(self.scores) > 1:
             self.clear()
         scores, counts, children, path = self.scores, self.counts, self.children, [0]
@@ -109,6 +114,33 @@ class Trie:
         out = self.terminals[given] = (counts[path[-1]], scores[path[-1]])
         return out
 
+    def _rolled(self, token: str) -> tuple[int, float]:
+        """As _insert, for a long pre-token: only the last nodes of its path, as many as a piece can reach back."""
+        width, at = self.width, 0
+        scores, counts = [0.0] * width, [0] * width
+        best, fewest = -math.inf, 0
+
+        def close() -> None:
+            nonlocal at, best, fewest
+            char = token[at]
+            if char not in self.pieces:
+                total, number = scores[at % width] + self.unknown, counts[at % width] + len(char.encode())
+                if total > best or (total == best and number < fewest):
+                    best, fewest = total, number
+            at += 1
+            scores[at % width], counts[at % width] = best, fewest
+            best, fewest = -math.inf, 0
+
+        for end, (length, score) in self.automaton.iter(token):
+            while at < end:
+                close()
+            total, number = scores[(end + 1 - length) % width] + score, counts[(end + 1 - length) % width] + 1
+            if total > best or (total == best and number < fewest):
+                best, fewest = total, number
+        while at < len(token):
+            close()
+        return counts[at % width], scores[at % width]
+
     def _grow(self, token: str, path: list[int], best: float, fewest: int) -> None:
         """The next node of the path, with what its pieces give; a character without a piece is one more way."""
         char, before = token[len(path) - 1], path[-1]

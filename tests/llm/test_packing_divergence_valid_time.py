@@ -245,3 +245,23 @@ def test_copies_without_ids_are_dealt_evenly(spark):
     docs = spark.range(3000).select(F.when(F.col("id") >= 1000, F.col("id")).alias("doc_id"), F.lit("Copy").alias("text"))
     found = exact_dedup(docs, bucket_size=4, hot_rows=100).collect()
     assert len(found) == 3000 and {(x.keep_id, x.group_size) for x in found} == {(2999, 3000)} and sum(x.kept for x in found) == 1
+
+
+# ---- token counts: long pre-tokens ----
+
+
+def test_long_pretokens_leave_no_nodes(monkeypatch):
+    from quarry.llm import token_counts
+    from quarry.llm.pieces import default_model
+
+    made = token_counts.Trie(token_counts.zipf_pieces(default_model()))
+    r = random.Random(12)
+    tokens = ["".join(r.choice("abcetionéß語▁1") for _ in range(r.randrange(1, 400))) for _ in range(60)] + [" the", "x", "語" * 50]
+    plain = [made.insert(t) for t in tokens]
+    monkeypatch.setattr(token_counts, "LONG", 0)
+    rolled = token_counts.Trie(token_counts.zipf_pieces(default_model()))
+    assert [rolled.insert(t) for t in tokens] == plain and len(rolled.scores) == 1
+    monkeypatch.setattr(token_counts, "LONG", 20_000)
+    long_ = "abcdefghij" * 100_000  # a million characters
+    count, score = made.insert(long_)
+    assert len(made.scores) < 30_000 and count > 100_000 and score < 0
