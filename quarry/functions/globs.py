@@ -96,5 +96,11 @@ def is_ignored(path: Column, text: str) -> Column:
     return out
 
 
+def diff_allowed(path: Column, suffix: str, ignore: str = "", include: list[str] | None = None, exclude: list[str] | None = None, files: list[str] | None = None) -> Column:
+    """Whether a patch's path is searched: its suffix, the list of files (none: all, an empty one: nothing), ignore rules, globs."""
+    listed = F.lit(True) if files is None else path.isin(*files) if files else F.lit(False)
+    return F.coalesce(F.endswith(path, F.lit(suffix)) & listed & ~is_ignored(path, ignore) & allowed(path, include, exclude), F.lit(False))
+
+
 def in_source_tree(path: Column, segments: tuple[str, ...] = SOURCE_SEGMENTS) -> Column:
     return F.exists(F.split(path, "/"), lambda s: F.lower(s).isin(*segments))

@@ -90,6 +90,22 @@ def duration(seconds: Column) -> Column:
     )
 
 
+def percent(current: Column, total: Column) -> Column:
+    """A whole percentage from 0 to 100; 0 of nothing."""
+    share = F.when(total > 0, F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.floor(100 * current / total + 0.5)))).otherwise(0.0)
+    return F.concat(share.cast("int").cast("string"), F.lit("%"))
+
+
+#: What translators put around what they are asked for.
+AROUND, PREFIX = "[\"'`]+", r"(?i)^translated(?: english| text)?:\s*"
+
+
+def clean_translation(said: Column, asked: Column) -> Column:
+    """A translator's answer without quotes and label; what was asked where nothing is left."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(said), f"^{AROUND}|{AROUND}$", ""), PREFIX, "")
+    return F.coalesce(F.when(F.trim(bare) != "", F.trim(bare)), asked)
+
+
 def clean_doc_comment(text: Column) -> Column:
     """The text of a /** */ comment without its frame and leading stars."""
     body = F.regexp_replace(F.regexp_replace(text, r"^\s*/\*\*+", ""), r"\*+/\s*$", "")

@@ -77,7 +77,7 @@ def empty_scope_is_none(spark, sf_dir):
 @query(f"SELECT page_id, path FROM ({PATH_SQL}) WHERE ({PATHS_SQL}) AND NOT ({IGNORE_SQL}) AND suffix(path, '3') AND page_id IN (SELECT doc_id FROM labels)")
 def path_predicate_combined(spark, sf_dir):
     scope = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"))
-    test = globs.allowed(F.col("path"), INCLUDE_PATHS, EXCLUDE) & ~globs.is_ignored(F.col("path"), IGNORE) & F.endswith(F.col("path"), F.lit("3"))
+    test = globs.diff_allowed(F.col("path"), "3", IGNORE, INCLUDE_PATHS, EXCLUDE)
     return paths(spark, sf_dir).where(test).join(scope, "page_id", "left_semi")
 
 
@@ -541,3 +541,18 @@ def duration_format(spark, sf_dir):
 @query(f"SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(string_split(path, '/'), lambda p: p <> ''))), ',') AS patterns FROM ({PATH_SQL})")
 def pattern_normalise(spark, sf_dir):
     return paths(spark, sf_dir).select("page_id", F.array_join(X.normalised_patterns(F.split("path", "/")), ",").alias("patterns"))
+
+
+@query("""SELECT user_id, event_id, CAST(floor(100.0 * i / n + 5e-1) AS INT) || '%' AS done FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)""")
+def progress_percent(spark, sf_dir):
+    users = Window.partitionBy("user_id")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(users.orderBy("ts", "event_id")).alias("i"), F.count(F.lit(1)).over(users).alias("n"))
+    return rows.select("user_id", "event_id", X.percent(F.col("i"), F.col("n")).alias("done"))
+
+
+@query("""SELECT item_id, CASE item_id % 4 WHEN 0 THEN trim(text) WHEN 1 THEN trim(text) WHEN 2 THEN 'asked ' || item_id ELSE 'x ' || trim(text) END AS query FROM benchmark""")
+def translation_cleanup(spark, sf_dir):
+    """Answers of a translator, made up around the items: quoted, labelled, empty, with a word before."""
+    shapes = F.array(F.concat(F.lit('"'), F.trim("text"), F.lit("`'")), F.concat(F.lit(" 'Translated English: "), F.trim("text")), F.lit(' "translated text: " '), F.concat(F.lit("x "), F.col("text")))
+    said = F.element_at(shapes, (F.col("item_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "benchmark").select("item_id", X.clean_translation(said, F.concat(F.lit("asked "), F.col("item_id").cast("string"))).alias("query"))

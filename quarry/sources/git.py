@@ -52,6 +52,35 @@ def read_rules(root: str, names: tuple[str, ...] = IGNORE_FILES) -> list[tuple[b
     return rules
 
 
+#: What a new ignore file holds where git has none.
+FALLBACK_PATTERNS = ("node_modules/", "out/", "dist/", "build/", ".venv/", "__pycache__/", ".quarry_index/")
+
+
+def clean_patterns(patterns: list[str]) -> list[str]:
+    """Patterns relative to the root: trimmed, forward slashes, no leading ./ or /, each once, sorted; comments go."""
+    said = (p.strip().replace("\\", "/") for p in patterns)
+    return sorted({c for p in said if not p.startswith("#") and (c := p.removeprefix("./").lstrip("/"))})
+
+
+def default_patterns(root: str) -> list[str]:
+    """What an ignore file begins with: git's own patterns, or the usual folders."""
+    path = os.path.join(root, IGNORE_FILES[0])
+    if os.path.exists(path):
+        with open(path, encoding="utf-8", errors="replace") as f:
+            if own := clean_patterns(f.read().splitlines()):
+                return own
+    return list(FALLBACK_PATTERNS)
+
+
+def write_patterns(root: str, patterns: list[str]) -> list[str]:
+    """Replace the engine's ignore file in one step; the patterns that it has now."""
+    kept, path = clean_patterns(patterns), os.path.join(root, IGNORE_FILES[1])
+    with open(f"{path}.new", "w", encoding="utf-8") as f:
+        f.write("\n".join(["# Paths that searches leave out, relative to this folder.", *kept, ""]))
+    os.replace(f"{path}.new", path)
+    return kept
+
+
 def walk(root: str, suffix: str | None = None, ignore_files: tuple[str, ...] = IGNORE_FILES) -> list[str]:
     """Relative paths below root; ignored and skipped directories are not entered."""
     rules = read_rules(root, ignore_files)

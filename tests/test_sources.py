@@ -57,3 +57,16 @@ def test_event_stream_goes_on(spark, tmp_path):
     put("002.jsonl", {"event_id": 4, "query": "d"})
     assert run() == [(1, "a"), (2, "b"), (3, None), (4, "d")]  # nothing again, nothing lost
     assert run() == [(1, "a"), (2, "b"), (3, None), (4, "d")]
+
+
+def test_ignore_file_is_written(tmp_path):
+    from quarry.sources import git as G
+
+    assert G.default_patterns(str(tmp_path)) == list(G.FALLBACK_PATTERNS)
+    (tmp_path / ".gitignore").write_text("# none\n\n*.log\n ./tmp/ \n")
+    assert G.default_patterns(str(tmp_path)) == ["*.log", "tmp/"]
+    assert G.write_patterns(str(tmp_path), ["b\\c/", " ./a ", "/a", "", "# x"]) == ["a", "b/c/"]
+    for name in ("a/x.py", "b/c/y.py", "b/z.py", "e.log"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("")
+    assert [x for x in G.walk(str(tmp_path), ".py")] == ["b/z.py"] and not (tmp_path / ".quarryignore.new").exists()
