@@ -35,7 +35,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import make_folder, map_batches, prepare, workspace, written
+from quarry.llm.common import join_spread, make_folder, map_batches, prepare, workspace, written
 
 CHUNK_BYTES = 64 << 10
 ARCHIVE_BYTES = 128 << 20
@@ -235,7 +235,7 @@ def plan_records(records: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFram
     keyed = records.select("id", "uri", "payload", F.sha2(text, 256).alias("sha"), F.octet_length(text).alias("n"))
     long_ = keyed.where(F.col("n") >= least_bytes).select("id", "sha")
     first = long_.groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1 AND first IS NOT NULL").drop("copies")
-    revisits = long_.join(first, "sha").where("NOT id <=> first").distinct()
+    revisits = join_spread(long_, first, ["sha"], "id").where("NOT id <=> first").distinct()
     revisits = revisits.select(F.col("id").alias("r_id"), F.col("sha").alias("r_sha"), "first")
     joined = keyed.join(revisits, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("sha") == F.col("r_sha")), "left")
     return joined.select(
