@@ -71,7 +71,16 @@ def test_linked_stream_equals_join(spark, tmp_path):
     at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
     rows = [("s", "d", 1, at(0), True), ("s", "d", 2, at(1), False), ("s", "e", 3, at(2), False), ("s", "d", 4, at(3), True), ("s", "d", 5, at(4), False), ("t", "d", 6, at(5), False), ("t", "d", 7, at(6), True), ("s", "d", 8, at(7), False), ("t", "d", 9, at(8), False)]
     schema = "session string, directory string, event_id long, ts timestamp, is_search boolean"
-    found, _ = drained(linked_stream(fed(spark, tmp_path, [rows[:3], rows[3:6], rows[6:]], schema)), tmp_path, "linked")
+    # State with a time-to-live looks at the clock for ever: the stream is stopped once all greps are out.
+    stream = linked_stream(fed(spark, tmp_path, [rows[:3], rows[3:6], rows[6:]], schema))
+    q = stream.writeStream.format("memory").queryName("linked").outputMode("append").trigger(processingTime="300 milliseconds").start()
+    try:
+        until = time.time() + 90
+        while time.time() < until and spark.table("linked").count() < 6:
+            time.sleep(0.3)
+        found = [tuple(r) for r in spark.table("linked").collect()]
+    finally:
+        q.stop()
     table = spark.createDataFrame(rows, schema)
     wanted = linked(table.where("is_search").drop("is_search"), table.where("NOT is_search").drop("is_search")).select("session", "directory", "event_id", "parent_event_id")
     assert sorted(found, key=str) == sorted(map(tuple, wanted.collect()), key=str)
