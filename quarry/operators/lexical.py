@@ -56,7 +56,7 @@ def bm25_of_counts(counts: DataFrame, key: str, terms: dict[str, int]) -> DataFr
 
 def document_frequency(docs: DataFrame, text: Column) -> DataFrame:
     """(token, df, tf) over docs."""
-    sorted_ = docs.select(F.array_sort(tokens(text)).alias("_t"))
+    sorted_ = docs.select(F.sort_array(tokens(text)).alias("_t"))
     # In order, the first of a document's equal tokens counts for the document.
     tagged = F.transform("_t", lambda t, i: F.struct(t.alias("token"), F.coalesce(F.get("_t", i - 1) != t, F.lit(True)).alias("once")))
     each = sorted_.select(F.explode(tagged).alias("x"))
