@@ -109,7 +109,7 @@ SELECT doc_id, line_no, substr(line, 1, 500) AS line FROM e WHERE contains(line,
 
 @query(_GREP)
 def grep_early_exit(spark, sf_dir):
-    path = shared_folder(spark, "parts")
+    path = f"{shared_folder(spark, 'parts')}/table"  # the folder itself is there already
     waves.lay_out(table(spark, sf_dir, "documents"), "doc_id", path, part_rows=500)
     return waves.grep_first(spark, path, "doc_id", "text", " of the ").rows
 

@@ -178,6 +178,17 @@ def test_early_exit_reads_few_parts(spark, tmp_path):
     assert [r.id for r in rare.rows.collect()] == [1990] and rare.parts_read == 40 and none.rows.count() == 0
 
 
+def test_early_exit_query_equals_the_search(spark):
+    """The registered query lays its table out in a folder that is there already."""
+    from quarry.registry import QUERIES
+
+    source = "/root/testdata/sf0.001"
+    if not os.path.exists(source):
+        pytest.skip("no tables")
+    found, wanted = (QUERIES[q](spark, source).collect() for q in ("grep_early_exit", "grep_literal"))
+    assert [tuple(r) for r in found] == [tuple(r) for r in wanted] and found
+
+
 @pytest.mark.parametrize("most", [1500, 30])
 def test_ignore_tree_by_brute_force(spark, most):
     from quarry.operators.tree import ignore_tree
