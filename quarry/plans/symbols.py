@@ -43,13 +43,22 @@ PATCH = """diff --git a/src/@I.py b/src/@I.py
 +    found = find_@I(a)
      return Store@M.load(found)
 """
+#: What diff_hunks_parse also reads: a hunk that only removes a line, which looks like a file's header.
+REMOVAL = """@@ -17,3 +17,2 @@ def find_@I(a, b=None):
+ LIMIT = @N
+--- limit
+ print(find_@I(LIMIT))
+"""
 #: By the rest of a document's id by five: the file's suffix and its template.
 KINDS = ((".py", PYTHON), (".py", PYTHON), (".py", BROKEN), (".java", JAVA), (".ts", SCRIPT))
 
 
+def _every_document(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("n_chars").alias("n"))
+
+
 def _documents(spark, sf_dir, *rests: int):
-    docs = table(spark, sf_dir, "documents").where("doc_id >= 0").groupBy("doc_id").agg(F.max("n_chars").alias("n"))
-    return docs.where((F.col("doc_id") % 5).isin(*rests))
+    return _every_document(spark, sf_dir).where((F.col("doc_id") >= 0) & (F.col("doc_id") % 5).isin(*rests))
 
 
 def _filled(template: str):
@@ -123,22 +132,23 @@ def import_dependencies(spark, sf_dir):
     return import_edges(extract_symbols(_files(spark, sf_dir, 0, 1)))
 
 
-def _patches(spark, sf_dir):
+def _patches(docs, template: str):
     none = [F.lit(None).cast("string").alias(c) for c in ("commit_hash", "commit_subject", "commit_message")]
-    return _documents(spark, sf_dir, 0, 1).select(*none, _filled(PATCH).alias("patch"))
+    return docs.select(*none, _filled(template).alias("patch"))
 
 
-_BODY = PATCH[PATCH.index("@@ -12") :].rstrip()
-_HEADER = PATCH[: PATCH.index("@@ -12")]
+_HEADER, _FIRST = PATCH[: PATCH.index("@@ -12")], PATCH[PATCH.index("@@ -12") :].rstrip()
+_EVERY = "SELECT doc_id, coalesce(max(n_chars), 0) AS n FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id"
 
 
-@query(f"""SELECT 'src/' || doc_id || '.py' AS path, 13 AS lineno, 14 AS end_lineno, '    found = find_' || doc_id || '(b)' || chr(10) || '    found = find_' || doc_id || '(a)' AS changed_code,
-sha256({_put(_text(_HEADER + _BODY))}) AS search_hash, 1 AS additions, 1 AS deletions, '13' AS added, '13' AS removed, 12 AS anchor FROM (SELECT DISTINCT doc_id, 0 AS n FROM documents WHERE doc_id >= 0 AND doc_id % 5 IN (0, 1))""")
+@query(f"""SELECT 'src/' || doc_id || '.py' AS path, lineno, end_lineno, {_put("changed")} AS changed_code, sha256({_put(f"{_text(_HEADER)} || body")}) AS search_hash, additions, 1 AS deletions, added, removed, anchor FROM ({_EVERY}), (VALUES
+(13, 14, '    found = find_@I(b)' || chr(10) || '    found = find_@I(a)', {_text(_FIRST)}, 1, '13', '13', 12), (17, 18, '-- limit', {_text(REMOVAL.rstrip())}, 0, '', '18', 17)) t(lineno, end_lineno, changed, body, additions, added, removed, anchor)""")
 def diff_hunks_parse(spark, sf_dir):
     ranges = [ranges_text(F.col(f"{c}_ranges")).alias(c) for c in ("added", "removed")]
-    return hunks(_patches(spark, sf_dir)).select("path", "lineno", "end_lineno", "changed_code", F.sha2("search_text", 256).alias("search_hash"), "additions", "deletions", *ranges, "anchor")
+    patches = _patches(_every_document(spark, sf_dir), PATCH + REMOVAL)
+    return hunks(patches).select("path", "lineno", "end_lineno", "changed_code", F.sha2("search_text", 256).alias("search_hash"), "additions", "deletions", *ranges, "anchor")
 
 
 @query(_cut("0, 1", ".py", PYTHON, _FIND))
 def changed_symbols(spark, sf_dir):
-    return _shown(touched(extract_symbols(_files(spark, sf_dir, 0, 1)), hunks(_patches(spark, sf_dir))))
+    return _shown(touched(extract_symbols(_files(spark, sf_dir, 0, 1)), hunks(_patches(_documents(spark, sf_dir, 0, 1), PATCH))))

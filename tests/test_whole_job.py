@@ -62,3 +62,12 @@ def test_lsh_recall_and_fallback(spark):
             assert len(found) == 10
             shares.append(len(set(found) & set(exact)) / 10)
         assert np.mean(shares) >= least
+
+
+def test_every_document_has_a_patch_of_two_hunks(spark, tmp_path):
+    from quarry.registry import QUERIES
+
+    spark.createDataFrame([(i, i + 5) for i in (-3, 0, 1, 2, 3, 4)] + [(None, 1)], "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["diff_hunks_parse"](spark, str(tmp_path)).collect()
+    assert sorted((r.path, r.lineno, r.additions, r.removed) for r in found) == sorted((f"src/{i}.py", *x) for i in (-3, 0, 1, 2, 3, 4) for x in ((13, 1, "13"), (17, 0, "18")))
+    assert {r.changed_code for r in found if not r.additions} == {"-- limit"}
