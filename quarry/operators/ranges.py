@@ -40,10 +40,18 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_order: str, right_or
 
 
 def islands(lines: DataFrame, keys: list[str], line: str) -> DataFrame:
-    """(keys, begin, end, n) of maximal runs of consecutive distinct lines."""
+    """(keys, begin, end, n) of maximal runs of consecutive distinct lines.
+
+    One sort by keys and line: lines that begin or end a run are told by their neighbours, and the edges of a run follow
+    each other, so nothing is held in a hash table. A null line is a run of its own.
+    """
     w = Window.partitionBy(*keys).orderBy(line)
-    marked = lines.select(*keys, line).distinct().withColumn("_run", F.col(line) - F.row_number().over(w))
-    return marked.groupBy(*keys, "_run").agg(F.min(line).alias("begin"), F.max(line).alias("end"), F.count(F.lit(1)).alias("n")).drop("_run")
+    apart = lambda other, here: other.isNull() | (F.abs(here - other) > 1)  # noqa: E731  repeats of a line are not apart
+    here, before, after = F.col(line), F.lag(line).over(w), F.lead(line).over(w)
+    opens = F.when(here.isNull(), F.row_number().over(w) == 1).otherwise(apart(before, here))
+    edges = lines.select(*keys, line).withColumns({"_opens": opens, "_ends": here.isNull() | apart(after, here)}).where("_opens OR _ends")
+    runs = edges.withColumn("end", F.when(F.col("_ends"), here).otherwise(F.lead(line).over(w))).where("_opens")
+    return runs.select(*keys, here.alias("begin"), "end", F.coalesce((F.col("end") - here + 1).cast("long"), F.lit(1).cast("long")).alias("n"))
 
 
 def ranges_text(ranges: Column) -> Column:
