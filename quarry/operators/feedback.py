@@ -71,30 +71,35 @@ def usage_examples(events: DataFrame, results: DataFrame, usage: DataFrame) -> D
     nothing references are weak negatives, and events without a query give none.
     """
     identity = F.concat_ws(":", F.coalesce("file", F.lit("")), F.coalesce(F.col("lineno").cast("string"), F.lit("")), F.coalesce(F.col("end_lineno").cast("string"), F.lit("")), F.coalesce("name", F.lit("")))
-    asked = usage.join(events.where(F.coalesce("query", F.lit("")) != "").select("event_id", "directory", "query"), "event_id")
+    told = F.transform(F.filter(F.array_distinct(F.transform("referenced_locations", lambda x: F.trim(x))), lambda x: x != ""), lambda x: F.struct(x.alias("location"), location(x).alias("at")))
+    told = F.transform(told, lambda x: F.struct(x["location"].alias("location"), _bare(x["at"]["path"]).alias("path"), x["at"]["begin"].alias("line")))
+    asked = usage.withColumn("_told", told).join(events.where(F.coalesce("query", F.lit("")) != "").select("event_id", "directory", "query"), "event_id")
     below = F.when(F.startswith("file", F.concat("directory", F.lit("/"))), F.expr("substring(file, length(directory) + 2)"))
     spellings = F.array(_bare(F.col("path")), F.regexp_replace("file", r"\\", "/"), below)
-    each = asked.join(results, "event_id").withColumn("identity", identity).withColumn("_paths", spellings)
-    by_rank = each.where(F.array_contains("referenced_ranks", F.col("rank"))).select("usage_id", "identity", "rank", F.lit("referenced_rank").alias("label_source"), F.lit(None).cast("string").alias("location"))
-
-    said = asked.select("usage_id", F.explode(F.array_distinct(F.transform("referenced_locations", lambda x: F.trim(x)))).alias("location")).where("location <> ''")
-    said = said.withColumn("_at", location(F.col("location"))).select("usage_id", "location", _bare(F.col("_at.path")).alias("_path"), F.col("_at.begin").alias("_line"))
-    spelled = each.select("usage_id", "identity", "rank", "lineno", "end_lineno", F.explode(F.array_distinct("_paths")).alias("_path"))
-    holds = F.col("_line").isNull() | F.col("lineno").isNull() | F.col("_line").between(F.col("lineno"), F.coalesce("end_lineno", "lineno"))
-    named = said.join(spelled, ["usage_id", "_path"]).where(holds).groupBy("usage_id", "location").agg(F.min(F.struct("rank", "identity")).alias("_r"))
-    named = named.select("usage_id", "_r.identity", "_r.rank", F.lit("referenced_location").alias("label_source"), "location")
+    holds = lambda x: x["line"].isNull() | F.col("lineno").isNull() | x["line"].between(F.col("lineno"), F.coalesce("end_lineno", "lineno"))
+    each = asked.join(results, "event_id").withColumn("identity", identity).withColumn("_paths", spellings).withColumn("_known", F.col("usage_id").isNotNull())
+    names = F.transform(F.filter("_told", lambda x: F.col("_known") & F.array_contains("_paths", x["path"]) & holds(x)), lambda x: x["location"])
+    each = each.select(
+        "usage_id", "event_id", "query", "rank", "file", "lineno", "end_lineno", "name", "code", "identity", names.alias("_names"), F.array_max("referenced_ranks").alias("_most"),
+        (F.col("_known") & F.coalesce(F.array_contains("referenced_ranks", F.col("rank")), F.lit(False))).alias("_by_rank"),
+    )
+    # A result is a row for each location that names it, or one row; the first of them stands for the result itself.
+    rows = each.select("*", F.posexplode_outer("_names").alias("_nth", "location")).withColumn("_itself", F.coalesce(F.col("_nth") == 0, F.lit(True))).drop("_names", "_nth")
+    # Rows lie together by event as the join left them: windows only sort.
+    spot = Window.partitionBy("event_id", "usage_id", "location")
+    same = Window.partitionBy("event_id", "usage_id", "identity")
+    named = F.col("location").isNotNull() & (F.struct("rank", "identity") == F.min(F.struct("rank", "identity")).over(spot))
+    rows = rows.withColumn("_named", named)
+    rows = rows.withColumns({"_ranked": F.max("_by_rank").over(same), "_first": F.min(F.when(F.col("_named"), F.struct("location", "rank"))).over(same)})
     # Of several references to one result, the rank comes first, then the first location.
-    order = F.struct((F.col("label_source") != "referenced_rank").alias("late"), F.coalesce("location", F.lit("")).alias("at"), "rank")
-    positive = by_rank.unionByName(named.join(by_rank.select("usage_id", "identity").distinct(), ["usage_id", "identity"], "left_anti"))
-    once = Window.partitionBy("usage_id", "identity").orderBy(order)
-    kept = positive.withColumn("_n", F.row_number().over(once)).where((F.col("label_source") == "referenced_rank") | (F.col("_n") == 1)).drop("_n")
-    negative = each.join(positive.select("usage_id", "identity").distinct(), ["usage_id", "identity"], "left_anti")
-    above = F.coalesce(F.col("rank") < F.array_max("referenced_ranks"), F.lit(False))
-    target = ["event_id", "query", "file", "lineno", "end_lineno", "name", F.when(F.coalesce("code", F.lit("")) != "", F.sha2("code", 256)).alias("code_sha256")]
-    rows = kept.join(each.select("usage_id", "identity", "rank", *target), ["usage_id", "identity", "rank"])
-    head = ["usage_id", "event_id", "query", "rank", "file", "lineno", "end_lineno", "name", "code_sha256"]
-    return rows.select(*head, F.lit("positive").alias("label"), "label_source", "location", F.lit(None).cast("boolean").alias("rank_above_referenced")).unionByName(
-        negative.select("usage_id", "rank", above.alias("rank_above_referenced"), *target).select(
-            *head, F.lit("weak_negative").alias("label"), F.lit("returned_not_referenced").alias("label_source"), F.lit(None).cast("string").alias("location"), "rank_above_referenced"
-        )
+    source = (
+        F.when(F.col("_by_rank") & F.col("_itself"), "referenced_rank")
+        .when(~F.col("_ranked") & F.col("_named") & (F.struct("location", "rank") == F.col("_first")), "referenced_location")
+        .when((~F.col("_ranked") & F.col("_first").isNull() | F.col("usage_id").isNull()) & F.col("_itself"), "returned_not_referenced")
     )
+    negative = F.col("label_source") == "returned_not_referenced"
+    return rows.withColumn("label_source", source).where(F.col("label_source").isNotNull()).select(
+        "usage_id", "event_id", "query", "rank", "file", "lineno", "end_lineno", "name", F.when(F.coalesce("code", F.lit("")) != "", F.sha2("code", 256)).alias("code_sha256"),
+        F.when(negative, "weak_negative").otherwise("positive").alias("label"), "label_source", F.when(F.col("label_source") == "referenced_location", F.col("location")).alias("location"),
+        F.when(negative, F.coalesce(F.col("rank") < F.col("_most"), F.lit(False))).alias("rank_above_referenced"),
+    )
