@@ -54,7 +54,9 @@ KINDS = ((".py", PYTHON), (".py", PYTHON), (".py", BROKEN), (".java", JAVA), (".
 
 
 def _every_document(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("n_chars").alias("n"))
+    """(doc_id, n), in as many parts as shuffles have: a row is few bytes here and a file to be parsed later, so parts must not be joined by size."""
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", "n_chars")
+    return docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").groupBy("doc_id").agg(F.max("n_chars").alias("n"))
 
 
 def _documents(spark, sf_dir, *rests: int):

@@ -64,10 +64,14 @@ def extract_symbols(files: DataFrame) -> DataFrame:
 
 def call_graph(symbols: DataFrame) -> DataFrame:
     """(file, caller, callee) edges inside a file: the last segment of a call names a function of the file."""
-    calls = symbols.select("file", F.col("name").alias("caller"), F.explode("python_static.calls").alias("call"))
-    names = symbols.where("symbol_kind IN ('function', 'method')").select("file", F.col("name").alias("callee")).distinct()
-    last = F.element_at(F.split("call", r"\."), -1)
-    return calls.join(names, (calls["file"] == names["file"]) & (last == F.col("callee"))).select(calls["file"], "caller", "callee").distinct()
+    last = lambda call: F.element_at(F.split(call, r"\."), -1)
+    caller = F.struct(F.col("name").alias("caller"))
+    # Names and calls are rows of one table: files are read once, and meet by file and word.
+    words = F.transform(F.coalesce("python_static.calls", F.array()), lambda c: F.struct(last(c).alias("word"), caller.alias("by")))
+    named = F.when(F.col("symbol_kind").isin("function", "method"), F.array(F.struct(F.col("name").alias("word"), F.lit(None).cast("struct<caller:string>").alias("by"))))
+    each = symbols.select("file", F.explode(F.concat(words, F.coalesce(named, F.array()))).alias("x")).where("file IS NOT NULL AND x.word IS NOT NULL")
+    met = each.groupBy("file", F.col("x.word").alias("callee")).agg(F.count_if(F.col("x.by").isNull()).alias("names"), F.collect_set("x.by").alias("by"))
+    return met.where("names > 0").select("file", F.explode("by.caller").alias("caller"), "callee")
 
 
 def import_edges(symbols: DataFrame) -> DataFrame:
