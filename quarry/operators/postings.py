@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import tokens
 from quarry.operators.lexical import B, K1, query_terms
 
-DOCS_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS, SHARD_DOCS = 50, 16, 4096, 100_000
+DOCS_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS, SHARD_DOCS = 50, 16, 256, 100_000
 META = "n long, average double, buckets int"
 #: The partition of the rows that stand for documents.
 DOCUMENTS = -1
@@ -39,13 +39,22 @@ def _gain(average: Column) -> Column:
     return F.col("tf") * (K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / average))
 
 
+def _counted(docs: DataFrame, key: str, text: Column) -> DataFrame:
+    """(key, dl, token, tf) of every document and token, and a row without a token for the document: counted inside each document, so nothing is dealt for it."""
+    found = docs.select(F.col(key).alias("key"), tokens(text).alias("_t")).select("key", F.size("_t").alias("dl"), F.sort_array("_t").alias("_t"))
+    # In order, a token's last place less that of the token before is its count.
+    placed = F.transform("_t", lambda t, i: F.struct(t.alias("token"), (i + 1).alias("place")))
+    ends = found.select("key", "dl", F.filter(placed, lambda x: F.coalesce(F.get("_t", x["place"]) != x["token"], F.lit(True))).alias("_e"))
+    tf = F.transform("_e", lambda x, i: F.struct(x["token"].alias("token"), (x["place"] - F.coalesce(F.get("_e", i - 1)["place"], F.lit(0))).cast("int").alias("tf")))
+    itself = F.struct(F.lit(None).cast("string").alias("token"), F.lit(1).alias("tf"))
+    return ends.select("key", "dl", F.explode(F.array_append(tf, itself)).alias("x")).select("key", "dl", "x.token", "x.tf")
+
+
 def build_postings(docs: DataFrame, key: str, text: Column, path: str, buckets: int | None = None, shard_docs: int = SHARD_DOCS) -> None:
     """Write the index of docs, whose keys are distinct, below path."""
     spark, n = docs.sparkSession, docs.count()
     buckets = buckets or max(LEAST_BUCKETS, min(MOST_BUCKETS, n // DOCS_A_BUCKET))
-    found = docs.select(F.col(key).alias("key"), tokens(text).alias("_t")).select("key", F.size("_t").alias("dl"), "_t")
-    each = found.select("key", "dl", F.explode(F.array_append("_t", F.lit(None).cast("string"))).alias("token"))
-    counts = each.groupBy("key", "dl", "token").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    counts = _counted(docs, key, text)
     shards = max(1, -(-n // shard_docs))
     dealt = counts.withColumn("bucket", _bucket(F.col("token"), buckets)).repartition("bucket", F.pmod(F.hash("key"), F.lit(shards))).sortWithinPartitions("bucket", "token", "key")
     dealt.write.option("parquet.writer.version", "PARQUET_2_0").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")

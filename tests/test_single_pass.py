@@ -68,3 +68,16 @@ def test_call_graph_reads_files_once(spark):
     edges = call_graph(extract_symbols(files))
     assert edges.columns == ["file", "caller", "callee"] and plan_of(edges).count("MapInPandas") == 1
     assert sorted(tuple(x) for x in edges.collect()) == [("p.py", "CodeBlock:12-12:calls=a", "a"), ("p.py", "a", "a"), ("p.py", "a", "b"), ("p.py", "b", "a")]
+
+
+def test_postings_are_dealt_once_into_few_files(spark, tmp_path):
+    from quarry.operators import postings as P
+
+    texts = ["b a b", "", None, "A a a_1 12 12 c", "x"]
+    docs = spark.createDataFrame([*enumerate(texts)], "id long, text string")
+    counts = P._counted(docs, "id", docs["text"])
+    assert "Exchange" not in plan_of(counts)
+    wanted = {(0, 3, "a", 1), (0, 3, "b", 2), (3, 6, "a", 2), (3, 6, "a_1", 1), (3, 6, "12", 2), (3, 6, "c", 1), (4, 1, "x", 1)} | {(i, n, None, 1) for i, n in enumerate((3, 0, 0, 6, 1))}
+    found = [tuple(x) for x in counts.collect()]
+    assert set(found) == wanted and len(found) == len(wanted)
+    assert P.MOST_BUCKETS <= 256  # files are buckets times shards, and a bucket's files are sorted by token
