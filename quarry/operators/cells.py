@@ -28,6 +28,8 @@ from quarry.operators.vector import distances, squared_distance
 SAMPLE, MOST_CELLS, PROBES, ITERATIONS, SHARD = 20_000, 4096, 8, 12, 1_000_000
 #: Elements of a subspace, its words, the recall that probes are set for, queries of a block.
 WIDTH, WORDS, AIM, QUERIES = 4, 256, 0.98, 256
+#: Distances that are held at once, and bytes of a batch of codes and queries: a worker's memory depends on neither cells nor vectors.
+HELD, BATCH_BYTES = 1 << 20, 16 << 20
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -39,6 +41,21 @@ def _distances(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.maximum((rows**2).sum(axis=1)[:, None] - 2 * rows @ centers.T + (centers**2).sum(axis=1)[None], 0.0)
 
 
+def _steps(n: int, width: int) -> Iterator[slice]:
+    """Slices of n rows with at most HELD distances to width others."""
+    step = max(1, HELD // max(1, width))
+    return (slice(at, at + step) for at in range(0, n, step))
+
+
+def _nearest(rows: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number, squared distance) of each row's nearest center."""
+    own, away = np.zeros(len(rows), np.int32), np.zeros(len(rows))
+    for part in _steps(len(rows), len(centers)):
+        d = _distances(rows[part], centers)
+        own[part], away[part] = d.argmin(axis=1), d.min(axis=1)
+    return own, away
+
+
 def _sample(vectors: DataFrame, key: str, column: str, most: int) -> np.ndarray:
     """At most ``most`` vectors, which meet in the driver; the same ones of the same table."""
     some = vectors.where(F.col(column).isNotNull()).orderBy(F.xxhash64(key), key).limit(most).select(column).toArrow()[column].combine_chunks()
@@ -50,7 +67,7 @@ def centroids(rows: np.ndarray, most: int) -> np.ndarray:
     centers = np.unique(rows, axis=0)
     centers = centers[np.random.default_rng(7).permutation(len(centers))[:most]]
     for _ in range(ITERATIONS):
-        own = _distances(rows, centers).argmin(axis=1)
+        own, _ = _nearest(rows, centers)
         sums, n = np.zeros_like(centers), np.bincount(own, minlength=len(centers))
         np.add.at(sums, own, rows)
         centers = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centers)
@@ -58,12 +75,12 @@ def centroids(rows: np.ndarray, most: int) -> np.ndarray:
 
 
 def _encoded(rows: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
-    return np.stack([_distances(rows[:, WIDTH * i : WIDTH * i + WIDTH], book).argmin(axis=1).astype(np.uint8) for i, book in enumerate(books)], axis=1)
+    return np.stack([_nearest(rows[:, WIDTH * i : WIDTH * i + WIDTH], book)[0].astype(np.uint8) for i, book in enumerate(books)], axis=1)
 
 
 def _probes(rows: np.ndarray, centers: np.ndarray, k: int = 10, queries: int = 200) -> int:
     """The fewest nearest cells that hold AIM of the k nearest of some rows among all rows."""
-    own, asked = _distances(rows, centers).argmin(axis=1), rows[:queries]
+    own, asked = _nearest(rows, centers)[0], rows[:queries]
     near = np.argsort(_distances(asked, rows), axis=1, kind="stable")[:, :k]
     place = np.argsort(np.argsort(_distances(asked, centers), axis=1, kind="stable"), axis=1)
     needed = np.sort(np.take_along_axis(place, own[near], axis=1).ravel())
@@ -80,8 +97,8 @@ def build_cells(vectors: DataFrame, key: str, column: str, path: str, cells: int
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = _distances(_matrix(batch[column]), centers) if len(batch) else np.zeros((0, 1))
-            yield pa.RecordBatch.from_arrays([batch[key], batch[column], pa.array(np.sqrt(d.min(axis=1))), pa.array(d.argmin(axis=1).astype(np.int32))], names=["key", "vector", "away", "cell"])
+            own, away = _nearest(_matrix(batch[column]), centers)
+            yield pa.RecordBatch.from_arrays([batch[key], batch[column], pa.array(np.sqrt(away)), pa.array(own)], names=["key", "vector", "away", "cell"])
 
     own = vectors.where(F.col(column).isNotNull()).select(key, F.col(column).cast("array<float>").alias(column))
     placed = own.mapInArrow(assign, f"key {kind}, vector array<float>, away double, cell int")
@@ -165,14 +182,18 @@ def nearest_of_many(spark: SparkSession, path: str, queries: DataFrame, k: int,
             for i in range(len(batch)):
                 keys, asked, wanted = (batch[c][i].values for c in ("keys", "queries", "wanted"))
                 codes = np.frombuffer(batch["codes"][i].as_py(), np.uint8).reshape(len(keys), -1)
-                rows, sums = _matrix(wanted), np.zeros((len(asked), len(keys)))
-                for place, book in enumerate(words):
-                    sums += _distances(rows[:, WIDTH * place : WIDTH * place + WIDTH], book)[:, codes[:, place]]
-                best = np.argsort(sums, axis=1, kind="stable")[:, :rerank]
-                of = np.repeat(np.arange(len(asked)), best.shape[1])
-                yield pa.RecordBatch.from_arrays([asked.take(pa.array(of)), keys.take(pa.array(best.ravel())), pa.array(np.take_along_axis(sums, best, axis=1).ravel())], names=["query", "key", "guess"])
+                rows = _matrix(wanted)
+                for part in _steps(len(asked), len(keys)):
+                    sums = np.zeros((len(rows[part]), len(keys)))
+                    for place, book in enumerate(words):
+                        sums += _distances(rows[part, WIDTH * place : WIDTH * place + WIDTH], book)[:, codes[:, place]]
+                    best = np.argsort(sums, axis=1, kind="stable")[:, :rerank]
+                    of = np.repeat(np.arange(part.start, part.start + len(sums)), best.shape[1])
+                    yield pa.RecordBatch.from_arrays([asked.take(pa.array(of)), keys.take(pa.array(best.ravel())), pa.array(np.take_along_axis(sums, best, axis=1).ravel())], names=["query", "key", "guess"])
 
     asked = queries.where(F.col("vector").isNotNull()).select("query", F.col("vector").cast("array<float>").alias("vector"))
+    # A row holds a block of codes and one of queries: batches go by their bytes, not by 10,000 rows.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     blocks = asked.mapInArrow(choose, f"cell int, queries array<{query_kind}>, wanted array<array<float>>")
     codes = spark.read.schema(f"cell int, keys array<{kind}>, codes binary").parquet(f"{path}/codes")
     guessed = codes.join(blocks, "cell").select("keys", "codes", "queries", "wanted").mapInArrow(look, f"query {query_kind}, key {kind}, guess double")

@@ -81,3 +81,17 @@ def test_postings_are_dealt_once_into_few_files(spark, tmp_path):
     found = [tuple(x) for x in counts.collect()]
     assert set(found) == wanted and len(found) == len(wanted)
     assert P.MOST_BUCKETS <= 256  # files are buckets times shards, and a bucket's files are sorted by token
+
+
+def test_distances_to_cells_are_held_in_steps(monkeypatch):
+    import numpy as np
+
+    from quarry.operators import cells as C
+
+    r, sizes, measure = np.random.default_rng(1), [], C._distances
+    rows, centers = r.normal(size=(10_000, 8)), r.normal(size=(784, 8))  # a batch, and the cells of 600,000 vectors
+    monkeypatch.setattr(C, "_distances", lambda a, b: sizes.append(len(a) * len(b)) or measure(a, b))
+    own, away = C._nearest(rows, centers)
+    whole = measure(rows, centers)
+    assert max(sizes) <= C.HELD and (own == whole.argmin(axis=1)).all() and np.allclose(away, whole.min(axis=1))
+    assert [len(x) for x in C._nearest(rows[:0], centers)] == [0, 0]
