@@ -24,9 +24,10 @@ to exactly ``length`` bytes, which bytes settle and ranks of longer strings don'
 
 Memory is bounded by a block of documents and by a bucket; the numbers of both grow with what is
 sent. Texts are written once, a file per block in the shared folder. Blocks send a bucket one
-packed row of distinct keys and get one packed row back; positions never move. Bytes move once
-for each block that holds them and isn't the first to, and a block that many others name is read
-by several tasks, each with a bounded share of them.
+packed row of distinct keys and get one packed row back; positions never move. Bytes move once,
+compressed, for each block that holds them and isn't the first to, and a block that many others
+name is read by several tasks, each with a bounded share of them. What is sent for a byte of text
+grows with the bits of the number of blocks only.
 
 Defined results: null text is empty; matches never cross documents; repeated rows repeat each
 other, so texts of at least ``length`` bytes vanish; a null doc_id keeps its row; an empty table
@@ -36,6 +37,7 @@ gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -43,6 +45,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,9 +56,9 @@ LENGTH = 200
 #: v of the difference cover and its size (a perfect difference set of q + 1 residues, v = q * q + q + 1).
 COVER_ORDER = 11
 BLOCK_BYTES = 4 << 20
-#: Bits of a sample's and of a string's key beyond those that number what is sent: one in 2 ** 18 and one in 2 ** 14
-#: are marked in vain, and bytes end it.
-SPARE_BITS, STRING_BITS = 18, 14
+#: Bits of a sample's and of a string's key beyond those that number what is sent: one in 2 ** 12 and one in 2 ** 11
+#: are marked in vain, and bytes end it. More bits cost more in all keys than they save in vain ones.
+SPARE_BITS, STRING_BITS = 12, 11
 #: Bytes of runs that one task compares with the block they name.
 CLAIM_BYTES = 32 << 20
 #: Positions in a row of runs.
@@ -120,25 +123,25 @@ class Hasher:
         return self.at(self.sums(data), np.arange(max(0, len(data) - length + 1)), length)
 
 
-_BLOCK = "block string, doc_ids binary, known binary, sizes binary, n_bytes long"
+_BLOCK = "task long, place long, file string, doc_ids binary, known binary, n_bytes long"
 
 
 def _pack(batches: Iterator[pa.RecordBatch], block_bytes: int, folder: str) -> Iterator[pa.RecordBatch]:
-    """Whole documents as blocks: one file of compressed texts each, and a row with ids and sizes.
+    """Whole documents as blocks: one file of compressed sizes and texts each, and a row with ids, numbered within the task.
 
     Files are named anew by each attempt; only those that the written table of rows names count.
     """
     files, root = fs.FileSystem.from_uri(folder)
+    task, place = TaskContext.get().partitionId(), itertools.count()
     ids, known, texts, held = [], [], [], 0
 
     def block():
         name = uuid.uuid4().hex
-        data = b"".join(texts)
+        sizes = np.array([len(texts), *map(len, texts)], "<i8")
         with files.open_output_stream(f"{root}/{name}") as out:
-            out.write(zstandard.ZstdCompressor(level=3).compress(data))
-        sizes = np.array([len(x) for x in texts], "<i8")
-        row = [name, np.array(ids, "<i8").tobytes(), np.array(known, np.uint8).tobytes(), sizes.tobytes(), len(data)]
-        kinds = [pa.string(), *[pa.binary()] * 3, pa.int64()]
+            out.write(zstandard.ZstdCompressor(level=3).compress(b"".join([sizes.tobytes(), *texts])))
+        row = [task, next(place), name, np.array(ids, "<i8").tobytes(), np.array(known, np.uint8).tobytes(), held]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=[x.split()[0] for x in _BLOCK.split(", ")])
 
     for batch in batches:
@@ -156,12 +159,20 @@ def _pack(batches: Iterator[pa.RecordBatch], block_bytes: int, folder: str) -> I
         yield block()
 
 
+def _read(folder: str, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, bytes) of a block's documents."""
+    files, root = fs.FileSystem.from_uri(folder)
+    with files.open_input_stream(f"{root}/{name}") as stream:
+        held = zstandard.ZstdDecompressor().decompress(stream.read())
+    n = int(np.frombuffer(held, "<i8", 1)[0])
+    return np.frombuffer(held, "<i8", n, 8), np.frombuffer(held, np.uint8, offset=8 * (n + 1))
+
+
 class Block:
     """A block of documents with its sums, cover samples and candidate positions."""
 
-    def __init__(self, sizes: bytes, data: bytes, hasher: Hasher, cover: np.ndarray, v: int, length: int):
-        self.data = np.frombuffer(data, np.uint8)
-        self.sizes = np.frombuffer(sizes, "<i8")
+    def __init__(self, sizes: np.ndarray, data: np.ndarray, hasher: Hasher, cover: np.ndarray, v: int, length: int):
+        self.data, self.sizes = data, sizes
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
         self.hasher, self.cover, self.v, self.length = hasher, cover, v, length
         self.sums = hasher.sums(self.data)
@@ -257,12 +268,12 @@ def _mask(spans: bytes | None, n: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-_CLAIMS = "block string, sure binary, told binary, mine binary, owner string, begins binary, counts binary, bytes binary"
-_JUDGED = "block string, spans binary, position long, string binary"
+_CLAIMS = "block long, sure binary, told binary, mine binary, owner long, begins binary, counts binary, n_bytes long, bytes binary"
+_JUDGED = "block long, spans binary, position long, string binary"
 
 
 def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64()}
+    kinds = {"binary": pa.binary(), "long": pa.int64()}
     fields = [x.split() for x in schema.split(", ")]
     columns = zip(*rows, strict=True) if rows else [()] * len(fields)
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
@@ -271,8 +282,8 @@ def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
 class _Plan:
     """What every step needs: the cover, the lengths, the numbers of buckets."""
 
-    def __init__(self, length: int, order: int, samples: int, bucket_keys: int, folder: str, bits: int):
-        self.length, self.folder, self.bits, self.bucket_keys = length, folder, bits, bucket_keys
+    def __init__(self, length: int, order: int, samples: int, blocks: int, bucket_keys: int, folder: str, bits: int):
+        self.length, self.folder, self.bits, self.bucket_keys, self.number_bits = length, folder, bits, bucket_keys, blocks.bit_length()
         self.sample_buckets = self.buckets = max(1, -(-samples // bucket_keys))
         self.dropped = self.string_dropped = np.uint64(max(0, 64 - SPARE_BITS - samples.bit_length()))
         self.cover, self.v = difference_cover(order), order * order + order + 1
@@ -284,51 +295,46 @@ class _Plan:
         self.buckets = max(1, -(-strings // self.bucket_keys))
         self.string_dropped = np.uint64(max(0, 64 - STRING_BITS - strings.bit_length()))
 
-    def read(self, name: str, sizes: bytes) -> Block:
+    def read(self, file: str) -> Block:
         self.hasher = self.hasher or Hasher(BLOCK_BYTES + (1 << 20), self.bits)
-        files, root = fs.FileSystem.from_uri(self.folder)
-        with files.open_input_stream(f"{root}/{name}") as stream:
-            data = zstandard.ZstdDecompressor().decompress(stream.read())
-        return Block(sizes, data, self.hasher, self.cover, self.v, self.length)
-
-    def block(self, batch: pa.RecordBatch, k: int) -> Block:
-        return self.read(batch["block"][k].as_py(), batch["sizes"][k].as_py())
+        return Block(*_read(self.folder, file), self.hasher, self.cover, self.v, self.length)
 
     def _samples(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         begins, hashes = block.samples()
         return begins, hashes >> self.dropped << self.dropped
 
     def send_samples(self, batch: pa.RecordBatch):
-        for k, name in enumerate(batch["block"].to_pylist()):
-            yield name, self._samples(self.block(batch, k))[1]
+        for number, file in zip(batch["block"].to_pylist(), batch["file"].to_pylist(), strict=True):
+            yield number, self._samples(self.read(file))[1]
 
     def _candidates(self, batch: pa.RecordBatch, k: int):
-        block = self.block(batch, k)
+        block = self.read(batch["file"][k].as_py())
         begins, keys = self._samples(block)
         return block, *block.candidates(begins[marked(keys, batch["ranked"][k].as_py(), self.sample_buckets)[0]])
 
     def send_strings(self, batch: pa.RecordBatch):
-        for k, name in enumerate(batch["block"].to_pylist()):
-            yield name, self._candidates(batch, k)[2] >> self.string_dropped << self.string_dropped
+        for k, number in enumerate(batch["block"].to_pylist()):
+            yield number, self._candidates(batch, k)[2] >> self.string_dropped << self.string_dropped
 
     def claims(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each block's positions that repeat in it (sure), are sent (told) or wait for others (mine), and the runs it sends."""
         for batch in batches:
-            for k, name in enumerate(batch["block"].to_pylist()):
+            for k, number in enumerate(batch["block"].to_pylist()):
                 block, begins, keys = self._candidates(batch, k)
-                hit, owner, names = marked(keys >> self.string_dropped << self.string_dropped, batch["repeated"][k].as_py(), self.buckets, name)
+                hit, owner = marked(keys >> self.string_dropped << self.string_dropped, batch["repeated"][k].as_py(), self.buckets, number, self.number_bits)
                 begins, keys, owner = begins[hit], keys[hit], owner[hit]
+                foreign = owner != number
                 first, twice = classes(block.data, begins, keys, self.length)
                 masks = np.zeros((3, len(block.data)), bool)
-                for mask, which in zip(masks, (twice, ~twice & (owner > 0), ~twice & (owner == 0)), strict=True):
+                for mask, which in zip(masks, (twice, ~twice & foreign, ~twice & ~foreign), strict=True):
                     mask[begins[which]] = True
-                yield _table([(name, *map(_spans, masks), None, None, None, None)], _CLAIMS)
-                for who in np.unique(owner[first & (owner > 0)]).tolist():
+                yield _table([(number, *map(_spans, masks), *[None] * 5)], _CLAIMS)
+                for who in np.unique(owner[first & foreign]).tolist():
                     rows = list(self._runs(block.data, begins[first & (owner == who)]))
-                    yield _table([(name, None, None, None, names[who], *row) for row in rows], _CLAIMS)
+                    yield _table([(number, None, None, None, who, *row) for row in rows], _CLAIMS)
 
     def _runs(self, data: np.ndarray, begins: np.ndarray) -> Iterator[tuple]:
-        """(begins, counts, bytes) of runs of positions, PIECE positions or so to a row."""
+        """(begins, counts, number of bytes, bytes compressed) of runs of positions, PIECE positions or so to a row."""
         breaks = np.flatnonzero(np.diff(begins) != 1) + 1
         starts, counts = begins[np.r_[0, breaks]], np.diff(np.r_[0, breaks, len(begins)])
         pieces = [(a + at, min(n - at, PIECE)) for a, n in zip(starts.tolist(), counts.tolist(), strict=True) for at in range(0, n, PIECE)]
@@ -337,7 +343,8 @@ class _Plan:
             held.append((start, n))
             weight += n + self.length - 1
             if weight >= PIECE or k == len(pieces) - 1:
-                yield *(np.array(x, "<i8").tobytes() for x in zip(*held, strict=True)), b"".join(data[x : x + m + self.length - 1].tobytes() for x, m in held)
+                sent = b"".join(data[x : x + m + self.length - 1].tobytes() for x, m in held)
+                yield *(np.array(x, "<i8").tobytes() for x in zip(*held, strict=True)), len(sent), zstandard.ZstdCompressor(level=3).compress(sent)
                 held, weight = [], 0
 
     def judge(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,18 +363,18 @@ class _Plan:
                 if held and (row["owner"] != last or weight >= 4 * PIECE):
                     yield settle()
                 if row["owner"] != last:
-                    last, block = row["owner"], self.read(row["owner"], row["sizes"])
+                    last, block = row["owner"], self.read(row["file"])
                     n = max(0, len(block.data) - self.length + 1)
                     windows = np.concatenate([np.empty(0, np.uint64), *(self.hasher.at(block.sums, np.arange(x, min(x + PIECE, n)), self.length) for x in range(0, n, PIECE))])
                     fits = block.fits()[:n]
                 held.append(row)
-                weight += len(row["bytes"])
+                weight += row["n_bytes"]
         if held:
             yield settle()
 
     def _judged(self, block: Block, windows: np.ndarray, fits: np.ndarray, rows: list[dict]) -> list[tuple]:
         """Where a run begins decides where it is compared along; only what that leaves is looked up string by string."""
-        length, sent = self.length, np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
+        length, sent = self.length, np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(r["bytes"]) for r in rows), np.uint8)
         starts, counts = (np.concatenate([np.frombuffer(r[c], "<i8") for r in rows]) for c in ("begins", "counts"))
         whose = np.repeat(np.arange(len(rows)), [len(r["counts"]) // 8 for r in rows])
         offsets = np.cumsum(counts + length - 1) - (counts + length - 1)
@@ -421,11 +428,9 @@ class _Plan:
 
     def cut(self, batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
         """Each document without its repeats."""
-        files, root = fs.FileSystem.from_uri(self.folder)
         for batch in batches:
             for row in batch.to_pylist():
-                with files.open_input_stream(f"{root}/{row['block']}") as stream:
-                    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(stream.read()), np.uint8)
+                sizes, data = _read(self.folder, row["file"])
                 sure, told, mine = (_mask(row[c], len(data)) for c in ("sure", "told", "mine"))
                 told[row["failed"] or []] = False
                 repeats = sure | told
@@ -435,10 +440,9 @@ class _Plan:
                 edge = np.zeros(len(data) + self.length + 1, np.int32)
                 edge[begins] += 1
                 edge[begins + self.length] -= 1
-                yield self._documents(row, data, np.cumsum(edge[: len(data)]) > 0, with_text)
+                yield self._documents(row, sizes, data, np.cumsum(edge[: len(data)]) > 0, with_text)
 
-    def _documents(self, row: dict, data: np.ndarray, gone: np.ndarray, with_text: bool) -> pa.RecordBatch:
-        sizes = np.frombuffer(row["sizes"], "<i8")
+    def _documents(self, row: dict, sizes: np.ndarray, data: np.ndarray, gone: np.ndarray, with_text: bool) -> pa.RecordBatch:
         n_removed, n_spans, digests, texts = [], [], [], []
         for start, size in zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), strict=True):
             mask = gone[start : start + size]
@@ -470,26 +474,32 @@ def remove_repeats(
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     folder = f"{work}/texts"
     make_folder(spark, folder)
-    blocks = written(map_batches(docs, lambda b: _pack(b, block_bytes, folder), _BLOCK), f"{work}/blocks")
-    total, count = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count(F.lit(1))).first()
+    packed = written(map_batches(docs, lambda b: _pack(b, block_bytes, folder), _BLOCK), f"{work}/blocks")
+    # A row a task: blocks are numbered from 0, one task's after another's.
+    held = sorted(packed.groupBy("task").agg(F.count(F.lit(1)), F.sum("n_bytes")).collect())
+    count, total = sum(r[1] for r in held), sum(r[2] for r in held)
+    before = spark.createDataFrame([(r[0], n - r[1]) for r, n in zip(held, itertools.accumulate(r[1] for r in held), strict=True)], "task long, before long")
+    blocks = packed.join(F.broadcast(before), "task").withColumn("block", F.col("before") + F.col("place"))
     samples = int(total * (order + 1) / (order * order + order + 1))
-    plan = _Plan(length, order, samples, bucket_keys, folder, hash_bits)
-    # Rows here are names, marks and keys; texts are read where they are needed.
+    plan = _Plan(length, order, samples, count, bucket_keys, folder, hash_bits)
+    # Rows here are numbers, marks and keys; texts are read where they are needed.
     tasks = max(1, min(count, 100_000))
-    own = blocks.select("block", "sizes").repartition(tasks, "block")
-    ranked = written(exchange(send_all(own, plan.send_samples, plan.sample_buckets)), f"{work}/ranked")
+    own = blocks.select("block", "file").repartition(tasks, "block")
+    ranked = written(exchange(send_all(own, plan.send_samples, plan.sample_buckets, int(plan.dropped)), tasks), f"{work}/ranked")
     plan.strings(ranked.agg(F.coalesce(F.sum("n_marked"), F.lit(0))).first()[0])
-    known = blocks.select("block", "sizes").join(ranked.select("block", F.col("marks").alias("ranked")), "block").repartition(tasks, "block")
-    repeated = written(exchange(send_all(known, plan.send_strings, plan.buckets), owned=True), f"{work}/repeated")
-    both = known.join(repeated.select("block", F.col("marks").alias("repeated")), "block").repartition(tasks, "block")
+    known = own.join(ranked.select("block", F.col("marks").alias("ranked")).repartition(tasks, "block"), "block")
+    # Answers stay where they are gathered: both sides are dealt by block to as many tasks.
+    repeated = exchange(send_all(known, plan.send_strings, plan.buckets, int(plan.string_dropped)), tasks, plan.number_bits)
+    both = known.join(repeated.select("block", F.col("marks").alias("repeated")), "block")
     claims = written(map_batches(both, plan.claims, _CLAIMS), f"{work}/claims")
 
-    sent = claims.where("owner IS NOT NULL").select("owner", "block", "begins", "counts", "bytes")
-    shares = sent.groupBy("owner").agg(F.ceil(F.sum(F.length("bytes")) / F.lit(float(CLAIM_BYTES))).alias("shares"))
-    asked = shares.join(blocks.select(F.col("block").alias("owner"), "sizes"), "owner")
-    dealt = sent.join(asked, "owner").withColumn("share", F.pmod(F.xxhash64("block"), "shares"))
+    sent = claims.where("owner IS NOT NULL").select("owner", "block", "begins", "counts", "n_bytes", "bytes")
+    shares = sent.groupBy("owner").agg(F.ceil(F.sum("n_bytes") / F.lit(float(CLAIM_BYTES))).alias("shares"))
+    # A number, a name and a number for each block: small beside the runs, which so move once.
+    asked = shares.join(blocks.select(F.col("block").alias("owner"), "file"), "owner")
+    dealt = sent.join(F.broadcast(asked), "owner").withColumn("share", F.pmod(F.xxhash64("block"), "shares"))
     dealt = dealt.repartition("owner", "share").sortWithinPartitions("owner", "block")
-    judged = written(map_batches(dealt.select("owner", "sizes", "block", "begins", "counts", "bytes"), plan.judge, _JUDGED), f"{work}/judged")
+    judged = written(map_batches(dealt.select("owner", "file", "block", "begins", "counts", "n_bytes", "bytes"), plan.judge, _JUDGED), f"{work}/judged")
     # Strings that the block named by their key doesn't have repeat only among themselves.
     strange = judged.where("string IS NOT NULL").select("block", "position", "string")
     alone = strange.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("string")
@@ -497,9 +507,8 @@ def remove_repeats(
     spans = judged.where("spans IS NOT NULL").groupBy("block").agg(F.collect_set("spans").alias("spans"))
     settled = blocks.join(claims.where("owner IS NULL").select("block", "sure", "told", "mine"), "block", "left").join(spans, "block", "left").join(failed, "block", "left")
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    wanted = settled.select("block", "sizes", "doc_ids", "known", "sure", "told", "mine", "spans", "failed").repartition(tasks, "block")
-    for name in ("ranked", "repeated"):
-        remove(spark, f"{work}/{name}")
+    wanted = settled.select("block", "file", "doc_ids", "known", "sure", "told", "mine", "spans", "failed").repartition(tasks, "block")
+    remove(spark, f"{work}/ranked")
     return map_batches(wanted, lambda b: plan.cut(b, with_text), fields)
 
 
